@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, exact_dedup
+from . import byte_bpe, decontaminate, exact_dedup, quality
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
+    "op4_quality": quality.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op8_decontaminate": decontaminate.query,
 }
 
 ORACLE_SQL = {
