@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, quality
+from . import byte_bpe, decontaminate, exact_dedup, quality, secrets, warc
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
     "op4_quality": quality.query,
     "op6_exact_dedup": exact_dedup.query,
+    "op7_warc": warc.query,
     "op8_decontaminate": decontaminate.query,
+    "op10_secrets": secrets.query,
 }
 
 ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE,
+    "op7_warc": warc.ORACLE,
+    "op10_secrets": secrets.ORACLE,
 }
