@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, quality, secrets, warc
+from . import byte_bpe, decontaminate, exact_dedup, html_text, quality, secrets, warc
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op7_warc": warc.query,
     "op8_decontaminate": decontaminate.query,
+    "op9_html_text": html_text.query,
     "op10_secrets": secrets.query,
 }
 
