@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, quality, secrets, warc
+from . import byte_bpe, decontaminate, exact_dedup, html_text, ngram_jaccard, quality, secrets, warc
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
     "op4_quality": quality.query,
+    "op5_ngram_jaccard": ngram_jaccard.query,
     "op6_exact_dedup": exact_dedup.query,
     "op7_warc": warc.query,
     "op8_decontaminate": decontaminate.query,
@@ -15,6 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_ngram_jaccard": ngram_jaccard.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op10_secrets": secrets.ORACLE,
