@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import read_table
 
@@ -347,6 +348,25 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_slices long")
 
 
+def tokenise(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
+    """The columns ``keep``, n_tokens, ids, and round_trip: whether decoding the ids gives the text again."""
+    rows = docs.select(*keep, F.col(text_col).cast("string").alias(text_col))
+    schema = T.StructType([*rows.schema.fields[:-1], *T._parse_datatype_string("n_tokens long, ids array<int>, round_trip boolean").fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = coder(path)
+        for batch in batches:
+            texts = _texts(batch.column(len(keep)))
+            ids = [packed for _, _, packed in bpe.encode_batch(texts)]
+            same = [bpe.decode(i.tolist()) == t.encode() for i, t in zip(ids, texts, strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[: len(keep)], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
+                names=schema.names,
+            )
+
+    return rows.mapInArrow(run, schema)
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,3 +34,14 @@ def materialise(df: DataFrame) -> DataFrame:
     path = scratch_dir(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` less the rows whose number stands in ``dropped`` (row_no).
+
+    Numbers are those of monotonically_increasing_id() over the same ``docs``, which must be a plain scan or otherwise
+    give the same rows in the same partitions each time.
+    """
+    own = "quarry_row_no"
+    numbered = docs.withColumn(own, F.monotonically_increasing_id())
+    return numbered.join(dropped.select(F.col("row_no").alias(own)), own, "left_anti").select(*docs.columns)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, ngram_jaccard, quality, secrets, warc
+from . import byte_bpe, decontaminate, exact_dedup, html_text, licenses, ngram_jaccard, quality, secrets, warc
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
+    "op3_licenses": licenses.query,
     "op4_quality": quality.query,
     "op5_ngram_jaccard": ngram_jaccard.query,
     "op6_exact_dedup": exact_dedup.query,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_licenses": licenses.ORACLE,
     "op5_ngram_jaccard": ngram_jaccard.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
