@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, licenses, ngram_jaccard, quality, secrets, warc
+from . import byte_bpe, decontaminate, exact_dedup, html_text, licenses, ngram_jaccard, quality, secrets, suffix_dedup, warc
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
+    "op2_suffix_dedup": suffix_dedup.query,
     "op3_licenses": licenses.query,
     "op4_quality": quality.query,
     "op5_ngram_jaccard": ngram_jaccard.query,
