@@ -1,7 +1,7 @@
 """Bootstrap confidence intervals as one job.
 
-A row's draws depend on (seed, resample, position) only. Rows that are alike for the statistic are first combined with a count
-and a range of positions, so the resamples join to distinct tuples and not to rows.
+A draw depends on (seed, resample, number) only. Rows take positions in the order of their measures, and a draw picks a position, so
+the result does not depend on how rows are partitioned. Draws meet positions in an equi-join, which Spark broadcasts while the positions are few.
 """
 
 from __future__ import annotations
@@ -13,20 +13,15 @@ from ..functions.keyed import keyed_hash
 
 
 def resampled(values: DataFrame, by: list[str], measures: list[str], n_boot: int, seed: int, statistic: Column) -> DataFrame:
-    """by, resample, value: the statistic (a Column over ``measures`` as sums weighted by w) of each resample.
-
-    A draw picks a position below n; positions are dealt to the distinct tuples in order, as many as each has rows.
-    """
+    """by, resample, value: the statistic, an aggregate Column over ``measures``, of each resample."""
     tuples = values.groupBy(*by, *measures).agg(F.count(F.lit(1)).alias("c"))
     group = Window.partitionBy(*by)
     tuples = tuples.withColumns({"upto": F.sum("c").over(group.orderBy(*measures)), "n": F.sum("c").over(group)})
-    # a group's distinct tuples travel as one sorted array; a draw finds its tuple there, so draws are never joined to rows
-    packed = tuples.groupBy(*by, "n").agg(F.sort_array(F.collect_list(F.struct("upto", *measures))).alias("tuples"))
-    draws = packed.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*by, "resample")
-    draws = draws.select(*by, "resample", "tuples", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"), "n")
-    position = F.pmod(keyed_hash(str(seed), F.col("resample"), F.col("i")), F.col("n"))
-    hit = draws.select(*by, "resample", F.get("tuples", F.size(F.filter("tuples", lambda t: t["upto"] <= position))).alias("t"))
-    return hit.select(*by, "resample", *(F.col(f"t.{m}").alias(m) for m in measures)).groupBy(*by, "resample").agg(F.coalesce(statistic, F.lit(0.0)).cast("double").alias("value"))
+    positions = tuples.select(*by, *measures, F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("position"))
+    draws = tuples.select(*by, "n").distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*by, "resample")
+    draws = draws.select(*by, "resample", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"), "n")
+    draws = draws.select(*by, "resample", F.pmod(keyed_hash(str(seed), F.col("resample"), F.col("i")), F.col("n")).alias("position"))
+    return draws.join(positions, [*by, "position"]).groupBy(*by, "resample").agg(F.coalesce(statistic, F.lit(0.0)).cast("double").alias("value"))
 
 
 def interval(resamples: DataFrame, by: list[str], n_boot: int, alpha: float = 0.05) -> DataFrame:

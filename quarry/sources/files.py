@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one where that is unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
+    return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+
+
 CORRUPT = "_corrupt_record"
 
 
