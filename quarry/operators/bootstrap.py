@@ -43,7 +43,7 @@ def ratio_of_sums(numerator: str, denominator: str) -> Column:
 
 def headline_intervals(examples: DataFrame, n_boot: int = 1000, seed: int = 42, alpha: float = 0.05) -> DataFrame:
     """model, metric, point, low, high for schema validity, exact match, pooled F1 and the unsupported rate, each with a seed of its own."""
-    rows = examples.select("model", F.col("schema_valid").cast("int").alias("schema_valid"), F.col("exact_match").cast("int").alias("exact_match"), "tp", "fp", "fn", "predicted_units")
+    rows = examples.select("model", F.col("schema_valid").cast("int").alias("schema_valid"), F.col("exact_match").cast("int").alias("exact_match"), "tp", "fp", "fn", "predicted_units").persist()  # a few numbers a row, read by every metric; else outputs are parsed each time
     f1 = F.try_divide(2.0 * F.sum("tp"), 2 * F.sum("tp") + F.sum("fp") + F.sum("fn"))
     parts = [
         ("schema_validity", ["schema_valid"], F.avg("schema_valid"), 1), ("exact_match", ["exact_match"], F.avg("exact_match"), 2),
