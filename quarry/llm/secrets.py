@@ -59,25 +59,18 @@ KINDS = ["assign", "access", "hex", "secret", "endpoint"]
 def _spans(text: Column, kind: str, pattern: str) -> Column:
     """array<struct<start, end, kind>> of the matches of ``pattern`` that count."""
     valid = VALID[kind]
-    gaps = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    width = F.transform(found, F.char_length)
-    walked = F.aggregate(
-        F.sequence(F.lit(1), F.size(found)),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,kind:int>>").alias("spans")),
-        lambda acc, k: F.struct(
-            (acc["at"] + F.char_length(F.element_at(gaps, k)) + F.element_at(width, k)).alias("at"),
-            F.when(
-                F.element_at(found, k).rlike(valid),
-                F.concat(acc["spans"], F.array(F.struct(
-                    (acc["at"] + F.char_length(F.element_at(gaps, k))).alias("start"),
-                    (acc["at"] + F.char_length(F.element_at(gaps, k)) + F.element_at(width, k)).alias("end"), F.lit(KINDS.index(kind)).alias("kind"),
-                ))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-    )["spans"]
     empty = F.array().cast("array<struct<start:int,end:int,kind:int>>")
-    return F.when(text.rlike(MAY_HOLD[kind]), F.when(F.size(found) > 0, walked).otherwise(empty)).otherwise(empty)
+    # what a lambda takes from outside is evaluated for every element, so texts and matches come in as its elements
+    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+
+    def step(acc: Column, pair: Column) -> Column:
+        start = acc["at"] + F.char_length(pair["gap"])
+        end = start + F.coalesce(F.char_length(pair["match"]), F.lit(0))
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"))
+        return F.struct(end.alias("at"), F.when(pair["match"].rlike(valid), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
+    return F.when(text.rlike(MAY_HOLD[kind]), walked).otherwise(empty)
 
 
 def _join(spans: Column) -> Column:
