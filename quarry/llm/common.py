@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,12 +37,23 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` less the rows whose number stands in ``dropped`` (row_no).
+#: plans of these nodes give the same rows in the same partitions each time, whatever columns are read
+_STABLE = {"Project", "Filter", "Relation", "SubqueryAlias", "View", "LogicalRDD", "LocalRelation"}
+
+
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs``, or, where its plan is more than a scan, its rows written once.
 
-    Numbers are those of monotonically_increasing_id() over the same ``docs``, which must be a plain scan or otherwise
-    give the same rows in the same partitions each time.
+    Operators that read a table several times number its rows with monotonically_increasing_id(). After a shuffle, the
+    rows of a partition depend on the columns that are read, so such a table is written first.
     """
+    plan = docs._jdf.queryExecution().analyzed().toString()
+    nodes = {re.split(r"[ \[(]", line.lstrip(" :+-"))[0] for line in plan.splitlines() if line.strip()}
+    return docs if nodes <= _STABLE else materialise(docs)
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs``, which is ``stable``, less the rows whose number stands in ``dropped`` (row_no)."""
     own = "quarry_row_no"
     numbered = docs.withColumn(own, F.monotonically_increasing_id())
     return numbered.join(dropped.select(F.col("row_no").alias(own)), own, "left_anti").select(*docs.columns)

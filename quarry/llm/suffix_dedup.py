@@ -2,22 +2,26 @@
 
 Suffix order is needed only where texts may repeat, so the corpus is cut, without loss, into small groups of strings:
 
-1. Anchors. Of the 40-byte substrings of a 200-byte string the one with the least hash is its anchor (leftmost on ties), so
+1. Equal texts. Texts that occur more than once are represented by one of them, which counts as repeated; the others take
+   no further part, as every one of their strings starts elsewhere too.
+2. Anchors. Of the 40-byte substrings of a 200-byte string the one with the least hash is its anchor (leftmost on ties), so
    equal strings have equal anchors at equal offsets. Anchors whose hash occurs once in the corpus go.
-2. Tiles. The starts that share an anchor are cut, by their distance to it, into tiles of ``WIDTH`` = 16. All strings that start
+3. Tiles. The starts that share an anchor are cut, by their distance to it, into tiles of ``WIDTH`` = 16. All strings that start
    in a tile contain the same 185 bytes, its core. The hash of the core is the group key. The core counts as one
    symbol; what is left of a tile are up to 15 bytes before and after it, and a 200-byte string is one of 16 symbols.
-3. Suffix arrays. Equal tiles are combined with a count. The tiles of a group are laid end to end and their suffixes
+4. Suffix arrays. The distinct tiles of a group are laid end to end and their suffixes
    sorted by the linear grouping construction: suffixes are grouped by Lyndon prefix, groups are processed in descending order, the
    suffixes that previous-smaller pointers lead to move to new groups, and a second pass emits each group's order. Neighbours in that order
    with a common prefix of 16 symbols or more, and tiles that occur more than once, are repeated.
-4. Masks return to the documents, whose covered bytes are removed.
+5. The repeated starts of a document become spans, which are cut out of its text.
 
-Groups of more than ``HOT_TILES`` distinct tiles are not sorted in a task: their strings are counted natively by (key, start, bytes
-before, bytes after), which partial aggregation spreads. Anchors and cores are compared as 64-bit hashes.
+Anchors and cores are compared as 64-bit hashes.
 
-Scale: texts are read three times. Lists of anchors or masks are broadcast to the texts while they are ``BROADCAST_ROWS`` rows and ``BROADCAST_ITEMS``
-entries or fewer; beyond that the join is a shuffle by row number.
+Scale: texts are read four times and shuffled only where the lists that join them are no longer small (``BROADCAST_ROWS``,
+``BROADCAST_ITEMS``). Anchors and tiles cross one exchange each, in which every task streams sorted groups. What repeats within a
+block of texts is known to repeat: it takes a key of its own document and leaves one row under the common key, so a line or passage
+that a third of all texts hold does not gather in one task. Groups of more than ``HOT_TILES`` distinct tiles are not
+sorted in a task: their strings are counted natively by (key, start, bytes before, bytes after), with partial aggregation.
 
 Cases: null text is empty; texts under 200 bytes keep all bytes; repeated rows are repeats of each other; an empty table gives an
 empty table; other columns are not looked at.
@@ -34,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, stable
 
 LENGTH = 200
 GRAM = 40
@@ -212,7 +216,7 @@ class Block:
             self.anchor = self.starts
             return
         grams = n - GRAM + 1
-        hashes = self.hash(np.arange(grams), GRAM)
+        hashes = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[:grams])
         bits = np.uint64(max(20, int(n).bit_length()))
         packed = (hashes >> bits << bits) | np.arange(grams, dtype=np.uint64)
         # least of every WINDOW neighbours: the least of a block's end and of the next block's beginning
@@ -254,8 +258,28 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def equal_texts(rows: DataFrame) -> DataFrame:
+    """(row_no, representative) of the texts that occur more than once."""
+    keys = rows.where("text is not null").select("row_no", F.unhex(F.sha2("text", 256)).alias("k"))
+    groups = keys.groupBy("k").agg(F.min("row_no").alias("representative"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    return keys.join(groups, "k").select("row_no", "representative")
+
+
+def _spread(key: np.ndarray, known: np.ndarray, row_no: np.ndarray) -> np.ndarray:
+    """What is known to repeat, but for its first row in the block, is dealt out by its document."""
+    return np.where(known, _mix(row_no.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), key).view(np.int64)
+
+
+def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether a value occurs more than once, and whether it is not the first of its kind."""
+    _, first, where, counts = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    later = np.ones(len(key), dtype=bool)
+    later[first] = False
+    return counts[where] > 1, later
+
+
 def anchors(rows: DataFrame) -> DataFrame:
-    """(hash, row_no, at) of every anchor of every text; at: its byte position."""
+    """(key, known, row_no, at) of every anchor of every text; at: its byte position; known: repeated in its block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -263,19 +287,49 @@ def anchors(rows: DataFrame) -> DataFrame:
             for first, block in _blocks(_raw(batch.column(1))):
                 at = block.runs()
                 text, position = block.text_of[at], block.anchor[at]
+                key, owner = block.hash(position, GRAM), row_no[first + text]
+                known, later = _repeats(key)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(block.hash(position, GRAM).view(np.int64)), pa.array(row_no[first + text]), pa.array((position - block.offsets[text]).astype(np.int32))], names=["hash", "row_no", "at"]
+                    [pa.array(_spread(key, later, owner)), pa.array(known), pa.array(owner), pa.array((position - block.offsets[text]).astype(np.int32))], names=["key", "known", "row_no", "at"]
                 )
 
-    return rows.select("row_no", "text").mapInArrow(run, "hash long, row_no long, at int")
+    return rows.select("row_no", "text").mapInArrow(run, "key long, known boolean, row_no long, at int")
+
+
+def repeated_anchors(found: DataFrame) -> DataFrame:
+    """(row_no, at) of the anchors that are known to repeat or have a neighbour of the same key."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, until its successor is seen
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, known, row_no, at = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            if held is not None:
+                key, known, row_no, at = (np.concatenate([h, x]) for h, x in zip(held, (key, known, row_no, at), strict=True))
+            same = key[1:] == key[:-1]
+            known = known.copy()
+            known[1:] |= same
+            known[:-1] |= same
+            held = tuple(x[-1:] for x in (key, known, row_no, at))
+            out = np.flatnonzero(known[:-1])
+            yield pa.RecordBatch.from_arrays([pa.array(row_no[out]), pa.array(at[out])], names=["row_no", "at"])
+        if held is not None and held[1][0]:
+            yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[3])], names=["row_no", "at"])
+
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row_no long, at int")
 
 
 def tiles(rows: DataFrame) -> DataFrame:
-    """(core, before, after, row_no, at) of every tile at one of the row's ``anchors``; at: byte position of the core."""
+    """(key, before, after, copies, row_no, at) of every tile at one of the row's ``anchors``; at: byte position of the core.
+
+    A tile that occurs again in its block, or in a text that occurs again, has two copies; before is null where a
+    tile is dealt out by its document because an earlier one stands for it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row_no, wanted = batch.column(0).to_numpy(), batch.column(2)
+            row_no, wanted, copied = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             for first, block in _blocks(_raw(batch.column(1))):
                 own = wanted.slice(first, len(block.offsets))
                 lengths = own.value_lengths().to_numpy()
@@ -290,78 +344,123 @@ def tiles(rows: DataFrame) -> DataFrame:
                 last = np.append(head[1:], len(use)) - 1
                 core = anchor[head] - WIDTH * tile[head]
                 key = _mix(block.hash(core, CORE) + tile[head].astype(np.uint64))
-                raw, c = block.raw, core.tolist()
-                before = [raw[x - a : x] for x, a in zip(c, ahead[head].tolist(), strict=True)]
-                after = [raw[x + CORE : x + LENGTH - a] for x, a in zip(c, ahead[last].tolist(), strict=True)]
+                size = (start[last] + LENGTH - start[head]).astype(np.uint64)
+                whole = _mix((block.sums[start[last] + LENGTH] - block.sums[start[head]]) * block.down[start[head]] + size) ^ key
+                known, later = _repeats(whole)
+                owner = row_no[first + text[head]]
+                raw = block.raw
+                low, high, c = ahead[last].tolist(), ahead[head].tolist(), core.tolist()
+                before = [raw[x - h : x] for x, h in zip(c, high, strict=True)]
+                after = [raw[x + CORE : x + LENGTH - a] for x, a in zip(c, low, strict=True)]
+                for k in np.flatnonzero(later).tolist():  # lengths are enough for its mask
+                    before[k], after[k] = None, bytes((low[k], high[k]))
+                copies = 1 + (known | copied[first + text[head]]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.view(np.int64)), pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(row_no[first + text[head]]), pa.array((core - block.offsets[text[head]]).astype(np.int32))],
-                    names=["core", "before", "after", "row_no", "at"],
+                    [pa.array(_spread(key, later, owner)), pa.array(before, pa.binary()), pa.array(after, pa.binary()), pa.array(copies), pa.array(owner), pa.array((core - block.offsets[text[head]]).astype(np.int32))],
+                    names=["key", "before", "after", "copies", "row_no", "at"],
                 )
 
-    return rows.select("row_no", "text", "anchors").mapInArrow(run, "core long, before binary, after binary, row_no long, at int")
+    return rows.select("row_no", "text", "anchors", "copied").mapInArrow(run, "key long, before binary, after binary, copies int, row_no long, at int")
 
 
-def sort_groups(distinct: DataFrame, hot_tiles: int = HOT_TILES) -> DataFrame:
-    """(core, before, after, mask) for tiles with repeated starts; mask -1: the tile belongs to a hot group.
+RESOLVED = "row_no long, place long, key long, before binary, after binary, copies int"
 
-    ``distinct``: (core, before, after, copies). Groups stream through a task in order of their key.
+
+def sort_groups(found: DataFrame, hot_tiles: int = HOT_TILES) -> DataFrame:
+    """(row_no, place) of the tiles with repeated starts; place: position of the core and a bit for each start, ``at << 16 | mask``.
+
+    Groups stream through a task in order of their key. Tiles of hot groups come out unresolved, with their bytes and the mask 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, group, hot = None, [], False
+        group: dict[tuple[bytes, bytes], list] = {}
+        state = {"key": None, "hot": False}
         out: list[tuple] = []
 
+        def emit(members: list[tuple[int, int]], mask: int) -> None:
+            out.extend((row_no, at << 16 | mask, None, None, None, None) for row_no, at in members)
+
+        def unresolved(tile: tuple[bytes, bytes], copies: int, members: list[tuple[int, int]]) -> None:
+            for k, (row_no, at) in enumerate(members):
+                out.append((row_no, at << 16, state["key"], *tile, copies - len(members) + 1 if k == 0 else 1))
+
         def close() -> None:
-            if group and not hot and (len(group) > 1 or group[0][2] > 1):
-                out.extend((key, g[0], g[1], m) for g, m in zip(group, repeated_starts(group), strict=True) if m)
+            if group and not state["hot"]:
+                found = list(group.items())
+                if len(found) > 1 or found[0][1][0] > 1:
+                    for mask, (_, entry) in zip(repeated_starts([(*tile, entry[0]) for tile, entry in found]), found, strict=True):
+                        if mask:
+                            emit(entry[1], mask)
+            group.clear()
 
         def flush() -> pa.RecordBatch:
-            columns = list(zip(*out, strict=True)) or [()] * 4
+            columns = list(zip(*out, strict=True)) or [()] * 6
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary(), pa.int32()), strict=True)], names=["core", "before", "after", "mask"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32())
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RESOLVED.split(", ")])
 
         for batch in batches:
-            for k, before, after, copies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
+            for key, before, after, copies, row_no, at in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if before is None:
+                    low, high = after
+                    out.append((row_no, at << 16 | (1 << (high + 1)) - (1 << low), None, None, None, None))
+                    continue
+                if key != state["key"]:
                     close()
-                    key, group, hot = k, [], False
-                if hot:
-                    out.append((k, before, after, -1))
+                    state["key"], state["hot"] = key, False
+                if state["hot"]:
+                    unresolved((before, after), copies, [(row_no, at)])
                     continue
-                group.append((before, after, copies))
+                entry = group.get((before, after))
+                if entry is None:
+                    group[before, after] = [copies, [(row_no, at)]]
+                else:
+                    entry[0] += copies
+                    entry[1].append((row_no, at))
                 if len(group) > hot_tiles:
-                    out.extend((k, b, a, -1) for b, a, _ in group)
-                    group, hot = [], True
+                    for tile, (n, members) in group.items():
+                        unresolved(tile, n, members)
+                    group.clear()
+                    state["hot"] = True
             yield flush()
         close()
         yield flush()
 
-    return distinct.select("core", "before", "after", "copies").repartition("core").sortWithinPartitions("core").mapInArrow(run, "core long, before binary, after binary, mask int")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, RESOLVED)
 
 
-def count_hot(distinct: DataFrame, hot: DataFrame) -> DataFrame:
-    """(core, before, after, mask) of hot groups: their strings are counted one by one."""
-    tile = distinct.join(hot.select("core").distinct(), "core", "left_semi")
+def count_hot(tile: DataFrame) -> DataFrame:
+    """(row_no, place) of the unresolved tiles with repeated starts: their strings are counted one by one."""
     a = F.explode(F.sequence(WIDTH - 1 - F.octet_length("after"), F.octet_length("before")))
     one = tile.withColumn("a", a).withColumns({
         "own_before": F.expr("substring(before, octet_length(before) - a + 1, a)"),
         "own_after": F.expr(f"substring(after, 1, {WIDTH - 1} - a)"),
     })
-    key = ["core", "a", "own_before", "own_after"]
+    key = ["key", "a", "own_before", "own_after"]
     twice = one.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").select(*key)
-    return one.join(twice, key, "left_semi").groupBy("core", "before", "after").agg(F.expr("bit_or(shiftleft(1, cast(a AS int)))").alias("mask"))
+    return one.join(twice, key, "left_semi").groupBy("row_no", "place").agg(F.expr("bit_or(shiftleft(1, cast(a AS int)))").alias("mask")).select("row_no", (F.col("place") + F.col("mask")).alias("place"))
 
 
-def removed_spans(size: int, at: list[int], mask: list[int]) -> list[tuple[int, int]]:
-    """Maximal runs of covered bytes."""
-    begins = sorted({c - a for c, m in zip(at, mask, strict=True) for a in range(WIDTH) if m >> a & 1})
-    spans: list[tuple[int, int]] = []
-    for x in begins:
-        if spans and x <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], x + LENGTH)
-        else:
-            spans.append((x, x + LENGTH))
-    return spans
+def merge_starts(places: np.ndarray) -> list[int]:
+    """Maximal runs of covered bytes, as starts and ends in turn."""
+    core, mask = places >> 16, places & 0xFFFF
+    begins = np.unique(np.concatenate([core[(mask >> a & 1) > 0] - a for a in range(WIDTH)]))
+    new = np.ones(len(begins), dtype=bool)
+    new[1:] = begins[1:] > begins[:-1] + LENGTH
+    head = np.flatnonzero(new)
+    last = np.append(head[1:], len(begins)) - 1
+    return np.stack([begins[head], begins[last] + LENGTH], axis=1).reshape(-1).tolist() if len(begins) else []
+
+
+def document_spans(starts: DataFrame) -> DataFrame:
+    """(row_no, cuts, n_items) from (row_no, place)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = [merge_starts(p.values.to_numpy()) for p in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.list_(pa.int32())), pa.array(map(len, cuts), pa.int32())], names=["row_no", "cuts", "n_items"])
+
+    return starts.groupBy("row_no").agg(F.collect_list("place").alias("places")).mapInArrow(run, "row_no long, cuts array<int>, n_items int")
 
 
 def _to_rows(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -373,32 +472,35 @@ def _to_rows(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_tiles: int = HOT_TILES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<start, end>> of every row."""
-    rows = _rows(docs, id_col, text_col)
-    found = materialise(anchors(rows))
-    shared = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash")
-    places = found.join(shared, "hash", "left_semi").groupBy("row_no").agg(F.collect_list("at").alias("anchors")).withColumn("n_items", F.size("anchors"))
-    cut = materialise(tiles(_to_rows(rows, materialise(places), "inner")))
-    distinct = materialise(cut.groupBy("core", "before", "after").agg(F.count(F.lit(1)).alias("copies")))
-    sorted_ = materialise(sort_groups(distinct, hot_tiles))
-    masks = sorted_.where("mask > 0").unionByName(count_hot(distinct, sorted_.where("mask = -1")))
-    marks = (
-        cut.join(masks, ["core", "before", "after"]).groupBy("row_no")
-        .agg(F.collect_list("at").alias("at"), F.collect_list("mask").alias("mask")).withColumn("n_items", F.size("at"))
-    )
+    rows = _rows(stable(docs), id_col, text_col)
+    twins = materialise(equal_texts(rows))
+    small = twins.count() <= BROADCAST_ROWS
+    hint = F.broadcast if small else lambda x: x
+    found = anchors(rows).join(hint(twins.where("row_no <> representative").select("row_no")), "row_no", "left_anti")
+    places = repeated_anchors(found.select("key", "known", "row_no", "at")).groupBy("row_no").agg(F.collect_list("at").alias("anchors"))
+    places = places.join(hint(twins.where("row_no = representative").select("row_no", F.lit(True).alias("copied"))), "row_no", "left")
+    places = places.select("row_no", "anchors", F.coalesce("copied", F.lit(False)).alias("copied"), F.size("anchors").alias("n_items"))
+    resolved = materialise(sort_groups(tiles(_to_rows(rows, materialise(places), "inner")), hot_tiles))
+    starts = resolved.where("key is null").select("row_no", "place").unionByName(count_hot(resolved.where("key is not null")))
+    cuts = document_spans(starts.join(hint(twins.select("row_no")), "row_no", "left_anti"))
+    # a text that occurs more than once is covered whole
+    cuts = cuts.unionByName(twins.select("row_no", F.array(F.lit(0), F.lit(-1)).alias("cuts"), F.lit(2).alias("n_items")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw, at, mask in zip(_raw(batch.column(1)), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                spans = removed_spans(len(raw), at or [], mask or [])
-                ends = [0, *(x for s in spans for x in s), len(raw)]
+            for raw, own in zip(_raw(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                if own and own[-1] == -1:
+                    own = [0, len(raw)] if len(raw) >= LENGTH else []
+                ends = [0, *(own or []), len(raw)]
                 kept = b"".join(raw[ends[k] : ends[k + 1]] for k in range(0, len(ends), 2))
-                out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [{"start": s, "end": e} for s, e in spans]))
+                spans = [{"start": s, "end": e} for s, e in zip(ends[1:-1:2], ends[2:-1:2], strict=True)]
+                out.append((len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), spans))
             columns = list(zip(*out, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
-    joined = _to_rows(rows, materialise(marks), "left").select("doc_id", "text", "at", "mask")
+    joined = _to_rows(rows, materialise(cuts), "left").select("doc_id", "text", "cuts")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
