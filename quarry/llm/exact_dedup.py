@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, without_rows
+from .common import materialise, read_table, stable, without_rows
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SALTS = 16
@@ -245,6 +245,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less copies."""
+    docs = stable(docs)
     return without_rows(docs, dedup(docs, id_col, text_col).where("not kept"))
 
 

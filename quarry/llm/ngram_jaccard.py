@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, without_rows
+from .common import materialise, read_table, stable, without_rows
 from .components import components
 
 SHINGLE = 5
@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """For every row: doc_id, row_no, class_id (smallest doc_id of its near-duplicate group), group_size, kept (one row of each
     group), copy_id (smallest doc_id with the same shingles), n_copies, n_links (rows of similarity threshold or more, itself excluded).
     """
+    docs = stable(docs)
     signed = materialise(signatures(docs, id_col, text_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("first")
     classes = materialise(
@@ -252,6 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one of each near-duplicate group."""
+    docs = stable(docs)
     return without_rows(docs, near_duplicates(docs, id_col, text_col).where("not kept"))
 
 

@@ -186,7 +186,7 @@ def train(table: DataFrame, labels: DataFrame, label_col: str = "quality", max_r
     label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna().where(~held_out())
     label = label.groupBy("doc_id").agg(F.round(F.avg("y")).alias("y"))
     sample = table.join(label, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "y").limit(max_rows).toPandas()
-    x = np.array(sample["x"].tolist(), dtype=float).reshape(len(sample), -1)
+    x = np.array(sample["x"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
     return fit(x, sample["y"].to_numpy(float))
 
 

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_dir
+from .common import read_table, scratch_dir, stable
 
 RECORDS_PER_FILE = 4_000
 DATE = "2024-01-01T00:00:00Z"
@@ -63,7 +63,7 @@ def _record(headers: list[tuple[str, F.Column]], block: F.Column) -> F.Column:
 
 def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """page_id, row_no, url, payload and digest, with the (page_id, row_no) of the response that each revisit refers to."""
-    rows = pages.select(
+    rows = stable(pages).select(
         F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row_no"),
         F.coalesce(F.col("url").cast("string"), F.lit("about:blank")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
     ).withColumn("digest", base32_sha1(F.encode("payload", "UTF-8")))
