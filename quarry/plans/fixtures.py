@@ -64,9 +64,9 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def predictions(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
     """model, id, seq, raw_output, latency_ms: gold JSON with one edit by bucket; some outputs are missing."""
-    rows = gold(spark, sf_dir).withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
+    rows = (gold(spark, sf_dir) if records is None else records).withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
     ident, model = F.col("id"), F.col("model")
     b = (_h(model, "|", ident) % 10).cast("int")
     rows = rows.where(_h("x", model, ident) % 50 != 0).withColumn("b", F.when((model == "finetuned") & b.isin(3, 4, 8), 0).otherwise(b))

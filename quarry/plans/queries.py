@@ -31,16 +31,42 @@ def query(name: str, sql: str | None = None):
 KEEP = ["template_id", "difficulty", "split"]
 
 
+_SHARED: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Tables that several parts of a query read: parsed once and persisted; later plans see a leaf in place of the expressions."""
+    def get(spark: SparkSession, d: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, d, build.__name__)
+        if key not in _SHARED:
+            _SHARED[key] = build(spark, d)
+        return _SHARED[key].persist()
+
+    return get
+
+
+@_shared
+def _gold_records(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.gold(spark, d)
+
+
+@_shared
+def _predictions(spark: SparkSession, d: str) -> DataFrame:
+    return fixtures.predictions(spark, d, _gold_records(spark, d))
+
+
 def _gold(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.gold_variants(fixtures.gold(spark, d))
+    return evaluate.gold_variants(_gold_records(spark, d))
 
 
+@_shared
 def _examples(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.evaluate_examples(fixtures.predictions(spark, d), _gold(spark, d), keep=KEEP)
+    return evaluate.evaluate_examples(_predictions(spark, d), _gold(spark, d), keep=KEEP)
 
 
+@_shared
 def _categorized(spark: SparkSession, d: str) -> DataFrame:
-    return errors.categorize(fixtures.predictions(spark, d), _gold(spark, d), keep=["difficulty"])
+    return errors.categorize(_predictions(spark, d), _gold(spark, d), keep=["difficulty"])
 
 
 _R = lambda a, b: f"CASE WHEN coalesce({b}, 0) = 0 THEN 0.0 ELSE CAST({a} AS DOUBLE) / ({b}) END"
@@ -78,7 +104,7 @@ def a1_field_totals(spark: SparkSession, d: str) -> DataFrame:
 SELECT model, n AS samples, min(latency_ms) FILTER (k >= greatest(1, least(n, round_even(0.5 * n + 0.5, 0)))) AS latency_p50,
   min(latency_ms) FILTER (k >= greatest(1, least(n, round_even(0.95 * n + 0.5, 0)))) AS latency_p95 FROM r GROUP BY model, n""")
 def a7_latency(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.latency(fixtures.predictions(spark, d), ["model"])
+    return evaluate.latency(_predictions(spark, d), ["model"])
 
 
 @query("a7_event_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
@@ -90,7 +116,7 @@ def a7_event_percentiles(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a8_output_length")
 def a8_output_length(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.predictions(spark, d).groupBy("model").agg(F.avg(F.char_length(F.coalesce("raw_output", F.lit("")))).alias("mean_chars"))
+    return _predictions(spark, d).groupBy("model").agg(F.avg(F.char_length(F.coalesce("raw_output", F.lit("")))).alias("mean_chars"))
 
 
 _METRICS = ", ".join(evaluate.RATES)
@@ -106,7 +132,7 @@ def a10_deltas(spark: SparkSession, d: str) -> DataFrame:
 @query("c3_partial", f"""WITH {PRED_SQL}, h AS (SELECT model, {_MEASURES} FROM t WHERE model = 'base' GROUP BY model), u AS (UNPIVOT h ON {_METRICS} INTO NAME metric VALUE v)
 SELECT metric, v AS base, CAST(NULL AS DOUBLE) AS finetuned, CAST(NULL AS DOUBLE) AS delta, true AS partial FROM u""")
 def c3_partial(spark: SparkSession, d: str) -> DataFrame:
-    only = fixtures.predictions(spark, d).where("model = 'base'")
+    only = _predictions(spark, d).where("model = 'base'")
     return evaluate.compare_metrics(evaluate.headline(evaluate.evaluate_examples(only, _gold(spark, d)), ["model"]))
 
 
@@ -126,12 +152,12 @@ def a16_slices(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_outcomes", f"""WITH {PRED_SQL} SELECT model, CASE WHEN b = 1 THEN 'code_fence' WHEN b = 2 THEN 'brace_slice' WHEN b IN (3, 4) THEN 'unparseable output' ELSE 'direct' END AS outcome,
   b NOT IN (3, 4) AS is_object, count(*) AS n FROM t GROUP BY ALL""")
 def p2_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return parse.parse_outcomes(parse.parse_outputs(fixtures.predictions(spark, d)), ["model"])
+    return parse.parse_outcomes(parse.parse_outputs(_predictions(spark, d)), ["model"])
 
 
 @query("p3_schema", f"""WITH {PRED_SQL} SELECT model, schema_valid, CASE WHEN b = 8 THEN 'extra: unknown key' WHEN b IN (3, 4) THEN 'not an object' END AS schema_error, count(*) AS n FROM t GROUP BY ALL""")
 def p3_schema(spark: SparkSession, d: str) -> DataFrame:
-    rows = parse.check_schema(parse.parse_outputs(fixtures.predictions(spark, d)))
+    rows = parse.check_schema(parse.parse_outputs(_predictions(spark, d)))
     return rows.groupBy("model", "schema_valid", "schema_error").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -203,7 +229,7 @@ def e10_representatives(spark: SparkSession, d: str) -> DataFrame:
   CASE WHEN tb IS NULL OR u = 0 OR (tb = 5 AND field = 'email') THEN '' WHEN tb = 6 AND field = 'name' THEN 'not' WHEN tb = 7 AND field = 'skills' THEN 'more' ELSE 'gold' END AS tv FROM w)
 SELECT field, CASE WHEN bv = '' AND tv = '' THEN 'both_empty' WHEN tv = '' THEN 'only_base' WHEN bv = '' THEN 'only_finetuned' WHEN bv = tv THEN 'match' ELSE 'differs' END AS relation, count(*) AS n FROM x GROUP BY ALL""")
 def c2_agreement(spark: SparkSession, d: str) -> DataFrame:
-    return compare.agreement(compare.field_relations(fixtures.predictions(spark, d)))
+    return compare.agreement(compare.field_relations(_predictions(spark, d)))
 
 
 # --- bootstrap ------------------------------------------------------------------------------------------------------------
@@ -348,19 +374,19 @@ def w2_keep_last(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j5_pending", f"WITH {PRED_SQL} SELECT id FROM g WHERE id NOT IN (SELECT id FROM p WHERE model = 'base')")
 def j5_pending(spark: SparkSession, d: str) -> DataFrame:
-    return inference.pending(fixtures.gold(spark, d), fixtures.predictions(spark, d).where("model = 'base'")).select("id")
+    return inference.pending(_gold_records(spark, d), _predictions(spark, d).where("model = 'base'")).select("id")
 
 
 @query("j6_completeness", f"WITH {PRED_SQL} SELECT m.model, count(*) AS expected, count(p.id) AS stored, count(*) = count(p.id) AS complete FROM m CROSS JOIN g LEFT JOIN p ON p.model = m.model AND p.id = g.id GROUP BY m.model")
 def j6_completeness(spark: SparkSession, d: str) -> DataFrame:
-    p = fixtures.predictions(spark, d).select("model", "id", F.lit(1).alias("there"))
-    rows = fixtures.gold(spark, d).select("id").crossJoin(F.broadcast(p.select("model").distinct())).join(p, ["model", "id"], "left")
+    p = _predictions(spark, d).select("model", "id", F.lit(1).alias("there"))
+    rows = _gold_records(spark, d).select("id").crossJoin(F.broadcast(p.select("model").distinct())).join(p, ["model", "id"], "left")
     return rows.groupBy("model").agg(F.count(F.lit(1)).alias("expected"), F.count("there").alias("stored")).withColumn("complete", F.col("expected") == F.col("stored"))
 
 
 @query("f3_first_n", f"WITH {GOLD_SQL} SELECT id, split FROM g ORDER BY id LIMIT 75")
 def f3_first_n(spark: SparkSession, d: str) -> DataFrame:
-    return fixtures.gold(spark, d).select("id", "split").orderBy("id").limit(75)
+    return _gold_records(spark, d).select("id", "split").orderBy("id").limit(75)
 
 
 @query("w5_seeded_sample", f"SELECT doc_id FROM documents ORDER BY {fixtures._H("'42|' || doc_id")}, doc_id LIMIT 20")
@@ -385,7 +411,7 @@ def t1_messages(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t2_canonical_target", f"""WITH {GOLD_SQL} SELECT id, sk AS n_skills, ex AS n_experience, em = 0 AS no_email FROM g""")
 def t2_canonical_target(spark: SparkSession, d: str) -> DataFrame:
-    rows = fixtures.gold(spark, d).select("id", F.from_json(sft.canonical_target(F.col("target"), RECORD_DDL), RECORD_DDL).alias("t"))
+    rows = _gold_records(spark, d).select("id", F.from_json(sft.canonical_target(F.col("target"), RECORD_DDL), RECORD_DDL).alias("t"))
     return rows.select("id", F.size("t.skills").cast("long").alias("n_skills"), F.size("t.experience").cast("long").alias("n_experience"), F.col("t.email").isNull().alias("no_email"))
 
 
@@ -515,7 +541,7 @@ def s1_s2_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
 @query("s4_s5_csv_round_trip", f"WITH {PRED_SQL} SELECT model, count(*) AS n FROM p GROUP BY model")
 def s4_s5_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     path = files.scratch(spark)
-    files.write_report_csv(fixtures.predictions(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n")), path)
+    files.write_report_csv(_predictions(spark, d).groupBy("model").agg(F.count(F.lit(1)).alias("n")), path)
     return files.read_report_csv(spark, path, "model string, n long")
 
 
