@@ -181,15 +181,29 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == 0, F.lit(False))
 
 
+def usable_labels(labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """doc_id and y, one row for each labelled doc_id that may be learnt from."""
+    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna().where(~held_out())
+    return label.groupBy("doc_id").agg(F.round(F.avg("y")).alias("y"))
+
+
 def train(table: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> AdditiveModel:
     """Fit on at most ``max_rows`` labelled rows of a feature table, held-out rows excluded."""
-    label = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("double").alias("y")).dropna().where(~held_out())
-    label = label.groupBy("doc_id").agg(F.round(F.avg("y")).alias("y"))
+    label = usable_labels(labels, label_col)
     sample = table.join(label, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "y").limit(max_rows).toPandas()
     x = np.array(sample["x"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
     return fit(x, sample["y"].to_numpy(float))
 
 
+def train_on_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> AdditiveModel:
+    """``train``, with features only of the rows that it can choose: those of the first ``max_rows`` labelled ids of ``docs``."""
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    ids = usable_labels(labels).select("doc_id").join(own, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    # at most max_rows longs, so the texts are not shuffled to meet them
+    chosen = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("quarry_id"))), F.col(id_col).cast("long") == F.col("quarry_id"), "left_semi")
+    return train(text_features(chosen, id_col, text_col), labels, max_rows=max_rows)
+
+
 def score(table: DataFrame, model: AdditiveModel) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of a feature table."""
 
@@ -210,7 +224,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that the classifier accepts."""
-    model = train(materialise(text_features(docs)), labels)
+    model = train_on_texts(docs, labels, text_col=text_col)
     at = docs.columns.index(text_col)
 
     def accept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
