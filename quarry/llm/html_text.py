@@ -1,8 +1,9 @@
 """HTML extraction with site template removal.
 
 A page is read into elements. Every element outside the article gets a hash of its subtree (tag, class and id, text, and the
-hashes of its children). Spark counts, for each host, on how many pages a subtree occurs; subtrees on ``MIN_PAGES`` pages or more
-are templates of that host and are deleted. What is menu, header, footer, sidebar, notice, advert, form, script, style or reader
+hashes of its children). Spark counts, for each host, on how many distinct pages a subtree occurs, where pages of equal content are
+one page; subtrees on ``MIN_PAGES`` of them or more, and on ``MIN_SHARE`` of all distinct pages of the host, are templates of that
+host and are deleted. What is menu, header, footer, sidebar, notice, advert, form, script, style or reader
 comment by its tag, role, class or id is deleted on any page, so that boilerplate that differs from page to page goes as well.
 The text inside ``article`` (else ``main``, else ``body``) remains. Subtrees inside an article are not counted: a passage that
 many articles quote is content. ``html``, ``body`` and whatever holds the article are never templates.
@@ -11,11 +12,11 @@ Blocks are the texts between block-level tags; ``br`` is white space. Character
 space, blocks are joined by one line feed, and nothing is cut.
 
 Scale: pages are parsed twice, once for hashes and once for blocks. The hashes are narrow rows, counted with partial aggregation by
-(host, hash), so a hot host spreads over its subtrees. Blocks travel once, compressed, to meet the templates that
+(host, hash, content), so a hot host spreads over its subtrees and pages. Blocks travel once, compressed, to meet the templates that
 their page contains; a page's list of templates is no longer than the page.
 
 Cases: null html is empty and gives an empty text; unclosed or cut-off markup is closed at the end of the page, a cut-off tag is
-dropped; repeated rows are extracted each, and count as pages each; a null url belongs to the host ``''``; an empty table gives an
+dropped; repeated rows are extracted each, and count as one page; a null url belongs to the host ``''``; an empty table gives an
 empty table; other columns are not looked at.
 """
 
@@ -35,6 +36,7 @@ from pyspark.sql import functions as F
 from .common import materialise, read_table, stable
 
 MIN_PAGES = 10
+MIN_SHARE = 0.1  # of the host's distinct pages
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*(?:["'][^>]*)?$""", re.S)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -187,24 +189,28 @@ def parse(html: str) -> tuple[list[Element], list[tuple[str, int, Element]]]:
     return closed, blocks
 
 
-def subtrees(html: str) -> set[int]:
-    """Hashes of the page's elements that may be templates."""
-    return {e.digest for e in parse(html)[0] if e.counted}
+def _content(blocks: list[tuple[str, int, Element]]) -> list[tuple[str, Element]]:
+    rank = max((r for _, r, _ in blocks), default=0)
+    return [(text, element) for text, r, element in blocks if r == rank and not element.dropped]
+
+
+def subtrees(html: str) -> tuple[int, set[int]]:
+    """A hash of the page's content, and those of its elements that may be templates."""
+    closed, blocks = parse(html)
+    content = "\n".join(text for text, _ in _content(blocks)).encode("utf-8", "surrogatepass")
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True), {e.digest for e in closed if e.counted}
 
 
 def content_blocks(html: str) -> list[tuple[str, list[int]]]:
     """The blocks of the page's content, each with the hashes of the elements around it that may be templates."""
-    _, blocks = parse(html)
-    rank = max((r for _, r, _ in blocks), default=0)
     out = []
-    for text, r, element in blocks:
-        if r == rank and not element.dropped:
-            around = []
-            while element is not None:
-                if element.counted:
-                    around.append(element.digest)
-                element = element.parent
-            out.append((text, around))
+    for text, element in _content(parse(html)[1]):
+        around = []
+        while element is not None:
+            if element.counted:
+                around.append(element.digest)
+            element = element.parent
+        out.append((text, around))
     return out
 
 
@@ -214,24 +220,30 @@ def host_of(url: F.Column) -> F.Column:
 
 
 def page_subtrees(pages: DataFrame) -> DataFrame:
-    """row_no, host and hash of every subtree that may be a template, once for each page."""
+    """row_no, host, content hash and hash of every subtree that may be a template, once for each page; a null subtree stands for the page."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row_no, host, digest = [], [], []
+            row_no, host, content, digest = [], [], [], []
             for n, h, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                own = subtrees(html or "")
-                row_no.extend([n] * len(own))
-                host.extend([h] * len(own))
+                page, own = subtrees(html or "")
+                row_no.extend([n] * (len(own) + 1))
+                host.extend([h] * (len(own) + 1))
+                content.extend([page] * (len(own) + 1))
+                digest.append(None)
                 digest.extend(own)
-            yield pa.RecordBatch.from_arrays([pa.array(row_no, pa.int64()), pa.array(host, pa.string()), pa.array(digest, pa.int64())], names=["row_no", "host", "subtree"])
+            columns = [pa.array(row_no, pa.int64()), pa.array(host, pa.string()), pa.array(content, pa.int64()), pa.array(digest, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["row_no", "host", "content", "subtree"])
 
-    return _rows(pages).select("row_no", "host", "html").mapInArrow(run, "row_no long, host string, subtree long")
+    return _rows(pages).select("row_no", "host", "html").mapInArrow(run, "row_no long, host string, content long, subtree long")
 
 
-def templates(elements: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, subtree, n_pages) of the subtrees that recur on many pages of a host."""
-    return elements.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("n_pages")).where(F.col("n_pages") >= min_pages)
+def templates(elements: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+    """(host, subtree, n_pages) of the subtrees that recur on many distinct pages of a host, and on a share of them."""
+    counts = elements.groupBy("host", "subtree").agg(F.count_distinct("content").alias("n_pages")).where(F.col("n_pages") >= min_pages)
+    counts = materialise(counts)
+    hosts = counts.where("subtree is null").select("host", F.col("n_pages").alias("of_host"))
+    return counts.where("subtree is not null").join(hosts, "host").where(F.col("n_pages") >= min_share * F.col("of_host")).select("host", "subtree", "n_pages")
 
 
 def _rows(pages: DataFrame) -> DataFrame:

@@ -324,6 +324,20 @@ def test_site_templates_go_only_where_they_recur(spark):
     assert all(r.n_chars == len(r.text) for r in out)
 
 
+def test_copies_of_a_page_are_one_page(spark):
+    page = f"<body><div><h1>copied</h1><p>{prose(700, 30)}</p></div></body>"
+    rows = [(k, f"http://copies.example/{k}", page) for k in range(14)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = html_text.extract(table).collect()
+    assert len(out) == 14 and {(r.text, r.n_template_blocks) for r in out} == {(f"copied\n{prose(700, 30)}", 0)}
+
+
+def test_templates_need_a_share_of_a_large_host(spark):
+    rows = [(k, f"http://large.example/{k}", f"<body><div>menu of all</div>{'<p>said on a few</p>' if k < 12 else ''}<p>page {k}</p></body>") for k in range(150)]
+    got = {r.page_id: (r.text, r.n_template_blocks) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: (f"said on a few\npage {k}" if k < 12 else f"page {k}", 1) for k in range(150)}
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------------
 
 def base_spans(text):
