@@ -1,12 +1,14 @@
 """HTML extraction with site template removal.
 
-A page is read into elements. Every element outside the article gets a hash of its subtree (tag, class and id, text, and the
-hashes of its children). Spark counts, for each host, on how many distinct pages a subtree occurs, where pages of equal content are
+A page is read into elements. Every element gets a hash of its subtree (tag, class and id, text, and the hashes of its children,
+and whether it stands inside the content). Spark counts, for each host, on how many distinct pages a subtree occurs, where pages of equal content are
 one page; subtrees on ``MIN_PAGES`` of them or more, and on ``MIN_SHARE`` of all distinct pages of the host, are templates of that
 host and are deleted. What is menu, header, footer, sidebar, notice, advert, form, script, style or reader
 comment by its tag, role, class or id is deleted on any page, so that boilerplate that differs from page to page goes as well.
-The text inside ``article`` (else ``main``, else ``body``) remains. Subtrees inside an article are not counted: a passage that
-many articles quote is content. ``html``, ``body`` and whatever holds the article are never templates.
+The text inside ``article`` (else ``main``, else ``body``) remains, less the templates in it. Subtrees inside ``article`` or ``main``
+are counted apart from those outside and are templates only on ``MIN_CONTENT_SHARE`` of the distinct pages: a passage that many
+articles quote is content, and so is one of over ``MAX_TEMPLATE_CHARS`` however often it recurs. ``html``, ``body``, the article
+and whatever holds it are never templates. Elements without text are not counted, as no block stands in them.
 
 Blocks are the texts between block-level tags; ``br`` is white space. Character references are decoded, white space becomes one
 space, blocks are joined by one line feed, and nothing is cut.
@@ -37,6 +39,8 @@ from .common import materialise, read_table, stable
 
 MIN_PAGES = 10
 MIN_SHARE = 0.1  # of the host's distinct pages
+MIN_CONTENT_SHARE = 0.5  # the same for subtrees inside article or main
+MAX_TEMPLATE_CHARS = 1000  # of text; longer subtrees inside article or main are prose
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*(?:["'][^>]*)?$""", re.S)
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -61,21 +65,27 @@ CONTENT_RANK = {"article": 2, "main": 1}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "dropped", "content", "counted", "state", "digest")
+    __slots__ = ("tag", "parent", "dropped", "content", "holds", "chars", "state", "digest")
 
     def __init__(self, tag: str, names: str, parent: Element | None, dropped: bool, content: int):
         self.tag, self.parent, self.dropped, self.content = tag, parent, dropped, content
-        self.counted = tag not in NEVER and content == 0
+        self.holds = tag in NEVER or (parent is not None and content != parent.content)  # is content or holds it, and so is no template
+        self.chars = 0
         self.state = hashlib.blake2b(f"{tag} {names}".encode(), digest_size=8)
         self.digest = 0
 
+    @property
+    def counted(self) -> bool:
+        return not self.holds and self.chars > 0 and self.tag not in DROPPED_TAGS and not (self.content and self.chars > MAX_TEMPLATE_CHARS)
+
     def close(self) -> None:
         raw = self.state.digest()
-        self.digest = int.from_bytes(raw, "big", signed=True)
+        self.digest = int.from_bytes(raw, "big", signed=True) & ~1 | (self.content > 0)  # odd inside the content
         if self.parent is not None:
             self.parent.state.update(raw)
-            if not self.counted and self.tag not in ("html", "body"):  # what holds the article is no template
-                self.parent.counted = False
+            self.parent.chars += self.chars
+            if self.holds and self.tag not in ("html", "body"):
+                self.parent.holds = True
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -118,8 +128,9 @@ def parse(html: str) -> tuple[list[Element], list[tuple[str, int, Element]]]:
     def say(raw: str) -> None:
         value = unescape(raw) if "&" in raw else raw
         top = stack[-1]
-        if top.content == 0:
-            top.state.update(" ".join(value.split()).encode("utf-8", "surrogatepass"))
+        words = " ".join(value.split())
+        top.state.update(words.encode("utf-8", "surrogatepass"))
+        top.chars += len(words)
         if not top.dropped:
             text.append(value)
 
@@ -238,12 +249,13 @@ def page_subtrees(pages: DataFrame) -> DataFrame:
     return _rows(pages).select("row_no", "host", "html").mapInArrow(run, "row_no long, host string, content long, subtree long")
 
 
-def templates(elements: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def templates(elements: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, content_share: float = MIN_CONTENT_SHARE) -> DataFrame:
     """(host, subtree, n_pages) of the subtrees that recur on many distinct pages of a host, and on a share of them."""
+    share = F.when(F.col("subtree").bitwiseAND(1) == 1, content_share).otherwise(min_share)
     counts = elements.groupBy("host", "subtree").agg(F.count_distinct("content").alias("n_pages")).where(F.col("n_pages") >= min_pages)
     counts = materialise(counts)
     hosts = counts.where("subtree is null").select("host", F.col("n_pages").alias("of_host"))
-    return counts.where("subtree is not null").join(hosts, "host").where(F.col("n_pages") >= min_share * F.col("of_host")).select("host", "subtree", "n_pages")
+    return counts.where("subtree is not null").join(hosts, "host").where(F.col("n_pages") >= share * F.col("of_host")).select("host", "subtree", "n_pages")
 
 
 def _rows(pages: DataFrame) -> DataFrame:

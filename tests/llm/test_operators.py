@@ -338,6 +338,16 @@ def test_templates_need_a_share_of_a_large_host(spark):
     assert got == {k: (f"said on a few\npage {k}" if k < 12 else f"page {k}", 1) for k in range(150)}
 
 
+@pytest.mark.parametrize("tag", ["article", "main", "div role=main"])
+def test_templates_inside_the_content(spark, tag):
+    quote = prose(701, 300)  # long prose stays
+    page = lambda k: f"<body><div><{tag}><div><h1>page {k}</h1><p>Sign up <b>today</b></p>{'<p>quoted by some</p>' if k < 12 else ''}<p>{quote}</p></div><p>{prose(k, 8)}</p></{tag.split()[0]}></div></body>"
+    rows = [(k, f"http://inside.example/{k}", page(k)) for k in range(30)] + [(40, "http://outside.example/", page(40))]
+    got = {r.page_id: (r.text, r.n_template_blocks) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {k: ("\n".join([f"page {k}", *(["quoted by some"] if k < 12 else []), quote, prose(k, 8)]), 1) for k in range(30)}
+    assert got == want | {40: (f"page 40\nSign up today\n{quote}\n{prose(40, 8)}", 0)}
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------------------
 
 def base_spans(text):
