@@ -420,29 +420,52 @@ _PAIRS = rf"""a AS (SELECT conv_id, turn, coalesce(text, '') AS target FROM conv
  w AS (SELECT conv_id, turn, len(list_filter(string_split_regex(prompt, '{_BLANKS}'), lambda x: x <> '')) AS p, len(list_filter(string_split_regex(target, '{_BLANKS}'), lambda x: x <> '')) + 1 AS t FROM b)"""
 
 
-def _features(spark: SparkSession, d: str) -> DataFrame:
+def _features(spark: SparkSession, d: str, **length: int) -> DataFrame:
     words = sft.word_ids()
     pairs = sft.conversation_pairs(read(spark, d, "conversations"))
     shifted = lambda c: F.transform(words(c), lambda x: x + 1)  # noqa: E731  0 is the end of a text
-    return sft.features(pairs, shifted(F.col("prompt")), shifted(F.col("target")), eos=0, max_length=256)
+    return sft.features(pairs, shifted(F.col("prompt")), shifted(F.col("target")), eos=0, **length)
 
 
-@query("t3_features", f"""WITH {_PAIRS} SELECT conv_id, turn, p AS n_prompt, t AS n_target, p + t > 256 AS truncated, least(p + t, 256) AS n_ids, greatest(least(p + t, 256) - p, 0) AS n_labels FROM w""")
-def t3_features(spark: SparkSession, d: str) -> DataFrame:
-    rows = _features(spark, d)
+def _feature_sizes(rows: DataFrame) -> DataFrame:
     long = lambda c: c.cast("long")
     return rows.select("conv_id", "turn", long(F.col("n_prompt")).alias("n_prompt"), long(F.col("n_target")).alias("n_target"), "truncated", long(F.size("input_ids")).alias("n_ids"),
                        long(F.size(F.filter("labels", lambda x: x != sft.IGNORED))).alias("n_labels"))
 
 
+def _feature_lengths(rows: DataFrame) -> DataFrame:
+    return sft.length_stats(sft.trainable(rows.withColumn("split", F.lit("train"))), ["split"]).withColumn("max_length", F.col("max_length").cast("long"))
+
+
+@query("t3_features", f"""WITH {_PAIRS} SELECT conv_id, turn, p AS n_prompt, t AS n_target, p + t > 256 AS truncated, least(p + t, 256) AS n_ids, greatest(least(p + t, 256) - p, 0) AS n_labels FROM w""")
+def t3_features(spark: SparkSession, d: str) -> DataFrame:
+    return _feature_sizes(_features(spark, d, max_length=256))
+
+
 @query("t4_length_stats", f"WITH {_PAIRS} SELECT 'train' AS split, count(*) AS n, count(*) FILTER (p + t > 256) AS n_truncated, avg(least(p + t, 256)) AS mean_length, max(least(p + t, 256)) AS max_length FROM w")
 def t4_length_stats(spark: SparkSession, d: str) -> DataFrame:
-    rows = sft.trainable(_features(spark, d).withColumn("split", F.lit("train")))
-    return sft.length_stats(rows, ["split"]).withColumn("max_length", F.col("max_length").cast("long"))
+    return _feature_lengths(_features(spark, d, max_length=256))
 
 
 @query("t5_unsupervised", f"WITH {_PAIRS} SELECT conv_id, turn FROM w WHERE p >= 256")
 def t5_unsupervised(spark: SparkSession, d: str) -> DataFrame:
+    return sft.unsupervised(_features(spark, d, max_length=256)).select("conv_id", "turn")
+
+
+# The three above cut at 256 words, as their SQL does. The same at the default length of ``sft.features``, which is the blueprint's, 2,048:
+
+@query("t3_features_2048", f"""WITH {_PAIRS} SELECT conv_id, turn, p AS n_prompt, t AS n_target, p + t > 2048 AS truncated, least(p + t, 2048) AS n_ids, greatest(least(p + t, 2048) - p, 0) AS n_labels FROM w""")
+def t3_features_2048(spark: SparkSession, d: str) -> DataFrame:
+    return _feature_sizes(_features(spark, d))
+
+
+@query("t4_length_stats_2048", f"WITH {_PAIRS} SELECT 'train' AS split, count(*) AS n, count(*) FILTER (p + t > 2048) AS n_truncated, avg(least(p + t, 2048)) AS mean_length, max(least(p + t, 2048)) AS max_length FROM w")
+def t4_length_stats_2048(spark: SparkSession, d: str) -> DataFrame:
+    return _feature_lengths(_features(spark, d))
+
+
+@query("t5_unsupervised_2048", f"WITH {_PAIRS} SELECT conv_id, turn FROM w WHERE p >= 2048")
+def t5_unsupervised_2048(spark: SparkSession, d: str) -> DataFrame:
     return sft.unsupervised(_features(spark, d)).select("conv_id", "turn")
 
 

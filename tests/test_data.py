@@ -88,6 +88,19 @@ def test_features(spark):
     assert [r.i for r in sft.unsupervised(sft.features(rows, F.col("p"), F.col("t"), max_length=128)).collect()] == [2]
 
 
+def test_features_at_the_full_length(spark, tmp_path):
+    from quarry.plans.queries import QUERIES
+
+    words = lambda n: " ".join(["w"] * n)
+    turns = [(c, k, role, words(n)) for c, p, t in ((1, 299, 400), (2, 1999, 100), (3, 2047, 5)) for k, (role, n) in enumerate((("user", p), ("assistant", t)))]
+    spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
+    got = {r.conv_id: (r.n_prompt, r.n_target, r.truncated, r.n_ids, r.n_labels) for r in run("t3_features_2048")}
+    assert got == {1: (300, 401, False, 701, 401), 2: (2000, 101, True, 2048, 48), 3: (2048, 6, True, 2048, 0)}
+    assert [tuple(r) for r in run("t4_length_stats_2048")] == [("train", 3, 2, (701 + 2048 + 2048) / 3, 2048)]
+    assert [r.conv_id for r in run("t5_unsupervised_2048")] == [3]
+
+
 def test_messages_and_target(spark, examples):
     row = spark.createDataFrame([("  hi \n",)], "t string").select(sft.messages(F.col("t"), tag="DOC").alias("m")).first()
     assert [x.role for x in row.m] == ["system", "user"] and "<DOC>\nhi\n</DOC>" in row.m[1].content
