@@ -1,7 +1,8 @@
 """Bootstrap confidence intervals as one job.
 
 A draw depends on (seed, resample, number) only. Rows take positions in the order of their measures, and a draw picks a position, so
-the result does not depend on how rows are partitioned. Draws meet positions in an equi-join, which Spark broadcasts while the positions are few.
+the result does not depend on how rows are partitioned. Draws meet positions in an equi-join; the positions are broadcast up to
+``BROADCAST_POSITIONS``, the draws never, as Spark takes them for as few as the rows they are made of.
 """
 
 from __future__ import annotations
@@ -11,6 +12,10 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed_hash
 
+BROADCAST_POSITIONS = 1_000_000
+DRAWS_PER_TASK = 1_000_000
+MAX_TASKS = 20_000
+
 
 def resampled(values: DataFrame, by: list[str], measures: list[str], n_boot: int, seed: int, statistic: Column) -> DataFrame:
     """by, resample, value: the statistic, an aggregate Column over ``measures``, of each resample."""
@@ -18,7 +23,10 @@ def resampled(values: DataFrame, by: list[str], measures: list[str], n_boot: int
     group = Window.partitionBy(*by)
     tuples = tuples.withColumns({"upto": F.sum("c").over(group.orderBy(*measures)), "n": F.sum("c").over(group)})
     positions = tuples.select(*by, *measures, F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("position"))
-    draws = tuples.select(*by, "n").distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(*by, "resample")
+    total = values.count()
+    positions = F.broadcast(positions) if total <= BROADCAST_POSITIONS else positions.hint("shuffle_hash")
+    tasks = min(MAX_TASKS, -(-total * n_boot // DRAWS_PER_TASK) or 1)
+    draws = tuples.select(*by, "n").distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(tasks, *by, "resample")
     draws = draws.select(*by, "resample", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"), "n")
     draws = draws.select(*by, "resample", F.pmod(keyed_hash(str(seed), F.col("resample"), F.col("i")), F.col("n")).alias("position"))
     return draws.join(positions, [*by, "position"]).groupBy(*by, "resample").agg(F.coalesce(statistic, F.lit(0.0)).cast("double").alias("value"))

@@ -1,5 +1,7 @@
+import hashlib
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import bootstrap, compare, errors, evaluate
@@ -88,6 +90,27 @@ def test_bootstrap_point_and_bounds(spark):
     assert bootstrap.confidence(rows.limit(0), ["model"], ["ok"], F.avg("ok"), n_boot=5).count() == 0
 
 
+def brute_interval(values, seed, n_boot=1000):
+    values, n = sorted(values), len(values)
+    draw = lambda b, i: int(hashlib.md5(f"{seed}|{b}|{i}".encode()).hexdigest()[:8], 16) % n
+    means = sorted(sum(values[draw(b, i)] for i in range(n)) / n for b in range(n_boot))
+    return sum(values) / n, means[int(0.025 * n_boot)], means[min(n_boot - 1, int(0.975 * n_boot))]
+
+
+def test_registered_intervals_are_of_1000_resamples(spark, tmp_path, monkeypatch):
+    from quarry.plans import queries
+
+    quality = [int(k % 7 > 1) for k in range(40)]
+    spark.createDataFrame([(q,) for q in quality], "quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    r = queries.QUERIES["b1_bootstrap_1000"](spark, str(tmp_path)).first()
+    assert (r.point, r.low, r.high) == pytest.approx(brute_interval(quality, 43))
+    valid, exact = [int(k % 5 > 0) for k in range(40)], [int(k % 3 > 0) for k in range(40)]
+    rows = spark.createDataFrame([("base", bool(v), bool(x), 3, 1, 1, 4) for v, x in zip(valid, exact, strict=True)], "model string, schema_valid boolean, exact_match boolean, tp int, fp int, fn int, predicted_units int")
+    monkeypatch.setattr(queries, "_examples", lambda spark, d: rows)
+    got = {r.metric: (r.point, r.low, r.high) for r in queries.QUERIES["b3_headline_intervals"](spark, "").collect()}
+    assert got["schema_validity"] == pytest.approx(brute_interval(valid, 43)) and got["exact_match"] == pytest.approx(brute_interval(exact, 44))
+
+
 def test_keep_last_and_first(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")], "id string, seq int, v string")
     assert {(r.id, r.v) for r in compare.keep_last(rows, ["id"]).collect()} == {("a", "z"), ("b", "q")}
