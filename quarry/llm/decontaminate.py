@@ -13,8 +13,10 @@ Passages are windows of two chunks of as many words as the longest item has, so
 stand lies whole in one of them. The question of an item is all but its last sentence, the answer is the last one; an item of
 one sentence is both.
 
-Scale: one pass over the texts, without a shuffle; only the few matches are grouped. Test items go to
-the tasks in shards of ``ITEMS_PER_SHARD``; more items mean more passes, never a larger broadcast.
+Scale: one pass over the texts, without a shuffle; only the few matches are grouped. Test items go to the tasks in
+shards of ``ITEMS_PER_SHARD`` rows by number; more items mean more passes, never a larger broadcast. The number of items, their
+mean and greatest length and the document frequencies are of the whole benchmark, counted once, and each shard is handed
+those of its own terms, so that the result does not depend on how items are dealt to shards.
 
 Cases: null or empty texts and items match nothing; equal items are all reported; repeated rows are reported once for
 each doc_id; a null doc_id is reported as null; items of under five words compare by their words; other columns are not
@@ -26,14 +28,17 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain, repeat
+from operator import or_
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import materialise, read_table
 
 MIN_SCORE = 0.4
 MIN_OVERLAP = 0.5
@@ -42,6 +47,7 @@ BLOCK = 4
 REST = 0.5  # share of the threshold that the terms left out of the first pass may reach
 SHINGLE = 5
 ITEMS_PER_SHARD = 20_000
+PER_PARTITION = 1 << 33  # of monotonically_increasing_id
 BATCH_WORDS = 400_000
 
 #: ASCII bytes that are no letters or digits become blanks
@@ -69,10 +75,26 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
 
 
+class Statistics(NamedTuple):
+    """Of a benchmark's items that have words: their number, all words, the longest item's words, and the items of each term."""
+
+    n: int
+    words: int
+    longest: int
+    frequency: dict[bytes, int]
+
+    @classmethod
+    def of(cls, items: list[list[bytes]]) -> Statistics:
+        return cls(len(items), sum(map(len, items)), max(map(len, items), default=1), Counter(t for w in items for t in set(w)))
+
+
 class Bm25Index:
-    """Postings of the items by term, with block maxima; ``matches`` retrieves and verifies."""
+    """Postings of the items by term, with block maxima; ``matches`` retrieves and verifies.
+
+    ``whole`` has the statistics of the benchmark that the items are a shard of; without it they are the whole benchmark.
+    """
 
-    def __init__(self, items: list[tuple[int, str]], min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP):
+    def __init__(self, items: list[tuple[int, str]], min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, whole: Statistics | None = None):
         self.min_score, self.min_overlap = min_score, min_overlap
         # neighbours in a block share words, which keeps the block bounds tight
         split = sorted(((words_of(t), i, t) for i, t in items if words_of(t)), key=lambda x: (x[0], x[1]))
@@ -80,22 +102,20 @@ class Bm25Index:
         parts = [question_and_answer(t) for _, _, t in split]
         self.question = [grams(words_of(q)) for q, _ in parts]
         self.answer = [set(words_of(a)) for _, a in parts]
-        self.chunk = max((len(w) for w, _, _ in split), default=1)
-        n = len(split)
-        frequency = Counter(t for w, _, _ in split for t in set(w))
-        mean = sum(len(w) for w, _, _ in split) / max(n, 1)
+        whole = whole or Statistics.of([w for w, _, _ in split])
+        self.chunk, n, mean, frequency = whole.longest, whole.n, whole.words / max(whole.n, 1), whole.frequency
         postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
         for k, (w, _, _) in enumerate(split):
             impact = {t: np.log1p((n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in Counter(w).items()}
-            whole = sum(impact.values())
+            own = sum(impact.values())
             for t, x in impact.items():
-                postings[t].append((k, x / whole))
+                postings[t].append((k, x / own))
         self.term = {t: i for i, t in enumerate(postings)}
         rows = list(postings.values())
         self.start = np.cumsum([0, *map(len, rows)])
         self.item = np.array([k for r in rows for k, _ in r], dtype=np.int64)
         self.impact = np.array([x for r in rows for _, x in r])
-        self.n_blocks = -(-n // BLOCK)
+        self.n_blocks = -(-len(split) // BLOCK)
         self.essential_start: np.ndarray | None = None
 
     def _split(self, seen: np.ndarray) -> None:
@@ -178,13 +198,48 @@ class Bm25Index:
                 base, group, words = k + 1, [], 0
 
 
-def item_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = ITEMS_PER_SHARD) -> Iterator[list[tuple[int, str]]]:
-    """The test items in lists of bounded length, in order of their ids."""
+def _runs(counts: list[tuple[int, int]], size: int) -> Iterator[list[tuple[int, int]]]:
+    """Ranges of row numbers, dense within a partition, in lists that hold ``size`` rows each but for the last."""
+    pieces, room = [], size
+    for part, count in counts:
+        at, end = part * PER_PARTITION, part * PER_PARTITION + count
+        while at < end:
+            step = min(room, end - at)
+            pieces.append((at, at + step))
+            at, room = at + step, room - step
+            if not room:
+                yield pieces
+                pieces, room = [], size
+    if pieces:
+        yield pieces
+
+
+def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        split = [words_of(t) for t in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, split), pa.int64()), pa.array([sorted(set(w)) for w in split], pa.list_(pa.binary()))], names=["number", "n_words", "terms"])
+
+
+def item_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int | None = None) -> Iterator[tuple[list[tuple[int, str]], Statistics | None]]:
+    """The test items in lists of at most ``size`` rows, each with the statistics of all items for its own terms; None where one list has all."""
+    size = size or ITEMS_PER_SHARD
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    shards = max(1, -(-rows.count() // size))
-    for k in range(shards):
-        part = rows if shards == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
-        yield [(r.item_id, r.text) for r in part.collect()]
+    n_rows = rows.count()
+    if n_rows <= size:
+        yield [(r.item_id, r.text) for r in rows.collect()], None
+        return
+    numbered = materialise(rows.withColumn("number", F.monotonically_increasing_id()))
+    words = materialise(numbered.select("number", "text").mapInArrow(_item_words, "number long, n_words long, terms array<binary>").where("n_words > 0"))
+    n, total, longest = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(1))).first()
+    terms = words.select("number", F.explode("terms").alias("term"))
+    frequency = materialise(terms.groupBy("term").agg(F.count(F.lit(1)).alias("items")))
+    part = F.floor(F.col("number") / PER_PARTITION).alias("part")
+    counts = sorted((r["part"], r["count"]) for r in numbered.groupBy(part).count().collect())
+    for pieces in _runs(counts, size):
+        own = reduce(or_, ((F.col("number") >= a) & (F.col("number") < b) for a, b in pieces))
+        found = frequency.join(terms.where(own).select("term").distinct(), "term").collect()
+        items = [(r.item_id, r.text) for r in numbered.where(own).collect()]
+        yield items, Statistics(n, total, longest, {bytes(r.term): r["items"] for r in found})
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP) -> DataFrame:
@@ -192,9 +247,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, item_id long, score double, first_word long, question_overlap double, answer_overlap double"
     found = None
-    for items in item_shards(benchmark):
-        def scan(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Bm25Index(items, min_score, min_overlap)
+    for items, whole in item_shards(benchmark):
+        def scan(batches: Iterator[pa.RecordBatch], items=items, whole=whole) -> Iterator[pa.RecordBatch]:
+            index = Bm25Index(items, min_score, min_overlap, whole)
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 out = [(ids[k], *rest) for k, *rest in index.scan(batch.column(1).to_pylist())]
@@ -215,9 +270,9 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     """The rows of ``docs``, all columns, in which no passage of a test item was verified."""
     kept = docs
     at = docs.columns.index(text_col)
-    for items in item_shards(benchmark):
-        def clean(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            index = Bm25Index(items)
+    for items, whole in item_shards(benchmark):
+        def clean(batches: Iterator[pa.RecordBatch], items=items, whole=whole) -> Iterator[pa.RecordBatch]:
+            index = Bm25Index(items, whole=whole)
             for batch in batches:
                 leaks = {m[0] for m in index.scan(batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([k not in leaks for k in range(batch.num_rows)], pa.bool_()))

@@ -298,6 +298,22 @@ def test_wand_skips_nothing():
     assert got == want and len(want) > 50
 
 
+def test_decontamination_does_not_depend_on_shards(spark, monkeypatch):
+    r = random.Random(9)
+    vocabulary = prose(2, 60).split()
+    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(5, 25)))) for k in range(40)] + [(7, "the same words again")] * 3
+    texts = [" ".join([*r.choices(vocabulary, k=30), *items[k][1].split()[: r.randint(4, 25)], *r.choices(vocabulary, k=20)]) for k in range(40)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
+    found = lambda: sorted(tuple(x) for x in decontaminate.find_leaks(docs(spark, *texts), bench, min_overlap=0.2).collect())
+    left = lambda: sorted(x.doc_id for x in decontaminate.drop_leaks(docs(spark, *texts), bench).collect())
+    rounded = lambda rows: [(*x[:2], round(x[2], 9), *x[3:]) for x in rows]
+    want, kept = rounded(found()), left()
+    monkeypatch.setattr(decontaminate, "ITEMS_PER_SHARD", 9)
+    shards = list(decontaminate.item_shards(bench))
+    assert len(want) > 20 and sorted(len(i) for i, _ in shards) == [7, 9, 9, 9, 9] and sorted(x for i, _ in shards for x in i) == sorted(items)
+    assert rounded(found()) == want and left() == kept
+
+
 # --- 9 ---------------------------------------------------------------------------------------------------------------------
 
 def text_of(html):
