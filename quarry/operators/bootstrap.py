@@ -15,6 +15,14 @@ from ..functions.keyed import keyed_hash
 BROADCAST_POSITIONS = 1_000_000
 DRAWS_PER_TASK = 1_000_000
 MAX_TASKS = 20_000
+RANGE = 100_000  # numbers that one row is exploded to
+
+
+def ranges(rows: DataFrame, first: Column, last: Column, keep: list[str]) -> DataFrame:
+    """keep, start, stop: the numbers from ``first`` to ``last`` of each row, cut into ranges of at most ``RANGE``."""
+    first, last = first.cast("long"), last.cast("long")
+    cut = rows.select(*keep, F.explode(F.sequence(first, last, F.lit(RANGE).cast("long"))).alias("start"), last.alias("last"))
+    return cut.select(*keep, "start", F.least("last", F.col("start") + (RANGE - 1)).alias("stop"))
 
 
 def resampled(values: DataFrame, by: list[str], measures: list[str], n_boot: int, seed: int, statistic: Column) -> DataFrame:
@@ -22,12 +30,14 @@ def resampled(values: DataFrame, by: list[str], measures: list[str], n_boot: int
     tuples = values.groupBy(*by, *measures).agg(F.count(F.lit(1)).alias("c"))
     group = Window.partitionBy(*by)
     tuples = tuples.withColumns({"upto": F.sum("c").over(group.orderBy(*measures)), "n": F.sum("c").over(group)})
-    positions = tuples.select(*by, *measures, F.explode(F.sequence(F.col("upto") - F.col("c"), F.col("upto") - 1)).alias("position"))
     total = values.count()
+    pieces = ranges(tuples, F.col("upto") - F.col("c"), F.col("upto") - 1, [*by, *measures]).repartition(min(MAX_TASKS, -(-total // DRAWS_PER_TASK) or 1), *by, "start")
+    positions = pieces.select(*by, *measures, F.explode(F.sequence("start", "stop")).alias("position"))
     positions = F.broadcast(positions) if total <= BROADCAST_POSITIONS else positions.hint("shuffle_hash")
     tasks = min(MAX_TASKS, -(-total * n_boot // DRAWS_PER_TASK) or 1)
-    draws = tuples.select(*by, "n").distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1)))).repartition(tasks, *by, "resample")
-    draws = draws.select(*by, "resample", F.explode(F.sequence(F.lit(0), (F.col("n") - 1).cast("int"))).alias("i"), "n")
+    draws = tuples.select(*by, "n").distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    draws = ranges(draws, F.lit(0), F.col("n") - 1, [*by, "resample", "n"]).repartition(tasks, *by, "resample", "start")
+    draws = draws.select(*by, "resample", F.explode(F.sequence("start", "stop")).alias("i"), "n")
     draws = draws.select(*by, "resample", F.pmod(keyed_hash(str(seed), F.col("resample"), F.col("i")), F.col("n")).alias("position"))
     return draws.join(positions, [*by, "position"]).groupBy(*by, "resample").agg(F.coalesce(statistic, F.lit(0.0)).cast("double").alias("value"))
 

@@ -111,6 +111,15 @@ def test_registered_intervals_are_of_1000_resamples(spark, tmp_path, monkeypatch
     assert got["schema_validity"] == pytest.approx(brute_interval(valid, 43)) and got["exact_match"] == pytest.approx(brute_interval(exact, 44))
 
 
+def test_exploded_ranges_are_bounded(spark, monkeypatch):
+    got = bootstrap.ranges(spark.createDataFrame([("m", 2**33)], "model string, n long"), F.lit(2**33 - 250_000), F.col("n"), ["model"]).orderBy("start").collect()
+    assert [(r.start - 2**33, r.stop - 2**33) for r in got] == [(-250_000, -150_001), (-150_000, -50_001), (-50_000, 0)]
+    monkeypatch.setattr(bootstrap, "RANGE", 7)
+    ok = [int(k % 7 > 1) for k in range(40)]
+    r = bootstrap.confidence(spark.createDataFrame([("m", x) for x in ok], "model string, ok int"), ["model"], ["ok"], F.avg("ok"), n_boot=50, seed=5).first()
+    assert (r.point, r.low, r.high) == pytest.approx(brute_interval(ok, 5, 50))
+
+
 def test_keep_last_and_first(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")], "id string, seq int, v string")
     assert {(r.id, r.v) for r in compare.keep_last(rows, ["id"]).collect()} == {("a", "z"), ("b", "q")}
