@@ -1,4 +1,4 @@
-"""What the operators of this subpackage share: reading a table and cutting lineage."""
+"""What the operators of this subpackage share: reading a table, cutting lineage, dropping rows."""
 
 from __future__ import annotations
 
@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 1_000_000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -17,10 +19,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """A new path in the folder that the cluster shares (spark.checkpoint.dir).
 
-    Only where that setting is absent, as in tests, a local temporary folder is named instead.
+    Where that setting is absent, a local session, as in tests, gets a temporary folder; on a cluster this is an error, since
+    executors would write to disks of their own.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="quarry-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
@@ -45,15 +50,32 @@ def stable(docs: DataFrame) -> DataFrame:
     """``docs``, or, where its plan is more than a scan, its rows written once.
 
     Operators that read a table several times number its rows with monotonically_increasing_id(). After a shuffle, the
-    rows of a partition depend on the columns that are read, so such a table is written first.
+    rows of a partition depend on the columns that are read, so such a table is written first. So is any table of a session that shows no plan.
     """
-    plan = docs._jdf.queryExecution().analyzed().toString()
-    nodes = {re.split(r"[ \[(]", line.lstrip(" :+-"))[0] for line in plan.splitlines() if line.strip()}
+    plan = getattr(docs, "_jdf", None)
+    if plan is None:
+        return materialise(docs)
+    lines = plan.queryExecution().analyzed().toString().splitlines()
+    nodes = {re.split(r"[ \[(]", line.lstrip(" :+-"))[0] for line in lines if line.strip()}
     return docs if nodes <= _STABLE else materialise(docs)
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or a longer one that none of ``columns`` has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs``, which is ``stable``, less the rows whose number stands in ``dropped`` (row_no)."""
-    own = "quarry_row_no"
+    """``docs``, which is ``stable``, less the rows whose number stands in ``dropped`` (row_no, written).
+
+    The numbers are broadcast up to ``BROADCAST_ROWS`` of them, so that the texts stay where they are; beyond that the same join is a shuffle.
+    """
+    own = unused("quarry_row_no", docs.columns)
+    gone = dropped.select(F.col("row_no").alias(own))
+    if gone.count() <= BROADCAST_ROWS:
+        gone = F.broadcast(gone)
     numbered = docs.withColumn(own, F.monotonically_increasing_id())
-    return numbered.join(dropped.select(F.col("row_no").alias(own)), own, "left_anti").select(*docs.columns)
+    return numbered.join(gone, own, "left_anti").drop(own)

@@ -246,7 +246,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less copies."""
     docs = stable(docs)
-    return without_rows(docs, dedup(docs, id_col, text_col).where("not kept"))
+    return without_rows(docs, materialise(dedup(docs, id_col, text_col).where("not kept").select("row_no")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, decontaminate, exact_dedup, html_text, licenses, ngram_jaccard, quality, secrets, suffix_dedup, warc
+from quarry.llm import byte_bpe, common, decontaminate, exact_dedup, licenses, ngram_jaccard, quality, secrets, suffix_dedup, warc
 from quarry.llm.components import components
 
 DOC = "doc_id long, text string, digest string, kept string"  # extra columns whose names clash with the operators' own
@@ -314,56 +314,6 @@ def test_decontamination_does_not_depend_on_shards(spark, monkeypatch):
     assert rounded(found()) == want and left() == kept
 
 
-# --- 9 ---------------------------------------------------------------------------------------------------------------------
-
-def text_of(html):
-    return "\n".join(t for t, _ in html_text.content_blocks(html))
-
-
-def test_blocks():
-    assert text_of("<html><body><div id=cookie-notice>no</div><div>Hello <b>wor</b>ld &lt;3<br>x<table><tr><td>a<td>b</table>t</div><form>f</form>3 < 4 <p>tail <a href=\"") == "Hello world <3 x\na\nb\nt\n3 < 4\ntail"
-    assert text_of("<main><h2>T</h2><ul><li>a<li>b</ul><section class='comments'><article>no</article></section></main><aside>z") == "T\na\nb"
-    assert text_of("<nav>m</nav><article><header><h1>T</h1></header><p><b>x.<br><p>y&nbsp;&amp;\n z</p><script>var t='</p>';</script><style>p{}</style></article><footer>f</footer>") == "T\nx.\ny & z"
-    assert text_of("") == "" and text_of("<!-- a --><!DOCTYPE html>plain") == "plain" and text_of("<article>cut &am") == "cut &am"
-    assert text_of("<div hidden>n</div><div style='display: none'>n</div><p>y</p>") == "y"
-
-
-def test_site_templates_go_only_where_they_recur(spark):
-    badge = "<div class='x'>Read our <i>guide</i></div>"
-    rows = [(k, f"http://h.example/{k}", f"<body>{badge}<p>page {k} {prose(k, 8)}</p></body>") for k in range(12)]
-    rows += [(50, "http://other.example/", f"<body>{badge}<p>alone</p></body>"), (51, None, None), (52, "http://h.example/q", "<article><div class='x'>Read our <i>guide</i></div><p>in an article</p></article>"), (52, "http://h.example/q", "")]
-    table = spark.createDataFrame([(*r, "t") for r in rows], "page_id long, url string, html string, text string")
-    out = html_text.extract(table).collect()
-    got = {r.page_id: r.text for r in out if r.text}
-    assert len(out) == len(rows) and all(got[k] == f"page {k} {prose(k, 8)}" for k in range(12))
-    assert got[50] == "Read our guide\nalone" and got[52] == "Read our guide\nin an article"
-    assert all(r.n_chars == len(r.text) for r in out)
-
-
-def test_copies_of_a_page_are_one_page(spark):
-    page = f"<body><div><h1>copied</h1><p>{prose(700, 30)}</p></div></body>"
-    rows = [(k, f"http://copies.example/{k}", page) for k in range(14)]
-    table = spark.createDataFrame(rows, "page_id long, url string, html string")
-    out = html_text.extract(table).collect()
-    assert len(out) == 14 and {(r.text, r.n_template_blocks) for r in out} == {(f"copied\n{prose(700, 30)}", 0)}
-
-
-def test_templates_need_a_share_of_a_large_host(spark):
-    rows = [(k, f"http://large.example/{k}", f"<body><div>menu of all</div>{'<p>said on a few</p>' if k < 12 else ''}<p>page {k}</p></body>") for k in range(150)]
-    got = {r.page_id: (r.text, r.n_template_blocks) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert got == {k: (f"said on a few\npage {k}" if k < 12 else f"page {k}", 1) for k in range(150)}
-
-
-@pytest.mark.parametrize("tag", ["article", "main", "div role=main"])
-def test_templates_inside_the_content(spark, tag):
-    quote = prose(701, 300)  # long prose stays
-    page = lambda k: f"<body><div><{tag}><div><h1>page {k}</h1><p>Sign up <b>today</b></p>{'<p>quoted by some</p>' if k < 12 else ''}<p>{quote}</p></div><p>{prose(k, 8)}</p></{tag.split()[0]}></div></body>"
-    rows = [(k, f"http://inside.example/{k}", page(k)) for k in range(30)] + [(40, "http://outside.example/", page(40))]
-    got = {r.page_id: (r.text, r.n_template_blocks) for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    want = {k: ("\n".join([f"page {k}", *(["quoted by some"] if k < 12 else []), quote, prose(k, 8)]), 1) for k in range(30)}
-    assert got == want | {40: (f"page 40\nSign up today\n{quote}\n{prose(40, 8)}", 0)}
-
-
 # --- 10 --------------------------------------------------------------------------------------------------------------------
 
 def base_spans(text):
@@ -397,6 +347,25 @@ def test_native_operators_plan_no_python(spark):
         assert not re.search("Python|Pandas|Arrow", plan)
 
 
-def test_columns_are_not_changed_by_clashing_names(spark):
-    table = docs(spark, "a b c d e f", "a b c d e f").withColumn("row_no", F.lit(1)).withColumn("quarry", F.lit(2))
-    assert exact_dedup.keep_one(table).columns == table.columns and exact_dedup.keep_one(table).count() == 1
+@pytest.mark.parametrize("broadcast", [common.BROADCAST_ROWS, 0])
+def test_columns_are_not_changed_by_clashing_names(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
+    names = ["row_no", "quarry_row_no", "QUARRY_row_no_", "quarry_id", "key", "class", "label"]
+    table = docs(spark, "a b c d e f", "a b c d e f", "other words stand here now").withColumns({n: F.lit(k) for k, n in enumerate(names)})
+    labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
+    for kept, n in ((exact_dedup.keep_one(table), 2), (ngram_jaccard.keep_one(table), 2), (quality.keep_good(table, labels), 3)):
+        rows = kept.collect()
+        assert kept.columns == table.columns and len(rows) == n and all(list(r)[4:] == list(range(len(names))) for r in rows)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Conf(dict):
+        set = dict.__setitem__
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError):
+        common.scratch_dir(Session)
+    Session.conf["spark.master"] = "local[2]"
+    assert common.scratch_dir(Session).startswith(Session.conf["spark.checkpoint.dir"])
