@@ -10,7 +10,9 @@ Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0. The
 ``MAX_TRAINING_ROWS`` labelled rows, chosen by a hash of doc_id; features, scores and decisions cover all rows.
 Labels, lang, source and doc_id are no inputs of a score.
 
-Cases: null text counts as empty and is scored; without usable labels, or with labels of one kind only, the model is a
+Scale: one pass over the texts; the driver receives the rows that it learns from and few more, whatever the number of labels.
+
+Cases: null text counts as empty and is scored; very long texts are described whole; without usable labels, or with labels of one kind only, the model is a
 constant; a document with several labels counts as their mean, rounded; rows with a null label or null doc_id are not learnt
 from (a null doc_id is not held out); repeated rows score alike; other columns are not looked at.
 """
@@ -187,21 +189,34 @@ def usable_labels(labels: DataFrame, label_col: str = "quality") -> DataFrame:
     return label.groupBy("doc_id").agg(F.round(F.avg("y")).alias("y"))
 
 
+def _order() -> F.Column:
+    """A hash of doc_id, uniform from 0 to 2 ** 31 - 1, by which rows are chosen to be learnt from."""
+    return F.shiftrightunsigned(F.xxhash64("doc_id"), 33)
+
+
+def chosen(ids: DataFrame, max_rows: int) -> DataFrame:
+    """The rows of ``ids`` (doc_id and others) with the least hashes of doc_id, ``max_rows`` of them.
+
+    A bound on the hash, set by the number of rows, lets a few more than that through; only these are sorted, so no partition offers more than its share.
+    """
+    n = ids.count()
+    bound = min(1.0, (max_rows + 6 * max_rows**0.5 + 10) / max(n, 1)) * 2.0**31
+    return ids.where(_order() < bound).orderBy(_order(), "doc_id").limit(max_rows)
+
+
 def train(table: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = MAX_TRAINING_ROWS) -> AdditiveModel:
     """Fit on at most ``max_rows`` labelled rows of a feature table, held-out rows excluded."""
-    label = usable_labels(labels, label_col)
-    sample = table.join(label, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").select("x", "y").limit(max_rows).toPandas()
+    sample = chosen(table.join(usable_labels(labels, label_col), "doc_id"), max_rows).select("x", "y").toPandas()
     x = np.array(sample["x"].tolist(), dtype=float).reshape(len(sample), len(FEATURES))
     return fit(x, sample["y"].to_numpy(float))
 
 
 def train_on_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAINING_ROWS) -> AdditiveModel:
     """``train``, with features only of the rows that it can choose: those of the first ``max_rows`` labelled ids of ``docs``."""
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    ids = usable_labels(labels).select("doc_id").join(own, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    ids = chosen(usable_labels(labels).select("doc_id").join(rows.select("doc_id"), "doc_id", "left_semi"), max_rows)
     # at most max_rows longs, so the texts are not shuffled to meet them
-    chosen = docs.join(F.broadcast(ids.select(F.col("doc_id").alias("quarry_id"))), F.col(id_col).cast("long") == F.col("quarry_id"), "left_semi")
-    return train(text_features(chosen, id_col, text_col), labels, max_rows=max_rows)
+    return train(materialise(text_features(rows.join(F.broadcast(ids), "doc_id", "left_semi"))), labels, max_rows=max_rows)
 
 
 def score(table: DataFrame, model: AdditiveModel) -> DataFrame:

@@ -131,6 +131,36 @@ def test_quality_learns_and_scores_every_row(spark):
     assert kept.columns == table.columns and {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.predicted}
 
 
+def test_scores_equal_sums_of_table_entries():
+    r = np.random.default_rng(4)
+    x = np.round(r.random((400, len(quality.FEATURES))), 2)  # with ties
+    model = quality.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0.8).astype(float))
+    assert model.pairs
+
+    def bin_of(edges, value):
+        return sum(1 for e in edges if e <= value)
+
+    for row, got in zip(x, model.score(x), strict=True):
+        total = model.base + sum(t[bin_of(e, v)] for e, t, v in zip(model.edges, model.tables, row, strict=True))
+        total += sum(t[bin_of(ea, row[a])][bin_of(eb, row[b])] for a, b, ea, eb, t in model.pairs)
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+
+
+def test_learnt_rows_are_those_of_least_hash(spark):
+    ids = spark.range(5000).select(F.col("id").alias("doc_id"))
+    order = [r.doc_id for r in ids.select("doc_id", quality._order().alias("h")).orderBy("h", "doc_id").collect()]
+    for n in (0, 1, 100, 4999, 6000):
+        assert [r.doc_id for r in quality.chosen(ids, n).collect()] == order[:n]
+
+
+def test_quality_bears_nulls(spark):
+    table = docs(spark, "good text here.", None, "x", ids=[None, None, 7])
+    labels = spark.createDataFrame([(None, 1), (7, None), (7, 1), (8, 0)], "doc_id long, quality int")
+    rows = quality.classify(table, labels).collect()
+    assert len(rows) == 3 and [r.held_out for r in rows if r.doc_id is None] == [False, False]
+    assert quality.keep_good(table, labels).count() == 3
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert {r.predicted for r in quality.classify(docs(spark, "a", None), none).collect()} == {1}
