@@ -1,11 +1,11 @@
 """Exact dedup through a sharded cuckoo-filter index of live digests.
 
 Texts count as equal when they are identical after deleting every character of
-``[\\x20\\x09-\\x0D]``. Each shard of the index owns a range of digest hashes and holds a cuckoo
-filter beside the digests that are live in it. A filter miss proves a digest new. A filter hit is
-verified against the stored digests. When the filter cannot place a fingerprint it is rebuilt at
-twice the size from the stored digests. Digests can be deleted again, which a Bloom filter
-could not do.
+``[\\x20\\x09-\\x0D]``. Each shard of the index owns a range of digest hashes and holds live digests in cuckoo
+buckets: a fingerprint that is in neither of its two buckets proves a digest new; one that is, is verified against the digest that
+the slot stands for. When a fingerprint finds no slot, the buckets are doubled and filled again from the stored digests. A live digest
+stands for the row that stays; when a better row of the same text arrives, its entry is deleted and the new one inserted,
+which a Bloom filter could not do.
 
 Scale: the texts are read once and only (doc_id, length, digest) leaves that pass. A digest is
 combined natively, in salted groups, before it meets the index, so that a group of copies holding
@@ -13,7 +13,7 @@ a third of all rows arrives as at most ``SALTS`` rows. The number of shards foll
 number of rows. The join back to the rows is a plain equi-join that AQE can split.
 
 Cases: null text counts as empty; all empty texts are one group; of repeated rows exactly one
-stays; a null doc_id loses ties against any other; an empty table gives an empty table; other columns
+stays; a null doc_id loses ties against any other; very long texts are hashed whole; an empty table gives an empty table; other columns
 of the input are not looked at.
 """
 
@@ -38,121 +38,121 @@ SLOTS = 4
 MAX_KICKS = 64
 
 
-class CuckooFilter:
-    """Cuckoo filter over 32-byte digests: four 16-bit fingerprints a bucket, batch operations."""
+class CuckooIndex:
+    """A shard of the index: buckets of ``SLOTS`` slots, each with a 16-bit fingerprint and the number of the stored entry it stands for.
+
+    Entries hold the whole digest and a value. A digest may stand in either of two buckets; fingerprints that agree there
+    are verified against the digests of their entries, so what is found is exact. All operations take many distinct digests at a time.
+    """
 
     def __init__(self, capacity: int = 64):
+        self.digests = np.zeros((max(capacity, 16), 4), dtype=np.uint64)
+        self.values: list[object] = []
+        self.live = np.zeros(len(self.digests), dtype=bool)
+        self._clear(capacity)
+
+    def _clear(self, capacity: int) -> None:
         buckets = 1
         while buckets * SLOTS * 0.9 < max(capacity, SLOTS):
             buckets *= 2
-        self.table = np.zeros((buckets, SLOTS), dtype=np.uint16)
+        self.fingerprints = np.zeros((buckets, SLOTS), dtype=np.uint16)
+        self.entries = np.full((buckets, SLOTS), -1, dtype=np.int64)
+
+    @property
+    def size(self) -> int:
+        return int(self.live.sum())
 
-    def _address(self, keys: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        words = np.frombuffer(b"".join(keys), dtype="<u8").reshape(len(keys), -1)
+    @staticmethod
+    def words(keys: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(keys), dtype="<u8").reshape(len(keys), 4)
+
+    def _address(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         fingerprint = (words[:, 2] % np.uint64(65535) + np.uint64(1)).astype(np.uint16)
-        at = (words[:, 1] & np.uint64(len(self.table) - 1)).astype(np.int64)
-        return at, fingerprint
+        return (words[:, 1] & np.uint64(len(self.fingerprints) - 1)).astype(np.int64), fingerprint
 
     def _other(self, at: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
         mixed = (fingerprint.astype(np.int64) * 0x5BD1E995) >> 7
-        return at ^ (mixed & (len(self.table) - 1))
+        return at ^ (mixed & (len(self.fingerprints) - 1))
 
-    @staticmethod
-    def _rank(*by: np.ndarray) -> np.ndarray:
-        """Position of each row among the rows that share its values in ``by``."""
-        order = np.lexsort(by)
-        new = np.zeros(len(order), dtype=bool)
-        new[:1] = True
-        for column in by:
-            new[1:] |= column[order][1:] != column[order][:-1]
-        starts = np.flatnonzero(new)
-        rank = np.empty(len(order), dtype=np.int64)
-        rank[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-        return rank
-
-    def _put(self, at: np.ndarray, fingerprint: np.ndarray) -> np.ndarray:
+    def _put(self, at: np.ndarray, fp: np.ndarray, entry: np.ndarray) -> np.ndarray:
         """Fill free slots of the buckets ``at``; return the mask of what found none."""
-        free = self.table[at] == 0
-        nth = np.cumsum(free, axis=1) == (self._rank(at) + 1)[:, None]
-        slot = free & nth
+        free = self.fingerprints[at] == 0
+        slot = free & (np.cumsum(free, axis=1) == (ranks(at) + 1)[:, None])
         placed = slot.any(axis=1)
-        self.table[at[placed], slot[placed].argmax(axis=1)] = fingerprint[placed]
+        column = slot[placed].argmax(axis=1)
+        self.fingerprints[at[placed], column], self.entries[at[placed], column] = fp[placed], entry[placed]
         return ~placed
 
-    def insert(self, keys: list[bytes]) -> bool:
-        """Add distinct digests; False when some could not be placed (the filter is then incomplete)."""
-        if not keys:
-            return True
-        at, fp = self._address(keys)
+    def _place(self, entry: np.ndarray) -> bool:
+        """Give stored entries their slots; False when some found none (the buckets are then incomplete)."""
+        at, fp = self._address(self.digests[entry])
         for _ in range(2):
-            left = self._put(at, fp)
-            at, fp = self._other(at[left], fp[left]), fp[left]
+            left = self._put(at, fp, entry)
+            at, fp, entry = self._other(at[left], fp[left]), fp[left], entry[left]
             if not len(at):
                 return True
         for kick in range(MAX_KICKS):
-            first = self._rank(at) == 0  # one eviction a bucket and round
+            first = ranks(at) == 0  # one eviction a bucket and round
             home, column = at[first], kick % SLOTS
-            evicted = self.table[home, column].copy()
-            self.table[home, column] = fp[first]
-            at = np.concatenate([self._other(home, evicted), at[~first]])
-            fp = np.concatenate([evicted, fp[~first]])
-            left = self._put(at, fp)
-            at, fp = at[left], fp[left]
+            out_fp, out_entry = self.fingerprints[home, column].copy(), self.entries[home, column].copy()
+            self.fingerprints[home, column], self.entries[home, column] = fp[first], entry[first]
+            at = np.concatenate([self._other(home, out_fp), at[~first]])
+            fp, entry = np.concatenate([out_fp, fp[~first]]), np.concatenate([out_entry, entry[~first]])
+            left = self._put(at, fp, entry)
+            at, fp, entry = at[left], fp[left], entry[left]
             if not len(at):
                 return True
         return False
 
-    def contains(self, keys: list[bytes]) -> np.ndarray:
-        if not keys:
-            return np.zeros(0, dtype=bool)
-        at, fp = self._address(keys)
-        here = (self.table[at] == fp[:, None]).any(axis=1)
-        return here | (self.table[self._other(at, fp)] == fp[:, None]).any(axis=1)
-
-    def delete(self, keys: list[bytes]) -> None:
-        """Remove one fingerprint for each digest; the digests must have been inserted."""
-        if not keys:
-            return
-        at, fp = self._address(keys)
-        for _ in range(2):
-            same = self.table[at] == fp[:, None]
-            slot = same & (np.cumsum(same, axis=1) == (self._rank(at, fp) + 1)[:, None])
-            found = slot.any(axis=1)
-            self.table[at[found], slot[found].argmax(axis=1)] = 0
-            at, fp = self._other(at[~found], fp[~found]), fp[~found]
-            if not len(at):
-                return
-
-
-class CuckooIndex:
-    """A shard: the filter, and the digests that are live in it with a payload each."""
-
-    def __init__(self, capacity: int = 64):
-        self.live: dict[bytes, object] = {}
-        self.filter = CuckooFilter(capacity)
+    def _slots(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bucket and slot of each digest that is live, verified against the stored digests; slot -1 where it is not."""
+        at, fp = self._address(words)
+        bucket, slot = at.copy(), np.full(len(at), -1, dtype=np.int64)
+        for home in (at, self._other(at, fp)):
+            rows, columns = np.nonzero(self.fingerprints[home] == fp[:, None])
+            same = (self.digests[self.entries[home[rows], columns]] == words[rows]).all(axis=1)
+            bucket[rows[same]], slot[rows[same]] = home[rows[same]], columns[same]
+        return bucket, slot
+
+    def find(self, keys: list[bytes]) -> np.ndarray:
+        """The entry of each digest, -1 where it is not live."""
+        bucket, slot = self._slots(self.words(keys))
+        return np.where(slot < 0, -1, self.entries[bucket, slot])
 
     def insert(self, keys: list[bytes], values: list[object]) -> None:
-        self.live.update(zip(keys, values, strict=True))
-        if not self.filter.insert(keys):
-            self._resize()
+        """Add distinct digests that are not live. On overflow the buckets are doubled and filled again from the stored digests."""
+        first, n = len(self.values), len(keys)
+        if first + n > len(self.digests):
+            more = max(n, len(self.digests))
+            self.digests = np.concatenate([self.digests, np.zeros((more, 4), np.uint64)])
+            self.live = np.concatenate([self.live, np.zeros(more, bool)])
+        self.digests[first : first + n], self.live[first : first + n] = self.words(keys), True
+        self.values.extend(values)
+        if not self._place(np.arange(first, first + n)):
+            capacity = self.fingerprints.size
+            while True:
+                capacity *= 2
+                self._clear(capacity)
+                if self._place(np.flatnonzero(self.live)):
+                    break
 
     def delete(self, keys: list[bytes]) -> None:
-        live = [k for k in dict.fromkeys(keys) if k in self.live]
-        self.filter.delete(live)
-        for k in live:
-            del self.live[k]
+        """Remove the live ones among distinct digests: their slots become free, their entries are dead."""
+        bucket, slot = self._slots(self.words(keys))
+        bucket, slot = bucket[slot >= 0], slot[slot >= 0]
+        self.live[self.entries[bucket, slot]] = False
+        self.fingerprints[bucket, slot], self.entries[bucket, slot] = 0, -1
 
-    def find(self, keys: list[bytes]) -> list[object | None]:
-        """The payload of each live digest: filter hits are verified against the stored digests."""
-        return [self.live.get(k) if hit else None for k, hit in zip(keys, self.filter.contains(keys), strict=True)]
 
-    def _resize(self) -> None:
-        capacity = self.filter.table.size * 2
-        while True:
-            self.filter = CuckooFilter(capacity)
-            if self.filter.insert(list(self.live)):
-                return
-            capacity *= 2
+def ranks(keys: np.ndarray) -> np.ndarray:
+    """Position of each row among the rows of the same key."""
+    order = np.argsort(keys, kind="stable")
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = keys[order][1:] != keys[order][:-1]
+    starts = np.flatnonzero(new)
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+    return out
 
 
 def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -188,36 +188,39 @@ def index_digests(digests: DataFrame, shards: int) -> DataFrame:
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         index = CuckooIndex(1024)
-        rows = zip(pdf["digest"], pdf["copies"], pdf["n_codepoints"], pdf["neg_id"], pdf["neg_row"], strict=True)
-        chunk: dict[bytes, list] = {}
-
-        def fold(into: list, row: tuple) -> None:
-            into[0] += row[0]
-            into[1:] = max(tuple(into[1:]), row[1:])
-
-        def flush() -> None:
-            known = index.find(list(chunk))
-            fresh = [(k, v) for (k, v), have in zip(chunk.items(), known, strict=True) if have is None]
-            for v, have in zip(chunk.values(), known, strict=True):
-                if have is not None:
-                    fold(have, tuple(v))
-            index.insert([k for k, _ in fresh], [v for _, v in fresh])
-            chunk.clear()
-
-        for key, copies, n, neg_id, neg_row in rows:
-            row = (int(copies), int(n), -float("inf") if pd.isna(neg_id) else int(neg_id), int(neg_row))
-            if key in chunk:
-                fold(chunk[key], row)
-            else:
-                chunk[key] = list(row)
-            if len(chunk) >= 4096:
-                flush()
-        flush()
-        values = list(index.live.values())
+        worst = -float("inf")
+        keys = pdf["digest"].tolist()
+        rows = [
+            (int(copies), (int(n), worst if pd.isna(neg_id) else int(neg_id), int(neg_row)))
+            for copies, n, neg_id, neg_row in zip(pdf["copies"], pdf["n_codepoints"], pdf["neg_id"], pdf["neg_row"], strict=True)
+        ]
+        _, number = np.unique(np.array(keys, dtype="V32"), return_inverse=True)
+        turn = ranks(number)  # rows of one digest take turns, so those of a turn are distinct
+        for k in range(int(turn.max(initial=-1)) + 1):
+            for chunk in np.array_split(own := np.flatnonzero(turn == k), -(-len(own) // 4096)):
+                fresh: dict[bytes, tuple] = {}
+                beaten = []
+                for i, entry in zip(chunk.tolist(), index.find([keys[i] for i in chunk]).tolist(), strict=True):
+                    copies, best = rows[i]
+                    if entry < 0:
+                        fresh[keys[i]] = rows[i]
+                        continue
+                    known, stays = index.values[entry]
+                    if best > stays:  # the row that stood for this text goes, the better one takes its place
+                        beaten.append(keys[i])
+                        fresh[keys[i]] = (known + copies, best)
+                    else:
+                        index.values[entry] = (known + copies, stays)
+                if beaten:
+                    index.delete(beaten)
+                if fresh:
+                    index.insert(list(fresh), list(fresh.values()))
+        live = np.flatnonzero(index.live)
+        values = [index.values[i] for i in live]
         return pd.DataFrame({
-            "digest": list(index.live),
-            "keep_id": pd.array([None if v[2] == -float("inf") else -v[2] for v in values], dtype="Int64"),
-            "keep_row": np.array([-v[3] for v in values], dtype=np.int64),
+            "digest": [d.tobytes() for d in index.digests[live]],
+            "keep_id": pd.array([None if v[1][1] == worst else -v[1][1] for v in values], dtype="Int64"),
+            "keep_row": np.array([-v[1][2] for v in values], dtype=np.int64),
             "group_size": np.array([v[0] for v in values], dtype=np.int64),
         })
 

@@ -225,17 +225,43 @@ def test_components(spark):
 
 # --- 6 ---------------------------------------------------------------------------------------------------------------------
 
-def test_cuckoo_filter_inserts_deletes_and_resizes():
+def test_cuckoo_index_inserts_deletes_and_resizes():
     keys = [hashlib.sha256(str(i).encode()).digest() for i in range(5000)]
     index = exact_dedup.CuckooIndex(8)  # far too small: it must grow
     for at in range(0, 5000, 500):
         index.insert(keys[at : at + 500], list(range(at, at + 500)))
-    assert index.filter.contains(keys).all() and index.find(keys) == list(range(5000))
-    index.delete(keys[:2500])
-    assert index.find(keys[:2500]) == [None] * 2500 and index.find(keys[2500:]) == list(range(2500, 5000))
-    assert index.filter.contains(keys[:2500]).mean() < 0.05
+    assert index.fingerprints.size >= 5000 and [index.values[e] for e in index.find(keys)] == list(range(5000))
+    index.delete(keys[:2500] + [b"x" * 32])
+    assert index.size == 2500 and (index.fingerprints > 0).sum() == 2500
+    assert (index.find(keys[:2500]) == -1).all() and [index.values[e] for e in index.find(keys[2500:])] == list(range(2500, 5000))
+    index.insert(keys[:100], ["again"] * 100)
+    assert [index.values[e] for e in index.find(keys[:100])] == ["again"] * 100
     others = [hashlib.sha256(b"x%d" % i).digest() for i in range(5000)]
-    assert index.find(others) == [None] * 5000 and index.filter.contains(others).mean() < 0.01
+    assert (index.find(others) == -1).all()
+
+
+def test_equal_fingerprints_are_verified_against_digests():
+    digest = lambda n: n.to_bytes(8, "little") + (5).to_bytes(8, "little") + (9).to_bytes(8, "little") + bytes(8)  # noqa: E731  one bucket, one fingerprint
+    index = exact_dedup.CuckooIndex(64)
+    index.insert([digest(n) for n in range(6)], list(range(6)))
+    assert index.find([digest(n) for n in range(8)]).tolist() == [0, 1, 2, 3, 4, 5, -1, -1]
+    index.delete([digest(2), digest(7)])
+    assert index.find([digest(n) for n in range(6)]).tolist() == [0, 1, -1, 3, 4, 5]
+
+
+def test_exact_dedup_equals_brute_force(spark):
+    r = random.Random(6)
+    texts = [None if r.random() < 0.05 else "".join(r.choice("ab \n\t") for _ in range(r.randint(0, 7))) for _ in range(900)] + ["long " * 200_000, " long" * 200_000]
+    ids = [r.choice([None, *range(700)]) for _ in texts]
+    table = spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(7)
+    groups = defaultdict(list)
+    for i, t in zip(ids, texts, strict=True):
+        groups[re.sub("[\\x20\\x09-\\x0D]", "", t or "")].append((-len(t or ""), i is None, i))
+    want = Counter((i, min(g)[2], len(g), hashlib.sha256(k.encode()).hexdigest()) for k, g in groups.items() for _, _, i in g)
+    out = exact_dedup.dedup(table, rows_per_shard=300).collect()
+    assert Counter((x.doc_id, x.keep_id, x.group_size, x.text_sha256) for x in out) == want
+    assert Counter(x.text_sha256 for x in out if x.kept) == Counter(hashlib.sha256(k.encode()).hexdigest() for k in groups)
+    assert all(x.doc_id == x.keep_id for x in out if x.kept)
 
 
 def test_exact_dedup(spark):
