@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, common, decontaminate, exact_dedup, licenses, ngram_jaccard, quality, secrets, suffix_dedup, warc
+from quarry.llm import byte_bpe, common, decontaminate, exact_dedup, license_texts, licenses, ngram_jaccard, quality, secrets, suffix_dedup, warc
 from quarry.llm.components import components
 
 DOC = "doc_id long, text string, digest string, kept string"  # extra columns whose names clash with the operators' own
@@ -103,12 +103,40 @@ def test_suffix_dedup_equals_brute_force(spark, hot):
 
 # --- 3 ---------------------------------------------------------------------------------------------------------------------
 
-def test_licenses(spark):
-    texts = ["x. Licensed under the Apache License, Version 2.0. y", "Released under the\n MIT LICENSE!", None, "", prose(1, 300) + " This work is licensed under the GNU General Public License, version 3. " + prose(2, 300),
-             "Licensed under CC BY-NC 4.0. And Released under the MIT License. Released under the MIT License.", "licensed under the", prose(3, 3000)]
-    got = sorted((r.doc_id, r.license, r.containment) for r in licenses.scan(docs(spark, *texts)).collect())
-    assert got == [(0, "Apache-2.0", 1.0), (1, "MIT", 1.0), (4, "GPL-3.0", 1.0), (5, "CC-BY-NC-4.0", 1.0), (5, "MIT", 1.0)]
+def plain_licenses(text):
+    """license: (containment, first word) by windows that are compared with every template."""
+    words = lambda t: re.sub("[^a-z0-9]+", " ", (t or "").lower()).split()
+    cut = lambda t: [tuple(words(t)[i : i + 5]) for i in range(len(words(t)) - 4)]
+    own, out = cut(text), {}
+    for name, template in license_texts.TEMPLATES:
+        wanted = set(cut(template))
+        stride = 1 << (len(wanted) - 1).bit_length()
+        for start in range(-stride, len(own), stride):
+            window = range(max(start, 0), min(start + 2 * stride, len(own)))
+            share = len(wanted & {own[i] for i in window}) / len(wanted)
+            if share >= licenses.CONTAINMENT:
+                old = out.get(name, (0, 1 << 40))
+                out[name] = max(old[0], share), min(old[1], *(i for i in window if own[i] in wanted))
+    return out
+
+
+def test_licenses_equal_brute_force(spark):
+    r = random.Random(3)
+    texts = ["x. Licensed under the Apache License, Version 2.0. y", "Released under the\n MIT LICENSE!", None, "", "Licensed under CC BY-NC 4.0. Licensed under CC BY-SA 4.0.",
+             "Licensed under CC BY-NC 4.0. And Released under the MIT License. Released under the MIT License.", "licensed under the", prose(3, 2000) + " " + license_texts.MIT]
+    for k, (_, text) in enumerate(license_texts.TEMPLATES):
+        w = text.split()
+        for _ in range(3):
+            drop = set(r.sample(range(len(w)), min(len(w) // 8, r.randint(0, 2))))
+            texts.append(prose(k, r.randint(0, 400)) + " " + " ".join(x for i, x in enumerate(w) if i not in drop) + " " + prose(k + 50, r.randint(0, 90)))
+    rows = licenses.scan(docs(spark, *texts)).collect()
+    got = {(x.doc_id, x.license): (round(x.containment, 9), x.first_word) for x in rows}
+    want = {(i, name): (round(c, 9), at) for i, t in enumerate(texts) for name, (c, at) in plain_licenses(t).items()}
+    assert got == want and len(rows) == len(got) and len({name for _, name in got}) == len({name for name, _ in license_texts.TEMPLATES})
+    assert got[4, "CC-BY-NC-4.0"][1] == 0 and got[4, "CC-BY-SA-4.0"][1] == 7
     assert licenses.scan(docs(spark, "a").limit(0)).count() == 0
+    same = licenses.scan(docs(spark, *[texts[0]] * 3, ids=[None, 5, 5])).collect()
+    assert sorted(str(x.doc_id) for x in same) == ["5", "5", "None"]
 
 
 # --- 4 ---------------------------------------------------------------------------------------------------------------------
