@@ -3,36 +3,36 @@
 Writing is declarative: each capture becomes a request record, a response or revisit record, and a metadata record;
 their text is built by column expressions and stored by the text sink, gzip-compressed, with the blank lines that end a
 record as line separator. Of captures with equal payloads the one with the smallest key is the response, the others revisit
-it (profile identical-payload-digest). Reading splits each archive by Content-Length, so payloads may hold
+it (profile identical-payload-digest). Reading cuts records by Content-Length, so payloads may hold
 anything. Assembly joins the request and metadata records to their response or revisit through
 WARC-Concurrent-To, and emits one nested row per capture.
 
-Scale: payloads are shuffled once, with their digest, to learn whether they repeat; a payload that a third of all pages share is an
-ordinary skewed equi-join, which AQE splits. Archives hold at most ``records_per_file`` captures, so one archive
-fits in memory. Record ids are derived from the key, so a retried task writes the same ids. Payloads travel
-through the assembly only when asked for.
+Scale: digests are counted as narrow rows; payloads are read twice and stay where they are, unless more than ``BROADCAST_ROWS`` rows repeat others; then they
+are shuffled by row number, never by digest, so a payload that a third of all pages share gathers nowhere. Files are bounded in captures and, by
+their mean size, in bytes; they are read as streams, so what a task holds is one record. Record ids are derived
+from the key, so a retried task writes the same ids. Archives are parsed once: records leave that pass without payloads, unless those are asked for.
 
 Cases: a null payload is empty; a null key sorts after all others; empty payloads are equal payloads, unless ``min_bytes``
 is above 0; of repeated rows (same key, same payload) the first is the response and the others revisit it; a null URL is
-written as ``about:blank``; line breaks in a URL are percent-encoded; an empty table writes no record and reads back as no row;
+written as ``about:blank``; very long payloads are kept whole; line breaks in a URL are percent-encoded; an empty table writes no record and reads back as no row;
 other columns are not looked at.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
-import io
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, scratch_dir, stable
+from .common import BROADCAST_ROWS, materialise, read_table, scratch_dir, stable
 
-RECORDS_PER_FILE = 4_000
+RECORDS_PER_FILE = 50_000
+BYTES_PER_FILE = 128 << 20
+LINE = "\r\n"
 DATE = "2024-01-01T00:00:00Z"
 #: alphabet of base32
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -61,24 +61,37 @@ def _record(headers: list[tuple[str, F.Column]], block: F.Column) -> F.Column:
     return F.concat(*lines, block)
 
 
-def with_roles(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """page_id, row_no, url, payload and digest, with the (page_id, row_no) of the response that each revisit refers to."""
-    rows = stable(pages).select(
-        F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row_no"),
-        F.coalesce(F.col("url").cast("string"), F.lit("about:blank")).alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"),
-    ).withColumn("digest", base32_sha1(F.encode("payload", "UTF-8")))
-    # struct order puts a null first, so a flag sorts null keys last
-    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row_no")).alias("first")
-    groups = rows.where(F.octet_length("payload") >= min_bytes).groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
-    return (
-        rows.join(groups.select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row_no").alias("first_row")), "digest", "left")
-        .withColumn("revisit", F.coalesce(F.col("first_row") != F.col("row_no"), F.lit(False)))
+def captured(pages: DataFrame) -> DataFrame:
+    """page_id, row_no, url and payload of every row of ``pages``, which is ``stable``."""
+    text = lambda name, absent: F.coalesce(F.col(name).cast("string"), F.lit(absent))
+    return pages.select(
+        F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row_no"), text("url", "about:blank").alias("url"), text("html", "").alias("payload"),
     )
 
 
-def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write the captures of ``pages`` (page_id, url, html) as gzip-compressed WARC files under ``path``."""
-    rows = with_roles(pages, min_bytes)
+def revisits(digests: DataFrame, min_bytes: int = 0) -> DataFrame:
+    """row_no and the (first_page, first_row) that it refers to, of every row that repeats a payload of ``min_bytes`` or more."""
+    # struct order puts a null first, so a flag sorts null keys last
+    first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row_no")).alias("first")
+    long = digests.where(F.col("size") >= min_bytes)
+    groups = long.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row_no").alias("first_row"))
+    return long.join(groups, "digest").where("row_no <> first_row").select("row_no", "first_page", "first_row")
+
+
+def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE) -> None:
+    """Write the captures of ``pages`` (page_id, url, html) as gzip-compressed WARC files under ``path``.
+
+    A file holds at most ``records_per_file`` captures, and fewer where their mean size would take it beyond ``bytes_per_file``.
+    """
+    pages = stable(pages)
+    digests = materialise(captured(pages).select("page_id", "row_no", base32_sha1(F.encode("payload", "UTF-8")).alias("digest"), F.octet_length("payload").cast("long").alias("size")))
+    mean = digests.agg(F.avg("size")).first()[0] or 0
+    records_per_file = max(1, min(records_per_file, int(bytes_per_file / (mean + 1000))))
+    again = materialise(revisits(digests, min_bytes))
+    # the rows that repeat are few numbers each; payloads meet them where they are, unless there are too many
+    hint = F.broadcast if again.count() <= BROADCAST_ROWS else lambda x: x
+    rows = captured(pages).join(hint(again), "row_no", "left").withColumn("revisit", F.col("first_row").isNotNull())
+    rows = rows.withColumn("digest", base32_sha1(F.encode("payload", "UTF-8")))
     key = [F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("row_no").cast("string")]
     first = [F.coalesce(F.col("first_page").cast("string"), F.lit("")), F.col("first_row").cast("string")]
     own = _record_id("response", *key)
@@ -120,50 +133,79 @@ def _fields(block: bytes) -> dict[str, str]:
     return out
 
 
-def parse_archive(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record, in order; the stream may be gzip-compressed, in one member or many."""
-    stream = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
-    stream = io.BufferedReader(stream, 1 << 18)
-    while line := stream.readline():
-        if not line.strip():
+def parse_records(lines: Iterator[tuple[str, bytes]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record of (file, line) pairs, the lines of a file in order, cut at every CR LF.
+
+    A block ends where Content-Length says, whatever it holds; no more than one record is held.
+    """
+    fields, head, block, size, place = None, [], [], 0, None
+
+    def cut_off() -> ValueError:
+        return ValueError(f"record {(fields or {}).get('warc-record-id')} of {place} is cut off")
+
+    for file, line in lines:
+        if file != place:
+            if fields is not None or head:
+                raise cut_off()
+            place = file
+        if fields is None:
+            if head and not line:
+                fields = _fields(b"\r\n".join(head[1:]))
+                head, block, size = [], [], -2  # the first line of a block has no CR LF before it
+            elif line:
+                if not head and not line.startswith(b"WARC/"):
+                    raise ValueError(f"not the start of a WARC record: {line[:60]!r}")
+                head.append(line)
             continue
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"not the start of a WARC record: {line[:60]!r}")
-        head = b""
-        while (line := stream.readline()) and line.strip():
-            head += line
-        fields = _fields(head)
-        block = stream.read(size := int(fields["content-length"]))
-        if len(block) < size:
-            raise ValueError(f"record {fields.get('warc-record-id')} is cut off")
-        yield fields, block
+        block.append(line)
+        size += len(line) + 2
+        wanted = int(fields["content-length"])
+        if size >= wanted:
+            whole = b"\r\n".join(block)
+            if len(whole) > wanted and whole[wanted:].strip():
+                raise ValueError(f"record {fields.get('warc-record-id')} of {place} is longer than it says")
+            yield fields, whole[:wanted]
+            fields = None
+    if fields is not None or head:
+        raise cut_off()
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = False) -> DataFrame:
-    """A row for each record; size and digest are those of the full payload, for a revisit as its headers tell."""
+    """A row for each record; size and digest are those of the full payload, for a revisit as its headers tell.
+
+    Spark's text source unpacks and streams the files, in one gzip member or many; a task sees the lines of each of its files in order.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for raw in batch.column(0):
-                rows = []
-                for fields, block in parse_archive(raw.as_py()):
-                    kind, page, size, digest, payload = fields["warc-type"], None, None, None, None
-                    if kind in ("response", "revisit"):
-                        head, _, payload = block.partition(b"\r\n\r\n")
-                        if kind == "response":
-                            size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        else:
-                            size, digest, payload = int(_fields(head)["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:"), None
-                    elif kind == "metadata":
-                        number = _fields(block).get("page-id", "")
-                        page = int(number) if number else None
-                    rows.append((fields["warc-record-id"], kind, fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), page, size, digest, payload if payloads else None))
-                columns = list(zip(*rows, strict=True)) or [()] * 9
-                kinds = [pa.string()] * 5 + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
-
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInArrow(run, RECORD_SCHEMA)
+        rows, held = [], 0
+
+        def flush() -> pa.RecordBatch:
+            columns = list(zip(*rows, strict=True)) or [()] * 9
+            rows.clear()
+            kinds = [pa.string()] * 5 + [pa.int64(), pa.int64(), pa.string(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in RECORD_SCHEMA.split(", ")])
+
+        lines = ((file, line) for batch in batches for file, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for fields, block in parse_records(lines):
+            kind, page, size, digest, payload = fields["warc-type"], None, None, None, None
+            if kind in ("response", "revisit"):
+                head, _, payload = block.partition(b"\r\n\r\n")
+                if kind == "response":
+                    size, digest = len(payload), base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                else:
+                    size, digest, payload = int(_fields(head)["content-length"]), fields["warc-payload-digest"].removeprefix("sha1:"), None
+            elif kind == "metadata":
+                number = _fields(block).get("page-id", "")
+                page = int(number) if number else None
+            rows.append((fields["warc-record-id"], kind, fields.get("warc-concurrent-to"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), page, size, digest, payload if payloads else None))
+            held += len(payload or b"") if payloads else 0
+            if len(rows) >= 10_000 or held > 16 << 20:
+                yield flush()
+                held = 0
+        yield flush()
+
+    text = spark.read.option("lineSep", LINE).option("pathGlobFilter", "*.gz").text(path)
+    return text.select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("line")).mapInArrow(run, RECORD_SCHEMA)
 
 
 def assemble(records: DataFrame) -> DataFrame:
@@ -189,7 +231,7 @@ def captures(transactions: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark)
     write_archives(read_table(spark, sf_dir, "pages"), path)
-    return captures(assemble(read_archives(spark, path)))
+    return captures(assemble(materialise(read_archives(spark, path).drop("payload")).withColumn("payload", F.lit(None).cast("binary"))))
 
 
 ORACLE = rf"""

@@ -312,8 +312,8 @@ def b32(data):
 
 
 def test_warc_round_trip(spark, tmp_path):
-    tricky = "WARC/1.1\r\nContent-Length: 3\r\n\r\n\r\n\r\nWARC/1.1\r\n"
-    pages = [(3, "http://a/x?y#z", "<p>é</p>"), (1, "http://a/x", "<p>é</p>"), (2, None, None), (5, "http://b/\r\nX: y", ""), (4, "https://c", tricky), (6, "http://d", "<p>é</p>"), (7, "http://e", "x" * 300000)]
+    tricky = "WARC/1.1\r\nContent-Length: 3\r\n\r\n\r\n\r\nWARC/1.1\r\n\r\r\n\n\r"
+    pages = [(3, "http://a/x?y#z", "<p>é</p>"), (1, "http://a/x", "<p>é</p>"), (2, None, None), (5, "http://b/\r\nX: y", ""), (4, "https://c", tricky), (6, "http://d", "<p>é</p>"), (7, "http://e", "x\r\n" * 100000 + "x" * 300000)]
     table = spark.createDataFrame([(*p, "v") for p in pages], "page_id long, url string, html string, digest string")
     path = str(tmp_path / "w")
     warc.write_archives(table, path, records_per_file=2)
@@ -340,11 +340,37 @@ def test_warc_repeated_rows_small_payloads_and_empty_table(spark, tmp_path):
     assert warc.read_archives(spark, str(tmp_path / "e")).count() == 0
 
 
-def test_archives_of_many_members():
-    record = lambda n: b"WARC/1.1\r\nWARC-Type: metadata\r\nContent-Length: %d\r\n\r\n" % n + b"x" * n + b"\r\n\r\n"
-    assert [len(b) for _, b in warc.parse_archive(gzip.compress(record(3)) + gzip.compress(record(0)))] == [3, 0]
-    with pytest.raises(ValueError):
-        list(warc.parse_archive(record(9)[:-8]))
+@pytest.mark.parametrize("broadcast", [warc.BROADCAST_ROWS, 0])
+def test_warc_equals_brute_force(spark, tmp_path, monkeypatch, broadcast):
+    monkeypatch.setattr(warc, "BROADCAST_ROWS", broadcast)
+    r = random.Random(7)
+    pages = [(k, f"http://h{k % 3}/{k}", None if k % 50 == 0 else "".join(r.choice("ab\r\né") for _ in range(r.randint(0, 4)))) for k in range(400)]
+    r.shuffle(pages)
+    table = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)
+    warc.write_archives(table, str(tmp_path / "w"), bytes_per_file=20_000)
+    assert len(list((tmp_path / "w").glob("*.gz"))) > 10
+    first = {}
+    for k, _, html in sorted(pages):
+        first.setdefault(html or "", k)
+    rows = warc.captures(warc.assemble(warc.read_archives(spark, str(tmp_path / "w")))).collect()
+    got = {x.page_id: (x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in rows}
+    want = {}
+    for k, _, html in pages:
+        data, at = (html or "").encode(), first[html or ""]
+        want[k] = (len(data), b32(data), "response" if at == k else "revisit", None if at == k else at)
+    assert got == want and len(rows) == len(pages)
+
+
+def test_archives_of_many_members(spark, tmp_path):
+    record = lambda n: b"WARC/1.1\r\nWARC-Type: metadata\r\nWARC-Record-ID: <r%d>\r\nContent-Length: %d\r\n\r\n" % (n, n) + b"\xff" * n + b"\r\n\r\n"
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(record(3)) + gzip.compress(record(0)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(record(5)))
+    assert sorted(x.record_id for x in warc.read_archives(spark, str(tmp_path)).collect()) == ["<r0>", "<r3>", "<r5>"]
+    lines = lambda raw: (("f", line) for line in raw.split(b"\r\n"))
+    assert [b for _, b in warc.parse_records(lines(record(3) + record(0)))] == [b"\xff" * 3, b""]
+    for bad in (record(9)[:-8], b"no record", record(4)[:30], record(3)[:-4] + b"more"):
+        with pytest.raises(ValueError):
+            list(warc.parse_records(lines(bad)))
 
 
 # --- 8 ---------------------------------------------------------------------------------------------------------------------
