@@ -17,7 +17,7 @@ condition tells whether a part is near, so no pair is ever emitted.
 Scale: one pass over the texts, which are not shuffled; only rows with candidates are exploded, as positions. Row and bin together
 are the join key, so neither a hot document nor a hot source gathers in one task.
 
-Cases: null text counts as empty; repeated rows are scanned each; a null doc_id is reported as null; other columns are
+Cases: null text counts as empty; very long texts, and texts of very many findings, are scanned whole; repeated rows are scanned each; a null doc_id is reported as null; other columns are
 not looked at; an empty table gives an empty table.
 """
 
@@ -56,21 +56,39 @@ VALID = {
 KINDS = ["assign", "access", "hex", "secret", "endpoint"]
 
 
+SPANS = "array<struct<start:int,kind:int,end:int>>"  # in the order in which spans are listed
+CHUNK = 128
+
+
 def _spans(text: Column, kind: str, pattern: str) -> Column:
-    """array<struct<start, end, kind>> of the matches of ``pattern`` that count."""
+    """SPANS of the matches of ``pattern`` that count.
+
+    Positions are sums of the lengths before them. They are summed in chunks, and chunks over the sums of chunks, because
+    an array that grows by one element is copied each time: a text of a million matches must not take their square.
+    """
     valid = VALID[kind]
-    empty = F.array().cast("array<struct<start:int,end:int,kind:int>>")
+    empty = F.array().cast(SPANS)
     # what a lambda takes from outside is evaluated for every element, so texts and matches come in as its elements
     pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    sizes = F.transform(pairs, lambda p: F.struct(F.char_length(p["gap"]).alias("gap"), F.coalesce(F.char_length(p["match"]), F.lit(0)).alias("match"), F.coalesce(p["match"].rlike(valid), F.lit(False)).alias("ok")))
+    parts = F.transform(F.array(sizes), lambda all_: F.transform(F.sequence(F.lit(1), F.size(all_), F.lit(CHUNK)), lambda i: F.slice(all_, i, CHUNK)))
+
+    def walk(part: Column) -> Column:
+        """The length of a chunk, and its spans by positions in it."""
+        def step(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            end = start + x["match"]
+            span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
+            return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+
+        return F.aggregate(part, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.char_length(pair["gap"])
-        end = start + F.coalesce(F.char_length(pair["match"]), F.lit(0))
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"))
-        return F.struct(end.alias("at"), F.when(pair["match"].rlike(valid), F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
+    def place(acc: Column, x: Column) -> Column:
+        moved = F.transform(x["spans"], lambda s: F.struct((s["start"] + acc["at"]).alias("start"), s["kind"].alias("kind"), (s["end"] + acc["at"]).alias("end")))
+        return F.struct((acc["at"] + x["at"]).alias("at"), F.when(F.size(x["spans"]) > 0, F.concat(acc["parts"], F.array(moved))).otherwise(acc["parts"]).alias("parts"))
 
-    walked = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("spans")), step)["spans"]
-    return F.when(text.rlike(MAY_HOLD[kind]), walked).otherwise(empty)
+    placed = F.aggregate(F.transform(F.flatten(parts), walk), F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("parts")), place)["parts"]
+    return F.when(text.rlike(MAY_HOLD[kind]), F.flatten(placed)).otherwise(empty)
 
 
 def _join(spans: Column) -> Column:
@@ -86,12 +104,11 @@ def find_parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         "doc_id", "row_no",
         *(_spans(text, kind, pattern).alias(kind) for kind, pattern in zip(KINDS, (ASSIGN, ACCESS, HEX, SECRET, ENDPOINT), strict=True)),
     )
-    base = F.array_sort(F.concat("assign", "access", "hex"), lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"]))
-    return found.withColumn("base", base)
+    return found.withColumn("base", F.sort_array(F.concat("assign", "access", "hex")))
 
 
 def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """row_no and the weak candidates of each row that have a complementary part in scope."""
+    """row_no and the weak candidates of each row that have a complementary part in scope and stand in no base finding."""
     weak_or_base = F.concat("base", "secret", "endpoint")
     rows = parts.where((F.size("secret") > 0) | (F.size("endpoint") > 0)).select("row_no", F.explode(weak_or_base).alias("s")).select("row_no", "s", (F.col("s.start") / scope).cast("int").alias("bin"))
     secret, endpoint, access, assign = (KINDS.index(k) for k in ("secret", "endpoint", "access", "assign"))
@@ -102,20 +119,21 @@ def link(parts: DataFrame, scope: int = SCOPE) -> DataFrame:
         reduce(lambda c, k: c.when(F.col("s.kind") == k, F.array(*map(F.lit, wanted[k]))), wanted, F).alias("roles"),
     ).select("row_no", "s", "near", F.explode("roles").alias("role"))
     close = (F.abs(weak["s.start"] - partner["at"]) <= scope) & (weak["row_no"] == partner["row_no"]) & (weak["near"] == partner["near"]) & (weak["role"] == partner["role"])
-    hit = weak.join(partner, close, "left_semi").groupBy("row_no").agg(F.collect_set("s").alias("linked"))
-    return hit
+    linked = weak.join(partner, close, "left_semi").select("row_no", "s").distinct().withColumn("near", (F.col("s.start") / scope).cast("int"))
+    # a candidate inside a base finding adds nothing; a finding covers the bins from its start to its end
+    covers = F.explode(F.sequence("bin", (F.col("s.end") / scope).cast("int"))).alias("covers")
+    base = rows.where(~F.col("s.kind").isin(secret, endpoint)).select(F.col("row_no").alias("of_row"), F.col("s").alias("found"), covers)
+    inside = (F.col("row_no") == F.col("of_row")) & (F.col("near") == F.col("covers")) & (F.col("found.start") <= F.col("s.start")) & (F.col("s.end") <= F.col("found.end"))
+    return linked.join(base, inside, "left_anti").groupBy("row_no").agg(F.collect_list("s").alias("linked"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256 and spans (base findings and linked candidates) for every row."""
     parts = materialise(find_parts(docs, id_col, text_col))
-    order = lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])
-    # a candidate inside a base finding adds nothing
-    fresh = F.filter("linked", lambda s: ~F.exists("base", lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     count = lambda kind: F.size(kind).cast("long").alias(f"n_{kind}")
+    every = F.sort_array(F.concat("base", F.coalesce("linked", F.array().cast(SPANS))))
     return parts.join(link(parts), "row_no", "left").select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_join(F.col("base")), 256).alias("base_sha256"),
-        _join(F.array_sort(F.concat("base", F.coalesce(fresh, F.array().cast("array<struct<start:int,end:int,kind:int>>"))), order)).alias("spans"),
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_join(F.col("base")), 256).alias("base_sha256"), _join(every).alias("spans"),
     )
 
 

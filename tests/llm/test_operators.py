@@ -451,6 +451,16 @@ def test_secrets(spark):
     assert secrets.scan(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_texts_of_many_findings_take_linear_time(spark):
+    import time
+    words = [hashlib.md5(str(i).encode()).hexdigest() for i in range(60_000)]
+    text = " ".join(words[:1000]) + " https://db.example/x " + " ".join(words[1000:])
+    began = time.time()
+    row = secrets.scan(docs(spark, text)).first()
+    assert time.time() - began < 60 and row.n_hex == 60_000
+    assert row.base_sha256 == hashlib.sha256(base_spans(text).encode()).hexdigest()
+
+
 def test_native_operators_plan_no_python(spark):
     for df in (secrets.find_parts(docs(spark, "a")), licenses.scan(docs(spark, "a"))):
         plan = df._jdf.queryExecution().executedPlan().toString()
