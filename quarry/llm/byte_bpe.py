@@ -4,10 +4,10 @@ Pre-tokenisation works without a regular expression. Each code point gets a clas
 code points of look-ahead for contractions) stands for a transition function over five scanner states.
 Functions compose associatively, so a blocked prefix scan over a composition table gives the state
 before every code point of a whole batch at once, and from states and classes follow all token starts.
-The slices feed pair merging, whose results are cached per slice. Ids decode through a table of
-byte strings; character offsets of the slices are kept so that ids can be mapped back to the text.
+The slices feed pair merging, whose results are cached per slice. The character offsets of the slices are kept: a slice decodes for itself, and
+its text goes where its offset says, so tokens can be mapped back to places in the text.
 
-Scale: one narrow pass, no shuffle, nothing broadcast but the path of the rank file; each Python worker
+Scale: one narrow pass, no shuffle, nothing broadcast but the path of the rank file, which must exist on every executor; each Python worker
 loads the ranks once. The cache is cleared at a fixed size, so memory is bounded. Very long slices are
 merged with a heap in O(n log n).
 
@@ -193,6 +193,7 @@ class ByteBpe:
                     self.pairs[(left << 20) | right] = rank
         self.names = [str(i) for i in range(len(self.tokens))]
         self.cache: dict[str, bytes] = {}  # slice -> its ids as int32; values without pointers keep lookups cheap
+        self.slices: dict[bytes, str] = {}  # ids of a slice as int32 -> the slice
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one slice: the adjacent pair of lowest rank is merged first, leftmost on ties."""
@@ -270,6 +271,26 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
+    def _slice(self, packed: bytes) -> str:
+        text = self.decode(array("i", packed)).decode()
+        if len(self.slices) >= CACHE_SIZE:
+            self.slices.clear()
+        if len(text) <= 64:
+            self.slices[packed] = text
+        return text
+
+    def decode_slices(self, entries: list[bytes], starts: np.ndarray) -> str:
+        """The text of slices, given the ids of each as int32 and the character at which it starts.
+
+        A slice holds whole code points, so it decodes for itself, and its text must begin where the one before it ends.
+        """
+        known, make = self.slices.get, self._slice
+        pieces = [known(e) or make(e) for e in entries]
+        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+        if len(pieces) and not (starts[0] == 0 and np.array_equal(starts[1:], ends[:-1])):
+            raise ValueError("the slices do not fit their offsets")
+        return "".join(pieces)
+
 
 def _grouped(texts: list[str]) -> Iterator[list[str]]:
     group, size = [], 0
@@ -314,16 +335,20 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, slice_ids array<int>")
 
 
-def decode(encoded: DataFrame, path: str, ids_col: str = "ids") -> DataFrame:
-    """doc_id and the decoded bytes."""
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """doc_id and decoded, the text, from what ``encode`` gives: each slice is decoded at its own offset."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
         for batch in batches:
-            raw = [bpe.decode(ids or []) for ids in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary())], names=["doc_id", "decoded"])
+            texts = []
+            for ids, starts, sizes in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                packed = ids.values.to_numpy().astype(np.int32).tobytes()
+                ends = np.cumsum(sizes.values.to_numpy()).tolist()
+                texts.append(bpe.decode_slices([packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends)], starts.values.to_numpy()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", F.col(ids_col).alias("ids")).mapInArrow(run, "doc_id long, decoded binary")
+    return encoded.select("doc_id", "ids", "starts", "slice_ids").mapInArrow(run, "doc_id long, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,12 +358,12 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         bpe = coder(path)
         for batch in batches:
             count, ids_sha, decoded_sha, slices = [], [], [], []
-            for starts, _, packed in bpe.encode_batch(_texts(batch.column(1))):
+            for starts, entries, packed in bpe.encode_batch(_texts(batch.column(1))):
                 ids = packed.tolist()
                 count.append(len(ids))
                 slices.append(len(starts))
                 ids_sha.append(hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                decoded_sha.append(hashlib.sha256(bpe.decode_slices(entries, starts).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(slices, pa.int64())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_slices"],
@@ -357,8 +382,10 @@ def tokenise(docs: DataFrame, path: str, keep: list[str], text_col: str = "text"
         bpe = coder(path)
         for batch in batches:
             texts = _texts(batch.column(len(keep)))
-            ids = [packed for _, _, packed in bpe.encode_batch(texts)]
-            same = [bpe.decode(i.tolist()) == t.encode() for i, t in zip(ids, texts, strict=True)]
+            ids, same = [], []
+            for text, (starts, entries, packed) in zip(texts, bpe.encode_batch(texts), strict=True):
+                ids.append(packed)
+                same.append(bpe.decode_slices(entries, starts) == text)
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
                 names=schema.names,

@@ -44,10 +44,21 @@ def test_bpe_equals_tiktoken(reference):
     r = random.Random(1)
     texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["a" * 5000, "ab'" * 3000, " " * 1000, "", "x" * 150 + "'s", prose(2, 5000)]
     bpe = byte_bpe.ByteBpe(byte_bpe.vocabulary_path())
-    for text, (starts, _, ids) in zip(texts, bpe.encode_batch(texts), strict=True):
+    for text, (starts, entries, ids) in zip(texts, bpe.encode_batch(texts), strict=True):
         assert ids.tolist() == reference.encode_ordinary(text)
-        assert bpe.decode(ids.tolist()) == text.encode()
+        assert bpe.decode(ids.tolist()) == text.encode() and bpe.decode_slices(entries, starts) == text
         assert list(starts[:1]) == ([0] if text else [])
+        if len(starts) > 1:
+            with pytest.raises(ValueError):
+                bpe.decode_slices(entries, starts + 1)
+
+
+def test_bpe_classes_of_all_code_points(reference):
+    """Every code point between two letters, as the library cuts it; surrogates do not occur in texts."""
+    texts = [f"a{chr(cp)}b" for cp in range(0x110000) if not 0xD800 <= cp < 0xE000]
+    bpe = byte_bpe.ByteBpe(byte_bpe.vocabulary_path())
+    differ = sum(ids.tolist() != reference.encode_ordinary(text) for text, (_, _, ids) in zip(texts, bpe.encode_batch(texts), strict=True))
+    assert differ == 0
 
 
 def test_bpe_query(spark, reference):
@@ -59,7 +70,7 @@ def test_bpe_query(spark, reference):
         assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert got[i].decoded_sha256 == hashlib.sha256((t or "").encode()).hexdigest()
     encoded = byte_bpe.encode(docs(spark, *texts), byte_bpe.vocabulary_path())
-    assert {r.doc_id: bytes(r.decoded).decode() for r in byte_bpe.decode(encoded, byte_bpe.vocabulary_path()).collect()} == {i: t or "" for i, t in enumerate(texts)}
+    assert {r.doc_id: r.decoded for r in byte_bpe.decode(encoded, byte_bpe.vocabulary_path()).collect()} == {i: t or "" for i, t in enumerate(texts)}
     assert all(sum(r.slice_ids) == len(r.ids) and len(r.starts) == len(r.slice_ids) for r in encoded.collect())
     assert byte_bpe.round_trip(docs(spark, "a").limit(0), byte_bpe.vocabulary_path()).count() == 0
 
