@@ -1,24 +1,27 @@
-"""Benchmark decontamination: a BM25 index of the test items, queried with every training passage.
-
-The index holds the test items, in blocks, with an impact for every (term, item). Impacts are divided by
-the item's score against itself, so one threshold serves all items: a passage is retrieved when its distinct
-terms reach ``MIN_SCORE`` of that. Each item's terms are split as in WAND: the most frequent
-ones, which cannot lift the item to the threshold together, are left out of the first pass. For what is left each
-block has the largest impact of each term; a (passage, block) pair is skipped when the sum of these bounds, with the rest that
-the other terms could add, stays below the threshold. Only the other pairs are scored exactly. No item
-above the threshold is lost. Each retrieved pair is verified: the shares of the item's question 5-grams and
-of its answer words that occur in the passage must both reach ``MIN_OVERLAP``.
-
-Passages are windows of two chunks of as many words as the longest item has, so that every place where an item could
-stand lies whole in one of them. The question of an item is all but its last sentence, the answer is the last one; an item of
-one sentence is both.
-
-Scale: one pass over the texts, without a shuffle; only the few matches are grouped. Test items go to the tasks in
-shards of ``ITEMS_PER_SHARD`` rows by number; more items mean more passes, never a larger broadcast. The number of items, their
-mean and greatest length and the document frequencies are of the whole benchmark, counted once, and each shard is handed
-those of its own terms, so that the result does not depend on how items are dealt to shards.
-
-Cases: null or empty texts and items match nothing; equal items are all reported; repeated rows are reported once for
+"""Benchmark decontamination: a BM25 index of the test items, searched by block-max WAND with every training passage.
+
+Passages are windows of two chunks, a chunk being as long as the least power of two that holds an item (``MIN_STRIDE`` at least), so
+every place where the item could stand lies whole in one of them. Items of one chunk length form a class; a class has an index of its own, so
+the passages that an item is compared with depend on no other item. Number of items, mean length and document frequencies are those of the whole benchmark.
+
+An index has a posting (item, impact) for every term of every item, in the order of items, in blocks of ``BLOCK`` postings with their
+greatest impacts. Impacts are divided by the item's score against itself, so one threshold serves all items: a passage retrieves an item
+when its distinct terms reach ``MIN_SCORE`` of that. WAND walks the lists of the passage's terms: the pivot is the first item that the
+lists' greatest impacts, added in the order of their current items, could lift to the threshold; lists that stand before it skip to it. If the
+maxima of the blocks that hold the pivot cannot reach the threshold, all of them skip beyond the first of these blocks to end;
+else the item is scored. No item at the threshold or above is lost. Before, whole batches of passages are cut, by arrays, to those in which
+the block maxima of any group of ``BLOCK`` items could reach it: each item's most frequent terms, which cannot lift it to
+``REST`` of the threshold together, are added as a constant there, so passages of common words only cost little.
+
+Each retrieved pair is verified: the shares of the item's question 5-grams and of its answer words that occur in the passage must both
+reach ``MIN_OVERLAP``. The question of an item is all but its last sentence, the answer is the last one; an item of one sentence is both.
+
+Scale: one pass over the texts, without a shuffle; only the few matches are grouped. Test items go to the tasks by broadcast, in
+shards of ``ITEMS_PER_SHARD`` rows and ``CHARS_PER_SHARD`` characters at most (or one item); more items mean more passes, never a larger broadcast.
+A worker builds the index of a shard once. Each shard is handed the statistics of the whole benchmark for its own terms,
+so the result does not depend on how items are dealt to shards.
+
+Cases: null or empty texts and items match nothing; very long texts are searched whole; equal items are all reported; repeated rows are reported once for
 each doc_id; a null doc_id is reported as null; items of under five words compare by their words; other columns are not
 looked at; an empty benchmark or documents table gives an empty result.
 """
@@ -26,6 +29,8 @@ looked at; an empty benchmark or documents table gives an empty result.
 from __future__ import annotations
 
 import re
+import uuid
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import reduce
@@ -35,7 +40,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, read_table
@@ -44,10 +49,11 @@ MIN_SCORE = 0.4
 MIN_OVERLAP = 0.5
 K1, B = 1.2, 0.75
 BLOCK = 4
+MIN_STRIDE = 16
 REST = 0.5  # share of the threshold that the terms left out of the first pass may reach
 SHINGLE = 5
 ITEMS_PER_SHARD = 20_000
-PER_PARTITION = 1 << 33  # of monotonically_increasing_id
+CHARS_PER_SHARD = 32 << 20
 BATCH_WORDS = 400_000
 
 #: ASCII bytes that are no letters or digits become blanks
@@ -76,116 +82,202 @@ def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 
 class Statistics(NamedTuple):
-    """Of a benchmark's items that have words: their number, all words, the longest item's words, and the items of each term."""
+    """Of a benchmark's items that have words: their number, all words, and the items of each term."""
 
     n: int
     words: int
-    longest: int
     frequency: dict[bytes, int]
 
     @classmethod
     def of(cls, items: list[list[bytes]]) -> Statistics:
-        return cls(len(items), sum(map(len, items)), max(map(len, items), default=1), Counter(t for w in items for t in set(w)))
-
-
-class Bm25Index:
-    """Postings of the items by term, with block maxima; ``matches`` retrieves and verifies.
-
-    ``whole`` has the statistics of the benchmark that the items are a shard of; without it they are the whole benchmark.
-    """
-
-    def __init__(self, items: list[tuple[int, str]], min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, whole: Statistics | None = None):
-        self.min_score, self.min_overlap = min_score, min_overlap
-        # neighbours in a block share words, which keeps the block bounds tight
-        split = sorted(((words_of(t), i, t) for i, t in items if words_of(t)), key=lambda x: (x[0], x[1]))
-        self.items = [i for _, i, _ in split]
-        parts = [question_and_answer(t) for _, _, t in split]
+        return cls(len(items), sum(map(len, items)), Counter(t for w in items for t in set(w)))
+
+    def impacts(self, words: list[bytes]) -> dict[bytes, float]:
+        """BM25 of an item for each of its terms, as shares of their sum."""
+        out, length = {}, 1 - B + B * len(words) * self.n / self.words
+        for t, f in Counter(words).items():
+            idf = np.log1p((self.n - self.frequency[t] + 0.5) / (self.frequency[t] + 0.5))
+            out[t] = float(idf * f * (K1 + 1) / (f + K1 * length))
+        own = sum(out.values())
+        return {t: x / own for t, x in out.items()}
+
+
+class Postings:
+    """One term's items in order, with their impacts, in blocks."""
+
+    __slots__ = ("items", "impacts", "last", "greatest", "most")
+
+    def __init__(self, items: list[int], impacts: list[float]):
+        self.items, self.impacts = items, impacts
+        self.last = [items[min(k + BLOCK, len(items)) - 1] for k in range(0, len(items), BLOCK)]
+        self.greatest = [max(impacts[k : k + BLOCK]) for k in range(0, len(items), BLOCK)]
+        self.most = max(impacts)
+
+
+class Cursor:
+    """A place in a list of postings."""
+
+    __slots__ = ("list", "at", "item")
+
+    def __init__(self, postings: Postings):
+        self.list, self.at, self.item = postings, 0, postings.items[0]
+
+    def seek(self, item: int) -> None:
+        """Go on to the first posting at ``item`` or after it; END where there is none."""
+        self.at = bisect_left(self.list.items, item, self.at)
+        self.item = self.list.items[self.at] if self.at < len(self.list.items) else END
+
+    def block(self, item: int) -> int:
+        """The block in which ``item`` would stand, without moving; the number of blocks if beyond all."""
+        return bisect_left(self.list.last, item, self.at // BLOCK)
+
+
+END = 1 << 62
+
+
+def block_max_wand(lists: list[Postings], threshold: float) -> list[tuple[int, float]]:
+    """(item, score) of every item whose impacts add up to ``threshold`` or more."""
+    out = []
+    cursors = [Cursor(p) for p in lists]
+    while True:
+        cursors = sorted((c for c in cursors if c.item < END), key=lambda c: c.item)
+        bound, pivot = 0.0, -1
+        for k, c in enumerate(cursors):
+            bound += c.list.most
+            if bound >= threshold:
+                pivot = k
+                break
+        if pivot < 0:
+            return out
+        item = cursors[pivot].item
+        while pivot + 1 < len(cursors) and cursors[pivot + 1].item == item:
+            pivot += 1
+        ahead = cursors[: pivot + 1]
+        blocks = [(c, c.block(item)) for c in ahead]
+        if sum(c.list.greatest[b] for c, b in blocks if b < len(c.list.last)) < threshold:
+            ends = [c.list.last[b] + 1 for c, b in blocks if b < len(c.list.last)]
+            ends += [cursors[pivot + 1].item] if pivot + 1 < len(cursors) else []
+            beyond = min(ends)  # the pivot's own list has a block that holds it, so there is one
+            for c in ahead:
+                if c.item < beyond:
+                    c.seek(beyond)
+        elif cursors[0].item == item:
+            score = sum(c.list.impacts[c.at] for c in ahead)
+            if score >= threshold:
+                out.append((item, score))
+            for c in ahead:
+                c.seek(item + 1)
+        else:
+            for c in ahead:
+                if c.item < item:
+                    c.seek(item)
+
+
+class ItemClass:
+    """The items of one chunk length: postings by term, and what their passages are verified against."""
+
+    def __init__(self, stride: int, items: list[tuple[list[bytes], int | None, str]], term: dict[bytes, int], whole: Statistics):
+        self.stride, self.vocabulary = stride, len(term)
+        # neighbours in a block share words, which keeps the block maxima tight
+        items = sorted(items, key=lambda x: x[0])
+        self.items = [i for _, i, _ in items]
+        parts = [question_and_answer(t) for _, _, t in items]
         self.question = [grams(words_of(q)) for q, _ in parts]
         self.answer = [set(words_of(a)) for _, a in parts]
-        whole = whole or Statistics.of([w for w, _, _ in split])
-        self.chunk, n, mean, frequency = whole.longest, whole.n, whole.words / max(whole.n, 1), whole.frequency
-        postings: dict[bytes, list[tuple[int, float]]] = defaultdict(list)
-        for k, (w, _, _) in enumerate(split):
-            impact = {t: np.log1p((n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * f * (K1 + 1) / (f + K1 * (1 - B + B * len(w) / mean)) for t, f in Counter(w).items()}
-            own = sum(impact.values())
-            for t, x in impact.items():
-                postings[t].append((k, x / own))
-        self.term = {t: i for i, t in enumerate(postings)}
-        rows = list(postings.values())
-        self.start = np.cumsum([0, *map(len, rows)])
-        self.item = np.array([k for r in rows for k, _ in r], dtype=np.int64)
-        self.impact = np.array([x for r in rows for _, x in r])
-        self.n_blocks = -(-len(split) // BLOCK)
+        rows = sorted((term[t], k, x) for k, (w, _, _) in enumerate(items) for t, x in whole.impacts(w).items())
+        of = np.array([t for t, _, _ in rows], dtype=np.int64)
+        self.item, self.impact = np.array([k for _, k, _ in rows], dtype=np.int64), np.array([x for _, _, x in rows])
+        self.start = np.searchsorted(of, np.arange(self.vocabulary + 1))
+        self.lists: dict[int, Postings] = {}
+        self.n_blocks = -(-len(items) // BLOCK)
         self.essential_start: np.ndarray | None = None
 
-    def _split(self, seen: np.ndarray) -> None:
+    def postings(self, term: int) -> Postings | None:
+        if term not in self.lists:
+            lo, hi = int(self.start[term]), int(self.start[term + 1])
+            self.lists[term] = Postings(self.item[lo:hi].tolist(), self.impact[lo:hi].tolist()) if lo < hi else None
+        return self.lists[term]
+
+    def split(self, seen: np.ndarray, threshold: float) -> None:
         """Choose each item's essential terms: the rest, the terms most often ``seen``, reach REST of the threshold at most.
 
-        The choice decides how much the first pass can skip, never what is found.
+        The choice decides how much the first cut can skip, never what is found.
         """
-        term = np.repeat(np.arange(len(self.term)), np.diff(self.start))
+        term = np.repeat(np.arange(self.vocabulary), np.diff(self.start))
         order = np.lexsort((-seen[term], self.item))
         item, impact = self.item[order], self.impact[order]
         run = np.cumsum(impact)
         first = np.searchsorted(item, item)
-        weak = run - run[first] + impact[first] < REST * self.min_score
+        weak = run - run[first] + impact[first] < REST * threshold
         rest = np.bincount(item[weak], weights=impact[weak], minlength=self.n_blocks * BLOCK)
         self.block_rest = rest.reshape(self.n_blocks, BLOCK).max(axis=1)
         key, where = np.unique(term[order][~weak] * self.n_blocks + item[~weak] // BLOCK, return_inverse=True)
         self.block_impact = np.zeros(len(key))
         np.maximum.at(self.block_impact, where, impact[~weak])
         self.block = key % self.n_blocks
-        self.essential_start = np.searchsorted(key, np.arange(len(self.term) + 1) * self.n_blocks)
+        self.essential_start = np.searchsorted(key, np.arange(self.vocabulary + 1) * self.n_blocks)
 
-    def matches(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, float, int, float, float]]:
-        """(text number, item id, score, first word of the passage, question overlap, answer overlap)."""
-        if not self.items or not texts:
-            return
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        get = self.term.get
-        terms = np.fromiter(map(get, chain.from_iterable(texts), repeat(-1)), np.int64, int(sizes.sum()))
+    def passages(self, terms: np.ndarray, sizes: np.ndarray, threshold: float) -> list[tuple[int, int]]:
+        """(text number, first word) of the passages in which some group of items could reach the threshold.
+
+        terms: the numbers of all words of all texts, -1 for those of no item; sizes: words of each text.
+        """
         if self.essential_start is None:
-            self._split(np.bincount(terms + 1, minlength=len(self.term) + 1)[1:])
+            self.split(np.bincount(terms + 1, minlength=self.vocabulary + 1)[1:], threshold)
         essential = np.append(np.diff(self.essential_start) > 0, False)
-        chunks = -(-sizes // self.chunk)
+        chunks = -(-sizes // self.stride)
         first_chunk = np.cumsum(chunks) - chunks
         at = np.flatnonzero(essential[terms])
-        text_of = np.repeat(np.arange(len(texts)), sizes)[at]
-        word_no = at - (np.cumsum(sizes) - sizes)[text_of]
-        local = word_no // self.chunk
+        text_of = np.repeat(np.arange(len(sizes)), sizes)[at]
+        local = (at - (np.cumsum(sizes) - sizes)[text_of]) // self.stride
         chunk = first_chunk[text_of] + local
         # a chunk belongs to the passage that begins with it and to the one before, if that is of the same text
         window = np.concatenate([chunk, (chunk - 1)[local > 0]])
-        vocabulary = len(self.term)
-        pairs = np.unique(window * vocabulary + np.concatenate([terms[at], terms[at][local > 0]]))
-        window, term = pairs // vocabulary, pairs % vocabulary
+        pairs = np.unique(window * self.vocabulary + np.concatenate([terms[at], terms[at][local > 0]]))
+        window, term = pairs // self.vocabulary, pairs % self.vocabulary
         counts = self.essential_start[term + 1] - self.essential_start[term]
         posting = _ranges(self.essential_start[term], counts)
         keys, where = np.unique(np.repeat(window, counts) * self.n_blocks + self.block[posting], return_inverse=True)
         bound = np.bincount(where, weights=self.block_impact[posting], minlength=len(keys))
-        keys = keys[bound + self.block_rest[keys % self.n_blocks] >= self.min_score - 1e-9]
-        owner = np.repeat(np.arange(len(texts)), chunks)
-        for key in keys.tolist():
-            w, block = divmod(key, self.n_blocks)
-            number = int(owner[w])
-            start = (w - int(first_chunk[number])) * self.chunk
-            passage = texts[number][start : start + 2 * self.chunk]
-            found = np.unique([i for t in passage if (i := get(t, -1)) >= 0])
-            counts = self.start[found + 1] - self.start[found]
-            posting = _ranges(self.start[found], counts)
-            own = self.item[posting] // BLOCK == block
-            score = np.bincount(self.item[posting[own]] - block * BLOCK, weights=self.impact[posting[own]], minlength=BLOCK)
-            above = np.flatnonzero(score >= self.min_score - 1e-9)
-            if not len(above):
-                continue
-            have = {SHINGLE: grams(passage), 1: set(passage)}
-            for k in above.tolist():
-                item = block * BLOCK + k
-                q, a = self.question[item], self.answer[item]
-                q_share = sum(g in have[SHINGLE if isinstance(g, tuple) else 1] for g in q) / max(len(q), 1)
-                a_share = len(a & have[1]) / max(len(a), 1)
-                if q_share >= self.min_overlap and a_share >= self.min_overlap:
-                    yield number, self.items[item], float(score[k]), start, q_share, a_share
+        found = np.unique(keys[bound + self.block_rest[keys % self.n_blocks] >= threshold] // self.n_blocks)
+        owner = np.repeat(np.arange(len(sizes)), chunks)[found]
+        return list(zip(owner.tolist(), ((found - first_chunk[owner]) * self.stride).tolist(), strict=True))
+
+
+class Bm25Index:
+    """The items by class; ``matches`` retrieves and verifies.
+
+    ``whole`` has the statistics of the benchmark that the items are a shard of; without it they are the whole benchmark.
+    """
+
+    def __init__(self, items: list[tuple[int, str]], min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP, whole: Statistics | None = None):
+        self.threshold, self.min_overlap = min_score - 1e-9, min_overlap
+        split = [(w, i, t) for i, t in items if (w := words_of(t))]
+        whole = whole or Statistics.of([w for w, _, _ in split])
+        self.term = {t: k for k, t in enumerate(sorted({t for w, _, _ in split for t in w}))}
+        groups = defaultdict(list)
+        for row in split:
+            groups[max(MIN_STRIDE, 1 << (len(row[0]) - 1).bit_length())].append(row)
+        self.classes = [ItemClass(stride, rows, self.term, whole) for stride, rows in sorted(groups.items())]
+
+    def matches(self, texts: list[list[bytes]]) -> Iterator[tuple[int, int, float, int, float, float]]:
+        """(text number, item id, score, first word of the passage, question overlap, answer overlap)."""
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        get = self.term.get
+        terms = np.fromiter(map(get, chain.from_iterable(texts), repeat(-1)), np.int64, int(sizes.sum()))
+        for group in self.classes if len(terms) else ():
+            for number, start in group.passages(terms, sizes, self.threshold):
+                passage = texts[number][start : start + 2 * group.stride]
+                own = set(map(get, passage, repeat(-1))) - {-1}
+                lists = [p for p in map(group.postings, sorted(own)) if p is not None]
+                have = None
+                for item, score in block_max_wand(lists, self.threshold):
+                    have = have or {SHINGLE: grams(passage), 1: set(passage)}
+                    q, a = group.question[item], group.answer[item]
+                    q_share = sum(g in have[SHINGLE if isinstance(g, tuple) else 1] for g in q) / max(len(q), 1)
+                    a_share = len(a & have[1]) / max(len(a), 1)
+                    if q_share >= self.min_overlap and a_share >= self.min_overlap:
+                        yield number, group.items[item], score, start, q_share, a_share
 
     def scan(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, int, float, float]]:
         group, words, base = [], 0, 0
@@ -198,20 +290,17 @@ class Bm25Index:
                 base, group, words = k + 1, [], 0
 
 
-def _runs(counts: list[tuple[int, int]], size: int) -> Iterator[list[tuple[int, int]]]:
-    """Ranges of row numbers, dense within a partition, in lists that hold ``size`` rows each but for the last."""
-    pieces, room = [], size
-    for part, count in counts:
-        at, end = part * PER_PARTITION, part * PER_PARTITION + count
-        while at < end:
-            step = min(room, end - at)
-            pieces.append((at, at + step))
-            at, room = at + step, room - step
-            if not room:
-                yield pieces
-                pieces, room = [], size
-    if pieces:
-        yield pieces
+def _merged(pieces: list[tuple[int, int, int, int]], rows: int, chars: int) -> Iterator[list[tuple[int, int]]]:
+    """Ranges of numbers (first, last), in lists of at most ``rows`` rows and ``chars`` characters, from (first, last, rows, characters)."""
+    held, n, size = [], 0, 0
+    for first, last, own, long in sorted(pieces):
+        if held and (n + own > rows or size + long > chars):
+            yield held
+            held, n, size = [], 0, 0
+        held.append((first, last))
+        n, size = n + own, size + long
+    if held:
+        yield held
 
 
 def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,26 +309,47 @@ def _item_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, split), pa.int64()), pa.array([sorted(set(w)) for w in split], pa.list_(pa.binary()))], names=["number", "n_words", "terms"])
 
 
-def item_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int | None = None) -> Iterator[tuple[list[tuple[int, str]], Statistics | None]]:
-    """The test items in lists of at most ``size`` rows, each with the statistics of all items for its own terms; None where one list has all."""
-    size = size or ITEMS_PER_SHARD
+def item_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[tuple[list[tuple[int, str]], Statistics | None]]:
+    """The test items in lists of bounded size, each with the statistics of all items for its own terms; None where one list has all."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("item_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    n_rows = rows.count()
-    if n_rows <= size:
+    n_rows, n_chars = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.char_length("text")), F.lit(0))).first()
+    if n_rows <= ITEMS_PER_SHARD and n_chars <= CHARS_PER_SHARD:
         yield [(r.item_id, r.text) for r in rows.collect()], None
         return
     numbered = materialise(rows.withColumn("number", F.monotonically_increasing_id()))
     words = materialise(numbered.select("number", "text").mapInArrow(_item_words, "number long, n_words long, terms array<binary>").where("n_words > 0"))
-    n, total, longest = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.max("n_words"), F.lit(1))).first()
+    n, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(1))).first()
     terms = words.select("number", F.explode("terms").alias("term"))
     frequency = materialise(terms.groupBy("term").agg(F.count(F.lit(1)).alias("items")))
-    part = F.floor(F.col("number") / PER_PARTITION).alias("part")
-    counts = sorted((r["part"], r["count"]) for r in numbered.groupBy(part).count().collect())
-    for pieces in _runs(counts, size):
-        own = reduce(or_, ((F.col("number") >= a) & (F.col("number") < b) for a, b in pieces))
-        found = frequency.join(terms.where(own).select("term").distinct(), "term").collect()
-        items = [(r.item_id, r.text) for r in numbered.where(own).collect()]
-        yield items, Statistics(n, total, longest, {bytes(r.term): r["items"] for r in found})
+    part = F.shiftrightunsigned("number", 33).alias("part")  # of monotonically_increasing_id; numbers run on within a part
+    own = numbered.select("number", part, F.char_length("text").cast("long").alias("chars"))
+    order = Window.partitionBy("part").orderBy("number")
+    own = own.withColumns({"piece": F.floor((F.sum("chars").over(order) - F.col("chars")) / CHARS_PER_SHARD), "rank": F.floor((F.row_number().over(order) - 1) / ITEMS_PER_SHARD)})
+    pieces = own.groupBy("part", "piece", "rank").agg(F.min("number"), F.max("number"), F.count(F.lit(1)), F.sum("chars")).collect()
+    for ranges in _merged([tuple(r[3:]) for r in pieces], ITEMS_PER_SHARD, CHARS_PER_SHARD):
+        mine = reduce(or_, (F.col("number").between(a, b) for a, b in ranges))
+        found = frequency.join(terms.where(mine).select("term").distinct(), "term").collect()
+        items = [(r.item_id, r.text) for r in numbered.where(mine).collect()]
+        yield items, Statistics(n, total, {bytes(r.term): r["items"] for r in found})
+
+
+_INDEXES: dict[str, Bm25Index] = {}
+
+
+class SharedIndex:
+    """An index that travels as the broadcast items of a shard and is built once in each Python worker."""
+
+    def __init__(self, spark: SparkSession, items: list[tuple[int, str]], whole: Statistics | None, min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP):
+        self.key, self.shares = uuid.uuid4().hex, (min_score, min_overlap)
+        self.shard = spark.sparkContext.broadcast((items, whole))
+
+    def get(self) -> Bm25Index:
+        if self.key not in _INDEXES:
+            while len(_INDEXES) >= 2:
+                del _INDEXES[next(iter(_INDEXES))]
+            items, whole = self.shard.value
+            _INDEXES[self.key] = Bm25Index(items, *self.shares, whole)
+        return _INDEXES[self.key]
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_score: float = MIN_SCORE, min_overlap: float = MIN_OVERLAP) -> DataFrame:
@@ -248,8 +358,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     schema = "doc_id long, item_id long, score double, first_word long, question_overlap double, answer_overlap double"
     found = None
     for items, whole in item_shards(benchmark):
-        def scan(batches: Iterator[pa.RecordBatch], items=items, whole=whole) -> Iterator[pa.RecordBatch]:
-            index = Bm25Index(items, min_score, min_overlap, whole)
+        shared = SharedIndex(docs.sparkSession, items, whole, min_score, min_overlap)
+
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.get()
             for batch in batches:
                 ids = batch.column(0).to_pylist()
                 out = [(ids[k], *rest) for k, *rest in index.scan(batch.column(1).to_pylist())]
@@ -271,8 +383,10 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
     kept = docs
     at = docs.columns.index(text_col)
     for items, whole in item_shards(benchmark):
-        def clean(batches: Iterator[pa.RecordBatch], items=items, whole=whole) -> Iterator[pa.RecordBatch]:
-            index = Bm25Index(items, whole=whole)
+        shared = SharedIndex(docs.sparkSession, items, whole)
+
+        def clean(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            index = shared.get()
             for batch in batches:
                 leaks = {m[0] for m in index.scan(batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([k not in leaks for k in range(batch.num_rows)], pa.bool_()))

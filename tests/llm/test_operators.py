@@ -399,40 +399,106 @@ def test_decontamination(spark):
     assert decontaminate.drop_leaks(docs(spark, *texts), bench.limit(0)).count() == len(texts)
 
 
-def test_wand_skips_nothing():
+def plain_leaks(texts, items, min_score=decontaminate.MIN_SCORE, min_overlap=decontaminate.MIN_OVERLAP):
+    """{(text number, item number): (question overlap, answer overlap, score, first word)} by BM25 as defined, every passage against every item."""
+    split = lambda t: re.sub("[^a-z0-9]+", " ", (t or "").lower()).split()
+    own = {k: split(t) for k, (_, t) in enumerate(items) if split(t)}
+    n, mean = len(own), sum(map(len, own.values())) / max(len(own), 1)
+    frequency = Counter(t for w in own.values() for t in set(w))
+    cut = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {(x,) for x in w}
+    best = {}
+    for k, words in own.items():
+        count = Counter(words)
+        weight = {t: np.log(1 + (n - frequency[t] + 0.5) / (frequency[t] + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * len(words) / mean)) for t, f in count.items()}
+        whole = sum(weight.values())
+        parts = [p for p in re.split(r"(?<=[.!?])\s+", items[k][1].strip()) if p]
+        question, answer = (" ".join(parts[:-1]), parts[-1]) if len(parts) > 1 else (items[k][1],) * 2
+        q, a = cut(split(question)), set(split(answer))
+        stride = max(16, 1 << (len(words) - 1).bit_length())
+        for d, text in enumerate(texts):
+            w = split(text)
+            for start in range(0, len(w), stride):
+                passage = w[start : start + 2 * stride]
+                seen = set(passage)
+                score = sum(x for t, x in weight.items() if t in seen) / whole
+                if score < min_score - 1e-9:
+                    continue
+                grams = cut(passage) | {(x,) for x in passage}
+                found = (len(q & grams) / max(len(q), 1), len(a & seen) / max(len(a), 1), round(score, 9), -start)
+                if found[0] >= min_overlap and found[1] >= min_overlap:
+                    best[d, k] = max(best.get((d, k), found), found)
+    return {key: (*f[:3], -f[3]) for key, f in best.items()}
+
+
+def leak_cases():
+    r = random.Random(9)
+    vocabulary = prose(2, 60).split()
+    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(2, 90))) + r.choice(["", ". " + prose(k, 4)])) for k in range(60)] + [(k, "the same words again") for k in (7, 7, 70)]
+    texts = [" ".join([*r.choices(vocabulary, k=30), *items[k][1].split()[: r.randint(4, 90)], *r.choices(vocabulary, k=20)]) for k in range(60)]
+    return items, [*texts, "", None, "the same words again", " ".join(r.choices(vocabulary, k=30_000))]
+
+
+@pytest.mark.parametrize("min_overlap", [0.0, 0.2, 0.5])
+def test_leaks_equal_brute_force(min_overlap):
+    items, texts = leak_cases()
+    index = decontaminate.Bm25Index(list(enumerate(t for _, t in items)), min_overlap=min_overlap)
+    got = {}
+    for d, k, score, start, q, a in index.scan(texts):
+        found = (q, a, round(score, 9), -start)
+        got[d, k] = max(got.get((d, k), found), found)
+    want = plain_leaks(texts, items, min_overlap=min_overlap)
+    assert {key: (*f[:3], -f[3]) for key, f in got.items()} == want and len(want) > 50
+
+
+def test_wand_skips_and_loses_nothing():
     r = random.Random(8)
-    vocabulary = prose(1, 80).split()
-    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(5, 20)))) for k in range(40)]
-    texts = [decontaminate.words_of(" ".join(r.choices(vocabulary, k=r.randint(1, 120)))) for _ in range(200)]
-    index = decontaminate.Bm25Index(items, 0.5, 0.0)
-    got = {(t, i, start) for t, i, _, start, _, _ in index.matches(texts)}
-    number = {i: k for k, i in enumerate(index.items)}
-    weight = defaultdict(dict)
-    for term, t in index.term.items():
-        for p in range(index.start[t], index.start[t + 1]):
-            weight[int(index.item[p])][term] = index.impact[p]
-    want = set()
-    for t, words in enumerate(texts):
-        for start in range(0, len(words), index.chunk):
-            seen = set(words[start : start + 2 * index.chunk])
-            want |= {(t, i, start) for i, k in number.items() if sum(x for term, x in weight[k].items() if term in seen) >= 0.5 - 1e-9}
-    assert got == want and len(want) > 50
+    for _ in range(300):
+        lists, total = [], Counter()
+        for _ in range(r.randint(1, 12)):
+            items = sorted(r.sample(range(200), r.randint(1, 60)))
+            impacts = [r.random() ** 3 for _ in items]
+            lists.append(decontaminate.Postings(items, impacts))
+            for i, x in zip(items, impacts):
+                total[i] += x
+        threshold = r.uniform(0.05, 2)
+        got = dict(decontaminate.block_max_wand(lists, threshold))
+        assert got == {i: pytest.approx(x) for i, x in total.items() if x >= threshold}
+    steps = Counter()
+
+    class Counted(decontaminate.Cursor):
+        def seek(self, item):
+            steps["seek"] += 1
+            super().seek(item)
+
+    common, rare = decontaminate.Postings(list(range(10_000)), [0.1] * 10_000), decontaminate.Postings([5000], [0.9])
+    plain, decontaminate.Cursor = decontaminate.Cursor, Counted
+    try:
+        assert [i for i, _ in decontaminate.block_max_wand([common, rare], 0.95)] == [5000] and steps["seek"] < 10
+    finally:
+        decontaminate.Cursor = plain
 
 
 def test_decontamination_does_not_depend_on_shards(spark, monkeypatch):
-    r = random.Random(9)
-    vocabulary = prose(2, 60).split()
-    items = [(k, " ".join(r.choices(vocabulary, k=r.randint(5, 25)))) for k in range(40)] + [(7, "the same words again")] * 3
-    texts = [" ".join([*r.choices(vocabulary, k=30), *items[k][1].split()[: r.randint(4, 25)], *r.choices(vocabulary, k=20)]) for k in range(40)]
-    bench = spark.createDataFrame(items, "item_id long, text string").repartition(2)
-    found = lambda: sorted(tuple(x) for x in decontaminate.find_leaks(docs(spark, *texts), bench, min_overlap=0.2).collect())
-    left = lambda: sorted(x.doc_id for x in decontaminate.drop_leaks(docs(spark, *texts), bench).collect())
-    rounded = lambda rows: [(*x[:2], round(x[2], 9), *x[3:]) for x in rows]
-    want, kept = rounded(found()), left()
-    monkeypatch.setattr(decontaminate, "ITEMS_PER_SHARD", 9)
-    shards = list(decontaminate.item_shards(bench))
-    assert len(want) > 20 and sorted(len(i) for i, _ in shards) == [7, 9, 9, 9, 9] and sorted(x for i, _ in shards for x in i) == sorted(items)
-    assert rounded(found()) == want and left() == kept
+    items, texts = leak_cases()
+    bench = spark.createDataFrame([*items, (71, None), (72, "")], "item_id long, text string").repartition(3)
+    table = docs(spark, *texts)
+    found = lambda b: sorted((x.doc_id, x.item_id, round(x.score, 9), x.first_word, x.question_overlap, x.answer_overlap) for x in decontaminate.find_leaks(table, b, min_overlap=0.2).collect())
+    left = lambda b: sorted(x.doc_id for x in decontaminate.drop_leaks(table, b).collect())
+    want, kept = found(bench), left(bench)
+    plain = {(d, items[k][0]) for d, k in plain_leaks(texts, items, min_overlap=0.2)}
+    assert {(d, i) for d, i, *_ in want} == plain and kept == sorted(set(range(len(texts))) - {d for d, _ in plain_leaks(texts, items)})
+    for rows, chars, at_least in ((9, 1 << 30, 7), (1000, 2000, 5), (1, 1 << 30, 60)):
+        monkeypatch.setattr(decontaminate, "ITEMS_PER_SHARD", rows)
+        monkeypatch.setattr(decontaminate, "CHARS_PER_SHARD", chars)
+        shards = list(decontaminate.item_shards(bench))
+        assert len(shards) >= at_least and all(len(i) <= rows and (len(i) == 1 or sum(len(t) for _, t in i) <= chars + 600) for i, _ in shards)
+        assert sorted((i, t) for shard, _ in shards for i, t in shard if t) == sorted(items)
+        if rows == 9:
+            assert found(bench) == want and left(bench) == kept
+    monkeypatch.undo()
+    # an unrelated item of great length makes no leak of others
+    longer = bench.unionByName(spark.createDataFrame([(99, prose(77, 3000))], bench.schema))
+    assert {x[:2] for x in found(longer)} == {x[:2] for x in want} and left(longer) == kept
 
 
 # --- 10 --------------------------------------------------------------------------------------------------------------------
