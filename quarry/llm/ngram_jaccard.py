@@ -6,19 +6,21 @@ split at white space and lower-cased; a text of one to four words is one shingle
 Steps
 1. One pass over the texts gives each row the hash of its shingle set and a MinHash signature. Rows with equal sets form a
    class; from here on only classes are compared, weighted by their size, so copies are never expanded into pairs.
-2. LSH bands connect each class to the smallest class of its bucket (not to all others); connected components over
-   these star edges hold every candidate pair. With 25 bands of 4 a pair at the threshold is missed with a probability of 2e-6.
-3. Components are cut into cells of at most two chunks, so a component of any size spreads over tasks. Within a cell
-   all pairs are followed through their MinHash values, a few at a time: when the posterior probability of reaching the threshold,
-   P(Binomial(k + 1, threshold) <= matches) under a uniform prior, is below ``TOLERANCE``, the pair is dropped. The rest are
-   verified exactly on their shingle sets. A cell returns, for each class, its number of linked documents and the root of
-   its linked group: rows in proportion to the classes, never pairs.
-4. Connected components over these roots give near-duplicate groups.
-
-Shingles are compared as 64-bit hashes. The candidate classes are broadcast to fetch their texts only while they
+2. LSH bands put classes into buckets. With 25 bands of 4 values a pair at the threshold shares none with a probability of 2e-6. A bucket of more than
+   ``CHUNK`` classes, or ``CHUNK_SHINGLES`` shingles in all, is cut into chunks, and each pair of chunks is a cell, so a bucket of any size spreads over tasks. A pair belongs to the
+   first bucket that it shares, and is looked at nowhere else.
+3. In a cell its pairs are followed through their MinHash values, a few at a time: when the posterior probability of reaching the threshold,
+   P(Binomial(k + 1, threshold) <= matches) under a uniform prior, is below ``TOLERANCE``, the pair is dropped. Cells and classes with pairs
+   that live on leave this step.
+4. Only these get their shingle sets, follow the same pairs again, and verify them exactly. A cell returns, for each class, its number of linked
+   documents and the root of its linked group within the cell: rows in proportion to the classes, never pairs.
+5. Connected components over these roots give near-duplicate groups.
+
+Pairs that share a bucket by chance, or for a passage that many texts share, are dropped in step 3 and join nothing: no group is formed of
+candidates. Shingles are compared as 64-bit hashes. The classes that need their texts are broadcast only while they
 number ``BROADCAST_CLASSES`` or fewer; beyond that the same join is a shuffle.
 
-Cases: null text counts as empty; rows without shingles are groups of one; repeated rows are copies; a null doc_id is
+Cases: null text counts as empty; very long texts are compared whole; rows without shingles are groups of one; repeated rows are copies; a null doc_id is
 never the id of a group that has another; an empty table gives an empty table; other columns are not looked at.
 """
 
@@ -29,7 +31,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -44,8 +45,9 @@ BANDS, ROWS = 25, 4
 HASHES = BANDS * ROWS
 STEP = 10
 TOLERANCE = 1e-6
-CHUNK_CLASSES = 256
-CHUNK_SHINGLES = 4_000_000
+CHUNK, CHUNK_SHINGLES = 1024, 2_000_000  # classes of a chunk, and their shingles, on average; a cell has two chunks at most
+PAIRS_AT_ONCE = 1 << 18
+SHINGLES_AT_ONCE = 4_000_000
 BROADCAST_CLASSES = 1_000_000
 
 _seeds = np.random.default_rng(20240101)
@@ -117,108 +119,232 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_no long, set_key binary, n_shingles long, sig binary")
 
 
+def buckets_of(sig: np.ndarray) -> np.ndarray:
+    """One bucket a band for each signature."""
+    bands = sig.reshape(len(sig), BANDS, ROWS).astype(np.uint64)
+    return _mix((bands * _WORD[:ROWS]).sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def band_buckets(classes: DataFrame) -> DataFrame:
-    """(bucket, class) for every band of every class."""
+    """(bucket, class, n_shingles) for every band of every class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights, band = _WORD[:ROWS], np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for batch in batches:
-            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, BANDS, ROWS)
-            bucket = _mix((sig.astype(np.uint64) * weights).sum(axis=2, dtype=np.uint64) + band)
-            node = np.repeat(batch.column(0).to_numpy(), BANDS)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.reshape(-1).view(np.int64)), pa.array(node)], names=["bucket", "class"])
+            sig = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+            node, size = (pa.array(np.repeat(batch.column(k).to_numpy(), BANDS)) for k in (0, 2))
+            yield pa.RecordBatch.from_arrays([pa.array(buckets_of(sig).reshape(-1).view(np.int64)), node, size], names=["bucket", "class", "n_shingles"])
 
-    return classes.select("class", "sig").mapInArrow(run, "bucket long, class long")
+    return classes.select("class", "sig", "n_shingles").mapInArrow(run, "bucket long, class long, n_shingles long")
 
 
-def candidate_edges(classes: DataFrame) -> DataFrame:
-    """Star edges (u, v): each class with the smallest class of each of its buckets."""
+def cells(classes: DataFrame) -> DataFrame:
+    """(bucket, a, b, chunk, class): the places of every class that shares a bucket with another; a cell is (bucket, a, b) and holds the chunks a and b."""
     buckets = band_buckets(classes)
-    least = buckets.groupBy("bucket").agg(F.min("class").alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return buckets.join(least, "bucket").where(F.col("class") != F.col("v")).select(F.col("class").alias("u"), "v").distinct()
+    many = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("load")).where("n > 1")
+    many = many.select("bucket", F.greatest(F.ceil(F.col("n") / CHUNK), F.ceil(F.col("load") / CHUNK_SHINGLES)).cast("int").alias("chunks"))
+    placed = buckets.join(many, "bucket").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("chunks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return placed.select("bucket", F.least("chunk", "other").alias("a"), F.greatest("chunk", "other").alias("b"), "chunk", "class")
+
+
+CELL = ["bucket", "a", "b"]
+
+
+def by_cell(rows: DataFrame) -> DataFrame:
+    """Rows dealt to tasks and sorted by cell, the chunk a before the chunk b."""
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL, "chunk")
+
+
+def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The concatenation of arange(start, start + count)."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+
+
+def whole_cells(batches: Iterator[pa.RecordBatch], weight: int | None = None, most: int = 0) -> Iterator[pa.Table]:
+    """The rows again, in tables that hold whole cells: those of a batch, or fewer once the column ``weight`` adds up to ``most``."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held).combine_chunks()
+        first = np.flatnonzero(_new_cell(table))
+        if len(first) > 1:
+            last = int(first[-1])
+            cuts = [0]
+            if weight is not None:
+                load = np.add.reduceat(table.column(weight).to_numpy(), first)
+                total = 0
+                for at, own in zip(first[:-1].tolist(), load.tolist(), strict=False):
+                    if total and total + own > most:
+                        cuts.append(at)
+                        total = 0
+                    total += own
+            for lo, hi in zip(cuts, [*cuts[1:], last]):
+                yield table.slice(lo, hi - lo)
+            held = table.slice(last).to_batches()
+        else:
+            held = table.to_batches()
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _new_cell(table: pa.Table) -> np.ndarray:
+    new = np.ones(table.num_rows, dtype=bool)
+    if table.num_rows:
+        new[1:] = False
+        for k in range(len(CELL)):
+            column = table.column(k).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+    return new
+
+
+def surviving_pairs(table: pa.Table, sig: np.ndarray, threshold: float = THRESHOLD) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(left, right) rows of the pairs of each cell that belong to it and live through the pruning, a part of them at a time.
+
+    The columns of ``table`` are bucket, a, b, chunk, in whole cells that are sorted by chunk.
+    """
+    n = table.num_rows
+    first = np.flatnonzero(_new_cell(table))
+    end_of = np.repeat(np.append(first[1:], n), np.diff(np.append(first, n)))
+    bucket, a, b, chunk = (table.column(k).to_numpy() for k in range(4))
+    at = np.arange(n)
+    # within one chunk a row meets the rows after it, between two those of the other chunk
+    split = a != b
+    second = np.repeat(np.add.reduceat((chunk == a).astype(np.int64), first) + first, np.diff(np.append(first, n))) if n else at
+    start = np.where(split, second, at + 1)
+    counts = np.where(split & (chunk != a), 0, end_of - start)
+    own = buckets_of(sig)
+    band = (own.view(np.int64) == bucket[:, None]).argmax(axis=1)
+    ends = np.cumsum(counts)
+    least = least_matches(threshold)
+    for lo in range(0, int(ends[-1]) if n else 0, PAIRS_AT_ONCE):
+        number = np.arange(lo, min(lo + PAIRS_AT_ONCE, int(ends[-1])))
+        left = np.searchsorted(ends, number, side="right")
+        right = start[left] + number - (ends[left] - counts[left])
+        matches = np.zeros(len(left), dtype=np.int64)
+        for k, few in least:
+            matches += (sig[left, k - STEP : k] == sig[right, k - STEP : k]).sum(axis=1)
+            alive = matches >= few
+            left, right, matches = left[alive], right[alive], matches[alive]
+        earlier = ((own[left] == own[right]) & (np.arange(BANDS) < band[left][:, None])).any(axis=1)
+        yield left[~earlier], right[~earlier]
+
+
+def _signatures(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint32).reshape(-1, HASHES)
+
+
+def living_cells(placed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows (bucket, a, b, chunk, class, n_shingles, copies, sig) of ``placed`` with a pair that lives through the pruning."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cells(batches):
+            sig, size = _signatures(table.column(7)), table.column(5).to_numpy()
+            alive = np.zeros(table.num_rows, dtype=bool)
+            for left, right in surviving_pairs(table, sig, threshold):
+                fits = _sizes_fit(size[left], size[right], threshold)
+                alive[left[fits]] = alive[right[fits]] = True
+            yield from table.filter(pa.array(alive)).to_batches()
+
+    return by_cell(placed).mapInArrow(run, placed.schema)
+
+
+def _sizes_fit(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
+    """Sets whose sizes differ by more than the threshold allows cannot reach it."""
+    return np.minimum(a, b) >= threshold * np.maximum(a, b) - 1e-9
 
 
-def _verify(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], threshold: float) -> np.ndarray:
-    """Which pairs reach the threshold, by the exact sizes of the intersections."""
+def _coded(sets: list[np.ndarray]) -> tuple[list[np.ndarray], int]:
+    """The sets with their members numbered, and the number of distinct members."""
+    distinct, code = np.unique(np.concatenate(sets), return_inverse=True)
+    return np.split(code, np.cumsum([len(s) for s in sets])[:-1]), len(distinct)
+
+
+def _verify(left: np.ndarray, right: np.ndarray, sets: list[np.ndarray], distinct: int, threshold: float) -> np.ndarray:
+    """Which pairs reach the threshold, by the exact sizes of the intersections; ``left`` is sorted, ``sets`` are coded."""
     sizes = np.array([len(s) for s in sets])
-    if len(left) <= 4 * len(sets):
-        common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(left.tolist(), right.tolist(), strict=True)], dtype=np.int64)
-    else:  # many pairs over few sets: count common members column block by column block
-        owner = np.repeat(np.arange(len(sets)), sizes)
-        _, column = np.unique(np.concatenate(sets), return_inverse=True)
-        order = np.argsort(column, kind="stable")
-        owner, column = owner[order], column[order]
-        counts = np.zeros((len(sets), len(sets)), dtype=np.float32)
-        for at in range(0, int(column[-1]) + 1, 4096):
-            lo, hi = np.searchsorted(column, [at, at + 4096])
-            dense = np.zeros((len(sets), 4096), dtype=np.float32)
-            dense[owner[lo:hi], column[lo:hi] - at] = 1
-            counts += dense @ dense.T
-        common = counts[left, right].astype(np.int64)
+    common = np.zeros(len(left), dtype=np.int64)
+    mark = np.zeros(distinct, dtype=bool)
+    first = np.flatnonzero(np.diff(left, prepend=-1))
+    for lo, hi in zip(first.tolist(), [*first[1:].tolist(), len(left)]):
+        partners = right[lo:hi]
+        mark[sets[left[lo]]] = True  # one set is marked at a time, its partners are looked up in it
+        common[lo:hi] = np.add.reduceat(mark[np.concatenate([sets[p] for p in partners])], np.cumsum(sizes[partners]) - sizes[partners], dtype=np.int64)
+        mark[sets[left[lo]]] = False
     total = sizes[left] + sizes[right]
     return common * (1 + threshold) >= threshold * total - 1e-9
 
 
-def join_cell(pdf: pd.DataFrame, threshold: float = THRESHOLD) -> pd.DataFrame:
-    """Links within one chunk, or between two: class, root, n_links (documents), n_linked_classes."""
-    nodes = pdf["class"].to_numpy()
-    sig = np.frombuffer(b"".join(pdf["sig"]), dtype=np.uint32).reshape(len(nodes), HASHES)
-    sets = [np.frombuffer(s, dtype=np.uint64) for s in pdf["members"]]
-    weight, chunk = pdf["copies"].to_numpy(), pdf["chunk"].to_numpy()
-    left, right = np.triu_indices(len(nodes), 1)
-    if pdf["a"].iloc[0] != pdf["b"].iloc[0]:
-        apart = chunk[left] != chunk[right]
-        left, right = left[apart], right[apart]
-    # a pair whose sizes differ by more than the threshold allows cannot reach it
-    size = np.array([len(s) for s in sets])
-    fits = np.minimum(size[left], size[right]) >= threshold * np.maximum(size[left], size[right]) - 1e-9
-    left, right = left[fits], right[fits]
-    matches = np.zeros(len(left), dtype=np.int64)
-    for k, least in least_matches(threshold):
-        for at in range(0, len(left), 1 << 16):
-            s = slice(at, at + (1 << 16))
-            matches[s] += (sig[left[s], k - STEP : k] == sig[right[s], k - STEP : k]).sum(axis=1)
-        alive = matches >= least
-        left, right, matches = left[alive], right[alive], matches[alive]
-    if len(left):
-        linked = _verify(left, right, sets, threshold)
-        left, right = left[linked], right[linked]
-    links = np.bincount(left, weight[right], len(nodes)) + np.bincount(right, weight[left], len(nodes))
-    partners = np.bincount(left, minlength=len(nodes)) + np.bincount(right, minlength=len(nodes))
-    root = nodes.copy()
-    while len(left):  # the smallest class reachable within the cell
-        before = root.copy()
-        low = np.minimum(root[left], root[right])
-        np.minimum.at(root, left, low)
-        np.minimum.at(root, right, low)
-        if (before == root).all():
-            break
-    linked = partners > 0
-    return pd.DataFrame({"class": nodes[linked], "root": root[linked], "n_links": links[linked].astype(np.int64), "n_linked_classes": partners[linked].astype(np.int64)})
+LINKS = "class long, root long, n_links long, n_linked_classes long"
+
+
+def verified_cells(living: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """LINKS of each cell, from the rows of ``living_cells`` with members, the shingle set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_cells(batches, 5, SHINGLES_AT_ONCE):
+            nodes, size, weight = (table.column(k).to_numpy() for k in (4, 5, 6))
+            sig = _signatures(table.column(7))
+            sets, distinct = _coded([np.frombuffer(s, dtype=np.uint64) for s in table.column(8).to_pylist()])
+            links, partners, root = np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64), np.arange(len(nodes))
+            rank = np.argsort(nodes, kind="stable").argsort()  # a root is the row of the smallest class
+            for left, right in surviving_pairs(table, sig, threshold):
+                fits = _sizes_fit(size[left], size[right], threshold)
+                left, right = left[fits], right[fits]
+                if not len(left):
+                    continue
+                linked = _verify(left, right, sets, distinct, threshold)
+                left, right = left[linked], right[linked]
+                links += np.bincount(left, weight[right], len(nodes)).astype(np.int64) + np.bincount(right, weight[left], len(nodes)).astype(np.int64)
+                partners += np.bincount(left, minlength=len(nodes)) + np.bincount(right, minlength=len(nodes))
+                root = _joined(root, left, right, rank)
+            root = _pointed(root)
+            found = partners > 0
+            columns = [nodes[found], nodes[root[found]], links[found], partners[found]]
+            yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["class", "root", "n_links", "n_linked_classes"])
+
+    return by_cell(living).mapInArrow(run, LINKS)
+
+
+def _pointed(root: np.ndarray) -> np.ndarray:
+    while not np.array_equal(root[root], root):
+        root = root[root]
+    return root
+
+
+def _joined(root: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Roots after the pairs are joined: the root of lower rank takes over."""
+    by_rank = np.argsort(rank)
+    while True:
+        root = _pointed(root)
+        a, b = root[left], root[right]
+        apart = a != b
+        if not apart.any():
+            return root
+        low, high = np.minimum(rank[a[apart]], rank[b[apart]]), np.maximum(rank[a[apart]], rank[b[apart]])
+        target = rank[root]
+        np.minimum.at(target, by_rank[high], low)
+        root = by_rank[target]
 
 
 def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """class, root, n_links and n_linked_classes, as each cell found them."""
-    labels = materialise(components(candidate_edges(classes)).join(classes.select(F.col("class").alias("node"), "copies", "n_shingles"), "node"))
-    sizes = labels.groupBy("label").agg(F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_CLASSES), F.ceil(F.sum("n_shingles") / CHUNK_SHINGLES), F.lit(1)).cast("int").alias("chunks"))
-    wanted = labels.join(sizes, "label").select(F.col("node").alias("row_no"), "label", "copies", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    if labels.count() <= BROADCAST_CLASSES:
+    """LINKS of classes: every pair at the threshold is counted in one cell."""
+    facts = classes.select("class", "n_shingles", "copies", "sig")
+    placed = cells(classes).join(facts, "class").select(*CELL, "chunk", "class", "n_shingles", "copies", "sig")
+    living = materialise(living_cells(placed, threshold))
+    wanted = living.select(F.col("class").alias("row_no")).distinct()
+    if wanted.count() <= BROADCAST_CLASSES:
         wanted = F.broadcast(wanted)
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t.as_py()) for t in batch.column(5)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:5], pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["class", "label", "copies", "chunks", "chunk", "sig", "members"],
-            )
-
-    found = _rows(docs, id_col, text_col).select("row_no", "text").join(wanted, "row_no").select("row_no", "label", "copies", "chunks", "chunk", "text")
-    found = found.mapInArrow(members, "class long, label long, copies long, chunks int, chunk int, sig binary, members binary")
-    cells = found.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumns({"a": F.least("chunk", "other"), "b": F.greatest("chunk", "other")})
-    return cells.select("label", "a", "b", "class", "copies", "chunk", "sig", "members").groupBy("label", "a", "b").applyInPandas(
-        lambda pdf: join_cell(pdf, threshold), "class long, root long, n_links long, n_linked_classes long"
-    )
+            sets = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["class", "members"])
+
+    sets = _rows(docs, id_col, text_col).select("row_no", "text").join(wanted, "row_no").select("row_no", "text").mapInArrow(members, "class long, members binary")
+    return verified_cells(living.join(sets, "class").select(*CELL, "chunk", "class", "n_shingles", "copies", "sig", "members"), threshold)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -254,7 +380,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one of each near-duplicate group."""
     docs = stable(docs)
-    return without_rows(docs, near_duplicates(docs, id_col, text_col).where("not kept"))
+    return without_rows(docs, materialise(near_duplicates(docs, id_col, text_col).where("not kept").select("row_no")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -102,16 +102,34 @@ def removed(texts, length=200):
     return out
 
 
-@pytest.mark.parametrize("hot", [suffix_dedup.HOT_TILES, 2])
-def test_suffix_dedup_equals_brute_force(spark, hot):
+@pytest.mark.parametrize("hot, broadcast, block", [(suffix_dedup.HOT_TILES, suffix_dedup.BROADCAST_ROWS, suffix_dedup.BATCH_BYTES), (2, 0, 3000), (suffix_dedup.HOT_TILES, 0, 700)])
+def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot, broadcast, block):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ROWS", broadcast)
+    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", block)
     a, b, line = prose(1, 200), prose(2, 150), prose(3, 60)
     texts = [a, a, a[:500] + "#" + a[501:], b, line + prose(4, 50), prose(5, 50) + line, prose(6, 20) + line + prose(7, 20), "Der " * 300, "xDer " * 100, None, "", "short", "short", line[:199] + "!", line[:200], "é" * 300]
-    texts += [prose(100 + i, 3) + line + prose(200 + i, 3) for i in range(12)] + [prose(9, 3000)]
+    texts += [prose(100 + i, 3) + line + prose(200 + i, 3) for i in range(40)] + [prose(9, 3000)]
+    texts += [prose(300 + i, 2) + line[30:280] + prose(400 + i, 2) for i in range(12)] + [prose(500 + i, 40) for i in range(20)]
     got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.dedup(docs(spark, *texts), hot_tiles=hot).collect()}
     assert [got[i] for i in range(len(texts))] == removed(texts)
     assert suffix_dedup.dedup(docs(spark, "a").limit(0)).count() == 0
 
 
+def test_strings_of_a_long_text_repeat_in_short_ones(spark):
+    long = prose(11, 260_000)  # beyond a block
+    texts = [long, long[700_000:700_900], prose(12, 100), long[1_300_000:1_300_250] + "!"]
+    assert len(long) > suffix_dedup.BATCH_BYTES
+    rows = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.dedup(docs(spark, *texts)).collect()}
+    assert rows == {0: (1150, 2), 1: (900, 1), 2: (0, 0), 3: (250, 1)}
+
+
+def test_seen_keys_are_counted_by_block():
+    seen = suffix_dedup.Seen(16)
+    key = np.array([1 << 20, 2 << 20, (1 << 20) + (1 << 24)], dtype=np.uint64)  # the last one shares the slot of the first
+    assert [seen.twice(key[:2]).tolist() for _ in range(3)] == [[False, False], [False, False], [True, True]]
+    assert seen.twice(key[2:]).tolist() == [False] and seen.twice(key[:2]).tolist() == [False, True]
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------------
 
 def plain_licenses(text):
@@ -213,7 +231,11 @@ def sets(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def test_jaccard_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("chunk, broadcast, at_once", [(ngram_jaccard.CHUNK, ngram_jaccard.BROADCAST_CLASSES, ngram_jaccard.PAIRS_AT_ONCE), (7, 0, 50)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, chunk, broadcast, at_once):
+    monkeypatch.setattr(ngram_jaccard, "CHUNK", chunk)
+    monkeypatch.setattr(ngram_jaccard, "BROADCAST_CLASSES", broadcast)
+    monkeypatch.setattr(ngram_jaccard, "PAIRS_AT_ONCE", at_once)
     r = random.Random(5)
     texts = [None, "", "one two", "One  two", "one two three"]
     for k in range(12):
@@ -225,6 +247,8 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
             texts.append(" ".join(w))
     base = prose(99, 200).split()
     texts += [" ".join([*base[:i], "z%d" % i, *base[i + 1 :]]) for i in range(0, 60)]
+    shared = prose(98, 60)  # a passage of many texts puts them into common buckets, but links nothing
+    texts += [f"{shared} {prose(3000 + i, 50)}" for i in range(60)]
     own = [sets(t) for t in texts]
     near = lambda a, b: bool(a and b) and len(a & b) >= 0.8 * len(a | b) - 1e-12
     linked = {i: {j for j in range(len(texts)) if i != j and near(own[i], own[j])} for i in range(len(texts))}
@@ -240,20 +264,20 @@ def test_jaccard_equals_brute_force(spark, monkeypatch):
     assert ngram_jaccard.near_duplicates(docs(spark, "a").limit(0)).count() == 0
 
 
-def test_cells_across_chunks_lose_nothing(spark):
-    base = prose(1, 200).split()
-    pdf_rows = []
-    for i in range(40):
-        s = ngram_jaccard.shingles(" ".join([*base[: i * 4], "q", *base[i * 4 + 1 :]]))
-        pdf_rows.append((i, i % 3, ngram_jaccard.signature(s).tobytes(), s.tobytes()))
-    import pandas as pd
-    total = Counter()
-    for a in range(3):
-        for b in range(a, 3):
-            cell = pd.DataFrame([(n, 1, c, a, b, sig, m) for n, c, sig, m in pdf_rows if c in (a, b)], columns=["class", "copies", "chunk", "a", "b", "sig", "members"])
-            for r in ngram_jaccard.join_cell(cell).itertuples():
-                total[r[1]] += r.n_links
-    assert all(total[i] == 39 for i in range(40))
+def test_no_group_is_formed_of_candidates(spark):
+    shared = prose(98, 100)
+    table = docs(spark, *[f"{shared} {prose(3000 + i, 60)}" for i in range(80)])
+    classes = ngram_jaccard.signatures(table).selectExpr("row_no AS class", "n_shingles", "1L AS copies", "sig")
+    placed = ngram_jaccard.cells(classes).join(classes, "class").select(*ngram_jaccard.CELL, "chunk", "class", "n_shingles", "copies", "sig")
+    assert placed.count() > 100 and ngram_jaccard.living_cells(placed).count() < placed.count() / 4
+    assert ngram_jaccard.links(table, classes).count() == 0
+
+
+def test_jaccard_bears_long_texts_and_null_ids(spark):
+    long = prose(1, 150_000)
+    table = docs(spark, long, long + " more", "a b c d e f", "a b c d e f", ids=[None, 9, None, None])
+    rows = Counter((r.doc_id, r.class_id, r.group_size, r.n_links) for r in ngram_jaccard.near_duplicates(table).collect())
+    assert rows == {(9, 9, 2, 1): 1, (None, None, 2, 1): 2, (None, 9, 2, 1): 1}
 
 
 def test_components(spark):
