@@ -19,11 +19,12 @@ Anchors and cores are compared as 64-bit hashes.
 
 Scale: texts are read four times and shuffled only where the lists that join them are no longer small (``BROADCAST_ROWS``,
 ``BROADCAST_ITEMS``). Anchors and tiles cross one exchange each, in which every task streams sorted groups. What repeats within a
-block of texts is known to repeat: it takes a key of its own document and leaves one row under the common key, so a line or passage
-that a third of all texts hold does not gather in one task. Groups of more than ``HOT_TILES`` distinct tiles are not
+block of texts, or within a task, is known to repeat: it takes a key of its own document and leaves one row a block, and two a task, under the common
+key (``Seen``), so a line or passage that a third of all texts hold does not gather in one task. A tile with copies is resolved by that alone and its
+rows are not held. Groups of more than ``HOT_TILES`` distinct tiles are not
 sorted in a task: their strings are counted natively by (key, start, bytes before, bytes after), with partial aggregation.
 
-Cases: null text is empty; texts under 200 bytes keep all bytes; repeated rows are repeats of each other; an empty table gives an
+Cases: null text is empty; very long texts are blocks of their own, whole; texts under 200 bytes keep all bytes; repeated rows are repeats of each other; an empty table gives an
 empty table; other columns are not looked at.
 """
 
@@ -217,8 +218,8 @@ class Block:
             return
         grams = n - GRAM + 1
         hashes = _mix((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[:grams])
-        bits = np.uint64(max(20, int(n).bit_length()))
-        packed = (hashes >> bits << bits) | np.arange(grams, dtype=np.uint64)
+        # the same 32 bits of a hash whatever else the block holds, so equal strings have equal anchors; then the leftmost position
+        packed = (hashes >> np.uint64(32) << np.uint64(32)) | np.arange(grams, dtype=np.uint64)
         # least of every WINDOW neighbours: the least of a block's end and of the next block's beginning
         rows = -(-grams // WINDOW) + 1
         grid = np.full(rows * WINDOW, np.uint64(0xFFFFFFFFFFFFFFFF))
@@ -227,7 +228,7 @@ class Block:
         head = np.minimum.accumulate(grid, axis=1).reshape(-1)
         tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
         least = np.minimum(tail[self.starts], head[self.starts + WINDOW - 1])
-        self.anchor = (least & np.uint64((1 << int(bits)) - 1)).astype(np.int64)
+        self.anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
     def hash(self, at: np.ndarray, length: int) -> np.ndarray:
         return _mix((self.sums[at + length] - self.sums[at]) * self.down[at])
@@ -266,7 +267,7 @@ def equal_texts(rows: DataFrame) -> DataFrame:
 
 
 def _spread(key: np.ndarray, known: np.ndarray, row_no: np.ndarray) -> np.ndarray:
-    """What is known to repeat, but for its first row in the block, is dealt out by its document."""
+    """What is known to repeat and is not needed under its key any more is dealt out by its document."""
     return np.where(known, _mix(row_no.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)), key).view(np.int64)
 
 
@@ -278,10 +279,39 @@ def _repeats(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return counts[where] > 1, later
 
 
+class Seen:
+    """Which keys a task has met in two blocks before; a table of fixed size that may forget, never invent.
+
+    The first two blocks with a key leave it under the key, where they repeat each other, as does any other task's; further ones need not go there, so
+    a task sends two rows a key, however many of its texts hold a line. What is forgotten only costs rows.
+    """
+
+    def __init__(self, slots: int = 1 << 20):
+        self.key, self.times = np.zeros(slots, dtype=np.uint64), np.zeros(slots, dtype=np.uint8)
+
+    def twice(self, key: np.ndarray) -> np.ndarray:
+        """For distinct keys of a block: whether two earlier blocks had them; the block then counts."""
+        at = (key >> np.uint64(20)) & np.uint64(len(self.key) - 1)
+        same = self.key[at] == key
+        out = same & (self.times[at] >= 2)
+        self.times[at] = np.where(same, np.minimum(self.times[at], 254) + 1, 1)
+        self.key[at] = key
+        return out
+
+
+def _needless(key: np.ndarray, later: np.ndarray, seen: Seen) -> np.ndarray:
+    """What need not go under its key: all but the first in its block, and that one if two earlier blocks of the task had the key."""
+    out = later.copy()
+    first = np.flatnonzero(~later)
+    out[first] = seen.twice(key[first])
+    return out
+
+
 def anchors(rows: DataFrame) -> DataFrame:
-    """(key, known, row_no, at) of every anchor of every text; at: its byte position; known: repeated in its block."""
+    """(key, known, row_no, at) of every anchor of every text; at: its byte position; known: repeated in its block or task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             row_no = batch.column(0).to_numpy()
             for first, block in _blocks(_raw(batch.column(1))):
@@ -289,8 +319,9 @@ def anchors(rows: DataFrame) -> DataFrame:
                 text, position = block.text_of[at], block.anchor[at]
                 key, owner = block.hash(position, GRAM), row_no[first + text]
                 known, later = _repeats(key)
+                needless = _needless(key, later, seen)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_spread(key, later, owner)), pa.array(known), pa.array(owner), pa.array((position - block.offsets[text]).astype(np.int32))], names=["key", "known", "row_no", "at"]
+                    [pa.array(_spread(key, needless, owner)), pa.array(known | needless), pa.array(owner), pa.array((position - block.offsets[text]).astype(np.int32))], names=["key", "known", "row_no", "at"]
                 )
 
     return rows.select("row_no", "text").mapInArrow(run, "key long, known boolean, row_no long, at int")
@@ -324,10 +355,11 @@ def tiles(rows: DataFrame) -> DataFrame:
     """(key, before, after, copies, row_no, at) of every tile at one of the row's ``anchors``; at: byte position of the core.
 
     A tile that occurs again in its block, or in a text that occurs again, has two copies; before is null where a
-    tile is dealt out by its document because an earlier one stands for it.
+    tile is dealt out by its document because earlier ones stand for it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = Seen()
         for batch in batches:
             row_no, wanted, copied = batch.column(0).to_numpy(), batch.column(2), batch.column(3).to_numpy(zero_copy_only=False)
             for first, block in _blocks(_raw(batch.column(1))):
@@ -347,6 +379,7 @@ def tiles(rows: DataFrame) -> DataFrame:
                 size = (start[last] + LENGTH - start[head]).astype(np.uint64)
                 whole = _mix((block.sums[start[last] + LENGTH] - block.sums[start[head]]) * block.down[start[head]] + size) ^ key
                 known, later = _repeats(whole)
+                later = _needless(whole, later, seen)
                 owner = row_no[first + text[head]]
                 raw = block.raw
                 low, high, c = ahead[last].tolist(), ahead[head].tolist(), core.tolist()
@@ -369,28 +402,29 @@ RESOLVED = "row_no long, place long, key long, before binary, after binary, copi
 def sort_groups(found: DataFrame, hot_tiles: int = HOT_TILES) -> DataFrame:
     """(row_no, place) of the tiles with repeated starts; place: position of the core and a bit for each start, ``at << 16 | mask``.
 
-    Groups stream through a task in order of their key. Tiles of hot groups come out unresolved, with their bytes and the mask 0.
+    Groups stream through a task in order of their key. Of a tile with copies all starts repeat, so its rows leave at once and only the tile is held;
+    what is held of a group is bounded by ``hot_tiles``. Single tiles of hot groups come out unresolved, with their bytes and the mask 0.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: dict[tuple[bytes, bytes], list] = {}
+        group: dict[tuple[bytes, bytes], tuple[int, int] | None] = {}  # the row of a single tile, None for a tile with copies
         state = {"key": None, "hot": False}
         out: list[tuple] = []
 
-        def emit(members: list[tuple[int, int]], mask: int) -> None:
-            out.extend((row_no, at << 16 | mask, None, None, None, None) for row_no, at in members)
+        def emit(row_no: int, at: int, mask: int) -> None:
+            out.append((row_no, at << 16 | mask, None, None, None, None))
 
-        def unresolved(tile: tuple[bytes, bytes], copies: int, members: list[tuple[int, int]]) -> None:
-            for k, (row_no, at) in enumerate(members):
-                out.append((row_no, at << 16, state["key"], *tile, copies - len(members) + 1 if k == 0 else 1))
+        def unresolved(tile: tuple[bytes, bytes], row: tuple[int, int] | None, copies: int) -> None:
+            # a tile with copies is resolved; it only lends its strings to the others, under no row
+            out.append((row[0] if row else -1, (row[1] if row else 0) << 16, state["key"], *tile, copies))
 
         def close() -> None:
-            if group and not state["hot"]:
+            if len(group) > 1 and not state["hot"]:
                 found = list(group.items())
-                if len(found) > 1 or found[0][1][0] > 1:
-                    for mask, (_, entry) in zip(repeated_starts([(*tile, entry[0]) for tile, entry in found]), found, strict=True):
-                        if mask:
-                            emit(entry[1], mask)
+                masks = repeated_starts([(*tile, 2 if row is None else 1) for tile, row in found])
+                for mask, (_, row) in zip(masks, found, strict=True):
+                    if mask and row is not None:
+                        emit(*row, mask)
             group.clear()
 
         def flush() -> pa.RecordBatch:
@@ -408,18 +442,23 @@ def sort_groups(found: DataFrame, hot_tiles: int = HOT_TILES) -> DataFrame:
                 if key != state["key"]:
                     close()
                     state["key"], state["hot"] = key, False
+                tile, whole = (before, after), (1 << (len(before) + 1)) - (1 << (WIDTH - 1 - len(after)))
+                if copies > 1:
+                    emit(row_no, at, whole)
                 if state["hot"]:
-                    unresolved((before, after), copies, [(row_no, at)])
+                    unresolved(tile, None if copies > 1 else (row_no, at), copies)
                     continue
-                entry = group.get((before, after))
-                if entry is None:
-                    group[before, after] = [copies, [(row_no, at)]]
+                if tile not in group:
+                    group[tile] = None if copies > 1 else (row_no, at)
                 else:
-                    entry[0] += copies
-                    entry[1].append((row_no, at))
+                    if (row := group[tile]) is not None:
+                        emit(*row, whole)
+                    if copies == 1:
+                        emit(row_no, at, whole)
+                    group[tile] = None
                 if len(group) > hot_tiles:
-                    for tile, (n, members) in group.items():
-                        unresolved(tile, n, members)
+                    for own, row in group.items():
+                        unresolved(own, row, 2 if row is None else 1)
                     group.clear()
                     state["hot"] = True
             yield flush()
@@ -438,7 +477,7 @@ def count_hot(tile: DataFrame) -> DataFrame:
     })
     key = ["key", "a", "own_before", "own_after"]
     twice = one.groupBy(*key).agg(F.sum("copies").alias("n")).where("n > 1").select(*key)
-    return one.join(twice, key, "left_semi").groupBy("row_no", "place").agg(F.expr("bit_or(shiftleft(1, cast(a AS int)))").alias("mask")).select("row_no", (F.col("place") + F.col("mask")).alias("place"))
+    return one.where("row_no >= 0").join(twice, key, "left_semi").groupBy("row_no", "place").agg(F.expr("bit_or(shiftleft(1, cast(a AS int)))").alias("mask")).select("row_no", (F.col("place") + F.col("mask")).alias("place"))
 
 
 def merge_starts(places: np.ndarray) -> list[int]:
