@@ -60,6 +60,13 @@ def stable(docs: DataFrame) -> DataFrame:
     return docs if nodes <= _STABLE else materialise(docs)
 
 
+def salted_join(rows: DataFrame, few: DataFrame, key: str, deal: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """``rows`` joined to ``few``, which has a row a key: each goes to ``salts`` tasks, and rows are dealt to them by ``deal``, so a key of very many rows gathers in none."""
+    salt = unused("quarry_salt", [*rows.columns, *few.columns])
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(deal), F.lit(salts)).cast("int"))
+    return dealt.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), [key, salt], how).drop(salt)
+
+
 def unused(name: str, columns: list[str]) -> str:
     """``name``, or a longer one that none of ``columns`` has."""
     taken = {c.lower() for c in columns}

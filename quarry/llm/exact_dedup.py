@@ -10,7 +10,7 @@ which a Bloom filter could not do.
 Scale: the texts are read once and only (doc_id, length, digest) leaves that pass. A digest is
 combined natively, in salted groups, before it meets the index, so that a group of copies holding
 a third of all rows arrives as at most ``SALTS`` rows. The number of shards follows the
-number of rows. The join back to the rows is a plain equi-join that AQE can split.
+number of rows. The join back to the rows is salted in the same way.
 
 Cases: null text counts as empty; all empty texts are one group; of repeated rows exactly one
 stays; a null doc_id loses ties against any other; very long texts are hashed whole; an empty table gives an empty table; other columns
@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, stable, without_rows
+from .common import materialise, read_table, salted_join, stable, without_rows
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SALTS = 16
@@ -234,7 +234,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_
     shards = max(1, -(-digests.count() // rows_per_shard))
     groups = index_digests(digests, shards).where("group_size > 1")
     return (
-        digests.join(groups, "digest", "left")
+        salted_join(digests, groups, "digest", "row_no", "left")
         .select(
             "doc_id",
             F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),

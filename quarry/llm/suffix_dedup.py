@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, stable
+from .common import materialise, read_table, salted_join, stable
 
 LENGTH = 200
 GRAM = 40
@@ -263,7 +263,7 @@ def equal_texts(rows: DataFrame) -> DataFrame:
     """(row_no, representative) of the texts that occur more than once."""
     keys = rows.where("text is not null").select("row_no", F.unhex(F.sha2("text", 256)).alias("k"))
     groups = keys.groupBy("k").agg(F.min("row_no").alias("representative"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    return keys.join(groups, "k").select("row_no", "representative")
+    return salted_join(keys, groups, "k", "row_no").select("row_no", "representative")
 
 
 def _spread(key: np.ndarray, known: np.ndarray, row_no: np.ndarray) -> np.ndarray:

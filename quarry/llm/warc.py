@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, read_table, scratch_dir, stable
+from .common import BROADCAST_ROWS, materialise, read_table, salted_join, scratch_dir, stable
 
 RECORDS_PER_FILE = 50_000
 BYTES_PER_FILE = 128 << 20
@@ -75,7 +75,7 @@ def revisits(digests: DataFrame, min_bytes: int = 0) -> DataFrame:
     first = F.min(F.struct(F.col("page_id").isNull().alias("none"), "page_id", "row_no")).alias("first")
     long = digests.where(F.col("size") >= min_bytes)
     groups = long.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first_page"), F.col("first.row_no").alias("first_row"))
-    return long.join(groups, "digest").where("row_no <> first_row").select("row_no", "first_page", "first_row")
+    return salted_join(long, groups, "digest", "row_no").where("row_no <> first_row").select("row_no", "first_page", "first_row")
 
 
 def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_file: int = RECORDS_PER_FILE, bytes_per_file: int = BYTES_PER_FILE) -> None:
