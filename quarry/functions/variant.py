@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from . import text as T
 
 NUMBERS = "^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)"
-FENCE = r"(?s)```(?:json|JSON)?\s*\n?(.*?)```"
+FENCE = "```"
 
 
 def strict_json(c: Column) -> Column:
@@ -30,7 +30,12 @@ def candidates(raw: Column) -> Column:
     """array<struct<via, text>>: the whole text, each code fence, the slice from the first to the last brace."""
     whole = T.strip(raw)
     entry = lambda via, t: F.struct(F.lit(via).alias("via"), t.alias("text"))
-    fences = F.transform(F.regexp_extract_all(raw, F.lit(FENCE), F.lit(1)), lambda t: entry("code_fence", T.strip(t)))
+    # what stands between fences: every second piece, unless no fence closes it; a language mark is no part of it
+    def bodies(pieces: Column) -> Column:
+        inner = F.filter(pieces, lambda _, i: (i % 2 == 1) & (i < F.size(pieces) - 1))
+        return F.transform(inner, lambda t: entry("code_fence", T.strip(F.when(F.substring(t, 1, 4).isin("json", "JSON"), F.substring(t, F.lit(5), F.char_length(t))).otherwise(t))))
+
+    fences = T.let(F.split(raw, FENCE, -1), bodies)
     return F.concat(F.array(entry("direct", whole)), fences, F.array(entry("brace_slice", F.regexp_extract(whole, r"(?s)\{.*\}", 0))))
 
 

@@ -1,8 +1,9 @@
 """Bootstrap confidence intervals as one job.
 
-A draw depends on (seed, resample, number) only. Rows take positions in the order of their measures, and a draw picks a position, so
-the result does not depend on how rows are partitioned. Draws meet positions in an equi-join; the positions are broadcast up to
-``BROADCAST_POSITIONS``, the draws never, as Spark takes them for as few as the rows they are made of.
+A draw depends on (seed, resample, number) only. Rows with equal measures are one tuple with a count; tuples take ranges of positions in the order of
+their measures, and a draw picks a position, so the result does not depend on how rows are partitioned. Draws meet tuples by bins of
+``BIN`` positions: a tuple stands in every bin that its range touches, so there are as many rows as tuples, and one more for every ``BIN`` rows. These are broadcast up to
+``BROADCAST_TUPLES``, the draws never, as Spark takes them for as few as the rows they are made of.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions.keyed import keyed_hash
 
-BROADCAST_POSITIONS = 1_000_000
+BROADCAST_TUPLES = 1_000_000
+BIN = 1024
 DRAWS_PER_TASK = 1_000_000
 MAX_TASKS = 20_000
 RANGE = 100_000  # numbers that one row is exploded to
@@ -30,16 +32,17 @@ def resampled(values: DataFrame, by: list[str], measures: list[str], n_boot: int
     tuples = values.groupBy(*by, *measures).agg(F.count(F.lit(1)).alias("c"))
     group = Window.partitionBy(*by)
     tuples = tuples.withColumns({"upto": F.sum("c").over(group.orderBy(*measures)), "n": F.sum("c").over(group)})
-    total = values.count()
-    pieces = ranges(tuples, F.col("upto") - F.col("c"), F.col("upto") - 1, [*by, *measures]).repartition(min(MAX_TASKS, -(-total // DRAWS_PER_TASK) or 1), *by, "start")
-    positions = pieces.select(*by, *measures, F.explode(F.sequence("start", "stop")).alias("position"))
-    positions = F.broadcast(positions) if total <= BROADCAST_POSITIONS else positions.hint("shuffle_hash")
+    total, distinct = tuples.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    bins = ranges(tuples.withColumn("first", F.col("upto") - F.col("c")), F.floor(F.col("first") / BIN), F.floor((F.col("upto") - 1) / BIN), [*by, *measures, "first", "upto"])
+    bins = bins.select(*by, *measures, "first", "upto", F.explode(F.sequence("start", "stop")).alias("bin"))
+    bins = F.broadcast(bins) if distinct + total / BIN <= BROADCAST_TUPLES else bins.hint("shuffle_hash")
     tasks = min(MAX_TASKS, -(-total * n_boot // DRAWS_PER_TASK) or 1)
-    draws = tuples.select(*by, "n").distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
+    draws = tuples.groupBy(*by).agg(F.max("n").alias("n")).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
     draws = ranges(draws, F.lit(0), F.col("n") - 1, [*by, "resample", "n"]).repartition(tasks, *by, "resample", "start")
     draws = draws.select(*by, "resample", F.explode(F.sequence("start", "stop")).alias("i"), "n")
-    draws = draws.select(*by, "resample", F.pmod(keyed_hash(str(seed), F.col("resample"), F.col("i")), F.col("n")).alias("position"))
-    return draws.join(positions, [*by, "position"]).groupBy(*by, "resample").agg(F.coalesce(statistic, F.lit(0.0)).cast("double").alias("value"))
+    draws = draws.select(*by, "resample", F.pmod(keyed_hash(str(seed), F.col("resample"), F.col("i")), F.col("n")).alias("position")).withColumn("bin", F.floor(F.col("position") / BIN))
+    met = draws.join(bins, [*by, "bin"]).where((F.col("first") <= F.col("position")) & (F.col("position") < F.col("upto")))
+    return met.groupBy(*by, "resample").agg(F.coalesce(statistic, F.lit(0.0)).cast("double").alias("value"))
 
 
 def interval(resamples: DataFrame, by: list[str], n_boot: int, alpha: float = 0.05) -> DataFrame:

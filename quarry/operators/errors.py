@@ -113,15 +113,25 @@ def _size_judge(f: str):
     )
 
 
+MAX_MODELS = 1000
+
+
+def for_each_model(rows: DataFrame, predictions: DataFrame) -> DataFrame:
+    """``rows`` once for each model of ``predictions``, of which there are ``MAX_MODELS`` at most."""
+    names = [r.model for r in predictions.select("model").distinct().limit(MAX_MODELS + 1).collect()]
+    if len(names) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models")
+    return rows.withColumn("model", F.explode(F.array(*map(F.lit, sorted(names))) if names else F.array().cast("array<string>")))
+
+
 def categorize(predictions: DataFrame, gold: DataFrame, spec: RecordSpec = RESUME, keep: list[str] | None = None) -> DataFrame:
     """One row for each model and gold record; a missing prediction counts as an empty output.
 
     predictions: model, id, raw_output, one row for each; gold: id, gold (VARIANT) and the columns ``keep``. Columns: model, id, keep, json_valid,
     schema_valid, categories (in order of priority), primary_category, details.
     """
-    models = F.broadcast(predictions.select("model").distinct())
     outputs = predictions.select("model", "id", "raw_output")
-    rows = gold.crossJoin(models).join(outputs, ["model", "id"], "left").withColumn("raw_output", F.coalesce("raw_output", F.lit("")))
+    rows = for_each_model(gold, predictions).join(outputs, ["model", "id"], "left").withColumn("raw_output", F.coalesce("raw_output", F.lit("")))
     checked = check_schema(parse_outputs(rows), spec)
     found = (
         F.when(~F.col("json_valid"), _note(F.lit(True), "malformed_json", F.col("error"))).when(~F.col("is_object"), _note(F.lit(True), "malformed_json", "valid JSON but not an object"))

@@ -14,6 +14,7 @@ from .normalize import empty_fields, normal_record, records_equal
 from .parse import check_schema, parse_outputs
 
 RATES = ["precision", "recall", "f1", "exact_match", "json_validity", "schema_validity", "unsupported_rate", "missing_rate"]
+HEADLINE = [*RATES, "latency_mean", "latency_p50", "latency_p95", "output_chars_mean"]
 
 
 def gold_variants(gold: DataFrame, target_col: str = "target") -> DataFrame:
@@ -113,14 +114,24 @@ def sliced(examples: DataFrame, slices: list[str]) -> DataFrame:
     return examples.groupingSets(sets, "model", *slices).agg(*_measures())
 
 
+SLICES = 256
+
+
 def nearest_rank(values: DataFrame, by: list[str], value_col: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles: rank round-half-even(p * n + 0.5), within 1 and n.
 
-    Values are counted first, so the window runs over distinct values and not over rows.
+    Values are counted first. Each group is then cut at approximate quantiles, which decide only where; counts by slice tell which
+    slice holds a rank, and no window sees more than the values of one slice, so a group of any size spreads over tasks.
     """
     counts = values.where(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("c"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = counts.withColumns({"upto": F.sum("c").over(group.orderBy(value_col)), "n": F.sum("c").over(group)})
+    cuts = counts.groupBy(*by).agg(F.percentile_approx(value_col, [k / SLICES for k in range(1, SLICES)], 10_000).alias("cuts"))
+    counts = counts.join(F.broadcast(cuts), by) if by else counts.crossJoin(F.broadcast(cuts))  # one row a group
+    counts = counts.withColumn("slice", F.size(F.filter("cuts", lambda x: x < F.col(value_col)))).drop("cuts")
+    slices = counts.groupBy(*by, "slice").agg(F.sum("c").alias("s"))
+    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy("slice")
+    slices = slices.withColumns({"before": F.sum("s").over(order) - F.col("s"), "n": F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+    inside = Window.partitionBy(*by, "slice").orderBy(value_col)
+    ranked = counts.join(slices.drop("s"), [*by, "slice"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
     out = [F.max("n").alias("samples")]
     for name, p in shares.items():
         rank = F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.lit(p) * F.col("n") + 0.5, 0).cast("long")))
@@ -128,11 +139,22 @@ def nearest_rank(values: DataFrame, by: list[str], value_col: str, shares: dict[
     return ranked.groupBy(*by).agg(*out)
 
 
+def output_length(outputs: DataFrame, by: list[str], raw_col: str = "raw_output") -> DataFrame:
+    """Mean characters of the raw outputs, 0 for an absent one."""
+    return outputs.groupBy(*by).agg(F.avg(F.char_length(F.coalesce(F.col(raw_col), F.lit("")))).alias("mean_chars"))
+
+
 def latency(examples: DataFrame, by: list[str]) -> DataFrame:
     """latency p50, p95 and the number of samples."""
     return nearest_rank(examples, by, "latency_ms", {"latency_p50": 0.5, "latency_p95": 0.95})
 
 
+def headline_table(examples: DataFrame, base: str = "base", tuned: str = "finetuned") -> DataFrame:
+    """metric, base, finetuned, delta, partial for every rate and for mean, median and 95th percentile of the latency."""
+    rows = headline(examples, ["model"]).join(latency(examples, ["model"]).drop("samples"), "model", "left")
+    return compare_metrics(rows, HEADLINE, base, tuned)
+
+
 def metric_rows(table: DataFrame, metrics: list[str]) -> DataFrame:
     """model, metric, value."""
     return table.unpivot(["model"], metrics, "metric", "value")

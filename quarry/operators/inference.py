@@ -81,6 +81,8 @@ def run_inference(examples: DataFrame, path: str, settings: dict[str, str], load
         raise StaleCache("stored predictions have another fingerprint; use force")
     todo = pending(examples, done) if done is not None and mode == "resume" else examples
     top = 0 if done is None else done.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-    rows = score(todo, load).select("*", F.lit(top).cast("long").alias("seq"), F.lit(mark).alias("fingerprint"))
+    # rows of a run are numbered, so of an id that occurs twice in it one is the last; a later run begins above them
+    number = F.lit(top).cast("long") + F.monotonically_increasing_id()
+    rows = score(todo, load).select("*", number.alias("seq"), F.lit(mark).alias("fingerprint"))
     rows.write.mode("overwrite" if mode == "force" or done is None else "append").parquet(path)
     return latest(spark.read.parquet(path)).join(examples.select(F.col("id").cast("string").alias("id")), "id", "left_semi").orderBy("id")

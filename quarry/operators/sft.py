@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.keyed import keyed_hash
 
 IGNORED = -100
 TRAINABLE = ("train", "validation")
@@ -29,7 +30,7 @@ def canonical_target(record: Column, ddl: str, pretty: bool = False) -> Column:
 
 def word_ids(vocabulary: int = 1 << 20) -> Callable[[Column], Column]:
     """A tokenizer of native expressions: a word's id is a hash below ``vocabulary``."""
-    return lambda c: F.transform(F.filter(F.split(T.strip(c), r"(?U)\s+"), lambda w: w != ""), lambda w: F.pmod(F.crc32(w), F.lit(vocabulary)).cast("int"))
+    return lambda c: F.transform(F.filter(F.split(T.strip(c), r"(?U)\s+"), lambda w: w != ""), lambda w: (keyed_hash(w) % vocabulary).cast("int"))
 
 
 def encode_with(rows: DataFrame, text_col: str, out_col: str, load: Callable[[], Callable[[list[str]], list[list[int]]]]) -> DataFrame:

@@ -34,6 +34,7 @@ def _rule(bad: Column, rule: str, severity: str = "error") -> Column:
 def row_violations(examples: DataFrame, schema_version: str = "1.0") -> DataFrame:
     """severity, rule, split, id of every broken row rule; a row without id is reported for that alone."""
     rules = F.concat(
+        *(_rule(F.col(c).isNull(), f"missing_{c}") for c in ("text", "record_key", "template_id", "difficulty", "split", "seed") if c in examples.columns),
         _rule(T.strip(F.col("text")) == "", "blank_text"), _rule(~F.col("schema_valid"), "target_schema"), _rule(F.col("split") != F.col("file_split"), "split_differs_from_file"),
         _rule(~F.col("difficulty").isin(*DIFFICULTIES), "unknown_difficulty"), _rule(F.col("schema_version") != schema_version, "schema_version"),
         # an unknown template is left to the leakage rule
@@ -107,7 +108,7 @@ def violations(examples: DataFrame, schema_version: str = "1.0") -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """severity, rule, n, and ok: whether there is no error at all."""
-    rows = found.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))
-    errors = rows.agg(F.coalesce(F.sum(F.when(F.col("severity") == "error", F.col("n"))), F.lit(0)).alias("errors"))
-    return errors.join(rows, F.lit(True), "left").select("severity", "rule", F.coalesce("n", F.lit(0)).alias("n"), (F.col("errors") == 0).alias("ok"))
+    """severity, rule, n, and ok: whether there is no error at all; one row of nulls and 0 where nothing was found."""
+    rows = found.groupBy("severity", "rule").agg(F.count(F.lit(1)).alias("n"))  # as many rows as there are rules
+    whole = rows.agg(F.collect_list(F.struct("severity", "rule", "n")).alias("rows"), F.coalesce(F.bool_or(F.col("severity") == "error"), F.lit(False)).alias("bad"))
+    return whole.select((~F.col("bad")).alias("ok"), F.inline_outer("rows")).select("severity", "rule", F.coalesce("n", F.lit(0)).alias("n"), "ok")

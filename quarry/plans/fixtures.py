@@ -64,22 +64,46 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+BUCKETS = 22
+
+
 def predictions(spark: SparkSession, sf_dir: str, records: DataFrame | None = None) -> DataFrame:
-    """model, id, seq, raw_output, latency_ms: gold JSON with one edit by bucket; some outputs are missing."""
+    """model, id, seq, raw_output, latency_ms: gold JSON with one edit by bucket; some outputs are missing.
+
+    0 plain, 1 fenced, 2 prose around, 3 cut off, 4 prose only, 5 no email, 6 other name, 7 one skill more, 8 unknown key, 9 dates spelled, 10 newest job at
+    another company, 11 no education, 12 a made-up location, 13 no skills, 14 skills as a text, 15 phone spelled, 16 grade spelled and years as texts, 17 newest job twice,
+    18 name as a number, 19 a text among the certificates, 20 a year that is none, 21 flags that are none. The tuned model has 0 in place of 3, 4 and 8.
+    """
     rows = (gold(spark, sf_dir) if records is None else records).withColumn("model", F.explode(F.array(*map(F.lit, MODELS))))
     ident, model = F.col("id"), F.col("model")
-    b = (_h(model, "|", ident) % 10).cast("int")
+    b = (_h(model, "|", ident) % BUCKETS).cast("int")
     rows = rows.where(_h("x", model, ident) % 50 != 0).withColumn("b", F.when((model == "finetuned") & b.isin(3, 4, 8), 0).otherwise(b))
-    t = F.col("target")
+    t, jobs, phone = F.col("target"), F.col("target.experience"), F.col("target.phone")
+    cut = lambda c, at, n: F.substring(c, at, n)
     spelled = lambda d: F.date_format(F.to_date(F.concat(d, F.lit("-01"))), "MMM yyyy")
-    edited = (
-        F.when(F.col("b") == 5, t.withField("email", F.lit(None).cast("string")))
-        .when(F.col("b") == 6, t.withField("name", F.concat(F.lit("Not "), t["name"])))
-        .when(F.col("b") == 7, t.withField("skills", F.concat(t["skills"], F.array(F.lit("EXTRA SKILL")))))
-        .when(F.col("b") == 9, t.withField("experience", F.transform(t["experience"], lambda j: j.withField("start_date", spelled(j["start_date"])).withField("end_date", spelled(j["end_date"])))))
-        .otherwise(t)
-    )
-    json = F.to_json(edited, {"ignoreNullFields": "false"})
+    newest = lambda change: F.transform(jobs, lambda j, i: F.when(i == 0, change(j)).otherwise(j))
+    edits = {  # of the same type as the record
+        5: t.withField("email", F.lit(None).cast("string")), 6: t.withField("name", F.concat(F.lit("Not "), t["name"])), 7: t.withField("skills", F.concat(t["skills"], F.array(F.lit("EXTRA SKILL")))),
+        9: t.withField("experience", F.transform(jobs, lambda j: j.withField("start_date", spelled(j["start_date"])).withField("end_date", spelled(j["end_date"])))),
+        10: t.withField("experience", newest(lambda j: j.withField("company", F.lit("Other Ltd")))), 11: t.withField("education", F.slice(t["education"], 1, 0)), 12: t.withField("location", F.lit("Nowhere")),
+        13: t.withField("skills", F.slice(t["skills"], 1, 0)), 15: t.withField("phone", F.concat(F.lit("+91 ("), cut(phone, 5, 5), F.lit(") "), cut(phone, 10, 2), F.lit("."), cut(phone, 12, 3))),
+        17: t.withField("experience", F.concat(F.slice(jobs, 1, 1), jobs)),
+    }
+    studied = lambda change: t.withField("education", F.transform(t["education"], change))
+    retyped = {
+        14: t.withField("skills", F.lit("Python")), 18: t.withField("name", F.lit(5)), 19: t.withField("certifications", F.array(F.lit("x"))), 20: studied(lambda e: e.withField("start_year", F.lit("20x8"))),
+        16: studied(lambda e: e.withField("start_year", e["start_year"].cast("string")).withField("grade", F.concat(F.lit("CGPA: "), e["grade"], F.lit("/10")))),
+        21: t.withField("experience", F.transform(jobs, lambda j: j.withField("current", F.lit("maybe")))),
+    }
+    edited = t
+    for k, change in edits.items():
+        edited = F.when(F.col("b") == k, change).otherwise(edited)
+    text = lambda c: F.to_json(c, {"ignoreNullFields": "false"})
+    json = text(edited)
+    for k, change in retyped.items():
+        json = F.when(F.col("b") == k, text(change)).otherwise(json)
+    rows = rows.withColumn("json", json)
+    json = F.col("json")
     raw = (
         F.when(F.col("b") == 1, F.concat(F.lit("```json\n"), json, F.lit("\n```"))).when(F.col("b") == 2, F.concat(F.lit("Here is the record:\n"), json, F.lit("\nThat is all.")))
         .when(F.col("b") == 3, F.substring(json, F.lit(1), F.char_length(json) - 1)).when(F.col("b") == 4, "I could not find a record in this text.")
@@ -109,27 +133,25 @@ g0 AS (
 #: the outcome of each prediction by its bucket b, with tp, fp and fn by field
 PRED_SQL = f"""{GOLD_SQL}, m(model) AS (VALUES ('base'), ('finetuned')
 ), p0 AS (
-  SELECT model, g.*, {_H("model || '|' || id")} % 10 AS b0, CAST({_H("'l' || model || id")} % 5000 AS DOUBLE) AS latency_ms
+  SELECT model, g.*, {_H("model || '|' || id")} % {BUCKETS} AS b0, CAST({_H("'l' || model || id")} % 5000 AS DOUBLE) AS latency_ms
   FROM m, g WHERE {_H("'x' || model || id")} % 50 <> 0
 ), p AS (
   SELECT *, CASE WHEN model = 'finetuned' AND b0 IN (3, 4, 8) THEN 0 ELSE b0 END AS b FROM p0
-), e AS (
-  SELECT *, b NOT IN (3, 4) AS json_valid, b NOT IN (3, 4, 8) AS schema_valid,
-    b IN (0, 1, 2, 8, 9) OR (b = 5 AND em = 0) AS exact_match,
-    nm + em + ph + lo + su + sk + ed + ex + pr + ce AS units,
-    nm + em + ph + lo + su + CASE WHEN sk > 0 THEN 1 ELSE 0 END + ed + CASE WHEN ex > 0 THEN 1 ELSE 0 END + pr + ce AS filled
-  FROM p
-), t AS (
-  SELECT *, CASE WHEN b IN (3, 4) THEN 0 WHEN b = 5 THEN units - em WHEN b = 6 THEN units - 1 ELSE units END AS tp,
-    CASE WHEN b IN (6, 7) THEN 1 ELSE 0 END AS fp,
-    CASE WHEN b IN (3, 4) THEN units WHEN b = 5 THEN em WHEN b = 6 THEN 1 ELSE 0 END AS fn,
-    CASE WHEN b IN (3, 4) THEN filled WHEN b = 5 THEN em ELSE 0 END AS missing
-  FROM e
+), fu AS (
+  SELECT *, unnest(['name', 'email', 'phone', 'location', 'summary', 'skills', 'education', 'experience', 'projects', 'certifications']) AS field,
+    unnest([nm, em, ph, lo, su, sk, ed, ex, pr, ce]) AS u FROM p
 ), f AS (
-  SELECT model, id, field, b, u,
-    CASE WHEN b IN (3, 4) OR (b = 5 AND field = 'email') OR (b = 6 AND field = 'name') THEN 0 ELSE u END AS tp,
-    CASE WHEN (b = 6 AND field = 'name') OR (b = 7 AND field = 'skills') THEN 1 ELSE 0 END AS fp,
-    CASE WHEN b IN (3, 4) OR (b = 5 AND field = 'email') OR (b = 6 AND field = 'name') THEN u ELSE 0 END AS fn
-  FROM (SELECT model, id, b, unnest(['name', 'email', 'phone', 'location', 'summary', 'skills', 'education', 'experience', 'projects', 'certifications']) AS field,
-    unnest([nm, em, ph, lo, su, sk, ed, ex, pr, ce]) AS u FROM t)
+  SELECT *,
+    CASE WHEN b IN (3, 4) THEN 0 WHEN b || field IN ('5email', '6name', '11education', '12location', '13skills', '14skills', '18name', '19certifications', '20education') THEN 0
+      WHEN b || field IN ('10experience', '21experience') THEN greatest(u - 1, 0) ELSE u END AS tp,
+    CASE WHEN b || field IN ('6name', '7skills', '12location', '14skills', '18name', '19certifications', '20education') THEN 1
+      WHEN b || field IN ('10experience', '17experience', '21experience') THEN least(u, 1) ELSE 0 END AS fp,
+    CASE WHEN b IN (3, 4) OR b || field IN ('5email', '6name', '11education', '12location', '13skills') THEN u
+      WHEN b || field IN ('10experience', '14skills', '18name', '19certifications', '20education', '21experience') THEN least(u, 1) ELSE 0 END AS fn,
+    b IN (3, 4) OR (u = 0 AND b || field NOT IN ('12location', '19certifications')) OR b || field IN ('5email', '11education', '13skills') AS void
+  FROM fu
+), t AS (
+  SELECT model, id, template_id, difficulty, split, b, ex, lo, em, latency_ms, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) FILTER (u > 0 AND void) AS missing, count(*) FILTER (u > 0) AS filled,
+    b NOT IN (3, 4) AS json_valid, b NOT IN (3, 4, 8, 14, 18, 19, 20) AND NOT (b = 21 AND ex > 0) AS schema_valid, b NOT IN (3, 4) AND sum(fp) + sum(fn) = 0 AS exact_match
+  FROM f GROUP BY model, id, template_id, difficulty, split, b, ex, lo, em, latency_ms
 )"""

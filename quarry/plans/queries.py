@@ -114,19 +114,35 @@ def a7_event_percentiles(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.nearest_rank(read(spark, d, "events"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
 
 
-@query("a8_output_length")
+@query("a8_output_length", "SELECT source, lang, avg(length(coalesce(text, ''))) AS mean_chars FROM documents GROUP BY ALL")
 def a8_output_length(spark: SparkSession, d: str) -> DataFrame:
-    return _predictions(spark, d).groupBy("model").agg(F.avg(F.char_length(F.coalesce("raw_output", F.lit("")))).alias("mean_chars"))
+    """Texts stand for outputs here, as another engine does not build the outputs' JSON."""
+    return evaluate.output_length(read(spark, d, "documents"), ["source", "lang"], "text")
+
+
+_RANKED = """r AS (SELECT model, latency_ms, row_number() OVER (PARTITION BY model ORDER BY latency_ms) AS k, count(*) OVER (PARTITION BY model) AS n FROM t),
+ l AS (SELECT model, avg(latency_ms) AS latency_mean, min(latency_ms) FILTER (k >= greatest(1, least(n, round_even(0.5 * n + 0.5, 0)))) AS latency_p50,
+  min(latency_ms) FILTER (k >= greatest(1, least(n, round_even(0.95 * n + 0.5, 0)))) AS latency_p95 FROM r GROUP BY model)"""
+_DELTAS = """SELECT metric, max(v) FILTER (model = 'base') AS base, max(v) FILTER (model = 'finetuned') AS finetuned, max(v) FILTER (model = 'finetuned') - max(v) FILTER (model = 'base') AS delta,
+  count(DISTINCT model) < 2 AS partial FROM u GROUP BY metric"""
+_TIMED = "latency_mean, latency_p50, latency_p95"
 
 
 _METRICS = ", ".join(evaluate.RATES)
 
 
-@query("a10_deltas", f"""WITH {PRED_SQL}, h AS (SELECT model, {_MEASURES} FROM t GROUP BY model), u AS (UNPIVOT h ON {_METRICS} INTO NAME metric VALUE v)
-SELECT metric, max(v) FILTER (model = 'base') AS base, max(v) FILTER (model = 'finetuned') AS finetuned, max(v) FILTER (model = 'finetuned') - max(v) FILTER (model = 'base') AS delta,
-  count(DISTINCT model) < 2 AS partial FROM u GROUP BY metric""")
+@query("a10_deltas", f"""WITH {PRED_SQL}, {_RANKED}, h AS (SELECT model, {_MEASURES} FROM t GROUP BY model), j AS (SELECT * FROM h JOIN l USING (model)),
+ u AS (UNPIVOT j ON {_METRICS}, {_TIMED} INTO NAME metric VALUE v) {_DELTAS}""")
 def a10_deltas(spark: SparkSession, d: str) -> DataFrame:
-    return evaluate.compare_metrics(evaluate.headline(_examples(spark, d), ["model"]))
+    return evaluate.headline_table(_examples(spark, d)).where("metric <> 'output_chars_mean'")
+
+
+# outputs are texts here, as another engine can measure them; the other ten rows are those of a10_deltas
+@query("a11_output_length_row", """WITH h AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'finetuned' END AS model, avg(length(coalesce(text, ''))) AS v FROM documents GROUP BY ALL)
+SELECT 'mean_chars' AS metric, max(v) FILTER (model = 'base') AS base, max(v) FILTER (model = 'finetuned') AS finetuned, max(v) FILTER (model = 'finetuned') - max(v) FILTER (model = 'base') AS delta, false AS partial FROM h""")
+def a11_output_length_row(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, "base").otherwise("finetuned").alias("model"), "text")
+    return evaluate.compare_metrics(evaluate.output_length(rows, ["model"], "text"), ["mean_chars"])
 
 
 @query("c3_partial", f"""WITH {PRED_SQL}, h AS (SELECT model, {_MEASURES} FROM t WHERE model = 'base' GROUP BY model), u AS (UNPIVOT h ON {_METRICS} INTO NAME metric VALUE v)
@@ -155,7 +171,12 @@ def p2_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return parse.parse_outcomes(parse.parse_outputs(_predictions(spark, d)), ["model"])
 
 
-@query("p3_schema", f"""WITH {PRED_SQL} SELECT model, schema_valid, CASE WHEN b = 8 THEN 'extra: unknown key' WHEN b IN (3, 4) THEN 'not an object' END AS schema_error, count(*) AS n FROM t GROUP BY ALL""")
+_MESSAGES = """CASE WHEN b IN (3, 4) THEN 'not an object' WHEN b = 8 THEN 'extra: unknown key' WHEN b = 14 THEN 'skills: not a list of strings' WHEN b = 18 THEN 'name: not a string'
+  WHEN b = 19 THEN 'certifications.0. not an object' WHEN b = 20 THEN 'education.0.start_year: not an integer'
+  WHEN b = 21 AND ex > 0 THEN array_to_string(list_transform(range(ex), lambda i: 'experience.' || i || '.current: not a boolean'), '; ') END"""
+
+
+@query("p3_schema", f"WITH {PRED_SQL} SELECT model, schema_valid, {_MESSAGES} AS schema_error, count(*) AS n FROM t GROUP BY ALL")
 def p3_schema(spark: SparkSession, d: str) -> DataFrame:
     rows = parse.check_schema(parse.parse_outputs(_predictions(spark, d)))
     return rows.groupBy("model", "schema_valid", "schema_error").agg(F.count(F.lit(1)).alias("n"))
@@ -172,18 +193,20 @@ def j7_multiset_join(spark: SparkSession, d: str) -> DataFrame:
 # --- error analysis and comparison ------------------------------------------------------------------------------------------
 
 _CATEGORY = f"""{PRED_SQL}, c AS (
-  SELECT m.model, g.id, g.difficulty, t.b, CASE WHEN t.b IS NULL OR t.b IN (3, 4) THEN 'malformed_json' WHEN t.b = 8 THEN 'schema_violation' WHEN t.b = 5 AND g.em = 1 THEN 'missing_field' WHEN t.b = 6 THEN 'wrong_value'
-    WHEN t.b = 7 THEN 'unsupported_value' WHEN t.b = 9 AND g.ex > 0 THEN 'date_normalization_error' ELSE 'none' END AS category
+  SELECT m.model, g.id, g.difficulty, CASE WHEN t.b IS NULL OR t.b IN (3, 4) THEN ['malformed_json'] WHEN NOT t.schema_valid THEN ['schema_violation'] WHEN t.b = 5 AND g.em = 1 THEN ['missing_field']
+    WHEN t.b = 6 THEN ['wrong_value'] WHEN t.b = 7 THEN ['unsupported_value'] WHEN t.b = 9 AND g.ex > 0 THEN ['date_normalization_error'] WHEN t.b = 10 AND g.ex > 0 THEN ['section_association_error']
+    WHEN t.b = 11 THEN ['list_item_error', 'missing_field', 'under_extraction'] WHEN t.b = 12 AND g.lo = 1 THEN ['wrong_value'] WHEN t.b = 12 THEN ['unsupported_value', 'over_extraction']
+    WHEN t.b = 13 THEN ['missing_field', 'under_extraction'] WHEN t.b = 17 AND g.ex > 0 THEN ['list_item_error', 'unsupported_value'] ELSE [] END AS categories, coalesce(categories[1], 'none') AS category
   FROM m CROSS JOIN g LEFT JOIN t ON t.model = m.model AND t.id = g.id)"""
 
 
-@query("e8_categories", f"WITH {_CATEGORY} SELECT model, id, category AS primary_category, CASE WHEN category = 'none' THEN '' ELSE category END AS categories FROM c")
+@query("e8_categories", f"WITH {_CATEGORY} SELECT model, id, category AS primary_category, array_to_string(categories, ',') AS categories FROM c")
 def e8_categories(spark: SparkSession, d: str) -> DataFrame:
     return _categorized(spark, d).select("model", "id", "primary_category", F.array_join("categories", ",").alias("categories"))
 
 
 @query("a13_error_summary", f"""WITH {_CATEGORY}, n AS (SELECT unnest({[*errors.CATEGORIES, "none"]}) AS category, unnest(range(0, {len(errors.CATEGORIES) + 1})) AS position),
- x AS (SELECT model, category, count(*) AS k FROM c WHERE category <> 'none' GROUP BY ALL), s AS (SELECT model, count(*) AS total FROM c GROUP BY model)
+ y AS (SELECT model, unnest(categories) AS category FROM c), x AS (SELECT model, category, count(*) AS k FROM y GROUP BY ALL), s AS (SELECT model, count(*) AS total FROM c GROUP BY model)
 SELECT position, n.category, s.model, coalesce(k, 0) AS n, coalesce(k, 0) / total AS share FROM n CROSS JOIN s LEFT JOIN x ON x.model = s.model AND x.category = n.category""")
 def a13_error_summary(spark: SparkSession, d: str) -> DataFrame:
     return errors.summary(_categorized(spark, d))
@@ -195,9 +218,9 @@ def a14_error_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f5_error_filter", f"""WITH {_CATEGORY} SELECT id, difficulty, max(category) FILTER (model = 'base') AS base, max(category) FILTER (model = 'finetuned') AS finetuned
-FROM c WHERE difficulty = 'easy' GROUP BY id, difficulty HAVING count(*) FILTER (category = 'wrong_value') > 0""")
+FROM c WHERE difficulty = 'easy' GROUP BY id, difficulty HAVING count(*) FILTER (list_contains(categories, 'missing_field')) > 0""")
 def f5_error_filter(spark: SparkSession, d: str) -> DataFrame:
-    rows = errors.with_category(errors.paired(_categorized(spark, d), ["difficulty"]), "wrong_value", "easy")
+    rows = errors.with_category(errors.paired(_categorized(spark, d), ["difficulty"]), "missing_field", "easy")
     return rows.select("id", "difficulty", F.col("base.primary_category").alias("base"), F.col("finetuned.primary_category").alias("finetuned"))
 
 
@@ -223,10 +246,10 @@ def e10_representatives(spark: SparkSession, d: str) -> DataFrame:
     return errors.representatives(errors.paired(_categorized(spark, d)), scores)
 
 
-@query("c2_agreement", f"""WITH {PRED_SQL}, v AS (SELECT g.id, unnest({list(RESUME.fields)}) AS field, unnest([nm, em, ph, lo, su, sk, ed, ex, pr, ce]) AS u FROM g),
- w AS (SELECT v.*, b.b AS bb, t.b AS tb FROM v LEFT JOIN t b ON b.id = v.id AND b.model = 'base' LEFT JOIN t t ON t.id = v.id AND t.model = 'finetuned' WHERE b.b IS NOT NULL OR t.b IS NOT NULL),
- x AS (SELECT field, CASE WHEN bb IS NULL OR bb IN (3, 4, 8) OR u = 0 OR (bb = 5 AND field = 'email') THEN '' WHEN bb = 6 AND field = 'name' THEN 'not' WHEN bb = 7 AND field = 'skills' THEN 'more' ELSE 'gold' END AS bv,
-  CASE WHEN tb IS NULL OR u = 0 OR (tb = 5 AND field = 'email') THEN '' WHEN tb = 6 AND field = 'name' THEN 'not' WHEN tb = 7 AND field = 'skills' THEN 'more' ELSE 'gold' END AS tv FROM w)
+@query("c2_agreement", f"""WITH {PRED_SQL}, w AS (
+  SELECT f.model, f.id, f.field, CASE WHEN NOT schema_valid OR void THEN '' WHEN f.b || field IN ('6name', '7skills', '12location') THEN 'own' WHEN f.b || field IN ('10experience', '17experience') THEN 'own' || f.b ELSE 'gold' END AS v
+  FROM f JOIN t USING (model, id)
+), x AS (SELECT id, field, coalesce(max(v) FILTER (model = 'base'), '') AS bv, coalesce(max(v) FILTER (model = 'finetuned'), '') AS tv FROM w GROUP BY ALL)
 SELECT field, CASE WHEN bv = '' AND tv = '' THEN 'both_empty' WHEN tv = '' THEN 'only_base' WHEN bv = '' THEN 'only_finetuned' WHEN bv = tv THEN 'match' ELSE 'differs' END AS relation, count(*) AS n FROM x GROUP BY ALL""")
 def c2_agreement(spark: SparkSession, d: str) -> DataFrame:
     return compare.agreement(compare.field_relations(_predictions(spark, d)))
@@ -234,27 +257,36 @@ def c2_agreement(spark: SparkSession, d: str) -> DataFrame:
 
 # --- bootstrap ------------------------------------------------------------------------------------------------------------
 
-@query("b1_bootstrap", f"""WITH v AS (SELECT quality FROM labels), n AS (SELECT count(*) AS n, count(*) FILTER (quality = 0) AS z FROM v), d AS (SELECT b, i FROM range(20) r(b), n, unnest(range(n)) u(i)),
- s AS (SELECT b, avg(CASE WHEN {fixtures._H("'43|' || b || '|' || i")} % n < z THEN 0 ELSE 1 END) AS value FROM d, n GROUP BY b), k AS (SELECT value, row_number() OVER (ORDER BY value) - 1 AS r FROM s)
-SELECT 'quality' AS metric, (SELECT avg(quality) FROM v) AS point, max(value) FILTER (r = 0) AS low, max(value) FILTER (r = 19) AS high FROM k""")
-def b1_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return _quality_interval(spark, d, n_boot=20)
+N_BOOT = 1000
 
 
-@query("b1_bootstrap_1000")
-def b1_bootstrap_1000(spark: SparkSession, d: str) -> DataFrame:
-    """The interval proper: of the 20 resamples above, low and high are the least and the greatest."""
-    return _quality_interval(spark, d, n_boot=1000)
+def _resamples(metric: str, source: str, order: str, value: str, seed: int, by: str = "model") -> str:
+    """Point and 95 % interval of a metric by resamples: draws pick positions in the order of the measures."""
+    return f"""SELECT {by}, '{metric}' AS metric, any_value(point) AS point, max(value) FILTER (r = {int(0.025 * N_BOOT)}) AS low, max(value) FILTER (r = {min(N_BOOT - 1, int(0.975 * N_BOOT))}) AS high FROM (
+  WITH o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS pos FROM {source}), n AS (SELECT {by}, count(*) AS n, {value} AS point FROM o GROUP BY {by}),
+   d AS (SELECT {by}, n, point, draw, unnest(range(n)) AS i FROM n, range({N_BOOT}) r(draw)), e AS (SELECT {by}, point, draw, {fixtures._H(f"'{seed}|' || draw || '|' || i")} % n AS pos FROM d),
+   s AS (SELECT {by}, point, draw, {value} AS value FROM e JOIN o USING ({by}, pos) GROUP BY {by}, point, draw)
+  SELECT {by}, point, value, row_number() OVER (PARTITION BY {by} ORDER BY value) - 1 AS r FROM s) GROUP BY {by}"""
 
 
-def _quality_interval(spark: SparkSession, d: str, n_boot: int) -> DataFrame:
+@query("b1_bootstrap", f"SELECT * EXCLUDE k FROM ({_resamples('quality', '(SELECT 1 AS k, quality FROM labels)', 'quality', 'avg(quality)', 43, 'k')})")
+def b1_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "labels").select(F.lit("quality").alias("metric"), "quality")
-    return bootstrap.confidence(rows, ["metric"], ["quality"], F.avg("quality"), n_boot=n_boot, seed=43)
+    return bootstrap.confidence(rows, ["metric"], ["quality"], F.avg("quality"), n_boot=N_BOOT, seed=43)
+
 
+@query("b2_ratio_of_sums", "SELECT * EXCLUDE k FROM (" + _resamples(
+    "toxic share", "(SELECT 1 AS k, toxic, toxic + quality AS marks FROM labels)", "toxic, marks", _R("sum(toxic)", "sum(marks)"), 7, "k") + ")")
+def b2_ratio_of_sums(spark: SparkSession, d: str) -> DataFrame:
+    rows = read(spark, d, "labels").select(F.lit("toxic share").alias("metric"), "toxic", (F.col("toxic") + F.col("quality")).alias("marks"))
+    return bootstrap.confidence(rows, ["metric"], ["toxic", "marks"], bootstrap.ratio_of_sums("toxic", "marks"), n_boot=N_BOOT, seed=7)
 
-@query("b3_headline_intervals")
+
+@query("b3_headline_intervals", f"WITH {PRED_SQL} " + " UNION ALL ".join([
+    _resamples("schema_validity", "t", "CAST(schema_valid AS INT)", "avg(CAST(schema_valid AS INT))", 43), _resamples("exact_match", "t", "CAST(exact_match AS INT)", "avg(CAST(exact_match AS INT))", 44),
+    _resamples("field_f1", "t", "tp, fp, fn", _R("2.0 * sum(tp)", "2 * sum(tp) + sum(fp) + sum(fn)"), 42), _resamples("unsupported_rate", "t", "fp, tp + fp", _R("sum(fp)", "sum(tp + fp)"), 45)]))
 def b3_headline_intervals(spark: SparkSession, d: str) -> DataFrame:
-    return bootstrap.headline_intervals(_examples(spark, d), n_boot=1000)
+    return bootstrap.headline_intervals(_examples(spark, d), n_boot=N_BOOT)
 
 
 # --- dataset quality --------------------------------------------------------------------------------------------------------
@@ -277,7 +309,8 @@ _DATASET = f"""x AS (
 
 
 @query("v1_row_rules", f"""WITH {_DATASET} SELECT 'error' AS severity, 'unknown_difficulty' AS rule, split, id FROM x WHERE length(id) % 4 = 0
-UNION ALL SELECT 'error', 'blank_text', split, id FROM x WHERE text IS NULL OR {_KEY} = '' UNION ALL SELECT 'error', 'template_of_other_split', split, id FROM x WHERE template_id = 'template_01' AND split <> 'train'""")
+UNION ALL SELECT 'error', 'missing_text', split, id FROM x WHERE text IS NULL UNION ALL SELECT 'error', 'blank_text', split, id FROM x WHERE text IS NULL OR {_KEY} = ''
+UNION ALL SELECT 'error', 'template_of_other_split', split, id FROM x WHERE template_id = 'template_01' AND split <> 'train'""")
 def v1_row_rules(spark: SparkSession, d: str) -> DataFrame:
     return validate.row_violations(_dataset(spark, d))
 
@@ -294,10 +327,19 @@ def v3_text_across_splits(spark: SparkSession, d: str) -> DataFrame:
     return validate.across_splits(validate.text_duplicates(_dataset(spark, d).where("text is not null"))).withColumn("splits", F.array_join("splits", ","))
 
 
-@query("v4_record_across_splits", """WITH x AS (SELECT lang AS k, CASE WHEN doc_id % 12 <= 7 THEN 'train' WHEN doc_id % 12 <= 9 THEN 'validation' ELSE 'test' END AS split FROM documents)
-SELECT k AS key, count(*) AS copies, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM x GROUP BY k HAVING count(DISTINCT split) > 1""")
+_PLACE = """x AS (SELECT c_mktsegment AS name, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE n_name END AS location,
+  CASE WHEN c_custkey % 12 <= 7 THEN 'train' WHEN c_custkey % 12 <= 9 THEN 'validation' ELSE 'test' END AS split FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query("v4_record_across_splits", f"""WITH {_PLACE}, k AS (SELECT '{{"name":"' || name || '","location":' || coalesce('"' || location || '"', 'null') || '}}' AS key, split FROM x)
+SELECT key, count(*) AS copies, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM k GROUP BY key HAVING count(DISTINCT split) > 1""")
 def v4_record_across_splits(spark: SparkSession, d: str) -> DataFrame:
-    return validate.across_splits(validate.record_duplicates(_dataset(spark, d))).select("key", "copies", F.array_join("splits", ",").alias("splits"))
+    """Canonical records of customers by segment and nation, which recur."""
+    k = F.col("c_custkey") % 12
+    place = F.struct(F.col("c_mktsegment").alias("name"), F.when(F.col("c_custkey") % 7 != 0, F.col("n_name")).alias("location"))
+    rows = read(spark, d, "customer").join(F.broadcast(read(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = rows.select(F.when(k <= 7, "train").when(k <= 9, "validation").otherwise("test").alias("split"), sft.canonical_target(place, "struct<name:string,location:string>").alias("record_key"))
+    return validate.across_splits(validate.record_duplicates(rows)).select("key", "copies", F.array_join("splits", ",").alias("splits"))
 
 
 @query("v5_template_leakage", f"""WITH {_DATASET} SELECT template_id, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits, 'train' AS expected_split, 'outside_split' AS problem FROM x WHERE template_id = 'template_01' GROUP BY template_id""")
@@ -316,7 +358,14 @@ def v7_expected_counts(spark: SparkSession, d: str) -> DataFrame:
     return validate.expected_counts(_dataset(spark, d), {"train": 100, "validation": 50, "other": 7})
 
 
-@query("v8_report")
+@query("v8_report", f"""WITH {_DATASET}, k AS (SELECT split, CASE WHEN id[1] = 'b' THEN 'item' ELSE lang END AS record, CASE WHEN text IS NOT NULL THEN {_KEY} END AS k, x.* EXCLUDE (split) FROM x LEFT JOIN (SELECT 'd' || doc_id AS id, lang FROM documents) USING (id)), r(severity, rule, n) AS (
+  SELECT 'error', 'unknown_difficulty', count(*) FROM k WHERE length(id) % 4 = 0 UNION ALL SELECT 'error', 'missing_text', count(*) FROM k WHERE text IS NULL UNION ALL SELECT 'error', 'blank_text', count(*) FROM k WHERE coalesce(k, '') = ''
+  UNION ALL SELECT 'error', 'missing_record_key', count(*) FROM k WHERE record IS NULL
+  UNION ALL SELECT 'error', 'template_of_other_split', count(*) FROM k WHERE template_id = 'template_01' AND split <> 'train' UNION ALL SELECT 'error', 'template_outside_split', count(DISTINCT template_id) FROM k WHERE template_id = 'template_01' AND split <> 'train'
+  UNION ALL SELECT 'error', CASE WHEN n > 1 THEN 'id_in_several_splits' ELSE 'duplicate_id' END, count(*) FROM (SELECT id, count(DISTINCT split) AS n FROM k GROUP BY id HAVING count(*) > 1) GROUP BY ALL
+  UNION ALL SELECT 'error', 'text_in_several_splits', count(*) FROM (SELECT k FROM k GROUP BY k HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'error', 'record_in_several_splits', count(*) FROM (SELECT record FROM k GROUP BY record HAVING count(DISTINCT split) > 1)
+  UNION ALL SELECT 'warning', 'repeated_text', count(DISTINCT split) FROM (SELECT split, k FROM k GROUP BY ALL HAVING count(*) > 1))
+SELECT severity, rule, n, NOT bool_or(severity = 'error') OVER () AS ok FROM r WHERE n > 0""")
 def v8_report(spark: SparkSession, d: str) -> DataFrame:
     return validate.report(validate.violations(_dataset(spark, d)))
 
@@ -390,7 +439,7 @@ def j5_pending(spark: SparkSession, d: str) -> DataFrame:
 @query("j6_completeness", f"WITH {PRED_SQL} SELECT m.model, count(*) AS expected, count(p.id) AS stored, count(*) = count(p.id) AS complete FROM m CROSS JOIN g LEFT JOIN p ON p.model = m.model AND p.id = g.id GROUP BY m.model")
 def j6_completeness(spark: SparkSession, d: str) -> DataFrame:
     p = _predictions(spark, d).select("model", "id", F.lit(1).alias("there"))
-    rows = _gold_records(spark, d).select("id").crossJoin(F.broadcast(p.select("model").distinct())).join(p, ["model", "id"], "left")
+    rows = errors.for_each_model(_gold_records(spark, d).select("id"), p).join(p, ["model", "id"], "left")
     return rows.groupBy("model").agg(F.count(F.lit(1)).alias("expected"), F.count("there").alias("stored")).withColumn("complete", F.col("expected") == F.col("stored"))
 
 
@@ -419,15 +468,20 @@ def t1_messages(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", F.size("m").alias("turns"), F.md5(F.col("m")[1]["content"]).alias("user_turn"))
 
 
-@query("t2_canonical_target", f"""WITH {GOLD_SQL} SELECT id, sk AS n_skills, ex AS n_experience, em = 0 AS no_email FROM g""")
+@query("t2_canonical_target", f"""WITH {GOLD_SQL} SELECT id, c_name AS name, CASE WHEN em = 1 THEN lower(c_mktsegment) || k || '@example.org' END AS email, CASE WHEN lo = 1 THEN n_name || ', ' || r_name END AS location, sk AS n_skills, ex AS n_experience,
+  'name,email,phone,location,summary,skills,education,experience,projects,certifications' AS keys
+FROM g JOIN customer ON c_custkey = k JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
 def t2_canonical_target(spark: SparkSession, d: str) -> DataFrame:
-    rows = _gold_records(spark, d).select("id", F.from_json(sft.canonical_target(F.col("target"), RECORD_DDL), RECORD_DDL).alias("t"))
-    return rows.select("id", F.size("t.skills").cast("long").alias("n_skills"), F.size("t.experience").cast("long").alias("n_experience"), F.col("t.email").isNull().alias("no_email"))
+    rows = _gold_records(spark, d).select("id", sft.canonical_target(F.col("target"), RECORD_DDL).alias("json"))
+    rows = rows.select("id", F.array_join(F.json_object_keys("json"), ",").alias("keys"), F.from_json("json", RECORD_DDL).alias("t"))
+    return rows.select("id", "t.name", "t.email", "t.location", F.size("t.skills").cast("long").alias("n_skills"), F.size("t.experience").cast("long").alias("n_experience"), "keys")
 
 
 _PAIRS = rf"""a AS (SELECT conv_id, turn, coalesce(text, '') AS target FROM conversations WHERE role = 'assistant'),
  b AS (SELECT a.conv_id, a.turn, a.target, coalesce(string_agg(c.role || ': ' || coalesce(c.text, ''), chr(10) ORDER BY c.turn), '') AS prompt FROM a LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn < a.turn GROUP BY ALL),
- w AS (SELECT conv_id, turn, len(list_filter(string_split_regex(prompt, '{_BLANKS}'), lambda x: x <> '')) AS p, len(list_filter(string_split_regex(target, '{_BLANKS}'), lambda x: x <> '')) + 1 AS t FROM b)"""
+ c AS (SELECT conv_id, turn, list_filter(string_split_regex(prompt, '{_BLANKS}'), lambda x: x <> '') AS a, list_filter(string_split_regex(target, '{_BLANKS}'), lambda x: x <> '') AS b FROM b),
+ w AS (SELECT conv_id, turn, list_transform(a, lambda x: {fixtures._H("x")} % 1048576 + 1) AS pi, list_transform(b, lambda x: {fixtures._H("x")} % 1048576 + 1) || [0] AS ti, len(pi) AS p, len(ti) AS t FROM c)"""
+_IDS = lambda c: f"md5(array_to_string({c}, ','))"
 
 
 def _features(spark: SparkSession, d: str, **length: int) -> DataFrame:
@@ -437,46 +491,29 @@ def _features(spark: SparkSession, d: str, **length: int) -> DataFrame:
     return sft.features(pairs, shifted(F.col("prompt")), shifted(F.col("target")), eos=0, **length)
 
 
-def _feature_sizes(rows: DataFrame) -> DataFrame:
+def _feature_rows(rows: DataFrame) -> DataFrame:
     long = lambda c: c.cast("long")
-    return rows.select("conv_id", "turn", long(F.col("n_prompt")).alias("n_prompt"), long(F.col("n_target")).alias("n_target"), "truncated", long(F.size("input_ids")).alias("n_ids"),
-                       long(F.size(F.filter("labels", lambda x: x != sft.IGNORED))).alias("n_labels"))
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), ","))
+    return rows.select("conv_id", "turn", long(F.col("n_prompt")).alias("n_prompt"), long(F.col("n_target")).alias("n_target"), "truncated", digest("input_ids").alias("ids"), digest("labels").alias("labels"),
+                       long(F.aggregate("attention_mask", F.lit(0), lambda n, x: n + x)).alias("attended"))
 
 
 def _feature_lengths(rows: DataFrame) -> DataFrame:
     return sft.length_stats(sft.trainable(rows.withColumn("split", F.lit("train"))), ["split"]).withColumn("max_length", F.col("max_length").cast("long"))
 
 
-@query("t3_features", f"""WITH {_PAIRS} SELECT conv_id, turn, p AS n_prompt, t AS n_target, p + t > 256 AS truncated, least(p + t, 256) AS n_ids, greatest(least(p + t, 256) - p, 0) AS n_labels FROM w""")
-def t3_features(spark: SparkSession, d: str) -> DataFrame:
-    return _feature_sizes(_features(spark, d, max_length=256))
+def _feature_queries(name: str, length: int) -> None:
+    """Features, their lengths and what is left without labels, at one length; ``name`` is what sets them apart."""
+    ids, labels = f"list_slice(pi || ti, 1, {length})", f"list_slice(list_transform(pi, lambda x: -100) || ti, 1, {length})"
+    query(f"t3_features{name}", f"WITH {_PAIRS} SELECT conv_id, turn, p AS n_prompt, t AS n_target, p + t > {length} AS truncated, {_IDS(ids)} AS ids, {_IDS(labels)} AS labels, least(p + t, {length}) AS attended FROM w")(
+        lambda spark, d: _feature_rows(_features(spark, d, max_length=length)))
+    query(f"t4_length_stats{name}", f"WITH {_PAIRS} SELECT 'train' AS split, count(*) AS n, count(*) FILTER (p + t > {length}) AS n_truncated, avg(least(p + t, {length})) AS mean_length, max(least(p + t, {length})) AS max_length FROM w")(
+        lambda spark, d: _feature_lengths(_features(spark, d, max_length=length)))
+    query(f"t5_unsupervised{name}", f"WITH {_PAIRS} SELECT conv_id, turn FROM w WHERE p >= {length}")(lambda spark, d: sft.unsupervised(_features(spark, d, max_length=length)).select("conv_id", "turn"))
 
 
-@query("t4_length_stats", f"WITH {_PAIRS} SELECT 'train' AS split, count(*) AS n, count(*) FILTER (p + t > 256) AS n_truncated, avg(least(p + t, 256)) AS mean_length, max(least(p + t, 256)) AS max_length FROM w")
-def t4_length_stats(spark: SparkSession, d: str) -> DataFrame:
-    return _feature_lengths(_features(spark, d, max_length=256))
-
-
-@query("t5_unsupervised", f"WITH {_PAIRS} SELECT conv_id, turn FROM w WHERE p >= 256")
-def t5_unsupervised(spark: SparkSession, d: str) -> DataFrame:
-    return sft.unsupervised(_features(spark, d, max_length=256)).select("conv_id", "turn")
-
-
-# The three above cut at 256 words, as their SQL does. The same at the default length of ``sft.features``, which is the blueprint's, 2,048:
-
-@query("t3_features_2048", f"""WITH {_PAIRS} SELECT conv_id, turn, p AS n_prompt, t AS n_target, p + t > 2048 AS truncated, least(p + t, 2048) AS n_ids, greatest(least(p + t, 2048) - p, 0) AS n_labels FROM w""")
-def t3_features_2048(spark: SparkSession, d: str) -> DataFrame:
-    return _feature_sizes(_features(spark, d))
-
-
-@query("t4_length_stats_2048", f"WITH {_PAIRS} SELECT 'train' AS split, count(*) AS n, count(*) FILTER (p + t > 2048) AS n_truncated, avg(least(p + t, 2048)) AS mean_length, max(least(p + t, 2048)) AS max_length FROM w")
-def t4_length_stats_2048(spark: SparkSession, d: str) -> DataFrame:
-    return _feature_lengths(_features(spark, d))
-
-
-@query("t5_unsupervised_2048", f"WITH {_PAIRS} SELECT conv_id, turn FROM w WHERE p >= 2048")
-def t5_unsupervised_2048(spark: SparkSession, d: str) -> DataFrame:
-    return sft.unsupervised(_features(spark, d)).select("conv_id", "turn")
+_feature_queries("", 2048)
+_feature_queries("_256", 256)
 
 
 # --- inference ----------------------------------------------------------------------------------------------------------------
@@ -527,22 +564,64 @@ def g1_g2_keys(spark: SparkSession, d: str) -> DataFrame:
 _D = lambda slot: fixtures._H(f"key || '|{slot}'")
 
 
-@query("g3_contact", f"""WITH {_NAMED} SELECT id, number <> 5 AND {_D("email")} / 4294967296.0 < 0.70 AS has_email, CASE WHEN number <> 5 AND {_D("phone")} / 4294967296.0 < 0.65 THEN
+@query("g3_contact", f"""WITH {_NAMED} SELECT id, number NOT IN (4, 12) AND {_D("email")} / 4294967296.0 < 0.70 AS has_email, CASE WHEN number NOT IN (4, 12) AND {_D("phone")} / 4294967296.0 < 0.65 THEN
   CASE WHEN {_D("country")} / 4294967296.0 < 0.75 THEN '+91-' || (6 + {_D("p1")} % 4) || lpad(CAST({_D("p2")} % 1000000000 AS VARCHAR), 9, '0')
   ELSE '+1-' || (200 + {_D("p3")} % 790) || '-' || (200 + {_D("p4")} % 790) || '-' || (1000 + {_D("p5")} % 9000) END END AS phone FROM z""")
 def g3_contact(spark: SparkSession, d: str) -> DataFrame:
     return corpus.records(_named(spark, d)).select("id", F.col("email").isNotNull().alias("has_email"), "phone")
 
 
-@query("g4_education", f"""WITH {_NAMED}, e AS (SELECT *, 2008 + {_D("study start")} % 11 AS a, 3 + {_D("study years")} % 2 AS y, {_D("post")} / 4294967296.0 AS p FROM z)
-SELECT id, CAST(CASE WHEN p < 0.30 AND a + y + 2 <= 2022 THEN 2 ELSE 1 END AS INT) AS n, CAST(a + y + CASE WHEN p < 0.30 AND a + y + 2 <= 2022 THEN 2 ELSE 0 END AS INT) AS career_start FROM e""")
-def g4_education(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.records(_named(spark, d)).select("id", F.size("education").alias("n"), "career_start")
+_U = lambda slot: f"({_D(slot)} / 4294967296.0)"
+_STUDY = f"e AS (SELECT *, 2008 + {_D('study start')} % 11 AS a, 3 + {_D('study years')} % 2 AS y, {_U('post')} < 0.30 AND a + y + 2 <= 2022 AS post, a + y + CASE WHEN post THEN 2 ELSE 0 END AS career FROM z)"
+_GRADE = lambda kind: f"""CASE WHEN {_U(kind + " grade")} < 0.25 THEN CASE WHEN {_U(kind + " grade kind")} < 0.5 THEN 'points' ELSE (60 + {_D(kind + " grade percent")} % 36) || '%' END END"""
 
 
-@query("g5_experience")
+@query("g4_education", f"""WITH {_NAMED}, {_STUDY} SELECT id, CAST(CASE WHEN post THEN 2 ELSE 1 END AS INT) AS n, CAST(career AS INT) AS career_start, CAST(CASE WHEN post THEN a + y ELSE a END AS INT) AS start_year,
+  CAST(career AS INT) AS end_year, CASE WHEN post THEN {_GRADE("second degree")} ELSE {_GRADE("first degree")} END AS grade, {corpus.SUBJECTS}[1 + {_D("first degree subject")} % {len(corpus.SUBJECTS)}] AS first_field FROM e""")
+def g4_education(spark: SparkSession, d: str) -> DataFrame:
+    """The newest entry, with points only marked as such, and the field of the oldest."""
+    newest, points = F.col("education")[0], F.col("education")[0]["grade"]
+    return corpus.records(_named(spark, d)).select(
+        "id", F.size("education").alias("n"), "career_start", newest["start_year"].alias("start_year"), newest["end_year"].alias("end_year"),
+        F.when(points.rlike("^([6-8][.][0-9]|9[.][0-8])$"), "points").otherwise(points).alias("grade"), F.element_at("education", -1)["field"].alias("first_field"),
+    )
+
+
+@query("g5_experience", f"""WITH {_NAMED}, {_STUDY}, j AS (SELECT *, (2026 - career) * 12 AS m, 1 + {_D("jobs")} % greatest(1, least(3, m // 12)) AS n FROM e),
+ w AS (SELECT *, list_transform(range(1, n + 1), lambda i: 1 + {fixtures._H("key || '|weight|' || i")} % 100) AS w FROM j), l AS (SELECT *, list_transform(w, lambda x: 5 + CAST(floor((m - 5 * n) * x / list_sum(w)) AS BIGINT)) AS len FROM w),
+ q AS (SELECT *, unnest(range(1, n + 1)) AS i FROM l), v AS (SELECT *, coalesce(list_sum(len[1:i - 1]), 0) AS since, CASE WHEN i = n THEN m ELSE list_sum(len[1:i]) END - 1 AS upto, i = n AND {_U("current")} < 0.70 AS current FROM q)
+SELECT id, CAST(career AS INT) AS career_start, n - i AS place, (career + since // 12) || '-' || lpad(CAST(since % 12 + 1 AS VARCHAR), 2, '0') AS start_date,
+  CASE WHEN NOT current THEN (career + upto // 12) || '-' || lpad(CAST(upto % 12 + 1 AS VARCHAR), 2, '0') END AS end_date, current, 1 + {fixtures._H("key || '|duties|' || i")} % 4 AS duties,
+  CASE WHEN {fixtures._H("key || '|job place|' || i")} / 4294967296.0 < 0.30 THEN {corpus.CITIES}[1 + {fixtures._H("key || '|job city|' || i")} % {len(corpus.CITIES)}] END AS location FROM v""")
 def g5_experience(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.records(_named(spark, d)).select("id", "career_start", F.inline("experience"))
+    rows = corpus.records(_named(spark, d)).select("id", "career_start", F.posexplode("experience").alias("place", "job"))
+    job = F.col("job")
+    return rows.select("id", "career_start", F.col("place").cast("long").alias("place"), job["start_date"].alias("start_date"), job["end_date"].alias("end_date"), job["current"].alias("current"),
+                       F.size(job["responsibilities"]).cast("long").alias("duties"), job["location"].alias("location"))
+
+
+@query("g6_extras", f"""WITH {_NAMED} SELECT id, number NOT IN (4, 12) AND {_U("summary")} < 0.75 AS has_summary, CASE WHEN number NOT IN (2, 10) AND {_U("projects")} >= 0.45 THEN 1 + {_D("n projects")} % 2 ELSE 0 END AS n_projects,
+  CASE WHEN number NOT IN (2, 10) AND {_U("certs")} >= 0.40 THEN 1 + {_D("n certs")} % 3 ELSE 0 END AS n_certifications, CASE WHEN number IN (1, 9) THEN 8 + {_D("n skills")} % 7 ELSE 4 + {_D("n skills")} % 9 END AS n_skills FROM z""")
+def g6_extras(spark: SparkSession, d: str) -> DataFrame:
+    size = lambda c: F.size(c).cast("long")
+    return corpus.records(_named(spark, d)).select("id", F.col("summary").isNotNull().alias("has_summary"), size("projects").alias("n_projects"), size("certifications").alias("n_certifications"), size("skills").alias("n_skills"))
+
+
+@query("g7_difficulty", """WITH r AS (SELECT c_custkey AS k, coalesce(n, 0) AS jobs FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON o_custkey = c_custkey),
+ h AS (SELECT k, k % 3 AS base, CAST(k % 8 IN (2, 5, 6, 7) AS INT) + CAST(k % 5 = 4 AS INT) + CAST((CAST(k % 2 = 0 AS INT) + CAST(k % 3 = 0 AS INT) + CAST(k % 5 = 0 AS INT) + CAST(k % 7 = 0 AS INT) + CAST(k % 4 = 1 AS INT) + CAST(k % 6 = 1 AS INT)) >= 3 AS INT)
+   + CAST(k % 13 >= 10 AS INT) + CAST(jobs * (k % 4) >= 6 AS INT) + CAST(jobs >= 3 AS INT) AS n FROM r)
+SELECT k AS c_custkey, CAST(n AS INT) AS hardships, CASE base WHEN 0 THEN CASE WHEN n >= 3 THEN 'hard' WHEN n = 2 THEN 'medium' ELSE 'easy' END WHEN 1 THEN CASE WHEN n >= 2 THEN 'hard' ELSE 'medium' END ELSE 'hard' END AS difficulty FROM h""")
+def g7_difficulty(spark: SparkSession, d: str) -> DataFrame:
+    """The rule over records made of customers and their orders."""
+    k = F.col("c_custkey")
+    few = lambda n: F.array_repeat(F.lit("x"), n.cast("int"))
+    jobs = read(spark, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("jobs"))
+    rows = read(spark, d, "customer").select("c_custkey").join(jobs, "c_custkey", "left").withColumn("jobs", F.coalesce("jobs", F.lit(0)).cast("int"))
+    stated = {name: F.when(k % m != r, "x") for name, m, r in (("email", 2, 0), ("phone", 3, 0), ("location", 5, 0), ("summary", 7, 0))}
+    lists = {"projects": few((k % 4 != 1).cast("int")), "certifications": few((k % 6 != 1).cast("int")), "skills": few(k % 13), "experience": F.transform(few(F.col("jobs")), lambda _: F.struct(few(k % 4).alias("responsibilities")))}
+    of = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    rows = rows.withColumns(stated | lists | {"style": of(list(corpus.STYLES)), "date_policy": of(corpus.POLICIES), "base_level": (k % 3).cast("int")})
+    return corpus.difficulty(rows).select("c_custkey", "hardships", "difficulty")
 
 
 @query("g8_examples")
@@ -564,11 +643,15 @@ def g11_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 # --- files ------------------------------------------------------------------------------------------------------------------------
 
-@query("s1_s2_json_round_trip", f"WITH {_NAMED} SELECT id, split FROM z")
+@query("s1_s2_json_round_trip", f"WITH {_NAMED} SELECT id, split, true AS same FROM z")
 def s1_s2_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """same: whether text, record and metadata come back as they were."""
     path = files.scratch(spark)
-    files.write_splits(corpus.examples(_named(spark, d)).withColumn("split", F.col("metadata.split")), path)
-    return files.read_jsonl(spark, path, EXAMPLE_DDL).select("id", F.col("metadata.split").alias("split"))
+    rows = corpus.examples(_named(spark, d))
+    files.write_splits(rows.withColumn("split", F.col("metadata.split")), path)
+    whole = lambda df: df.select("id", F.col("metadata.split").alias("split"), F.to_json(F.struct("text", "target", "metadata"), {"ignoreNullFields": "false"}).alias("all"))
+    back = whole(files.read_jsonl(spark, path, EXAMPLE_DDL))
+    return back.join(whole(rows).select("id", F.col("all").alias("was")), "id", "left").select("id", "split", F.col("all").eqNullSafe(F.col("was")).alias("same"))
 
 
 @query("s4_s5_csv_round_trip", f"WITH {PRED_SQL} SELECT model, count(*) AS n FROM p GROUP BY model")
@@ -578,10 +661,17 @@ def s4_s5_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return files.read_report_csv(spark, path, "model string, n long")
 
 
-@query("s6_s7_manifest")
+@query("s6_s7_manifest", """WITH f AS (SELECT c_nationkey AS k, string_agg(c_custkey || '|' || c_name || chr(10), '' ORDER BY c_custkey) AS content FROM customer GROUP BY ALL)
+SELECT 'c_nationkey=' || k AS folder, octet_length(encode(content)) AS bytes, sha256(content) AS sha256, CASE k % 4 WHEN 1 THEN 'size' WHEN 2 THEN 'content' ELSE 'ok' END AS problem FROM f
+UNION ALL SELECT 'gone', 7, '0', 'missing'""")
 def s6_s7_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """A folder of text files, one a nation, and its check against a manifest in which some entries are wrong and one is too many."""
     path = files.scratch(spark)
-    read(spark, d, "orders").write.parquet(path)
-    listing = files.manifest(spark, path, "*.parquet")
-    expected = listing.withColumn("sha256", F.when(F.col("name").startswith("part-00000"), "0").otherwise(F.col("sha256")))
-    return listing.join(files.verify_manifest(expected, listing), "name", "left").select("name", "bytes", F.coalesce("problem", F.lit("ok")).alias("problem"))
+    lines = read(spark, d, "customer").repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    lines.select("c_nationkey", F.concat_ws("|", "c_custkey", "c_name").alias("value")).write.partitionBy("c_nationkey").text(path)
+    listing = files.manifest(spark, path, "*.txt")
+    turn = F.regexp_extract("path", "=([0-9]+)/", 1).cast("int") % 4
+    expected = listing.select("path", (F.col("bytes") + F.when(turn == 1, 1).otherwise(0)).alias("bytes"), F.when(turn == 2, "0").otherwise(F.col("sha256")).alias("sha256"))
+    expected = expected.unionByName(spark.range(1).select(F.lit("gone").alias("path"), F.lit(7).cast("long").alias("bytes"), F.lit("0").alias("sha256")))
+    rows = expected.select("path", F.lit("0").alias("asked")).join(listing, "path", "left").join(files.verify_manifest(expected, listing), "path", "left")
+    return rows.select(F.substring_index("path", "/", 1).alias("folder"), F.coalesce("bytes", F.lit(7)).alias("bytes"), F.coalesce("sha256", "asked").alias("sha256"), F.coalesce("problem", F.lit("ok")).alias("problem"))

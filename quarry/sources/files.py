@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -9,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+
 def scratch(spark: SparkSession) -> str:
-    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quarry-")
-    return f"{root.rstrip('/')}/quarry-{uuid.uuid4().hex}"
+    """A new path in the folder that the cluster shares (spark.checkpoint.dir); a local session without that setting gets a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.conf.get("spark.master", "").startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or tempfile.mkdtemp(prefix='quarry-')).rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
 CORRUPT = "_corrupt_record"
@@ -47,14 +51,16 @@ def read_report_csv(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """name, bytes, sha256 of every file; a file is read whole into a row, so 2 GB is the limit of one."""
+    """path (below ``path``), bytes, sha256 of every file, of all folders; a file is read whole into a row, so 2 GB is the limit of one."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    root = re.sub("/+", "/", re.sub("^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path)).rstrip("/") + "/"
+    below = F.substr(F.col("path"), F.instr("path", F.lit(root)) + len(root))
+    return files.select(below.alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(expected: DataFrame, listing: DataFrame) -> DataFrame:
-    """name, problem of every expected file that is missing or differs in size or content."""
-    found = listing.select("name", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"))
-    rows = expected.join(found, "name", "left")
+    """path, problem of every expected file that is missing or differs in size or content."""
+    found = listing.select("path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha"))
+    rows = expected.join(found, "path", "left")
     problem = F.when(F.col("_sha").isNull(), "missing").when(F.col("_bytes") != F.col("bytes"), "size").when(F.col("_sha") != F.col("sha256"), "content")
-    return rows.select("name", problem.alias("problem")).where("problem is not null")
+    return rows.select("path", problem.alias("problem")).where("problem is not null")

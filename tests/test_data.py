@@ -1,3 +1,5 @@
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,8 +39,8 @@ def test_record_rules(spark, examples):
             assert job.start_date <= (job.end_date or "9999") and job.current == (job.end_date is None) and 1 <= len(job.responsibilities) <= 4
         assert 4 <= len(t.skills) <= 14 and len(set(t.skills)) == len(t.skills)
         assert t.name.lower() in r.text.lower().replace("  ", " ")
-        if r.metadata.template_id == "template_05":
-            assert t.email is None and t.phone is None and t.summary is None and not t.projects
+        if r.metadata.template_name == "bare":
+            assert t.email is None and t.phone is None and t.summary is None
 
 
 def test_dates_by_policy(spark):
@@ -95,10 +97,10 @@ def test_features_at_the_full_length(spark, tmp_path):
     turns = [(c, k, role, words(n)) for c, p, t in ((1, 299, 400), (2, 1999, 100), (3, 2047, 5)) for k, (role, n) in enumerate((("user", p), ("assistant", t)))]
     spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     run = lambda name: QUERIES[name](spark, str(tmp_path)).collect()
-    got = {r.conv_id: (r.n_prompt, r.n_target, r.truncated, r.n_ids, r.n_labels) for r in run("t3_features_2048")}
-    assert got == {1: (300, 401, False, 701, 401), 2: (2000, 101, True, 2048, 48), 3: (2048, 6, True, 2048, 0)}
-    assert [tuple(r) for r in run("t4_length_stats_2048")] == [("train", 3, 2, (701 + 2048 + 2048) / 3, 2048)]
-    assert [r.conv_id for r in run("t5_unsupervised_2048")] == [3]
+    got = {r.conv_id: (r.n_prompt, r.n_target, r.truncated, r.attended) for r in run("t3_features")}
+    assert got == {1: (300, 401, False, 701), 2: (2000, 101, True, 2048), 3: (2048, 6, True, 2048)}
+    assert [tuple(r) for r in run("t4_length_stats")] == [("train", 3, 2, (701 + 2048 + 2048) / 3, 2048)]
+    assert [r.conv_id for r in run("t5_unsupervised")] == [3]
 
 
 def test_messages_and_target(spark, examples):
@@ -142,9 +144,51 @@ def test_files(spark, tmp_path, examples):
         files.read_jsonl(spark, str(bad), "id string").collect()
     kept = files.read_jsonl(spark, str(bad), "id string", strict=False).cache()
     assert kept.count() == 2 and kept.where("_corrupt_record is not null and file like '%bad.jsonl'").count() == 1
-    (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "x.bin").write_bytes(b"abc")
-    listing = files.manifest(spark, str(tmp_path / "a"))
+    for k in ("one", "two"):  # two files of one name
+        (tmp_path / "a" / k).mkdir(parents=True)
+        (tmp_path / "a" / k / "x.bin").write_bytes(k.encode())
+    listing = files.manifest(spark, f"file:{tmp_path}//a/")
+    assert {(r.path, r.bytes, r.sha256) for r in listing.collect()} == {(f"{k}/x.bin", 3, hashlib.sha256(k.encode()).hexdigest()) for k in ("one", "two")}
     assert files.verify_manifest(listing, listing).count() == 0
-    wrong = listing.withColumn("sha256", F.lit("0")).unionByName(spark.createDataFrame([("gone", 1, "1")], "name string, bytes long, sha256 string"))
-    assert {(r.name, r.problem) for r in files.verify_manifest(wrong, listing).collect()} == {("x.bin", "content"), ("gone", "missing")}
+    wrong = listing.withColumn("sha256", F.when(F.col("path") == "one/x.bin", "0").otherwise(F.col("sha256"))).unionByName(spark.createDataFrame([("gone", 1, "1")], "path string, bytes long, sha256 string"))
+    assert {(r.path, r.problem) for r in files.verify_manifest(wrong, listing).collect()} == {("one/x.bin", "content"), ("gone", "missing")}
+
+
+def test_difficulty_rule(spark):
+    job = lambda n: {"responsibilities": ["x"] * n}
+    full = dict(email="e", phone="p", location="l", summary="s", projects=["x"], certifications=["x"], experience=[job(2)], skills=["x"] * 4, style="plain", date_policy="iso", base_level=0)
+    ddl = "email string, phone string, location string, summary string, projects array<string>, certifications array<string>, experience array<struct<responsibilities:array<string>>>, skills array<string>, style string, date_policy string, base_level int"
+    three_missing, many = dict(email=None, location=None, projects=[]), dict(skills=["x"] * 10)
+    cases = [
+        ({}, 0, "easy"), (many, 1, "easy"), (many | dict(date_policy="mixed"), 2, "medium"), (many | three_missing | dict(date_policy="mixed"), 3, "hard"), (dict(style="grouped"), 1, "easy"),
+        (dict(base_level=1), 0, "medium"), (dict(base_level=1, style="grouped"), 1, "medium"), (dict(base_level=1, style="prose", experience=[job(2)] * 3), 3, "hard"), (dict(base_level=2), 0, "hard"),
+        (dict(experience=[job(5)]), 0, "easy"), (dict(experience=[job(6)]), 1, "easy"), (dict(email=None, location=None), 0, "easy"), (three_missing, 1, "easy"),
+    ]
+    rows = corpus.difficulty(spark.createDataFrame([full | change for change, _, _ in cases], ddl)).collect()
+    assert [(r.hardships, r.difficulty) for r in rows] == [(n, d) for _, n, d in cases]
+
+
+def test_templates_and_their_texts(spark, examples):
+    rows = corpus.templates(spark).collect()
+    assert len(rows) == 12 and {r.style for r in rows[:8]} == set(corpus.STYLES) and len({tuple(r.section_order) for r in rows}) >= 6
+    many = corpus.examples(corpus.keys(spark, {"train": 160, "validation": 20, "test": 20})).collect()
+    for r in many:
+        lines = [x.strip() for x in r.text.replace("  ", " ").split("\n")]
+        own = set(next(t for t in rows if t.template_id == r.metadata.template_id).section_order)
+        for section, words in corpus.HEADINGS.items():
+            there = any(x.lower() in {w.lower() for w in words} for x in lines)
+            assert there == (section in own and bool(r.target[section]))
+        for skill in r.target.skills:
+            assert skill in " ".join(lines)
+        assert ("=" * 24 in r.text) == (r.metadata.template_name == "rough")
+    for style, lines in (("rough", "   \n"), ("scattered", "\n\n")):
+        assert any(lines in r.text for r in many if r.metadata.template_name == style)
+
+
+def test_whole_manifest(spark, examples, tmp_path):
+    files.write_splits(examples.withColumn("split", F.col("metadata.split")), str(tmp_path / "s"))
+    rows = {(r.kind, r.name): r.value for r in corpus.whole_manifest(examples, files.manifest(spark, str(tmp_path / "s"), "*.json")).collect()}
+    assert rows["count", "train"] == "16" and rows["template", "test/template_11"] == "2" and rows["template_split", "template_09"] == "validation"
+    assert sum(int(v) for (k, n), v in rows.items() if k == "difficulty") == 24
+    digests = {str(f.relative_to(tmp_path / "s")): hashlib.sha256(f.read_bytes()).hexdigest() for f in (tmp_path / "s").rglob("*.json")}
+    assert {n: v for (k, n), v in rows.items() if k == "sha256"} == digests and len(digests) >= 3

@@ -102,7 +102,7 @@ def test_registered_intervals_are_of_1000_resamples(spark, tmp_path, monkeypatch
 
     quality = [int(k % 7 > 1) for k in range(40)]
     spark.createDataFrame([(q,) for q in quality], "quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    r = queries.QUERIES["b1_bootstrap_1000"](spark, str(tmp_path)).first()
+    r = queries.QUERIES["b1_bootstrap"](spark, str(tmp_path)).first()
     assert (r.point, r.low, r.high) == pytest.approx(brute_interval(quality, 43))
     valid, exact = [int(k % 5 > 0) for k in range(40)], [int(k % 3 > 0) for k in range(40)]
     rows = spark.createDataFrame([("base", bool(v), bool(x), 3, 1, 1, 4) for v, x in zip(valid, exact, strict=True)], "model string, schema_valid boolean, exact_match boolean, tp int, fp int, fn int, predicted_units int")
