@@ -43,6 +43,11 @@ def at(v: Column, key: str) -> Column:
     return F.try_variant_get(v, f"$.{key}", "variant")
 
 
+def members(v: Column, keys: list[str]) -> Column:
+    """struct of the values of ``keys``, taken in one go; null where v is no object. Bind it with ``let``: each use of an unbound one takes all again."""
+    return F.try_variant_get(v, "$", f"struct<{','.join(f'`{k}`:variant' for k in keys)}>")
+
+
 def kind(v: Column) -> Column:
     """Type of a value that is no object or array; null for an absent one."""
     return F.schema_of_variant(v)
@@ -77,6 +82,10 @@ def is_number(v: Column) -> Column:
     return F.coalesce(kind(v).rlike(NUMBERS), F.lit(False))
 
 
+def is_number_kind(k: Column) -> Column:
+    return F.coalesce(k.rlike(NUMBERS), F.lit(False))
+
+
 def normal(v: Column, how: str) -> Column:
     """Normal form of a scalar value: numbers and booleans as texts where a text is wanted, other wrong types null."""
     return T.let(F.struct(kind(v).alias("k"), as_string(v).alias("s")), lambda x: _normal(v, x["k"], x["s"], how))
@@ -100,7 +109,17 @@ def _normal(v: Column, k: Column, s: Column, how: str) -> Column:
 
 def texts(v: Column) -> Column:
     """Sorted array of folded texts; null marks a wrong type; an absent list is empty."""
-    items = as_array(v)
-    wrong = F.exists(items, lambda x: ~absent(x) & ~(kind(x) == "STRING") & ~(kind(x) == "BOOLEAN") & ~is_number(x))
-    found = F.sort_array(F.filter(F.transform(items, lambda x: normal(x, "folded")), lambda x: x.isNotNull()))
-    return F.when(absent(v), F.array().cast("array<string>")).when(items.isNotNull() & ~wrong, found)
+    none = F.array().cast("array<string>")
+
+    def item(x: Column) -> Column:
+        """struct<bad, s>: a wrong type, and the normal form of any other."""
+        def judge(i: Column) -> Column:
+            fine = i["k"].isin("STRING", "BOOLEAN", "VOID") | i["k"].rlike(NUMBERS)
+            return F.struct((~fine).alias("bad"), _normal(i["v"], i["k"], i["s"], "folded").alias("s"))
+
+        return T.let(F.struct(x.alias("v"), kind(x).alias("k"), as_string(x).alias("s")), judge)
+
+    def judged(found: Column) -> Column:
+        return F.when(~F.exists(found, lambda i: i["bad"]), F.sort_array(F.filter(F.transform(found, lambda i: i["s"]), lambda x: x.isNotNull())))
+
+    return F.when(absent(v), none).otherwise(T.let(F.transform(as_array(v), item), judged))

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..functions import variant as V
 from ..functions.keyed import keyed_hash
 from ..spec import RESUME, RecordSpec
+from .evaluate import dealt
 from .parse import check_schema, parse_outputs
 
 #: fixed values, in order of priority
@@ -131,7 +132,7 @@ def categorize(predictions: DataFrame, gold: DataFrame, spec: RecordSpec = RESUM
     schema_valid, categories (in order of priority), primary_category, details.
     """
     outputs = predictions.select("model", "id", "raw_output")
-    rows = for_each_model(gold, predictions).join(outputs, ["model", "id"], "left").withColumn("raw_output", F.coalesce("raw_output", F.lit("")))
+    rows = dealt(for_each_model(gold, predictions).join(outputs, ["model", "id"], "left")).withColumn("raw_output", F.coalesce("raw_output", F.lit("")))
     checked = check_schema(parse_outputs(rows), spec)
     found = (
         F.when(~F.col("json_valid"), _note(F.lit(True), "malformed_json", F.col("error"))).when(~F.col("is_object"), _note(F.lit(True), "malformed_json", "valid JSON but not an object"))

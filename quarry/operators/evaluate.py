@@ -39,15 +39,25 @@ def field_stats(name: str, pred: Column, gold: Column, pred_type_failed: Column,
     return F.struct(F.lit(name).alias("field"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt by id to a fixed number of tasks: they are small and much work, so their bytes say little about how many tasks they need.
+
+    The join on id follows this partitioning, so it takes no further exchange.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return rows.repartition(tasks, "id")
+
+
 def normalize_predictions(predictions: DataFrame, spec: RecordSpec = RESUME) -> DataFrame:
     """Parsed and checked outputs, with their normal record (of an empty object where there is none) and empty fields."""
-    parsed = check_schema(parse_outputs(predictions), spec)
+    parsed = check_schema(parse_outputs(dealt(predictions)), spec)
     content = F.coalesce(F.when(F.col("is_object"), F.col("parsed")), F.parse_json(F.lit("{}")))
     return parsed.withColumn("content", content).withColumns({"pred_norm": normal_record(F.col("content"), spec), "pred_empty": empty_fields(F.col("content"), spec)})
 
 
 def normalize_gold(gold: DataFrame, spec: RecordSpec = RESUME) -> DataFrame:
-    return gold.withColumns({"gold_norm": normal_record(F.col("gold"), spec), "gold_empty": empty_fields(F.col("gold"), spec)})
+    return dealt(gold).withColumns({"gold_norm": normal_record(F.col("gold"), spec), "gold_empty": empty_fields(F.col("gold"), spec)})
 
 
 def evaluate_examples(predictions: DataFrame, gold: DataFrame, spec: RecordSpec = RESUME, keep: list[str] | None = None) -> DataFrame:

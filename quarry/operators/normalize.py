@@ -15,12 +15,15 @@ from ..spec import RESUME, RecordSpec
 def item_key(v: Column, spec: RecordSpec, name: str) -> Column:
     """Canonical JSON of one item of a record list, nulls kept, keys in alphabetical order; null marks a wrong type."""
     keys = spec.records[name]
-    values = {k: V.texts(V.at(v, k)) if how == "texts" else V.normal(V.at(v, k), how) for k, how in keys.items()}
-    for k, how in keys.items():
-        if how == "flag":
-            values[k] = F.coalesce(values[k], F.lit(False))
+
+    def values(x: Column) -> Column:
+        def one(v: Column, how: str) -> Column:
+            return V.texts(v) if how == "texts" else F.coalesce(V.normal(v, how), F.lit(False)) if how == "flag" else V.normal(v, how)
+
+        return T.by_kind({k: x[k] for k in keys}, keys, one)
+
     def key(x: Column) -> Column:
-        own = {k: x[k] for k in values}
+        own = {k: x[k] for k in keys}
         if name in spec.open_ended:
             flag, end = spec.open_ended[name]
             own[end] = F.when(~(x[flag] & F.coalesce(x[end] == T.PRESENT, F.lit(False))), x[end])
@@ -28,36 +31,40 @@ def item_key(v: Column, spec: RecordSpec, name: str) -> Column:
         wrong = [x[k].isNull() for k, how in keys.items() if how == "texts"]
         return F.when(~reduce(Column.__or__, wrong, F.lit(False)), whole)
 
-    return F.when(V.is_object(v), T.let(F.struct(*(c.alias(k) for k, c in values.items())), key))
+    return T.let(V.members(v, list(keys)), lambda x: F.when(x.isNotNull(), T.let(values(x), key)))
 
 
 def record_list(v: Column, spec: RecordSpec, name: str) -> Column:
     """Sorted array of item keys; null marks a wrong type anywhere; an absent list is empty."""
-    items = V.as_array(v)
-    keys = F.transform(items, lambda x: item_key(x, spec, name))
-    bound = T.let(keys, lambda a: F.when(~F.exists(a, lambda k: k.isNull()), F.sort_array(a)))
-    return F.when(V.absent(v), F.array().cast("array<string>")).when(items.isNotNull(), bound)
+    keys = F.transform(V.as_array(v), lambda x: item_key(x, spec, name))
+    return F.when(V.absent(v), F.array().cast("array<string>")).otherwise(T.let(keys, lambda a: F.when(~F.exists(a, lambda k: k.isNull()), F.sort_array(a))))
 
 
 def normal_record(v: Column, spec: RecordSpec = RESUME) -> Column:
     """struct: every field in normal form. Unknown keys are dropped; a list of null marks a type failure."""
-    out = [V.normal(V.at(v, f), how).alias(f) for f, how in spec.scalars.items()]
-    out += [V.texts(V.at(v, f)).alias(f) for f in spec.lists]
-    out += [record_list(V.at(v, f), spec, f).alias(f) for f in spec.records]
-    return F.struct(*out)
+    def fields(x: Column) -> Column:
+        scalars = T.by_kind({f: x[f] for f in spec.scalars}, spec.scalars, V.normal)
+        lists = [V.texts(x[f]).alias(f) for f in spec.lists] + [record_list(x[f], spec, f).alias(f) for f in spec.records]
+        return T.let(scalars, lambda own: F.struct(*(own[f].alias(f) for f in spec.scalars), *lists))
+
+    # what is no object has no field
+    return T.let(F.coalesce(V.members(v, spec.fields), V.members(F.parse_json(F.lit("{}")), spec.fields)), fields)
 
 
 def is_empty(v: Column) -> Column:
     """Null, an empty list or object, or a string that stands for nothing; numbers and booleans never."""
-    return (
-        V.absent(v) | F.coalesce(F.size(V.as_array(v)) == 0, F.lit(False)) | F.coalesce(F.size(V.as_map(v)) == 0, F.lit(False))
-        | F.coalesce((V.kind(v) == "STRING") & T.text(V.as_string(v)).isNull(), F.lit(False))
-    )
+    sizes = lambda x: F.coalesce(F.array_size(V.as_array(x)), F.size(F.map_keys(V.as_map(x))))
+    scalar = lambda x: F.coalesce((V.kind(x) == "STRING") & T.text(V.as_string(x)).isNull(), F.lit(False))
+    return T.let(v, lambda x: F.when(V.absent(x), True).otherwise(T.let(sizes(x), lambda n: F.when(n.isNotNull(), n == 0).otherwise(scalar(x)))))
 
 
 def empty_fields(v: Column, spec: RecordSpec = RESUME) -> Column:
     """array<string>: names of the fields that are empty."""
-    return F.filter(F.array(*(F.when(is_empty(V.at(v, f)), F.lit(f)) for f in spec.fields)), lambda x: x.isNotNull())
+    def empty(x: Column) -> Column:
+        flags = T.each({f: x[f] for f in spec.fields}, is_empty)
+        return T.let(flags, lambda e: F.array_compact(F.array(*(F.when(e[f], F.lit(f)) for f in spec.fields))))
+
+    return T.let(F.coalesce(V.members(v, spec.fields), V.members(F.parse_json(F.lit("{}")), spec.fields)), empty)
 
 
 def records_equal(a: Column, b: Column) -> Column:

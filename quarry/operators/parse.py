@@ -39,22 +39,39 @@ def _message(path: Column, bad: Column, text: str) -> Column:
     return F.when(bad, F.array(F.concat(path, F.lit(f": {text}")))).otherwise(none)
 
 
+CHECKED = ("texts", "year", "flag")  # any other kind is a text
+WORDS = ["1", "y", "yes", "t", "true", "on", "0", "n", "no", "f", "false", "off"]
+
+
 def _check(v: Column, path: Column, how: str) -> Column:
     """Messages against one value; an absent key is fine, its default is used."""
-    k, s = V.kind(v), V.as_string(v)
-    null = F.coalesce(F.is_variant_null(v), F.lit(False))
+    none = F.array().cast("array<string>")
     if how == "texts":
-        items = V.as_array(v)
-        return _message(path, v.isNotNull() & (items.isNull() | F.exists(items, lambda x: ~F.coalesce(V.kind(x) == "STRING", F.lit(False)))), "not a list of strings")
-    if how == "year":
-        number = F.try_variant_get(v, "$", "double")
-        fine = (k == "STRING") & s.rlike(r"^\s*[+-]?\d+(_\d+)*(\.0+)?\s*$") | (k == "BOOLEAN") | V.is_number(v) & (number == F.floor(number))
-        return _message(path, v.isNotNull() & ~null & ~F.coalesce(fine, F.lit(False)), "not an integer")
-    if how == "flag":
-        words = ["1", "y", "yes", "t", "true", "on", "0", "n", "no", "f", "false", "off"]
-        fine = (k == "BOOLEAN") | (k == "STRING") & F.lower(s).isin(words) | V.is_number(v) & F.try_variant_get(v, "$", "double").isin(0.0, 1.0)
-        return _message(path, v.isNotNull() & (null | ~F.coalesce(fine, F.lit(False))), "not a boolean")
-    return _message(path, v.isNotNull() & ~null & ~F.coalesce(k == "STRING", F.lit(False)), "not a string")
+        fine = T.let(V.as_array(v), lambda items: items.isNotNull() & ~F.exists(items, lambda x: ~F.coalesce(V.kind(x) == "STRING", F.lit(False))))
+        return F.when(v.isNull(), none).otherwise(_message(path, ~fine, "not a list of strings"))
+
+    def judge(x: Column) -> Column:
+        k, s, number = x["k"], x["s"], V.is_number_kind(x["k"])
+        if how == "year":
+            fine = (k == "STRING") & s.rlike(r"^\s*[+-]?\d+(_\d+)*(\.0+)?\s*$") | (k == "BOOLEAN") | (k == "VOID") | number & (x["d"] == F.floor(x["d"]))
+            text = "not an integer"
+        elif how == "flag":
+            fine, text = (k == "BOOLEAN") | (k == "STRING") & F.lower(s).isin(WORDS) | number & x["d"].isin(0.0, 1.0), "not a boolean"
+        else:
+            fine, text = (k == "STRING") | (k == "VOID"), "not a string"
+        return _message(path, ~F.coalesce(fine, F.lit(False)), text)
+
+    parts = F.struct(V.kind(v).alias("k"), V.as_string(v).alias("s"), F.try_variant_get(v, "$", "double").alias("d"))
+    return F.when(v.isNull(), none).otherwise(T.let(parts, judge))
+
+
+def _checks(x: Column, prefix: Column, kinds: dict[str, str]) -> Column:
+    """Messages against the members of an object, in the order of ``kinds``."""
+    def one(v: Column, how: str) -> Column:
+        return _check(v["v"], v["path"], how)
+
+    values = {k: F.struct(x[k].alias("v"), F.concat(prefix, F.lit(k)).alias("path")) for k in kinds}
+    return T.let(T.by_kind(values, kinds, one), lambda found: F.concat(*(found[k] for k in kinds)))
 
 
 def _unknown(v: Column, path: Column, known: list[str]) -> Column:
@@ -64,22 +81,21 @@ def _unknown(v: Column, path: Column, known: list[str]) -> Column:
 
 def schema_messages(v: Column, spec: RecordSpec = RESUME) -> Column:
     """What is wrong with an object by the record schema; unknown keys are forbidden at every level."""
-    out = [_unknown(v, F.lit(""), spec.fields)]
-    out += [_check(V.at(v, f), F.lit(f), "text") for f in spec.scalars]
-    out += [_check(V.at(v, f), F.lit(f), "texts") for f in spec.lists]
-    for f, keys in spec.records.items():
-        items = V.as_array(V.at(v, f))
-        out.append(_message(F.lit(f), V.at(v, f).isNotNull() & items.isNull(), "not a list"))
-        def item(x: Column, i: Column, f: str, keys: dict[str, str]) -> Column:
-            path = F.concat(F.lit(f"{f}."), i.cast("string"), F.lit("."))
-            inner = F.concat(_unknown(x, path, list(keys)), *(_check(V.at(x, k), F.concat(path, F.lit(k)), how) for k, how in keys.items()))
-            return F.when(V.is_object(x), inner).otherwise(F.array(F.concat(path, F.lit(" not an object"))))
-        out.append(F.coalesce(F.flatten(F.transform(items, _two(item, f, keys))), F.array().cast("array<string>")))
-    return F.concat(*out)
-
-
-def _two(item, f, keys):
-    return lambda x, i: item(x, i, f, keys)
+    none = F.array().cast("array<string>")
+
+    def item(keys: dict[str, str], x: Column, path: Column) -> Column:
+        inner = lambda own: F.concat(_unknown(x, path, list(keys)), _checks(own, path, {k: how if how in CHECKED else "text" for k, how in keys.items()}))
+        return T.let(V.members(x, list(keys)), lambda own: F.when(own.isNotNull(), inner(own)).otherwise(F.array(F.concat(path, F.lit(" not an object")))))
+
+    def items(f: str, keys: dict[str, str], v: Column) -> Column:
+        each = lambda a: F.flatten(F.transform(a, lambda x, i: item(keys, x, F.concat(F.lit(f"{f}."), i.cast("string"), F.lit(".")))))
+        return F.when(v.isNull(), none).otherwise(T.let(V.as_array(v), lambda a: F.coalesce(each(a), F.array(F.lit(f"{f}: not a list")))))
+
+    def fields(x: Column) -> Column:
+        own = dict.fromkeys(spec.scalars, "text") | dict.fromkeys(spec.lists, "texts")
+        return F.concat(_checks(x, F.lit(""), own), *(items(f, keys, x[f]) for f, keys in spec.records.items()))
+
+    return F.concat(_unknown(v, F.lit(""), spec.fields), T.let(V.members(v, spec.fields), fields))
 
 
 def check_schema(parsed: DataFrame, spec: RecordSpec = RESUME) -> DataFrame:

@@ -39,6 +39,8 @@ def _shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     def get(spark: SparkSession, d: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, d, build.__name__)
         if key not in _SHARED:
+            for old in [k for k in _SHARED if k[:2] != key[:2]]:  # tables of other folders are done with
+                _SHARED.pop(old).unpersist()
             _SHARED[key] = build(spark, d)
         return _SHARED[key].persist()
 
@@ -168,7 +170,7 @@ def a16_slices(spark: SparkSession, d: str) -> DataFrame:
 @query("p2_outcomes", f"""WITH {PRED_SQL} SELECT model, CASE WHEN b = 1 THEN 'code_fence' WHEN b = 2 THEN 'brace_slice' WHEN b IN (3, 4) THEN 'unparseable output' ELSE 'direct' END AS outcome,
   b NOT IN (3, 4) AS is_object, count(*) AS n FROM t GROUP BY ALL""")
 def p2_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    return parse.parse_outcomes(parse.parse_outputs(_predictions(spark, d)), ["model"])
+    return parse.parse_outcomes(parse.parse_outputs(evaluate.dealt(_predictions(spark, d))), ["model"])
 
 
 _MESSAGES = """CASE WHEN b IN (3, 4) THEN 'not an object' WHEN b = 8 THEN 'extra: unknown key' WHEN b = 14 THEN 'skills: not a list of strings' WHEN b = 18 THEN 'name: not a string'
@@ -178,7 +180,7 @@ _MESSAGES = """CASE WHEN b IN (3, 4) THEN 'not an object' WHEN b = 8 THEN 'extra
 
 @query("p3_schema", f"WITH {PRED_SQL} SELECT model, schema_valid, {_MESSAGES} AS schema_error, count(*) AS n FROM t GROUP BY ALL")
 def p3_schema(spark: SparkSession, d: str) -> DataFrame:
-    rows = parse.check_schema(parse.parse_outputs(_predictions(spark, d)))
+    rows = parse.check_schema(parse.parse_outputs(evaluate.dealt(_predictions(spark, d))))
     return rows.groupBy("model", "schema_valid", "schema_error").agg(F.count(F.lit(1)).alias("n"))
 
 
