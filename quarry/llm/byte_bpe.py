@@ -4,8 +4,8 @@ Pre-tokenisation works without a regular expression. Each code point gets a clas
 code points of look-ahead for contractions) stands for a transition function over five scanner states.
 Functions compose associatively, so a blocked prefix scan over a composition table gives the state
 before every code point of a whole batch at once, and from states and classes follow all token starts.
-The slices feed pair merging, whose results are cached per slice. The character offsets of the slices are kept: a slice decodes for itself, and
-its text goes where its offset says, so tokens can be mapped back to places in the text.
+The slices feed pair merging, whose results are cached per slice. The character offsets of the slices are kept: decoding counts the code points
+that begin in each token, checks that every slice begins where its offset says, and so maps tokens back to places in the text.
 
 Scale: one narrow pass, no shuffle, nothing broadcast but the path of the rank file, which must exist on every executor; each Python worker
 loads the ranks once. The cache is cleared at a fixed size, so memory is bounded. Very long slices are
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_SIZE = 1_000_000
+CACHE_SIZE = 500_000
 BATCH_CHARS = 1_000_000
 
 # code point classes
@@ -193,7 +193,8 @@ class ByteBpe:
                     self.pairs[(left << 20) | right] = rank
         self.names = [str(i) for i in range(len(self.tokens))]
         self.cache: dict[str, bytes] = {}  # slice -> its ids as int32; values without pointers keep lookups cheap
-        self.slices: dict[bytes, str] = {}  # ids of a slice as int32 -> the slice
+        #: code points that begin in each token
+        self.leads = np.array([sum(b & 0xC0 != 0x80 for b in t) for t in self.tokens], dtype=np.int64)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one slice: the adjacent pair of lowest rank is merged first, leftmost on ties."""
@@ -271,25 +272,16 @@ class ByteBpe:
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def _slice(self, packed: bytes) -> str:
-        text = self.decode(array("i", packed)).decode()
-        if len(self.slices) >= CACHE_SIZE:
-            self.slices.clear()
-        if len(text) <= 64:
-            self.slices[packed] = text
-        return text
-
-    def decode_slices(self, entries: list[bytes], starts: np.ndarray) -> str:
-        """The text of slices, given the ids of each as int32 and the character at which it starts.
-
-        A slice holds whole code points, so it decodes for itself, and its text must begin where the one before it ends.
-        """
-        known, make = self.slices.get, self._slice
-        pieces = [known(e) or make(e) for e in entries]
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        if len(pieces) and not (starts[0] == 0 and np.array_equal(starts[1:], ends[:-1])):
+    def token_offsets(self, ids: np.ndarray) -> np.ndarray:
+        """The character at which each token begins, and the number of all; a token that begins within a character counts as after it."""
+        return np.concatenate([np.zeros(1, np.int64), np.cumsum(self.leads[ids])])
+
+    def decode_slices(self, ids: np.ndarray, sizes: np.ndarray, starts: np.ndarray) -> bytes:
+        """The bytes of slices of ``sizes`` ids each that start at the given characters; they must fit these offsets."""
+        ends = np.cumsum(sizes)
+        if not np.array_equal(self.token_offsets(ids)[ends - sizes], starts):
             raise ValueError("the slices do not fit their offsets")
-        return "".join(pieces)
+        return self.decode(ids.tolist())
 
 
 def _grouped(texts: list[str]) -> Iterator[list[str]]:
@@ -314,6 +306,11 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
+def _sizes(entries: list[bytes]) -> np.ndarray:
+    """Ids of each slice."""
+    return np.fromiter(map(len, entries), np.int64, len(entries)) // 4
+
+
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids array<int>, starts array<int> (first character of each slice), slice_ids array<int> (ids in each slice)."""
 
@@ -326,7 +323,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     batch.column(0),
                     pa.array([r[2] for r in rows], pa.list_(pa.int32())),
                     pa.array([r[0].astype(np.int32) for r in rows], pa.list_(pa.int32())),
-                    pa.array([np.array([len(e) // 4 for e in r[1]], np.int32) for r in rows], pa.list_(pa.int32())),
+                    pa.array([_sizes(r[1]).astype(np.int32) for r in rows], pa.list_(pa.int32())),
                 ],
                 names=["doc_id", "ids", "starts", "slice_ids"],
             )
@@ -342,10 +339,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
         bpe = coder(path)
         for batch in batches:
             texts = []
-            for ids, starts, sizes in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
-                packed = ids.values.to_numpy().astype(np.int32).tobytes()
-                ends = np.cumsum(sizes.values.to_numpy()).tolist()
-                texts.append(bpe.decode_slices([packed[4 * a : 4 * b] for a, b in zip([0, *ends], ends)], starts.values.to_numpy()))
+            for row in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                ids, starts, sizes = (x.values.to_numpy().astype(np.int64) for x in row)
+                texts.append(bpe.decode_slices(ids, sizes, starts).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids", "starts", "slice_ids").mapInArrow(run, "doc_id long, decoded string")
@@ -363,7 +359,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 count.append(len(ids))
                 slices.append(len(starts))
                 ids_sha.append(hashlib.sha256(",".join(map(bpe.names.__getitem__, ids)).encode()).hexdigest())
-                decoded_sha.append(hashlib.sha256(bpe.decode_slices(entries, starts).encode()).hexdigest())
+                decoded_sha.append(hashlib.sha256(bpe.decode_slices(packed, _sizes(entries), starts)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(slices, pa.int64())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_slices"],
@@ -385,7 +381,7 @@ def tokenise(docs: DataFrame, path: str, keep: list[str], text_col: str = "text"
             ids, same = [], []
             for text, (starts, entries, packed) in zip(texts, bpe.encode_batch(texts), strict=True):
                 ids.append(packed)
-                same.append(bpe.decode_slices(entries, starts) == text)
+                same.append(bpe.decode_slices(packed, _sizes(entries), starts) == text.encode())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[: len(keep)], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
                 names=schema.names,

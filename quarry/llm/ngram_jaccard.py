@@ -46,7 +46,7 @@ HASHES = BANDS * ROWS
 STEP = 10
 TOLERANCE = 1e-6
 CHUNK, CHUNK_SHINGLES = 512, 1_000_000  # classes of a chunk, and their shingles, on average; a cell has two chunks at most
-PAIRS_AT_ONCE = 1 << 18
+PAIRS_AT_ONCE = 1 << 16
 SHINGLES_AT_ONCE = 4_000_000
 BROADCAST_CLASSES = 1_000_000
 
