@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_SIZE = 500_000
+CACHE_SIZE = 250_000
 BATCH_CHARS = 1_000_000
 
 # code point classes
