@@ -14,7 +14,8 @@ Steps
    that live on leave this step.
 4. Only these get their shingle sets, follow the same pairs again, and verify them exactly. A cell returns, for each class, its number of linked
    documents and the root of its linked group within the cell: rows in proportion to the classes, never pairs.
-5. Connected components over these roots give near-duplicate groups.
+5. Connected components over these roots give near-duplicate groups. Groups meet their classes, and classes their rows, by salted joins, so
+   neither a large group nor a text of very many copies gathers in a task.
 
 Pairs that share a bucket by chance, or for a passage that many texts share, are dropped in step 3 and join nothing: no group is formed of
 candidates. Shingles are compared as 64-bit hashes. The classes that need their texts are broadcast only while they
@@ -36,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, stable, without_rows
+from .common import materialise, read_table, salted_join, stable, without_rows
 from .components import components
 
 SHINGLE = 5
@@ -361,12 +362,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = materialise(links(docs, classes, id_col, text_col, threshold))
     degree = found.groupBy("class").agg(F.sum("n_links").alias("others"))
     label = components(found.select(F.col("class").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("class"), "label")
-    grouped = classes.drop("sig").join(degree, "class", "left").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    grouped = classes.drop("sig").join(degree, "class", "left").join(label, "class", "left")
     leader = F.min(F.struct(F.col("copy_id").isNull().alias("none"), F.col("copy_id").alias("id"), F.col("class").alias("row"))).alias("leader")
-    groups = grouped.groupBy("label").agg(leader, F.sum("copies").alias("group_size"))
-    info = grouped.join(groups, "label").select("set_key", "copy_id", "copies", "others", F.col("leader.id").alias("class_id"), F.col("leader.row").alias("keeper"), "group_size")
+    groups = grouped.where("label is not null").groupBy("label").agg(leader, F.sum("copies").alias("group_size"))
+    # a class that is linked to none is its own label, which no group has, so such rows do not gather
+    told = salted_join(grouped.withColumn("label", F.coalesce("label", "class")), groups, "label", "class", "left").where("copies > 1 or group_size is not null")
+    info = told.select(
+        "set_key", "copy_id", "copies", "others", F.when(F.col("group_size").isNull(), F.col("copy_id")).otherwise(F.col("leader.id")).alias("class_id"),
+        F.coalesce("leader.row", "class").alias("keeper"), F.coalesce("group_size", "copies").alias("group_size"),
+    )
+    # likewise rows without shingles: 8 bytes of their number are no digest of 16
+    rows = signed.select("doc_id", "row_no", F.coalesce("set_key", F.unhex(F.lpad(F.hex("row_no"), 16, "0"))).alias("set_key"))
     alone = F.col("copies").isNull()
-    return signed.select("doc_id", "row_no", "set_key").join(info, "set_key", "left").select(
+    return salted_join(rows, info, "set_key", "row_no", "left").select(
         "doc_id", "row_no",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
