@@ -1,6 +1,6 @@
 """Bootstrap confidence intervals as one job.
 
-A draw depends on (seed, resample, number) only. Rows with equal measures are one tuple with a count; tuples take ranges of positions in the order of
+A draw depends on (seed, resample, number) only: a resample has a key by md5, its draws are arithmetic on key and number. Rows with equal measures are one tuple with a count; tuples take ranges of positions in the order of
 their measures, and a draw picks a position, so the result does not depend on how rows are partitioned. Draws meet tuples by bins of
 positions, as long as the mean tuple and ``MAX_BIN`` at most: a tuple stands in every bin that its range touches, so there are as many rows as tuples, and one more for every bin. These are broadcast up to
 ``BROADCAST_TUPLES``, the draws never, as Spark takes them for as few as the rows they are made of.
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.keyed import keyed_hash
+from ..functions.keyed import keyed_hash, with_counted_hash
 
 BROADCAST_TUPLES = 1_000_000
 MAX_BIN = 1024
@@ -34,14 +34,18 @@ def resampled(values: DataFrame, by: list[str], measures: list[str], n_boot: int
     tuples = tuples.withColumns({"upto": F.sum("c").over(group.orderBy(*measures)), "n": F.sum("c").over(group)})
     total, distinct = tuples.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     size = max(1, min(MAX_BIN, -(-total // max(distinct, 1))))
-    bins = ranges(tuples.withColumn("first", F.col("upto") - F.col("c")), F.floor(F.col("first") / size), F.floor((F.col("upto") - 1) / size), [*by, *measures, "first", "upto"])
+    bins = ranges(tuples.withColumn("first", F.col("upto") - F.col("c")), F.expr(f"first div {size}"), F.expr(f"(upto - 1) div {size}"), [*by, *measures, "first", "upto"])
     bins = bins.select(*by, *measures, "first", "upto", F.explode(F.sequence("start", "stop")).alias("bin"))
     bins = F.broadcast(bins) if distinct + total / size <= BROADCAST_TUPLES else bins.hint("shuffle_hash")
     tasks = min(MAX_TASKS, -(-total * n_boot // DRAWS_PER_TASK) or 1)
     draws = tuples.groupBy(*by).agg(F.max("n").alias("n")).withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))))
-    draws = ranges(draws, F.lit(0), F.col("n") - 1, [*by, "resample", "n"]).repartition(tasks, *by, "resample", "start")
-    draws = draws.select(*by, "resample", F.explode(F.sequence("start", "stop")).alias("i"), "n")
-    draws = draws.select(*by, "resample", F.pmod(keyed_hash(str(seed), F.col("resample"), F.col("i")), F.col("n")).alias("position")).withColumn("bin", F.floor(F.col("position") / size))
+    # the key of a resample is hashed before its draws are exploded
+    draws = draws.withColumns({"first_key": keyed_hash(str(seed), F.col("resample")), "second_key": keyed_hash(str(seed), F.col("resample"), "second")})
+    draws = ranges(draws, F.lit(0), F.col("n") - 1, [*by, "resample", "n", "first_key", "second_key"]).repartition(tasks, *by, "resample", "start")
+    draws = draws.select(*by, "resample", F.explode(F.sequence("start", "stop")).alias("i"), "n", "first_key", "second_key")
+    draws = with_counted_hash(draws, "draw", "first_key", "second_key", "i").select(*by, "resample", F.coalesce(F.pmod("draw", "n"), F.lit(0).cast("long")).alias("position"))
+    # columns that cannot be null: else the join filters for nulls below, where all steps of a draw are written out as one expression
+    draws = draws.withColumn("bin", F.coalesce(F.expr(f"position div {size}"), F.lit(0).cast("long")))
     met = draws.join(bins, [*by, "bin"]).where((F.col("first") <= F.col("position")) & (F.col("position") < F.col("upto")))
     return met.groupBy(*by, "resample").agg(F.coalesce(statistic, F.lit(0.0)).cast("double").alias("value"))
 

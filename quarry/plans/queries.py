@@ -260,13 +260,16 @@ def c2_agreement(spark: SparkSession, d: str) -> DataFrame:
 # --- bootstrap ------------------------------------------------------------------------------------------------------------
 
 N_BOOT = 1000
+_MIXED = lambda x: f"(xor({x}, {x} >> 16) * 569420461) & 4294967295 AS {x}1, (xor({x}1, {x}1 >> 15) * 1935289751) & 4294967295 AS {x}2, xor({x}2, {x}2 >> 15)"
 
 
 def _resamples(metric: str, source: str, order: str, value: str, seed: int, by: str = "model") -> str:
     """Point and 95 % interval of a metric by resamples: draws pick positions in the order of the measures."""
     return f"""SELECT {by}, '{metric}' AS metric, any_value(point) AS point, max(value) FILTER (r = {int(0.025 * N_BOOT)}) AS low, max(value) FILTER (r = {min(N_BOOT - 1, int(0.975 * N_BOOT))}) AS high FROM (
   WITH o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS pos FROM {source}), n AS (SELECT {by}, count(*) AS n, {value} AS point FROM o GROUP BY {by}),
-   d AS (SELECT {by}, n, point, draw, unnest(range(n)) AS i FROM n, range({N_BOOT}) r(draw)), e AS (SELECT {by}, point, draw, {fixtures._H(f"'{seed}|' || draw || '|' || i")} % n AS pos FROM d),
+   k AS (SELECT {by}, n, point, draw, {fixtures._H(f"'{seed}|' || draw")} AS k1, {fixtures._H(f"'{seed}|' || draw || '|second'")} AS k2 FROM n, range({N_BOOT}) r(draw)),
+   d AS (SELECT {by}, n, point, draw, k1, k2, unnest(range(n)) AS i FROM k), a AS (SELECT {by}, n, point, draw, k2, xor(i, k1) AS x, {_MIXED("x")} AS a FROM d),
+   b AS (SELECT {by}, n, point, draw, a, (a + k2) & 4294967295 AS y, {_MIXED("y")} AS b FROM a), e AS (SELECT {by}, point, draw, ((a & 2147483647) * 2147483648 + (b & 2147483647)) % n AS pos FROM b),
    s AS (SELECT {by}, point, draw, {value} AS value FROM e JOIN o USING ({by}, pos) GROUP BY {by}, point, draw)
   SELECT {by}, point, value, row_number() OVER (PARTITION BY {by} ORDER BY value) - 1 AS r FROM s) GROUP BY {by}"""
 

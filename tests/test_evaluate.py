@@ -1,9 +1,11 @@
 import hashlib
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions.keyed import with_counted_hash
 from quarry.operators import bootstrap, compare, errors, evaluate
 
 GOLD = {
@@ -92,7 +94,18 @@ def test_bootstrap_point_and_bounds(spark):
 
 def brute_interval(values, seed, n_boot=1000):
     values, n = sorted(values), len(values)
-    draw = lambda b, i: int(hashlib.md5(f"{seed}|{b}|{i}".encode()).hexdigest()[:8], 16) % n
+    key = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
+
+    def mixed(x):
+        for shift, factor in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
+            x = (x ^ x >> shift) * factor % 2**32
+        return x ^ x >> 15
+
+    def draw(b, i):
+        first = mixed(i % 2**32 ^ key(seed, b))
+        second = mixed((first + key(seed, b, "second") + (i >> 32)) % 2**32)
+        return (first % 2**31 * 2**31 + second % 2**31) % n
+
     means = sorted(sum(values[draw(b, i)] for i in range(n)) / n for b in range(n_boot))
     return sum(values) / n, means[int(0.025 * n_boot)], means[min(n_boot - 1, int(0.975 * n_boot))]
 
@@ -111,6 +124,21 @@ def test_registered_intervals_are_of_1000_resamples(spark, tmp_path, monkeypatch
     assert got["schema_validity"] == pytest.approx(brute_interval(valid, 43)) and got["exact_match"] == pytest.approx(brute_interval(exact, 44))
 
 
+def test_counted_hash_is_uniform_and_takes_numbers_beyond_32_bits(spark):
+    rows = spark.range(20_000).select(F.lit(2**32 - 1).alias("k1"), F.lit(5).cast("long").alias("k2"), (F.col("id") + 2**33).alias("i"))
+    got = [r.h for r in with_counted_hash(rows, "h", "k1", "k2", "i").select("h").collect()]
+    assert len(set(got)) == 20_000 and min(got) >= 0 and max(got) < 2**62
+    for modulus in (2, 10, 64):
+        counts = np.bincount(np.array(got) % modulus, minlength=modulus)
+        assert ((counts - 20_000 / modulus) ** 2).sum() / (20_000 / modulus) < modulus + 6 * (2 * modulus) ** 0.5
+
+
+def test_nulls_are_not_looked_for_below_the_draws(spark):
+    rows = spark.createDataFrame([("m", 1), ("m", 0)], "model string, ok int")
+    plan = bootstrap.resampled(rows, ["model"], ["ok"], 5, 1, F.avg("ok"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "isnotnull(pmod" not in plan and "isnotnull(coalesce" not in plan
+
+
 def test_exploded_ranges_are_bounded(spark, monkeypatch):
     got = bootstrap.ranges(spark.createDataFrame([("m", 2**33)], "model string, n long"), F.lit(2**33 - 250_000), F.col("n"), ["model"]).orderBy("start").collect()
     assert [(r.start - 2**33, r.stop - 2**33) for r in got] == [(-250_000, -150_001), (-150_000, -50_001), (-50_000, 0)]
