@@ -8,7 +8,7 @@ The slices feed pair merging, whose results are cached per slice. The character
 that begin in each token, checks that every slice begins where its offset says, and so maps tokens back to places in the text.
 
 Scale: one narrow pass, no shuffle, nothing broadcast but the path of the rank file, which must exist on every executor; each Python worker
-loads the ranks once. The cache is cleared at a fixed size, so memory is bounded. Very long slices are
+loads the ranks once. The cache is cleared at a fixed size and when a task ends, so memory is bounded. Very long slices are
 merged with a heap in O(n log n).
 
 Cases: null text counts as empty (no ids); other columns are not looked at; repeated rows are encoded
@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from .common import read_table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
-CACHE_SIZE = 250_000
+CACHE_SIZE = 100_000
 BATCH_CHARS = 1_000_000
 
 # code point classes
@@ -327,6 +327,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ],
                 names=["doc_id", "ids", "starts", "slice_ids"],
             )
+        bpe.cache.clear()  # a worker that is used again shall not hold it through other stages
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, slice_ids array<int>")
@@ -364,6 +365,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(slices, pa.int64())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_slices"],
             )
+        bpe.cache.clear()  # a worker that is used again shall not hold it through other stages
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_slices long")
@@ -386,6 +388,7 @@ def tokenise(docs: DataFrame, path: str, keep: list[str], text_col: str = "text"
                 [*batch.columns[: len(keep)], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
                 names=schema.names,
             )
+        bpe.cache.clear()  # a worker that is used again shall not hold it through other stages
 
     return rows.mapInArrow(run, schema)
 
