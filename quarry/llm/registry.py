@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, licenses, ngram_jaccard, quality, secrets, suffix_dedup, warc
+from . import byte_bpe, decontaminate, exact_dedup, html_text, licenses, ngram_jaccard, packing, quality, secrets, suffix_dedup, warc
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_decontaminate": decontaminate.query,
     "op9_html_text": html_text.query,
     "op10_secrets": secrets.query,
+    "op11_packing": packing.query,
 }
 
 ORACLE_SQL = {
