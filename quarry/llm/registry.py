@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, licenses, ngram_jaccard, packing, quality, secrets, suffix_dedup, warc
+from . import byte_bpe, decontaminate, exact_dedup, html_text, licenses, ngram_jaccard, packing, quality, secrets, suffix_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_html_text": html_text.query,
     "op10_secrets": secrets.query,
     "op11_packing": packing.query,
+    "op12_vector_codes": vector_codes.query,
 }
 
 ORACLE_SQL = {
@@ -24,4 +25,5 @@ ORACLE_SQL = {
     "op6_exact_dedup": exact_dedup.ORACLE,
     "op7_warc": warc.ORACLE,
     "op10_secrets": secrets.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
