@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, decontaminate, exact_dedup, html_text, licenses, ngram_jaccard, packing, quality, secrets, suffix_dedup, vector_codes, warc
+from . import byte_bpe, decontaminate, divergence, exact_dedup, html_text, licenses, ngram_jaccard, packing, quality, secrets, suffix_dedup, vector_codes, warc
 
 QUERIES = {
     "op1_byte_bpe": byte_bpe.query,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_secrets": secrets.query,
     "op11_packing": packing.query,
     "op12_vector_codes": vector_codes.query,
+    "op13_divergence": divergence.query,
 }
 
 ORACLE_SQL = {
@@ -26,4 +27,5 @@ ORACLE_SQL = {
     "op7_warc": warc.ORACLE,
     "op10_secrets": secrets.ORACLE,
     "op12_vector_codes": vector_codes.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
