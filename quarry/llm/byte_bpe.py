@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import parts, read_table, tidy
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 CACHE_SIZE = 100_000
@@ -316,7 +316,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             rows = list(bpe.encode_batch(_texts(batch.column(1))))
             yield pa.RecordBatch.from_arrays(
                 [
@@ -327,10 +327,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 ],
                 names=["doc_id", "ids", "starts", "slice_ids"],
             )
-        bpe.cache.clear()  # a worker that is used again shall not hold it through other stages
+        bpe.cache.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, slice_ids array<int>")
+    return rows.mapInArrow(tidy(run), "doc_id long, ids array<int>, starts array<int>, slice_ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -345,7 +345,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
                 texts.append(bpe.decode_slices(ids, sizes, starts).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids", "starts", "slice_ids").mapInArrow(run, "doc_id long, decoded string")
+    return encoded.select("doc_id", "ids", "starts", "slice_ids").mapInArrow(tidy(run), "doc_id long, decoded string")
 
 
 def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -353,7 +353,7 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, 1)):
             count, ids_sha, decoded_sha, slices = [], [], [], []
             for starts, entries, packed in bpe.encode_batch(_texts(batch.column(1))):
                 ids = packed.tolist()
@@ -365,10 +365,10 @@ def round_trip(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                 [batch.column(0), pa.array(count, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(decoded_sha, pa.string()), pa.array(slices, pa.int64())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_slices"],
             )
-        bpe.cache.clear()  # a worker that is used again shall not hold it through other stages
+        bpe.cache.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_slices long")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_slices long")
 
 
 def tokenise(docs: DataFrame, path: str, keep: list[str], text_col: str = "text") -> DataFrame:
@@ -378,7 +378,7 @@ def tokenise(docs: DataFrame, path: str, keep: list[str], text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = coder(path)
-        for batch in batches:
+        for batch in (part for whole in batches for part in parts(whole, len(keep))):
             texts = _texts(batch.column(len(keep)))
             ids, same = [], []
             for text, (starts, entries, packed) in zip(texts, bpe.encode_batch(texts), strict=True):
@@ -388,9 +388,9 @@ def tokenise(docs: DataFrame, path: str, keep: list[str], text_col: str = "text"
                 [*batch.columns[: len(keep)], pa.array(map(len, ids), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(same, pa.bool_())],
                 names=schema.names,
             )
-        bpe.cache.clear()  # a worker that is used again shall not hold it through other stages
+        bpe.cache.clear()
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def vocabulary_path() -> str:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-import re
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import suppress
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 1_000_000
+PART_BYTES = 4 << 20
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,22 +48,44 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-#: plans of these nodes give the same rows in the same partitions each time, whatever columns are read
-_STABLE = {"Project", "Filter", "Relation", "SubqueryAlias", "View", "LogicalRDD", "LocalRelation"}
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` written once with a number for each row, and the name of that column.
 
+    Operators that read a table several times know its rows by their numbers. monotonically_increasing_id() depends on how files are split, and that on the cores that are
+    there when a job is planned, so numbers are written with the rows, not made anew by each job.
+    """
+    name = unused("quarry_row_no", docs.columns)
+    return materialise(docs.withColumn(name, F.monotonically_increasing_id())), name
 
-def stable(docs: DataFrame) -> DataFrame:
-    """``docs``, or, where its plan is more than a scan, its rows written once.
 
-    Operators that read a table several times number its rows with monotonically_increasing_id(). After a shuffle, the
-    rows of a partition depend on the columns that are read, so such a table is written first. So is any table of a session that shows no plan.
-    """
-    plan = getattr(docs, "_jdf", None)
-    if plan is None:
-        return materialise(docs)
-    lines = plan.queryExecution().analyzed().toString().splitlines()
-    nodes = {re.split(r"[ \[(]", line.lstrip(" :+-"))[0] for line in lines if line.strip()}
-    return docs if nodes <= _STABLE else materialise(docs)
+def row_number_of(row_col: str | None) -> Column:
+    """The column of ``numbered``, or, for a single pass over a table, numbers made by that pass."""
+    return F.col(row_col) if row_col else F.monotonically_increasing_id()
+
+
+def parts(batch: pa.RecordBatch, column: int, size: int = PART_BYTES) -> Iterator[pa.RecordBatch]:
+    """``batch`` in parts whose texts in ``column`` take at most ``size`` bytes, or that are one row."""
+    first, held = 0, 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if held and held + n > size:
+            yield batch.slice(first, i - first)
+            first, held = i, 0
+        held += n
+    if first < batch.num_rows:
+        yield batch.slice(first)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, a function for mapInArrow or mapInPandas, whose worker gives memory back when a task ends: workers are used again, by later stages as well."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with suppress(AttributeError, OSError):  # of the C library, where it has one
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
 
 
 def salted_join(rows: DataFrame, few: DataFrame, key: str, deal: str, how: str = "inner", salts: int = 16) -> DataFrame:
@@ -75,14 +103,12 @@ def unused(name: str, columns: list[str]) -> str:
     return name
 
 
-def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs``, which is ``stable``, less the rows whose number stands in ``dropped`` (row_no, written).
+def without_rows(docs: DataFrame, row_col: str, dropped: DataFrame) -> DataFrame:
+    """``docs``, which is ``numbered`` by ``row_col``, less the rows whose number stands in ``dropped`` (row_no, written), and less that column.
 
     The numbers are broadcast up to ``BROADCAST_ROWS`` of them, so that the texts stay where they are; beyond that the same join is a shuffle.
     """
-    own = unused("quarry_row_no", docs.columns)
-    gone = dropped.select(F.col("row_no").alias(own))
+    gone = dropped.select(F.col("row_no").alias(row_col))
     if gone.count() <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
-    numbered = docs.withColumn(own, F.monotonically_increasing_id())
-    return numbered.join(gone, own, "left_anti").drop(own)
+    return docs.join(gone, row_col, "left_anti").drop(row_col)

@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, tidy
 
 MIN_SCORE = 0.4
 MIN_OVERLAP = 0.5
@@ -317,7 +317,7 @@ def item_shards(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield [(r.item_id, r.text) for r in rows.collect()], None
         return
     numbered = materialise(rows.withColumn("number", F.monotonically_increasing_id()))
-    words = materialise(numbered.select("number", "text").mapInArrow(_item_words, "number long, n_words long, terms array<binary>").where("n_words > 0"))
+    words = materialise(numbered.select("number", "text").mapInArrow(tidy(_item_words), "number long, n_words long, terms array<binary>").where("n_words > 0"))
     n, total = words.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_words"), F.lit(1))).first()
     terms = words.select("number", F.explode("terms").alias("term"))
     frequency = materialise(terms.groupBy("term").agg(F.count(F.lit(1)).alias("items")))
@@ -369,7 +369,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
 
-        part = rows.mapInArrow(scan, schema)
+        part = rows.mapInArrow(tidy(scan), schema)
         found = part if found is None else found.unionByName(part)
     best = F.max(F.struct("question_overlap", "answer_overlap", "score", (-F.col("first_word")).alias("neg"))).alias("best")
     return found.groupBy("doc_id", "item_id").agg(best).select(
@@ -391,7 +391,7 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") ->
                 leaks = {m[0] for m in index.scan(batch.column(at).to_pylist())}
                 yield batch.filter(pa.array([k not in leaks for k in range(batch.num_rows)], pa.bool_()))
 
-        kept = kept.mapInArrow(clean, docs.schema)
+        kept = kept.mapInArrow(tidy(clean), docs.schema)
     return kept
 
 

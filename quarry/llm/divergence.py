@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, tidy
 
 MIN_DOCS = 30
 TOP_TERMS = 50
@@ -83,7 +83,7 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         yield from sent()
 
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
-    counted = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    counted = rows.mapInArrow(tidy(run), "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 

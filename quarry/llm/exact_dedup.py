@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, salted_join, stable, without_rows
+from .common import materialise, numbered, read_table, row_number_of, salted_join, tidy, without_rows
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SALTS = 16
@@ -155,7 +155,7 @@ def ranks(keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, row_no (unique), n_codepoints of the original text, SHA-256 of the normalised text."""
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,8 +169,8 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 names=["doc_id", "row_no", "n_codepoints", "digest"],
             )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(digest, "doc_id long, row_no long, n_codepoints long, digest binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), row_number_of(row_col).alias("row_no"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(tidy(digest), "doc_id long, row_no long, n_codepoints long, digest binary")
 
 
 def index_digests(digests: DataFrame, shards: int) -> DataFrame:
@@ -228,9 +228,9 @@ def index_digests(digests: DataFrame, shards: int) -> DataFrame:
     return combined.groupBy("shard").applyInPandas(merge, "digest binary, keep_id long, keep_row long, group_size long")
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_shard: int = ROWS_PER_SHARD) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_per_shard: int = ROWS_PER_SHARD, row_col: str | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 and row_no for every row of ``docs``."""
-    digests = materialise(text_digests(docs, id_col, text_col))
+    digests = materialise(text_digests(docs, id_col, text_col, row_col))
     shards = max(1, -(-digests.count() // rows_per_shard))
     groups = index_digests(digests, shards).where("group_size > 1")
     return (
@@ -248,8 +248,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows_
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, less copies."""
-    docs = stable(docs)
-    return without_rows(docs, materialise(dedup(docs, id_col, text_col).where("not kept").select("row_no")))
+    docs, row = numbered(docs)
+    return without_rows(docs, row, materialise(dedup(docs, id_col, text_col, row_col=row).where("not kept").select("row_no")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, tidy
 
 MIN_PAGES = 10
 MIN_SHARE = 0.1  # of the host's distinct pages
@@ -318,7 +318,7 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
     url = F.col("url").cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), host_of(url).alias("host"), F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, host string, content long, keys array<long>, blob binary")
+    return rows.mapInArrow(tidy(run), "page_id long, url string, host string, content long, keys array<long>, blob binary")
 
 
 def templates(read: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, content_share: float = MIN_CONTENT_SHARE) -> DataFrame:
@@ -354,7 +354,7 @@ def extract(pages: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
                 names=["page_id", "url", "text", "n_chars", "n_template_blocks"],
             )
 
-    return joined.select("page_id", "url", "blob", "gone").mapInArrow(finish, "page_id long, url string, text string, n_chars long, n_template_blocks long")
+    return joined.select("page_id", "url", "blob", "gone").mapInArrow(tidy(finish), "page_id long, url string, text string, n_chars long, n_template_blocks long")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

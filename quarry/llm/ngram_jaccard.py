@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, salted_join, stable, without_rows
+from .common import materialise, numbered, read_table, row_number_of, salted_join, tidy, without_rows
 from .components import components
 
 SHINGLE = 5
@@ -100,11 +100,11 @@ def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) ->
     return out
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row_no"), F.col(text_col).cast("string").alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, row_col: str | None = None) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_number_of(row_col).alias("row_no"), F.col(text_col).cast("string").alias("text"))
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, row_no, set_key (null without shingles), n_shingles and signature of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,7 +117,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 signs.append(signature(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(signs, pa.binary())], names=["doc_id", "row_no", "set_key", "n_shingles", "sig"])
 
-    return _rows(docs, id_col, text_col).mapInArrow(run, "doc_id long, row_no long, set_key binary, n_shingles long, sig binary")
+    return _rows(docs, id_col, text_col, row_col).mapInArrow(tidy(run), "doc_id long, row_no long, set_key binary, n_shingles long, sig binary")
 
 
 def buckets_of(sig: np.ndarray) -> np.ndarray:
@@ -135,7 +135,7 @@ def band_buckets(classes: DataFrame) -> DataFrame:
             node, size = (pa.array(np.repeat(batch.column(k).to_numpy(), BANDS)) for k in (0, 2))
             yield pa.RecordBatch.from_arrays([pa.array(buckets_of(sig).reshape(-1).view(np.int64)), node, size], names=["bucket", "class", "n_shingles"])
 
-    return classes.select("class", "sig", "n_shingles").mapInArrow(run, "bucket long, class long, n_shingles long")
+    return classes.select("class", "sig", "n_shingles").mapInArrow(tidy(run), "bucket long, class long, n_shingles long")
 
 
 def cells(classes: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def living_cells(placed: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 alive[left[fits]] = alive[right[fits]] = True
             yield from table.filter(pa.array(alive)).to_batches()
 
-    return by_cell(placed).mapInArrow(run, placed.schema)
+    return by_cell(placed).mapInArrow(tidy(run), placed.schema)
 
 
 def _sizes_fit(a: np.ndarray, b: np.ndarray, threshold: float) -> np.ndarray:
@@ -306,7 +306,7 @@ def verified_cells(living: DataFrame, threshold: float = THRESHOLD) -> DataFrame
             columns = [nodes[found], nodes[root[found]], links[found], partners[found]]
             yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["class", "root", "n_links", "n_linked_classes"])
 
-    return by_cell(living).mapInArrow(run, LINKS)
+    return by_cell(living).mapInArrow(tidy(run), LINKS)
 
 
 def _pointed(root: np.ndarray) -> np.ndarray:
@@ -330,7 +330,7 @@ def _joined(root: np.ndarray, left: np.ndarray, right: np.ndarray, rank: np.ndar
         root = by_rank[target]
 
 
-def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
     """LINKS of classes: every pair at the threshold is counted in one cell."""
     facts = classes.select("class", "n_shingles", "copies", "sig")
     placed = cells(classes).join(facts, "class").select(*CELL, "chunk", "class", "n_shingles", "copies", "sig")
@@ -344,22 +344,23 @@ def links(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col:
             sets = [shingles(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["class", "members"])
 
-    sets = _rows(docs, id_col, text_col).select("row_no", "text").join(wanted, "row_no").select("row_no", "text").mapInArrow(members, "class long, members binary")
+    sets = _rows(docs, id_col, text_col, row_col).select("row_no", "text").join(wanted, "row_no").select("row_no", "text").mapInArrow(tidy(members), "class long, members binary")
     return verified_cells(living.join(sets, "class").select(*CELL, "chunk", "class", "n_shingles", "copies", "sig", "members"), threshold)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, row_col: str | None = None) -> DataFrame:
     """For every row: doc_id, row_no, class_id (smallest doc_id of its near-duplicate group), group_size, kept (one row of each
     group), copy_id (smallest doc_id with the same shingles), n_copies, n_links (rows of similarity threshold or more, itself excluded).
     """
-    docs = stable(docs)
-    signed = materialise(signatures(docs, id_col, text_col))
+    if row_col is None:
+        docs, row_col = numbered(docs.select(id_col, text_col))
+    signed = materialise(signatures(docs, id_col, text_col, row_col))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_no")).alias("first")
     classes = materialise(
         signed.where("set_key is not null").groupBy("set_key").agg(first, F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n_shingles"), F.max("sig").alias("sig"))
         .select("set_key", F.col("first.row_no").alias("class"), F.col("first.doc_id").alias("copy_id"), "copies", "n_shingles", "sig")
     )
-    found = materialise(links(docs, classes, id_col, text_col, threshold))
+    found = materialise(links(docs, classes, id_col, text_col, threshold, row_col))
     degree = found.groupBy("class").agg(F.sum("n_links").alias("others"))
     label = components(found.select(F.col("class").alias("u"), F.col("root").alias("v"))).select(F.col("node").alias("class"), "label")
     grouped = classes.drop("sig").join(degree, "class", "left").join(label, "class", "left")
@@ -387,8 +388,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, with one of each near-duplicate group."""
-    docs = stable(docs)
-    return without_rows(docs, materialise(near_duplicates(docs, id_col, text_col).where("not kept").select("row_no")))
+    docs, row = numbered(docs)
+    return without_rows(docs, row, materialise(near_duplicates(docs, id_col, text_col, row_col=row).where("not kept").select("row_no")))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, parts, read_table, tidy
 
 VOCABULARY = "byte_bpe_50k.json"
 WINDOW = 2048
@@ -39,7 +39,7 @@ MIN_QUANTUM = 256
 ROUNDS_PER_BLOCK = 1024
 BLOCKS_PER_GROUP = 4096
 END = 1  # the id after each document
-BATCH_CHARS = 4_000_000
+PART_BYTES = 4 << 20
 
 
 @lru_cache(maxsize=2)
@@ -69,9 +69,7 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         task, row, served = TaskContext.get().partitionId(), 0, {}
         encode = encoder(path).encode_to_numpy
         for batch in batches:
-            first = 0
-            for stop in _cuts(batch.column(1)):
-                part = batch.slice(first, stop - first)
+            for part in parts(batch, 1, PART_BYTES):
                 ids = [encode(text or "", disallowed_special=()).astype("<u4").tobytes() + end for text in part.column(1).to_pylist()]
                 sizes, before = [len(x) // 4 for x in ids], []
                 for source, n in zip(part.column(2).to_pylist(), sizes, strict=True):
@@ -82,23 +80,10 @@ def tokens(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 kinds = [pa.int64(), None, None, pa.binary(), pa.int64(), pa.int32(), pa.int64()]
                 arrays = [part.column(0 if k == 1 else 2) if c is None else pa.array(c, t) for k, (c, t) in enumerate(zip(columns, kinds))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["row_no", "doc_id", "source", "ids", "n", "task", "before"])
-                first, row = stop, row + len(ids)
+                row += len(ids)
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string"), F.coalesce(F.col(source_col).cast("string"), F.lit("")))
-    return rows.toDF("doc_id", "text", "source").mapInArrow(run, "row_no long, doc_id long, source string, ids binary, n long, task int, before long")
-
-
-def _cuts(texts: pa.Array) -> Iterator[int]:
-    """Where to cut a batch so that each part has at most ``BATCH_CHARS``, or is one text."""
-    size = 0
-    for i, text in enumerate(texts):
-        n = len(text.as_buffer()) if text.is_valid else 0
-        if size and size + n > BATCH_CHARS:
-            yield i
-            size = 0
-        size += n
-    if len(texts):
-        yield len(texts)
+    return rows.toDF("doc_id", "text", "source").mapInArrow(tidy(run), "row_no long, doc_id long, source string, ids binary, n long, task int, before long")
 
 
 def queues(lengths: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:

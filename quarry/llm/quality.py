@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import materialise, read_table, tidy
 
 MAX_TRAINING_ROWS = 20_000
 THRESHOLD = 0.3
@@ -176,7 +176,7 @@ def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, x array<double>")
+    return rows.mapInArrow(tidy(run), "doc_id long, x array<double>")
 
 
 def held_out() -> F.Column:
@@ -227,7 +227,7 @@ def score(table: DataFrame, model: AdditiveModel) -> DataFrame:
             x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], names=["doc_id", "score"])
 
-    return table.mapInArrow(run, "doc_id long, score double").select(
+    return table.mapInArrow(tidy(run), "doc_id long, score double").select(
         "doc_id", held_out().alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted")
     )
 
@@ -247,7 +247,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, text_col: str = "text") -> Dat
             x = np.array([features(t or "") for t in batch.column(at).to_pylist()]).reshape(batch.num_rows, len(FEATURES))
             yield batch.filter(pa.array(model.score(x) >= THRESHOLD))
 
-    return docs.mapInArrow(accept, docs.schema)
+    return docs.mapInArrow(tidy(accept), docs.schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, salted_join, stable
+from .common import materialise, numbered, read_table, salted_join, tidy
 
 LENGTH = 200
 GRAM = 40
@@ -255,8 +255,8 @@ def _raw(column: pa.Array) -> list[bytes]:
     return [t or b"" for t in column.cast(pa.binary()).to_pylist()]
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def _rows(docs: DataFrame, id_col: str, text_col: str, row_col: str) -> DataFrame:
+    return docs.select(F.col(row_col).alias("row_no"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
 def equal_texts(rows: DataFrame) -> DataFrame:
@@ -324,7 +324,7 @@ def anchors(rows: DataFrame) -> DataFrame:
                     [pa.array(_spread(key, needless, owner)), pa.array(known | needless), pa.array(owner), pa.array((position - block.offsets[text]).astype(np.int32))], names=["key", "known", "row_no", "at"]
                 )
 
-    return rows.select("row_no", "text").mapInArrow(run, "key long, known boolean, row_no long, at int")
+    return rows.select("row_no", "text").mapInArrow(tidy(run), "key long, known boolean, row_no long, at int")
 
 
 def repeated_anchors(found: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def repeated_anchors(found: DataFrame) -> DataFrame:
         if held is not None and held[1][0]:
             yield pa.RecordBatch.from_arrays([pa.array(held[2]), pa.array(held[3])], names=["row_no", "at"])
 
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, "row_no long, at int")
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), "row_no long, at int")
 
 
 def tiles(rows: DataFrame) -> DataFrame:
@@ -393,7 +393,7 @@ def tiles(rows: DataFrame) -> DataFrame:
                     names=["key", "before", "after", "copies", "row_no", "at"],
                 )
 
-    return rows.select("row_no", "text", "anchors", "copied").mapInArrow(run, "key long, before binary, after binary, copies int, row_no long, at int")
+    return rows.select("row_no", "text", "anchors", "copied").mapInArrow(tidy(run), "key long, before binary, after binary, copies int, row_no long, at int")
 
 
 RESOLVED = "row_no long, place long, key long, before binary, after binary, copies int"
@@ -465,7 +465,7 @@ def sort_groups(found: DataFrame, hot_tiles: int = HOT_TILES) -> DataFrame:
         close()
         yield flush()
 
-    return found.repartition("key").sortWithinPartitions("key").mapInArrow(run, RESOLVED)
+    return found.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), RESOLVED)
 
 
 def count_hot(tile: DataFrame) -> DataFrame:
@@ -499,7 +499,7 @@ def document_spans(starts: DataFrame) -> DataFrame:
             cuts = [merge_starts(p.values.to_numpy()) for p in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cuts, pa.list_(pa.int32())), pa.array(map(len, cuts), pa.int32())], names=["row_no", "cuts", "n_items"])
 
-    return starts.groupBy("row_no").agg(F.collect_list("place").alias("places")).mapInArrow(run, "row_no long, cuts array<int>, n_items int")
+    return starts.groupBy("row_no").agg(F.collect_list("place").alias("places")).mapInArrow(tidy(run), "row_no long, cuts array<int>, n_items int")
 
 
 def _to_rows(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
@@ -511,7 +511,8 @@ def _to_rows(rows: DataFrame, lists: DataFrame, how: str) -> DataFrame:
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_tiles: int = HOT_TILES) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans array<struct<start, end>> of every row."""
-    rows = _rows(stable(docs), id_col, text_col)
+    docs, row_col = numbered(docs.select(id_col, text_col))
+    rows = _rows(docs, id_col, text_col, row_col)
     twins = materialise(equal_texts(rows))
     small = twins.count() <= BROADCAST_ROWS
     hint = F.broadcast if small else lambda x: x
@@ -540,7 +541,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_t
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"])
 
     joined = _to_rows(rows, materialise(cuts), "left").select("doc_id", "text", "cuts")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
+    return joined.mapInArrow(tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table, salted_join
+from .common import materialise, read_table, salted_join, tidy
 
 PARTS = 4
 ENTRIES = 256
@@ -157,7 +157,7 @@ def assigned(state: DataFrame, history: list[np.ndarray], final: bool = False) -
                 columns, names = [_bytes(codes), _lists(seconds), _bytes(stamps)], ["vec_id", "label", "x", "codes", "seconds", "stamps"]
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], names=names)
 
-    return state.mapInArrow(run, "vec_id long, label string, codes binary, error long" if final else STATE)
+    return state.mapInArrow(tidy(run), "vec_id long, label string, codes binary, error long" if final else STATE)
 
 
 def moved(state: DataFrame, book: np.ndarray) -> np.ndarray:
@@ -176,7 +176,7 @@ def moved(state: DataFrame, book: np.ndarray) -> np.ndarray:
         m, e = np.nonzero(total[:, :, 0])
         yield pa.RecordBatch.from_arrays([pa.array(m, pa.int32()), pa.array(e, pa.int32()), _lists(total[m, e])], names=["part", "entry", "sums"])
 
-    sums = state.select("x", "codes").mapInArrow(run, "part int, entry int, sums array<bigint>").select("part", "entry", F.posexplode("sums").alias("at", "value"))
+    sums = state.select("x", "codes").mapInArrow(tidy(run), "part int, entry int, sums array<bigint>").select("part", "entry", F.posexplode("sums").alias("at", "value"))
     out, count, means = book.copy(), {}, []
     # at most 4 x 256 x (components + 1) rows, whatever the input
     for part, entry, at, value in sums.groupBy("part", "entry", "at").agg(F.sum("value")).collect():

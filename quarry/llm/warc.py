@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, materialise, read_table, salted_join, scratch_dir, stable
+from .common import BROADCAST_ROWS, materialise, read_table, salted_join, scratch_dir
 
 RECORDS_PER_FILE = 50_000
 BYTES_PER_FILE = 128 << 20
@@ -62,7 +62,7 @@ def _record(headers: list[tuple[str, F.Column]], block: F.Column) -> F.Column:
 
 
 def captured(pages: DataFrame) -> DataFrame:
-    """page_id, row_no, url and payload of every row of ``pages``, which is ``stable``."""
+    """page_id, row_no, url and payload of every row of ``pages``; to be written, as numbers depend on how the table is split."""
     text = lambda name, absent: F.coalesce(F.col(name).cast("string"), F.lit(absent))
     return pages.select(
         F.col("page_id").cast("long").alias("page_id"), F.monotonically_increasing_id().alias("row_no"), text("url", "about:blank").alias("url"), text("html", "").alias("payload"),
@@ -83,14 +83,14 @@ def write_archives(pages: DataFrame, path: str, min_bytes: int = 0, records_per_
 
     A file holds at most ``records_per_file`` captures, and fewer where their mean size would take it beyond ``bytes_per_file``.
     """
-    pages = stable(pages)
-    digests = materialise(captured(pages).select("page_id", "row_no", base32_sha1(F.encode("payload", "UTF-8")).alias("digest"), F.octet_length("payload").cast("long").alias("size")))
+    pages = materialise(captured(pages))
+    digests = materialise(pages.select("page_id", "row_no", base32_sha1(F.encode("payload", "UTF-8")).alias("digest"), F.octet_length("payload").cast("long").alias("size")))
     mean = digests.agg(F.avg("size")).first()[0] or 0
     records_per_file = max(1, min(records_per_file, int(bytes_per_file / (mean + 1000))))
     again = materialise(revisits(digests, min_bytes))
     # the rows that repeat are few numbers each; payloads meet them where they are, unless there are too many
     hint = F.broadcast if again.count() <= BROADCAST_ROWS else lambda x: x
-    rows = captured(pages).join(hint(again), "row_no", "left").withColumn("revisit", F.col("first_row").isNotNull())
+    rows = pages.join(hint(again), "row_no", "left").withColumn("revisit", F.col("first_row").isNotNull())
     rows = rows.withColumn("digest", base32_sha1(F.encode("payload", "UTF-8")))
     key = [F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.col("row_no").cast("string")]
     first = [F.coalesce(F.col("first_page").cast("string"), F.lit("")), F.col("first_row").cast("string")]
@@ -225,7 +225,11 @@ def captures(transactions: DataFrame) -> DataFrame:
     rows = transactions.select("capture_id", F.col("metadata.page_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").alias("target"))
     seen = rows.where("target is not null").select(F.col("target").alias("capture_id")).distinct()
     targets = rows.where("record_type = 'response'").select("capture_id", "page_id").join(seen, "capture_id", "left_semi").toDF("target", "refers_to")
-    return rows.join(targets, "target", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # responses refer to nothing; revisits of one response are dealt to several tasks
+    plain = rows.where("target is null").withColumn("refers_to", F.lit(None).cast("long"))
+    told = salted_join(rows.where("target is not null"), targets, "target", "capture_id", "left")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return plain.select(columns).unionByName(told.select(columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -133,7 +133,7 @@ def test_placing_does_not_depend_on_the_size_of_blocks(spark, monkeypatch):
 
 
 def test_batches_are_cut_by_size(spark, docs, monkeypatch):
-    monkeypatch.setattr(P, "BATCH_CHARS", 3000)
+    monkeypatch.setattr(P, "PART_BYTES", 3000)
     check_whole(docs, P.sequences(docs, P.vocabulary_path()).collect())
 
 
