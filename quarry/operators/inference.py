@@ -1,15 +1,17 @@
-"""Batch inference that can be resumed: an append-only table of predictions under a fingerprint."""
+"""Batch inference that can be resumed: chunks of predictions, and a table of commits with the fingerprint of their settings."""
 
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from ..sources.files import scratch
 from .compare import keep_last
 
 PREDICTION_DDL = "id string, raw_output string, latency_ms double"
@@ -51,18 +53,36 @@ def score(examples: DataFrame, load: Callable[[], Callable[[str], str]], warm_up
     return examples.select(F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PREDICTION_DDL)
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
+ROWS_PER_CHUNK = 1_000_000
+COMMIT_DDL = "attempt string, number long, chunk int, rows long, fingerprint string"
+STORED_DDL = "id string, raw_output string, latency_ms double, seq long, attempt string"
+
+
+def _table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
+    """The rows under ``path``, none where nothing was written yet."""
     try:
-        return spark.read.parquet(path)
+        return spark.read.schema(ddl).parquet(path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
-            return None
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], ddl)
         raise
 
 
+def commits(spark: SparkSession, path: str) -> DataFrame:
+    """attempt, number (order of attempts), chunk, rows, fingerprint: a row for each chunk that was stored whole."""
+    return _table(spark, f"{path}/commits", COMMIT_DDL)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame:
+    """id, raw_output, latency_ms, at (later is greater): rows of committed chunks. What a lost run left of a chunk belongs to no commit."""
+    done = commits(spark, path).groupBy("attempt").agg(F.max("number").alias("number"))
+    rows = _table(spark, f"{path}/rows", STORED_DDL).join(done, "attempt")
+    return rows.select("id", "raw_output", "latency_ms", F.struct("number", "seq").alias("at"))
+
+
 def latest(predictions: DataFrame) -> DataFrame:
     """The last row for each id."""
-    return keep_last(predictions, ["id"], "seq")
+    return keep_last(predictions, ["id"], "at")
 
 
 def missing(examples: DataFrame, predictions: DataFrame) -> DataFrame:
@@ -70,19 +90,58 @@ def missing(examples: DataFrame, predictions: DataFrame) -> DataFrame:
     return pending(examples, predictions)
 
 
-def run_inference(examples: DataFrame, path: str, settings: dict[str, str], load: Callable[[], Callable[[str], str]], mode: str = "resume") -> DataFrame:
+def clear(spark: SparkSession, path: str) -> None:
+    """Stored predictions go, their commits first."""
+    spark.createDataFrame([], COMMIT_DDL).write.mode("overwrite").parquet(f"{path}/commits")
+    spark.createDataFrame([], STORED_DDL).write.mode("overwrite").parquet(f"{path}/rows")
+
+
+def dealt_to_chunks(todo: DataFrame, path: str, rows_per_chunk: int) -> int:
+    """Write what is to be scored, a folder a chunk, by a hash of the id, so that a chunk is read without the others; returns the number of chunks."""
+    chunks = -(-todo.count() // rows_per_chunk)
+    if chunks:
+        dealt = todo.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks)).cast("int"))
+        dealt.repartitionByRange("chunk", F.xxhash64("id", F.lit(1))).write.partitionBy("chunk").parquet(path)
+    return chunks
+
+
+def run_inference(
+    examples: DataFrame, path: str, settings: dict[str, str], load: Callable[[], Callable[[str], str]], mode: str = "resume", warm_up: int = 3, rows_per_chunk: int = ROWS_PER_CHUNK
+) -> DataFrame:
     """Score what is missing under ``path`` and return the last prediction for each example, in order of id.
 
     mode: resume (only missing ids), force (all anew, stored rows go), fresh (all again, appended). Other stored settings are refused unless forced.
+
+    Examples are scored in chunks of some ``rows_per_chunk``. The rows of a chunk are written first, in a folder of their own; then one row is appended to the commits, with the
+    fingerprint, which makes them count. A run that is lost has lost its last chunk at most: the next one finds the ids of all chunks before, and the unfinished folder is never read.
     """
     spark, mark = examples.sparkSession, fingerprint(settings)
-    done = None if mode == "force" else stored(spark, path)
-    if done is not None and done.where(F.col("fingerprint") != mark).limit(1).count():
+    examples = examples.select(F.col("id").cast("string").alias("id"), "text")
+    if mode == "force":
+        clear(spark, path)
+    elif commits(spark, path).where(F.col("fingerprint") != mark).limit(1).count():
         raise StaleCache("stored predictions have another fingerprint; use force")
-    todo = pending(examples, done) if done is not None and mode == "resume" else examples
-    top = 0 if done is None else done.agg(F.coalesce(F.max("seq"), F.lit(0))).first()[0] + 1
-    # rows of a run are numbered, so of an id that occurs twice in it one is the last; a later run begins above them
-    number = F.lit(top).cast("long") + F.monotonically_increasing_id()
-    rows = score(todo, load).select("*", number.alias("seq"), F.lit(mark).alias("fingerprint"))
-    rows.write.mode("overwrite" if mode == "force" or done is None else "append").parquet(path)
-    return latest(spark.read.parquet(path)).join(examples.select(F.col("id").cast("string").alias("id")), "id", "left_semi").orderBy("id")
+    number = commits(spark, path).agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
+    work = scratch(spark)
+    todo = pending(examples, stored(spark, path)) if mode == "resume" else examples
+    for chunk in range(dealt_to_chunks(todo, work, rows_per_chunk)):
+        rows = _table(spark, f"{work}/chunk={chunk}", "id string, text string")
+        # rows of a chunk are numbered, so of an id that occurs twice in it one is the last; later chunks and runs have greater numbers
+        scored = score(rows, load, warm_up).withColumn("seq", F.monotonically_increasing_id())
+        attempt, number = uuid.uuid4().hex, number + 1
+        scored.write.parquet(f"{path}/rows/attempt={attempt}")
+        n = spark.read.schema(STORED_DDL).parquet(f"{path}/rows/attempt={attempt}").count()
+        spark.createDataFrame([(attempt, number, chunk, n, mark)], COMMIT_DDL).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+    return latest(stored(spark, path)).drop("at").join(examples.select("id").distinct(), "id", "left_semi").orderBy("id")
+
+
+def positions(rows: DataFrame, order: str = "id") -> DataFrame:
+    """``rows`` with position, from 1 in the order of a column: sorted by ranges and written, then numbered within each range beyond the counts of the ranges before."""
+    spark, path = rows.sparkSession, scratch(rows.sparkSession)
+    ranged = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("_range", F.spark_partition_id())
+    ranged.write.parquet(path)
+    parts = spark.read.schema(ranged.schema).parquet(path)
+    counts = parts.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))  # as many as there are tasks
+    before = counts.select("_range", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_range")) - F.col("_n")).alias("_before"))
+    within = F.row_number().over(Window.partitionBy("_range").orderBy(order))
+    return parts.withColumn("_within", within).join(before, "_range").withColumn("position", F.col("_before") + F.col("_within")).drop("_range", "_within", "_before")

@@ -535,14 +535,46 @@ def _toy_extractor():
     return extract
 
 
-@query("i2_inference", """SELECT 'd' || doc_id AS id, NULLIF(regexp_extract(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+'), '') AS email, NULLIF(regexp_extract(text, '[0-9]+'), '') AS phone, true AS schema_valid FROM documents""")
+def _extractable(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
+
+
+@query("i2_inference", """SELECT 'd' || doc_id AS id, NULLIF(regexp_extract(text, '[A-Za-z0-9._]+@[A-Za-z0-9.]+'), '') AS email, NULLIF(regexp_extract(text, '[0-9]+'), '') AS phone, true AS schema_valid,
+  row_number() OVER (ORDER BY 'd' || doc_id) AS position FROM documents""")
 def i2_inference(spark: SparkSession, d: str) -> DataFrame:
-    docs = read(spark, d, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text")
-    path = files.scratch(spark)
+    docs, path = _extractable(spark, d), files.scratch(spark)
     half = docs.where(F.col("id").endswith("1"))
     inference.run_inference(half, path, {"model": "toy"}, _toy_extractor)  # a first run that was cut short
-    rows = parse.check_schema(parse.parse_outputs(inference.run_inference(docs, path, {"model": "toy"}, _toy_extractor)))
-    return rows.select("id", F.try_variant_get("parsed", "$.email", "string").alias("email"), F.try_variant_get("parsed", "$.phone", "string").alias("phone"), "schema_valid")
+    found = inference.positions(inference.run_inference(docs, path, {"model": "toy"}, _toy_extractor))
+    rows = parse.check_schema(parse.parse_outputs(found))
+    value = lambda k: F.try_variant_get("parsed", f"$.{k}", "string").alias(k)
+    return rows.select("id", value("email"), value("phone"), "schema_valid", F.col("position").cast("long").alias("position"))
+
+
+@query("i1_refusals", """SELECT unnest(['first', 'resume', 'fresh', 'force']) AS mode, unnest(['one', 'other', 'other', 'other']) AS settings, unnest([false, true, true, false]) AS refused, count(*) AS stored FROM documents""")
+def i1_refusals(spark: SparkSession, d: str) -> DataFrame:
+    """What each mode does to predictions that were stored under other settings."""
+    docs, path, out = _extractable(spark, d), files.scratch(spark), []
+    for mode, settings in (("first", "one"), ("resume", "other"), ("fresh", "other"), ("force", "other")):
+        refused = False
+        try:
+            inference.run_inference(docs, path, {"model": settings}, _toy_extractor, "resume" if mode == "first" else mode)
+        except inference.StaleCache:
+            refused = True
+        out.append((mode, settings, refused, inference.stored(spark, path).count()))
+    return spark.createDataFrame(out, "mode string, settings string, refused boolean, stored long")
+
+
+@query("i3_modes", """SELECT unnest(['resume', 'resume again', 'fresh', 'force']) AS run, count(*) * unnest([1, 1, 2, 1]) AS stored, count(*) AS predicted, count(*) * unnest([1, 0, 1, 1]) AS scored FROM documents""")
+def i3_modes(spark: SparkSession, d: str) -> DataFrame:
+    """Rows stored, examples with a prediction, and rows that the run scored, mode after mode."""
+    docs, path, out, before = _extractable(spark, d), files.scratch(spark), [], 0
+    for run in ("resume", "resume again", "fresh", "force"):
+        predicted = inference.run_inference(docs, path, {"model": "toy"}, _toy_extractor, run.split()[0], rows_per_chunk=5_000).count()
+        stored = inference.stored(spark, path).count()
+        out.append((run, stored, predicted, stored if run == "force" else stored - before))
+        before = stored
+    return spark.createDataFrame(out, "run string, stored long, predicted long, scored long")
 
 
 # --- synthetic corpus -----------------------------------------------------------------------------------------------------------

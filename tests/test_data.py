@@ -121,16 +121,69 @@ def test_resume_force_and_stale_cache(spark, tmp_path):
 
     path = str(tmp_path / "p")
     rows = spark.createDataFrame([(str(i), f"t{i}") for i in range(4)], "id string, text string")
+    stored = lambda: inference.stored(spark, path).count()
     assert inference.run_inference(rows.limit(2), path, {"m": "1"}, _load).count() == 2
     out = inference.run_inference(rows, path, {"m": "1"}, _load)
-    assert [r.id for r in out.collect()] == ["0", "1", "2", "3"] and spark.read.parquet(path).count() == 4
+    assert [r.id for r in out.collect()] == ["0", "1", "2", "3"] and stored() == 4
     assert inference.missing(rows, out).count() == 0
     with pytest.raises(inference.StaleCache):
         inference.run_inference(rows, path, {"m": "2"}, _load)
     inference.run_inference(rows, path, {"m": "1"}, _load, mode="fresh")
-    assert spark.read.parquet(path).count() == 8
+    assert stored() == 8
     inference.run_inference(rows, path, {"m": "2"}, _load, mode="force")
-    assert spark.read.parquet(path).count() == 4
+    assert stored() == 4
+
+
+def test_a_run_killed_midway_resumes_at_its_last_chunk(spark, tmp_path):
+    calls, fuse = tmp_path / "calls", tmp_path / "fuse"
+    calls.mkdir()
+    fuse.write_text("")
+
+    def load():
+        import os
+        import uuid
+
+        def extract(text):
+            if text == late and os.path.exists(str(fuse)):
+                raise RuntimeError("lost")
+            with open(os.path.join(str(calls), uuid.uuid4().hex), "w") as log:
+                log.write(text)
+            return "{}" + text
+
+        return extract
+
+    rows = spark.createDataFrame([(f"i{k:03}", f"t{k}") for k in range(100)], "id string, text string")
+    late = rows.where("pmod(xxhash64(id), 10) = 6").first().text  # of the seventh chunk
+    run = lambda **more: inference.run_inference(rows, str(tmp_path / "p"), {"m": "1"}, load, warm_up=0, rows_per_chunk=10, **more)
+    with pytest.raises(Exception, match="lost"):
+        run()
+    done = inference.commits(spark, str(tmp_path / "p")).collect()
+    kept = {r.id for r in inference.stored(spark, str(tmp_path / "p")).collect()}
+    assert len(done) == 6 and len(kept) == sum(r.rows for r in done) and f"i{late[1:]:>03}" not in kept and {r.fingerprint for r in done} == {"m=1"}
+    for file in calls.iterdir():
+        file.unlink()
+    # a folder that no commit names, as a lost run leaves, is not read
+    spark.createDataFrame([("i099", "junk", 0.0, 1)], "id string, raw_output string, latency_ms double, seq long").write.parquet(str(tmp_path / "p/rows/attempt=lost"))
+    fuse.unlink()
+    out = run().collect()
+    assert [(r.id, r.raw_output) for r in out] == [(f"i{k:03}", "{}" + f"t{k}") for k in range(100)]
+    called = [f.read_text() for f in calls.iterdir()]
+    assert sorted(called) == sorted(f"t{k}" for k in range(100) if f"i{k:03}" not in kept)  # no call is made twice, none is left out
+    for file in calls.iterdir():
+        file.unlink()
+    assert len(run().collect()) == 100 and not list(calls.iterdir())
+
+
+def test_the_last_of_rows_with_one_id_counts(spark, tmp_path):
+    rows = spark.createDataFrame([("a", "one"), ("b", "x"), ("a", "two"), (None, "none")], "id string, text string").coalesce(1)
+    out = inference.run_inference(rows, str(tmp_path / "p"), {}, lambda: str.upper, rows_per_chunk=1).collect()
+    assert len(out) == 2 and {r.id: r.raw_output for r in out}["b"] == "X" and {r.id: r.raw_output for r in out}["a"] in ("ONE", "TWO")
+    assert inference.run_inference(rows.limit(0), str(tmp_path / "q"), {}, lambda: str.upper).collect() == []
+
+
+def test_positions(spark):
+    rows = spark.range(1000).selectExpr("concat('k', id * 37 % 1000) AS id", "id AS v").repartition(7)
+    assert [r.id for r in inference.positions(rows).orderBy("position").collect()] == sorted(f"k{i}" for i in range(1000))
 
 
 def test_files(spark, tmp_path, examples):
