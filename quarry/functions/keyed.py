@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -12,23 +13,18 @@ def keyed_hash(*key: Column | str) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
 
 
-def with_counted_hash(rows: DataFrame, name: str, first: str, second: str, i: str) -> DataFrame:
-    """``rows`` with 62 bits for each number ``i`` of a stream, whose key are the columns ``first`` and ``second``, 32 bits each.
+def mixed_numbers(first: np.ndarray, second: np.ndarray, number: int) -> np.ndarray:
+    """62 bits for the number ``number`` of each stream, whose key are two numbers of 32 bits; products stay below 2 ** 63."""
+    low, half = 0xFFFFFFFF, 0x7FFFFFFF
 
-    Arithmetic only, for draws that are many. Every step is a column of its own, since a later step uses it twice; products stay below 2 ** 63.
-    """
-    low, half = (F.lit(x).cast("long") for x in (0xFFFFFFFF, 0x7FFFFFFF))
-
-    def mixed(rows: DataFrame, x: str, start: Column) -> DataFrame:
-        rows = rows.withColumn(x, start)
+    def mixed(x: np.ndarray) -> np.ndarray:
         for shift, factor in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
-            rows = rows.withColumn(x, (F.col(x).bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor).cast("long")).bitwiseAND(low))
-        return rows.withColumn(x, F.col(x).bitwiseXOR(F.shiftright(x, 15)))
+            x = ((x ^ x >> shift) * factor) & low
+        return x ^ x >> 15
 
-    a, b = f"{name}_a", f"{name}_b"
-    rows = mixed(rows, a, F.col(i).bitwiseAND(low).bitwiseXOR(F.col(first)))
-    rows = mixed(rows, b, (F.col(a) + F.col(second) + F.shiftright(i, 32)).bitwiseAND(low))
-    return rows.withColumn(name, F.col(a).bitwiseAND(half) * F.lit(1 << 31).cast("long") + F.col(b).bitwiseAND(half)).drop(a, b)
+    a = mixed(first ^ number & low)
+    b = mixed((a + second + (number >> 32)) & low)
+    return (a & half) * (1 << 31) + (b & half)
 
 
 def draw(*key: Column | str) -> Column:

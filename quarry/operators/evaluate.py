@@ -6,9 +6,12 @@ row, as multisets, so no unit is shuffled. Aggregates then shuffle a few numbers
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import scratch
 from ..spec import RESUME, RecordSpec
 from .normalize import empty_fields, normal_record, records_equal
 from .parse import check_schema, parse_outputs
@@ -23,8 +26,18 @@ def gold_variants(gold: DataFrame, target_col: str = "target") -> DataFrame:
 
 
 def _multiset_matches(pred: Column, gold: Column) -> Column:
-    count = lambda items, k: F.size(F.filter(items, lambda x: x == k))
-    return F.aggregate(F.array_distinct(pred), F.lit(0), lambda n, k: n + F.least(count(pred, k), count(gold, k)))
+    """The sum of the lesser counts of two lists' items, null if one is null: both lists in one sorted list, run after run, so the work is that of sorting."""
+    side = lambda items, p, g: F.transform(items, lambda x: F.struct(x.alias("x"), F.lit(p).alias("p"), F.lit(g).alias("g")))
+    start = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("p"), F.lit(0).alias("g"), F.lit(0).alias("n"))
+
+    def take(run: Column, item: Column) -> Column:
+        same = run["x"].eqNullSafe(item["x"])
+        done = run["n"] + F.when(same, 0).otherwise(F.least(run["p"], run["g"]))
+        p, g = (F.when(same, run[k]).otherwise(0) + item[k] for k in "pg")
+        return F.struct(item["x"].alias("x"), p.alias("p"), g.alias("g"), done.alias("n"))
+
+    merged = F.array_sort(F.concat(side(pred, 1, 0), side(gold, 0, 1)))
+    return F.aggregate(merged, start, take, lambda run: run["n"] + F.least(run["p"], run["g"]))
 
 
 def field_stats(name: str, pred: Column, gold: Column, pred_type_failed: Column, is_list: bool) -> Column:
@@ -124,29 +137,59 @@ def sliced(examples: DataFrame, slices: list[str]) -> DataFrame:
     return examples.groupingSets(sets, "model", *slices).agg(*_measures())
 
 
-SLICES = 256
+DIGIT = 16  # bits of a value that one round looks at
+BROADCAST_TARGETS = 100_000
+
+
+def _ordered_bits(values: DataFrame, col: str) -> Column:
+    """A long in the order of a number's values, NaN last."""
+    if dict(values.dtypes)[col] in ("tinyint", "smallint", "int", "bigint"):
+        return F.col(col).cast("long")
+    bits = F.reflect(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), F.col(col).cast("double") + 0.0).cast("long")  # + 0.0: one zero
+    return F.when(bits < 0, bits.bitwiseXOR(F.lit((1 << 63) - 1))).otherwise(bits)
 
 
 def nearest_rank(values: DataFrame, by: list[str], value_col: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles: rank round-half-even(p * n + 0.5), within 1 and n.
 
-    Values are counted first. Each group is then cut at approximate quantiles, which decide only where; counts by slice tell which
-    slice holds a rank, and no window sees more than the values of one slice, so a group of any size spreads over tasks.
+    Exact selection by digits. A value's bits, in an order that agrees with the values', are looked at ``DIGIT`` at a time from the front: counts by group and digit, at most 2 ** ``DIGIT``
+    of a group and combined before any shuffle, tell in which digit a rank lies, and the next round counts only values that begin like it. A rank is settled
+    when the values left to it are all the same, after four rounds at most. No group is sorted, so one of all rows and a million small ones are the same work. What is looked for is a row for each group
+    and share; it goes to the values up to ``BROADCAST_TARGETS`` rows, and beyond that both are shuffled by group. A null in ``by`` is a group.
     """
-    counts = values.where(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("c"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value_col, [k / SLICES for k in range(1, SLICES)], 10_000).alias("cuts"))
-    counts = counts.join(F.broadcast(cuts), by) if by else counts.crossJoin(F.broadcast(cuts))  # one row a group
-    counts = counts.withColumn("slice", F.size(F.filter("cuts", lambda x: x < F.col(value_col)))).drop("cuts")
-    slices = counts.groupBy(*by, "slice").agg(F.sum("c").alias("s"))
-    order = Window.partitionBy(*(by or [F.lit(1)])).orderBy("slice")
-    slices = slices.withColumns({"before": F.sum("s").over(order) - F.col("s"), "n": F.sum("s").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
-    inside = Window.partitionBy(*by, "slice").orderBy(value_col)
-    ranked = counts.join(slices.drop("s"), [*by, "slice"]).withColumn("upto", F.col("before") + F.sum("c").over(inside))
-    out = [F.max("n").alias("samples")]
-    for name, p in shares.items():
-        rank = F.greatest(F.lit(1), F.least(F.col("n"), F.bround(F.lit(p) * F.col("n") + 0.5, 0).cast("long")))
-        out.append(F.min(F.when(F.col("upto") >= rank, F.col(value_col))).alias(name))
-    return ranked.groupBy(*by).agg(*out)
+    spark, original = values.sparkSession, dict(values.dtypes)[value_col]
+    path = scratch(spark)
+    group = F.struct(*by) if by else F.struct(F.lit(1).alias("all"))
+    rows = values.where(F.col(value_col).isNotNull()).select(group.alias("g"), F.col(value_col).alias("v"), _ordered_bits(values, value_col).alias("bits"))
+    rows.write.parquet(f"{path}/values")  # two numbers a row: what follows reads them again, and nothing of the plan before
+    # flipping the first bit makes the order that of unsigned numbers
+    rows = spark.read.schema(rows.schema).parquet(f"{path}/values").withColumn("bits", F.col("bits").bitwiseXOR(F.lit(-(1 << 63)).cast("long")))
+    wanted, settled = None, []
+    for turn in range(64 // DIGIT):
+        digit = F.shiftrightunsigned("bits", 64 - DIGIT * (turn + 1)).bitwiseAND(F.lit((1 << DIGIT) - 1).cast("long"))
+        left = rows.withColumn("head", F.shiftrightunsigned("bits", 64 - DIGIT * turn) if turn else F.lit(0).cast("long"))
+        if turn:
+            begins = wanted.select("g", "head").distinct()
+            left = left.join(F.broadcast(begins) if wanted.count() <= BROADCAST_TARGETS else begins, ["g", "head"], "left_semi")
+        counts = left.groupBy("g", "head", digit.alias("digit")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("least"), F.max("v").alias("most"))
+        upto = F.sum("c").over(Window.partitionBy("g", "head").orderBy("digit"))
+        counts = counts.withColumn("upto", upto)
+        if not turn:
+            ranks = [F.bround(F.lit(p) * F.col("n") + 0.5, 0).cast("long") for p in shares.values()]
+            ask = [F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.least(F.col("n"), rank)).alias("rank")) for name, rank in zip(shares, ranks)]
+            wanted = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).select("g", "n", F.lit(0).cast("long").alias("head"), F.inline(F.array(*ask)))
+        found = wanted.join(counts, ["g", "head"]).where((F.col("upto") >= F.col("rank")) & (F.col("upto") - F.col("c") < F.col("rank")))
+        found = found.select("g", "n", "name", (F.col("rank") - F.col("upto") + F.col("c")).alias("rank"), F.shiftleft("head", DIGIT).bitwiseOR(F.col("digit")).alias("head"), "least", "most")
+        found.write.parquet(f"{path}/turn{turn}")
+        found = spark.read.schema(found.schema).parquet(f"{path}/turn{turn}")
+        same = F.col("least").eqNullSafe(F.col("most"))
+        settled.append(found.where(same))
+        wanted = found.where(~same).drop("least", "most")
+        if not wanted.limit(1).count():
+            break
+    answers = reduce(DataFrame.unionByName, settled)
+    out = answers.groupBy("g").agg(F.max("n").alias("samples"), *(F.max(F.when(F.col("name") == name, F.col("least"))).cast(original).alias(name) for name in shares))
+    return out.select(*(F.col(f"g.{b}").alias(b) for b in by), "samples", *shares)
 
 
 def output_length(outputs: DataFrame, by: list[str], raw_col: str = "raw_output") -> DataFrame:

@@ -192,6 +192,27 @@ def j7_multiset_join(spark: SparkSession, d: str) -> DataFrame:
     return evaluate.multiset_join(lines.select("l_orderkey", F.col("l_returnflag").alias("k")), lines.select("l_orderkey", F.col("l_linestatus").alias("k")), ["l_orderkey"], "k")
 
 
+@query("m3_long_lists", """WITH s AS (SELECT o_custkey, o_orderpriority, count(*) AS g, count(*) FILTER (o_orderkey % 7 <> 0) + count(*) FILTER (o_orderkey % 11 = 0) AS p FROM orders GROUP BY ALL)
+SELECT 'c' || o_custkey AS id, 'skills' AS field, CAST(sum(least(p, g)) AS BIGINT) AS tp, CAST(sum(p - least(p, g)) AS BIGINT) AS fp, CAST(sum(g - least(p, g)) AS BIGINT) AS fn FROM s GROUP BY o_custkey
+UNION ALL SELECT 'c' || o_custkey, 'experience', count(*) FILTER (o_orderkey % 5 <> 0), count(*) FILTER (o_orderkey % 5 = 0), count(*) FILTER (o_orderkey % 5 = 0) FROM orders GROUP BY o_custkey""")
+def m3_long_lists(spark: SparkSession, d: str) -> DataFrame:
+    """All orders of a customer as one record's lists, one of texts that repeat and one of records, with items dropped, doubled and changed."""
+    key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
+    job = F.struct(
+        F.concat_ws(" ", priority, key.cast("string")).alias("title"), F.concat(F.lit("Company "), "o_orderstatus").alias("company"), F.lit(None).cast("string").alias("location"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("start_date"), F.lit(None).cast("string").alias("end_date"), F.lit(False).alias("current"), F.array(priority).alias("responsibilities"),
+    )
+    told = F.concat(F.when(key % 7 != 0, F.array(priority)).otherwise(F.array().cast("array<string>")), F.when(key % 11 == 0, F.array(priority)).otherwise(F.array().cast("array<string>")))
+    changed = F.when(key % 5 == 0, job.withField("company", F.lit("Other Ltd"))).otherwise(job)
+    rows = read(spark, d, "orders").groupBy(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("id")).agg(
+        F.collect_list(priority).alias("skills"), F.flatten(F.collect_list(told)).alias("told"), F.collect_list(job).alias("experience"), F.collect_list(changed).alias("changed"))
+    record = lambda skills, experience: F.struct(F.col(skills).alias("skills"), F.col(experience).alias("experience"))
+    gold = evaluate.gold_variants(rows.select("id", record("skills", "experience").alias("target")))
+    outputs = rows.select(F.lit("m").alias("model"), "id", F.to_json(record("told", "changed")).alias("raw_output"), F.lit(0.0).alias("latency_ms"))
+    stats = evaluate.evaluate_examples(outputs, gold).select("id", F.inline("stats")).where(F.col("field").isin("skills", "experience"))
+    return stats.select("id", "field", *(F.col(c).cast("long").alias(c) for c in ("tp", "fp", "fn")))
+
+
 # --- error analysis and comparison ------------------------------------------------------------------------------------------
 
 _CATEGORY = f"""{PRED_SQL}, c AS (
@@ -263,33 +284,58 @@ N_BOOT = 1000
 _MIXED = lambda x: f"(xor({x}, {x} >> 16) * 569420461) & 4294967295 AS {x}1, (xor({x}1, {x}1 >> 15) * 1935289751) & 4294967295 AS {x}2, xor({x}2, {x}2 >> 15)"
 
 
-def _resamples(metric: str, source: str, order: str, value: str, seed: int, by: str = "model") -> str:
-    """Point and 95 % interval of a metric by resamples: draws pick positions in the order of the measures."""
-    return f"""SELECT {by}, '{metric}' AS metric, any_value(point) AS point, max(value) FILTER (r = {int(0.025 * N_BOOT)}) AS low, max(value) FILTER (r = {min(N_BOOT - 1, int(0.975 * N_BOOT))}) AS high FROM (
-  WITH o AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {order}) - 1 AS pos FROM {source}), n AS (SELECT {by}, count(*) AS n, {value} AS point FROM o GROUP BY {by}),
-   k AS (SELECT {by}, n, point, draw, {fixtures._H(f"'{seed}|' || draw")} AS k1, {fixtures._H(f"'{seed}|' || draw || '|second'")} AS k2 FROM n, range({N_BOOT}) r(draw)),
-   d AS (SELECT {by}, n, point, draw, k1, k2, unnest(range(n)) AS i FROM k), a AS (SELECT {by}, n, point, draw, k2, xor(i, k1) AS x, {_MIXED("x")} AS a FROM d),
-   b AS (SELECT {by}, n, point, draw, a, (a + k2) & 4294967295 AS y, {_MIXED("y")} AS b FROM a), e AS (SELECT {by}, point, draw, ((a & 2147483647) * 2147483648 + (b & 2147483647)) % n AS pos FROM b),
-   s AS (SELECT {by}, point, draw, {value} AS value FROM e JOIN o USING ({by}, pos) GROUP BY {by}, point, draw)
-  SELECT {by}, point, value, row_number() OVER (PARTITION BY {by} ORDER BY value) - 1 AS r FROM s) GROUP BY {by}"""
-
-
-@query("b1_bootstrap", f"SELECT * EXCLUDE k FROM ({_resamples('quality', '(SELECT 1 AS k, quality FROM labels)', 'quality', 'avg(quality)', 43, 'k')})")
+def _draws(rows: str, by: str) -> str:
+    """``rows`` (keys, draw, k1, k2, number, c, upto, lft) with own: the quantile of a binomial variable of lft draws and the share c / upto."""
+    ahead = "(d - x.k) / (x.k + 1) * odds"
+    fold = lambda step: f"list_reduce(list_transform(range(CAST(lo AS BIGINT), CAST(hi AS BIGINT) + 1), lambda k: {{'w': 1.0::DOUBLE, 'c': 1.0::DOUBLE, 'k': k}}), lambda x, y: {step})"
+    go = f"{{'w': x.w * ({ahead}), 'c': x.c + x.w * ({ahead}), 'k': x.k + 1}}"
+    return f"""SELECT * EXCLUDE (u, d, p, odds, dev, lo, hi, total), CASE WHEN c = upto THEN lft ELSE {fold(f"CASE WHEN x.c < u * total THEN {go} ELSE x END")}.k END AS own FROM (
+      SELECT *, CASE WHEN c = upto THEN 1 ELSE {fold(go)}.c END AS total FROM (
+        SELECT *, lft AS d, c / upto AS p, sqrt(d * p * (1 - p)) AS dev, p / nullif(1 - p, 0) AS odds, greatest(floor(d * p - 8 * dev - 10), 0) AS lo, least(ceil(d * p + 8 * dev + 10), d) AS hi FROM (
+          SELECT {by}, draw, i, number, c, upto, lft, ((a & 2147483647) * 2147483648 + (b & 2147483647) + 0.5::DOUBLE) / 4611686018427387904 AS u FROM (
+            SELECT *, (a + k2 + (number >> 32)) & 4294967295 AS y, {_MIXED("y")} AS b FROM (SELECT *, xor(number & 4294967295, k1) AS x, {_MIXED("x")} AS a FROM ({rows}))))))"""
+
+
+def _resamples(metric: str, source: str, measures: list[str], value: str, seed: int, by: str = "model") -> str:
+    """Point and 95 % interval of a metric: draws are split over buckets of tuples, then over the tuples of a bucket, one after another."""
+    text = ", ".join(f"coalesce(CAST({m} AS VARCHAR), '')" for m in measures)
+    names, n_boot = ", ".join(measures), N_BOOT
+    return f"""SELECT {by}, '{metric}' AS metric, any_value(point) AS point, max(value) FILTER (r = {int(0.025 * n_boot)}) AS low, max(value) FILTER (r = {min(n_boot - 1, int(0.975 * n_boot))}) AS high FROM (
+  WITH RECURSIVE o AS MATERIALIZED (SELECT {by}, {names}, count(*) AS c, CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 13) AS BIGINT) AS h, h >> 42 AS bucket FROM {source} GROUP BY ALL),
+   n AS (SELECT {by}, sum(c) AS n, {value.replace("sum(", "sum(c * ")} AS point FROM o GROUP BY {by}),
+   k AS MATERIALIZED (SELECT draw, {fixtures._H(f"'{seed}|' || draw")} AS k1, {fixtures._H(f"'{seed}|' || draw || '|second'")} AS k2 FROM range({n_boot}) r(draw)),
+   b AS MATERIALIZED (SELECT {by}, bucket, CAST(sum(c) AS BIGINT) AS c, row_number() OVER (PARTITION BY {by} ORDER BY bucket) AS i, CAST(sum(sum(c)) OVER (PARTITION BY {by} ORDER BY bucket DESC) AS BIGINT) AS upto FROM o GROUP BY {by}, bucket),
+   s1 AS (SELECT {by}, draw, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS number, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS upto, CAST(n AS BIGINT) AS lft, CAST(0 AS BIGINT) AS own FROM n, k UNION ALL
+     {_draws(f"SELECT b.{by}, s1.draw, b.i, b.bucket AS number, b.c, b.upto, s1.lft - s1.own AS lft, k1, k2 FROM s1 JOIN b ON b.{by} = s1.{by} AND b.i = s1.i + 1 JOIN k ON k.draw = s1.draw", by)}),
+   m AS MATERIALIZED (SELECT *, row_number() OVER w AS i, CAST(sum(c) OVER (PARTITION BY {by}, bucket ORDER BY h DESC, {", ".join(f"{m} DESC" for m in measures)}) AS BIGINT) AS upto FROM o WINDOW w AS (PARTITION BY {by}, bucket ORDER BY h, {names})),
+   s2 AS (SELECT {by}, draw, CAST(0 AS BIGINT) AS i, CAST(number << 42 AS BIGINT) AS number, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS upto, own AS lft, CAST(0 AS BIGINT) AS own FROM s1 WHERE i > 0 UNION ALL
+     {_draws(f"SELECT m.{by}, s2.draw, m.i, m.h + 1024 AS number, m.c, m.upto, s2.lft - s2.own AS lft, k1, k2 FROM s2 JOIN m ON m.{by} = s2.{by} AND m.i = s2.i + 1 AND m.bucket = (CASE WHEN s2.i = 0 THEN s2.number ELSE s2.number - 1024 END) >> 42 JOIN k ON k.draw = s2.draw", by)}),
+   v AS (SELECT s2.{by}, draw, {value.replace("sum(", "sum(own * ").replace("count(*)", "sum(own)")} AS value FROM s2 JOIN m ON m.{by} = s2.{by} AND m.h + 1024 = s2.number AND s2.i > 0 GROUP BY s2.{by}, draw)
+  SELECT {by}, point, value, row_number() OVER (PARTITION BY {by} ORDER BY value) - 1 AS r FROM v JOIN n USING ({by})) GROUP BY {by}"""
+
+
+_MEAN = lambda x: f"sum({x}) / sum(1)"
+
+
+@query("b1_bootstrap", f"SELECT * EXCLUDE k FROM ({_resamples('quality', '(SELECT 1 AS k, quality FROM labels)', ['quality'], _MEAN('quality'), 43, 'k')})")
 def b1_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "labels").select(F.lit("quality").alias("metric"), "quality")
-    return bootstrap.confidence(rows, ["metric"], ["quality"], F.avg("quality"), n_boot=N_BOOT, seed=43)
+    return bootstrap.confidence(rows, ["metric"], ["quality"], bootstrap.mean_of("quality"), n_boot=N_BOOT, seed=43)
 
 
 @query("b2_ratio_of_sums", "SELECT * EXCLUDE k FROM (" + _resamples(
-    "toxic share", "(SELECT 1 AS k, toxic, toxic + quality AS marks FROM labels)", "toxic, marks", _R("sum(toxic)", "sum(marks)"), 7, "k") + ")")
+    "toxic share", "(SELECT 1 AS k, toxic, toxic + quality AS marks FROM labels)", ["toxic", "marks"], _R("sum(toxic)", "sum(marks)"), 7, "k") + ")")
 def b2_ratio_of_sums(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "labels").select(F.lit("toxic share").alias("metric"), "toxic", (F.col("toxic") + F.col("quality")).alias("marks"))
     return bootstrap.confidence(rows, ["metric"], ["toxic", "marks"], bootstrap.ratio_of_sums("toxic", "marks"), n_boot=N_BOOT, seed=7)
 
 
+_RATED = """(SELECT model, CAST(schema_valid AS INT) AS schema_valid, CAST(exact_match AS INT) AS exact_match, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, CAST(tp + fp AS BIGINT) AS units FROM t)"""
+
+
 @query("b3_headline_intervals", f"WITH {PRED_SQL} " + " UNION ALL ".join([
-    _resamples("schema_validity", "t", "CAST(schema_valid AS INT)", "avg(CAST(schema_valid AS INT))", 43), _resamples("exact_match", "t", "CAST(exact_match AS INT)", "avg(CAST(exact_match AS INT))", 44),
-    _resamples("field_f1", "t", "tp, fp, fn", _R("2.0 * sum(tp)", "2 * sum(tp) + sum(fp) + sum(fn)"), 42), _resamples("unsupported_rate", "t", "fp, tp + fp", _R("sum(fp)", "sum(tp + fp)"), 45)]))
+    _resamples("schema_validity", _RATED, ["schema_valid"], _MEAN("schema_valid"), 43), _resamples("exact_match", _RATED, ["exact_match"], _MEAN("exact_match"), 44),
+    _resamples("field_f1", _RATED, ["tp", "fp", "fn"], _R("2.0 * sum(tp)", "2 * sum(tp) + sum(fp) + sum(fn)"), 42), _resamples("unsupported_rate", _RATED, ["fp", "units"], _R("sum(fp)", "sum(units)"), 45)]))
 def b3_headline_intervals(spark: SparkSession, d: str) -> DataFrame:
     return bootstrap.headline_intervals(_examples(spark, d), n_boot=N_BOOT)
 

@@ -1,12 +1,10 @@
-import hashlib
 import json
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.functions.keyed import with_counted_hash
-from quarry.operators import bootstrap, compare, errors, evaluate
+from quarry.operators import compare, errors, evaluate
 
 GOLD = {
     "name": "Ann Lee", "email": "ann@x.org", "phone": "+1-555-1", "location": None, "summary": None, "skills": ["SQL", "Python"], "projects": [], "certifications": [],
@@ -63,6 +61,47 @@ def test_nearest_rank(spark):
         assert r.p50 == ranks[0]
 
 
+@pytest.mark.parametrize("broadcast", [100_000, 0])
+def test_nearest_rank_of_any_numbers(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(evaluate, "BROADCAST_TARGETS", broadcast)
+    rng = np.random.default_rng(8)
+    rows = [("one", float(x)) for x in rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000)]
+    rows += [(f"g{k % 400}", float(k % 7) - 3) for k in range(2000)] + [(None, -0.0), (None, 0.0), (None, 5.0), ("none", None)]
+    rows += [("close", 1 + k * 2.0**-52) for k in range(50)] + [("odd", x) for x in (float("nan"), float("inf"), -float("inf"), 1.0)]
+    got = {r.g: r for r in evaluate.nearest_rank(spark.createDataFrame(rows, "g string, v double").repartition(5), ["g"], "v", {"a": 0.03, "b": 0.5, "c": 0.95}).collect()}
+    groups = {}
+    for g, v in rows:
+        if v is not None:
+            groups.setdefault(g, []).append(v)
+    assert set(got) == set(groups)
+    for g, values in groups.items():
+        values.sort(key=lambda v: (v != v, v))
+        for name, p in (("a", 0.03), ("b", 0.5), ("c", 0.95)):
+            want = values[max(1, min(len(values), round(p * len(values) + 0.5))) - 1]
+            assert got[g][name] == want or (want != want and got[g][name] != got[g][name])
+        assert got[g].samples == len(values)
+
+
+def test_nearest_rank_without_groups_of_integers(spark):
+    rows = spark.range(-50, 51).select((F.col("id") * 2**55).alias("v"))
+    r = evaluate.nearest_rank(rows, [], "v", {"p50": 0.5, "p95": 0.95}).first()
+    assert (r.samples, r.p50, r.p95) == (101, 0, 45 * 2**55) and r.__fields__ == ["samples", "p50", "p95"]
+    assert evaluate.nearest_rank(rows.limit(0), [], "v", {"p50": 0.5}).count() == 0
+
+
+def test_multisets_of_any_length(spark):
+    from collections import Counter
+
+    rng = np.random.default_rng(4)
+    cases = [([], []), (["a"], []), ([], ["a"]), (["a", "a", "b"], ["a", "b", "b"]), (["b", None], [None, None])]
+    cases += [([f"x{k}" for k in rng.integers(0, 9, n)], [f"x{k}" for k in rng.integers(0, 9, m)]) for n, m in ((20, 30), (7, 50))]
+    cases += [([f"item {k}" for k in rng.integers(0, 50_000, 200_000)], [f"item {k}" for k in rng.integers(0, 50_000, 150_000)])]
+    rows = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, p array<string>, g array<string>")
+    got = {r.i: r.n for r in rows.select("i", evaluate._multiset_matches(F.col("p"), F.col("g")).alias("n")).collect()}
+    assert got == {i: sum((Counter(p) & Counter(g)).values()) for i, (p, g) in enumerate(cases)}
+    assert spark.createDataFrame([(None, ["a"])], "p array<string>, g array<string>").select(evaluate._multiset_matches(F.col("p"), F.col("g")).alias("n")).first().n is None
+
+
 def categories(spark, *outputs):
     rows = errors.categorize(*frames(spark, outputs)).collect()
     return [r.categories for r in sorted(rows, key=lambda r: int(r.model[1:]))]
@@ -85,69 +124,6 @@ def test_missing_prediction_is_malformed(spark):
     assert {(r.id, r.primary_category) for r in errors.categorize(rows, more).collect()} == {("g", "none"), ("h", "malformed_json")}
 
 
-def test_bootstrap_point_and_bounds(spark):
-    rows = spark.createDataFrame([("m", 1), ("m", 0)], "model string, ok int")
-    r = bootstrap.confidence(rows, ["model"], ["ok"], F.avg("ok"), n_boot=50, seed=1).first()
-    assert r.point == 0.5 and 0 <= r.low <= 0.5 <= r.high <= 1
-    assert bootstrap.confidence(rows.limit(0), ["model"], ["ok"], F.avg("ok"), n_boot=5).count() == 0
-
-
-def brute_interval(values, seed, n_boot=1000):
-    values, n = sorted(values), len(values)
-    key = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:8], 16)
-
-    def mixed(x):
-        for shift, factor in ((16, 0x21F0AAAD), (15, 0x735A2D97)):
-            x = (x ^ x >> shift) * factor % 2**32
-        return x ^ x >> 15
-
-    def draw(b, i):
-        first = mixed(i % 2**32 ^ key(seed, b))
-        second = mixed((first + key(seed, b, "second") + (i >> 32)) % 2**32)
-        return (first % 2**31 * 2**31 + second % 2**31) % n
-
-    means = sorted(sum(values[draw(b, i)] for i in range(n)) / n for b in range(n_boot))
-    return sum(values) / n, means[int(0.025 * n_boot)], means[min(n_boot - 1, int(0.975 * n_boot))]
-
-
-def test_registered_intervals_are_of_1000_resamples(spark, tmp_path, monkeypatch):
-    from quarry.plans import queries
-
-    quality = [int(k % 7 > 1) for k in range(40)]
-    spark.createDataFrame([(q,) for q in quality], "quality int").write.parquet(str(tmp_path / "labels.parquet"))
-    r = queries.QUERIES["b1_bootstrap"](spark, str(tmp_path)).first()
-    assert (r.point, r.low, r.high) == pytest.approx(brute_interval(quality, 43))
-    valid, exact = [int(k % 5 > 0) for k in range(40)], [int(k % 3 > 0) for k in range(40)]
-    rows = spark.createDataFrame([("base", bool(v), bool(x), 3, 1, 1, 4) for v, x in zip(valid, exact, strict=True)], "model string, schema_valid boolean, exact_match boolean, tp int, fp int, fn int, predicted_units int")
-    monkeypatch.setattr(queries, "_examples", lambda spark, d: rows)
-    got = {r.metric: (r.point, r.low, r.high) for r in queries.QUERIES["b3_headline_intervals"](spark, "").collect()}
-    assert got["schema_validity"] == pytest.approx(brute_interval(valid, 43)) and got["exact_match"] == pytest.approx(brute_interval(exact, 44))
-
-
-def test_counted_hash_is_uniform_and_takes_numbers_beyond_32_bits(spark):
-    rows = spark.range(20_000).select(F.lit(2**32 - 1).alias("k1"), F.lit(5).cast("long").alias("k2"), (F.col("id") + 2**33).alias("i"))
-    got = [r.h for r in with_counted_hash(rows, "h", "k1", "k2", "i").select("h").collect()]
-    assert len(set(got)) == 20_000 and min(got) >= 0 and max(got) < 2**62
-    for modulus in (2, 10, 64):
-        counts = np.bincount(np.array(got) % modulus, minlength=modulus)
-        assert ((counts - 20_000 / modulus) ** 2).sum() / (20_000 / modulus) < modulus + 6 * (2 * modulus) ** 0.5
-
-
-def test_nulls_are_not_looked_for_below_the_draws(spark):
-    rows = spark.createDataFrame([("m", 1), ("m", 0)], "model string, ok int")
-    plan = bootstrap.resampled(rows, ["model"], ["ok"], 5, 1, F.avg("ok"))._jdf.queryExecution().optimizedPlan().toString()
-    assert "isnotnull(pmod" not in plan and "isnotnull(coalesce" not in plan
-
-
-def test_exploded_ranges_are_bounded(spark, monkeypatch):
-    got = bootstrap.ranges(spark.createDataFrame([("m", 2**33)], "model string, n long"), F.lit(2**33 - 250_000), F.col("n"), ["model"]).orderBy("start").collect()
-    assert [(r.start - 2**33, r.stop - 2**33) for r in got] == [(-250_000, -150_001), (-150_000, -50_001), (-50_000, 0)]
-    monkeypatch.setattr(bootstrap, "RANGE", 7)
-    ok = [int(k % 7 > 1) for k in range(40)]
-    r = bootstrap.confidence(spark.createDataFrame([("m", x) for x in ok], "model string, ok int"), ["model"], ["ok"], F.avg("ok"), n_boot=50, seed=5).first()
-    assert (r.point, r.low, r.high) == pytest.approx(brute_interval(ok, 5, 50))
-
-
 def test_keep_last_and_first(spark):
     rows = spark.createDataFrame([("a", 1, "x"), ("a", 3, "z"), ("a", 2, "y"), ("b", 1, "q")], "id string, seq int, v string")
     assert {(r.id, r.v) for r in compare.keep_last(rows, ["id"]).collect()} == {("a", "z"), ("b", "q")}
