@@ -537,9 +537,8 @@ _IDS = lambda c: f"md5(array_to_string({c}, ','))"
 
 def _features(spark: SparkSession, d: str, **length: int) -> DataFrame:
     words = sft.word_ids()
-    pairs = sft.conversation_pairs(read(spark, d, "conversations"))
     shifted = lambda c: F.transform(words(c), lambda x: x + 1)  # noqa: E731  0 is the end of a text
-    return sft.features(pairs, shifted(F.col("prompt")), shifted(F.col("target")), eos=0, **length)
+    return sft.conversation_features(read(spark, d, "conversations"), shifted, eos=0, **length)
 
 
 def _feature_rows(rows: DataFrame) -> DataFrame:
@@ -647,7 +646,7 @@ def g1_g2_keys(spark: SparkSession, d: str) -> DataFrame:
 _D = lambda slot: fixtures._H(f"key || '|{slot}'")
 
 
-@query("g3_contact", f"""WITH {_NAMED} SELECT id, number NOT IN (4, 12) AND {_D("email")} / 4294967296.0 < 0.70 AS has_email, CASE WHEN number NOT IN (4, 12) AND {_D("phone")} / 4294967296.0 < 0.65 THEN
+@query("g3_contact", f"""WITH {_NAMED} SELECT id, number NOT IN (5, 11) AND {_D("email")} / 4294967296.0 < 0.70 AS has_email, CASE WHEN number NOT IN (5, 11) AND {_D("phone")} / 4294967296.0 < 0.65 THEN
   CASE WHEN {_D("country")} / 4294967296.0 < 0.75 THEN '+91-' || (6 + {_D("p1")} % 4) || lpad(CAST({_D("p2")} % 1000000000 AS VARCHAR), 9, '0')
   ELSE '+1-' || (200 + {_D("p3")} % 790) || '-' || (200 + {_D("p4")} % 790) || '-' || (1000 + {_D("p5")} % 9000) END END AS phone FROM z""")
 def g3_contact(spark: SparkSession, d: str) -> DataFrame:
@@ -683,8 +682,8 @@ def g5_experience(spark: SparkSession, d: str) -> DataFrame:
                        F.size(job["responsibilities"]).cast("long").alias("duties"), job["location"].alias("location"))
 
 
-@query("g6_extras", f"""WITH {_NAMED} SELECT id, number NOT IN (4, 12) AND {_U("summary")} < 0.75 AS has_summary, CASE WHEN number NOT IN (2, 10) AND {_U("projects")} >= 0.45 THEN 1 + {_D("n projects")} % 2 ELSE 0 END AS n_projects,
-  CASE WHEN number NOT IN (2, 10) AND {_U("certs")} >= 0.40 THEN 1 + {_D("n certs")} % 3 ELSE 0 END AS n_certifications, CASE WHEN number IN (1, 9) THEN 8 + {_D("n skills")} % 7 ELSE 4 + {_D("n skills")} % 9 END AS n_skills FROM z""")
+@query("g6_extras", f"""WITH {_NAMED} SELECT id, {_U("summary")} < 0.75 AS has_summary, CASE WHEN number NOT IN (3, 10) AND {_U("projects")} >= 0.45 THEN 1 + {_D("n projects")} % 2 ELSE 0 END AS n_projects,
+  CASE WHEN {_U("certs")} >= 0.40 THEN 1 + {_D("n certs")} % 3 ELSE 0 END AS n_certifications, CASE WHEN number IN (8, 9, 10, 11) THEN 8 + {_D("n skills")} % 7 ELSE 4 + {_D("n skills")} % 9 END AS n_skills FROM z""")
 def g6_extras(spark: SparkSession, d: str) -> DataFrame:
     size = lambda c: F.size(c).cast("long")
     return corpus.records(_named(spark, d)).select("id", F.col("summary").isNotNull().alias("has_summary"), size("projects").alias("n_projects"), size("certifications").alias("n_certifications"), size("skills").alias("n_skills"))
@@ -703,7 +702,7 @@ def g7_difficulty(spark: SparkSession, d: str) -> DataFrame:
     stated = {name: F.when(k % m != r, "x") for name, m, r in (("email", 2, 0), ("phone", 3, 0), ("location", 5, 0), ("summary", 7, 0))}
     lists = {"projects": few((k % 4 != 1).cast("int")), "certifications": few((k % 6 != 1).cast("int")), "skills": few(k % 13), "experience": F.transform(few(F.col("jobs")), lambda _: F.struct(few(k % 4).alias("responsibilities")))}
     of = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
-    rows = rows.withColumns(stated | lists | {"style": of(list(corpus.STYLES)), "date_policy": of(corpus.POLICIES), "base_level": (k % 3).cast("int")})
+    rows = rows.withColumns(stated | lists | {"hard_style": (k % 8).isin(2, 5, 6, 7), "date_policy": of(corpus.POLICIES), "base_level": (k % 3).cast("int")})
     return corpus.difficulty(rows).select("c_custkey", "hardships", "difficulty")
 
 

@@ -103,6 +103,29 @@ def test_features_at_the_full_length(spark, tmp_path):
     assert [r.conv_id for r in run("t5_unsupervised")] == [3]
 
 
+def test_prompts_of_long_conversations_equal_whole_ones(spark):
+    tokens = lambda c: F.transform(F.filter(F.split(c, " "), lambda w: w != ""), lambda w: F.length(w))
+    texts = lambda c, k: " ".join("x" * (1 + (c * 7 + k * 3 + i) % 9) for i in range((c + k) % 5))
+    turns = [(c, k, "assistant" if k % 2 else "user", texts(c, k)) for c, n in ((1, 400), (2, 3), (3, 1), (4, 30)) for k in range(n)]
+    turns += [(None, 0, "user", "no id"), (None, 1, "assistant", "still one"), (5, 0, "assistant", None), (2, 9, None, "no role"), (2, 10, "assistant", "after it"), (6, 1, "user", "b"), (6, 1, "user", "a"), (6, 2, "assistant", "c")]
+    rows = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(6)
+    for length in (16, 100_000):
+        got = {(r.conv_id, r.turn): r for r in sft.conversation_features(rows, tokens, max_length=length).collect()}
+        expected = {}
+        for conv in {t[0] for t in turns}:
+            prompt = []
+            for _, turn, role, text in sorted((t for t in turns if t[0] == conv), key=lambda t: (t[1], t[2] or "", t[3] or "")):
+                own = [len(w) for w in (text or "").split()]
+                if role == "assistant":
+                    expected[conv, turn] = (list(prompt), own)
+                prompt += [len(role) + 1, *own] if role else []
+        assert set(got) == set(expected)
+        for at, (prompt, own) in expected.items():
+            r, whole = got[at], prompt + own + [0]
+            assert (r.input_ids, r.n_prompt, r.n_target, r.truncated) == (whole[:length], len(prompt), len(own) + 1, len(whole) > length)
+            assert r.labels == ([-100] * len(prompt) + own + [0])[:length] and r.attention_mask == [1] * len(r.input_ids)
+
+
 def test_messages_and_target(spark, examples):
     row = spark.createDataFrame([("  hi \n",)], "t string").select(sft.messages(F.col("t"), tag="DOC").alias("m")).first()
     assert [x.role for x in row.m] == ["system", "user"] and "<DOC>\nhi\n</DOC>" in row.m[1].content
@@ -209,12 +232,12 @@ def test_files(spark, tmp_path, examples):
 
 def test_difficulty_rule(spark):
     job = lambda n: {"responsibilities": ["x"] * n}
-    full = dict(email="e", phone="p", location="l", summary="s", projects=["x"], certifications=["x"], experience=[job(2)], skills=["x"] * 4, style="plain", date_policy="iso", base_level=0)
-    ddl = "email string, phone string, location string, summary string, projects array<string>, certifications array<string>, experience array<struct<responsibilities:array<string>>>, skills array<string>, style string, date_policy string, base_level int"
+    full = dict(email="e", phone="p", location="l", summary="s", projects=["x"], certifications=["x"], experience=[job(2)], skills=["x"] * 4, hard_style=False, date_policy="iso", base_level=0)
+    ddl = "email string, phone string, location string, summary string, projects array<string>, certifications array<string>, experience array<struct<responsibilities:array<string>>>, skills array<string>, hard_style boolean, date_policy string, base_level int"
     three_missing, many = dict(email=None, location=None, projects=[]), dict(skills=["x"] * 10)
     cases = [
-        ({}, 0, "easy"), (many, 1, "easy"), (many | dict(date_policy="mixed"), 2, "medium"), (many | three_missing | dict(date_policy="mixed"), 3, "hard"), (dict(style="grouped"), 1, "easy"),
-        (dict(base_level=1), 0, "medium"), (dict(base_level=1, style="grouped"), 1, "medium"), (dict(base_level=1, style="prose", experience=[job(2)] * 3), 3, "hard"), (dict(base_level=2), 0, "hard"),
+        ({}, 0, "easy"), (many, 1, "easy"), (many | dict(date_policy="mixed"), 2, "medium"), (many | three_missing | dict(date_policy="mixed"), 3, "hard"), (dict(hard_style=True), 1, "easy"),
+        (dict(base_level=1), 0, "medium"), (dict(base_level=1, hard_style=True), 1, "medium"), (dict(base_level=1, hard_style=True, experience=[job(2)] * 3), 3, "hard"), (dict(base_level=2), 0, "hard"),
         (dict(experience=[job(5)]), 0, "easy"), (dict(experience=[job(6)]), 1, "easy"), (dict(email=None, location=None), 0, "easy"), (three_missing, 1, "easy"),
     ]
     rows = corpus.difficulty(spark.createDataFrame([full | change for change, _, _ in cases], ddl)).collect()
@@ -223,7 +246,7 @@ def test_difficulty_rule(spark):
 
 def test_templates_and_their_texts(spark, examples):
     rows = corpus.templates(spark).collect()
-    assert len(rows) == 12 and {r.style for r in rows[:8]} == set(corpus.STYLES) and len({tuple(r.section_order) for r in rows}) >= 6
+    assert len(rows) == 12 and len({r.style for r in rows}) == 12 and {r.layout for r in rows[:8]} == set(corpus.LAYOUTS) and {r.skill_form for r in rows} == set(corpus.SKILL_FORMS) and len({tuple(r.section_order) for r in rows}) >= 6
     many = corpus.examples(corpus.keys(spark, {"train": 160, "validation": 20, "test": 20})).collect()
     for r in many:
         lines = [x.strip() for x in r.text.replace("  ", " ").split("\n")]
@@ -233,9 +256,9 @@ def test_templates_and_their_texts(spark, examples):
             assert there == (section in own and bool(r.target[section]))
         for skill in r.target.skills:
             assert skill in " ".join(lines)
-        assert ("=" * 24 in r.text) == (r.metadata.template_name == "rough")
-    for style, lines in (("rough", "   \n"), ("scattered", "\n\n")):
-        assert any(lines in r.text for r in many if r.metadata.template_name == style)
+        assert ("=" * 24 in r.text) == (r.metadata.template_name.endswith("ruled"))
+    for style, lines in (("ruled", "   \n"), ("loose", "\n\n")):
+        assert any(lines in r.text for r in many if style in r.metadata.template_name)
 
 
 def test_whole_manifest(spark, examples, tmp_path):
