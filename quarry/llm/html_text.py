@@ -10,9 +10,10 @@ or more, and on a share of the host's distinct pages, are templates of that host
 ``MIN_CONTENT_SHARE`` for shapes and for exact subtrees inside, where a passage that many articles quote is content, as is one of over
 ``MAX_TEMPLATE_CHARS``. The blocks of templates are deleted. ``html``, ``body``, the article and whatever holds it are never templates.
 
-Of what is left the blocks of the best content remain: those inside ``article``, else ``main``, else ``body``. Deleted as well, also on hosts of too
-few pages to count, are elements that HTML itself names as no content (``DROPPED_TAGS``, some roles, hidden ones), and containers whose class or id is,
-as a whole, the name of page furniture (``FURNITURE``: ``comments``, ``site-footer`` or ``ad-slot``, but not ``has-comments`` or ``ad-free``).
+Of what is left the blocks of the best content remain: those inside ``article``, else ``main``, else ``body``; articles in a ``main`` that has as much text outside them are a part of it.
+Deleted as well, also on hosts of too few pages to count, are elements that HTML itself names as no content (``DROPPED_TAGS``, some roles, hidden ones), articles of readers' comments, forms unless they
+wrap parts of the page (``PAGE_PARTS``), and containers whose class or id is, as a whole, the name of page furniture (``comments``, ``site-footer`` or ``ad-slot``, but not ``has-comments`` or ``ad-free``).
+Inside an article or ``main`` the names that its subject may have as well (``AMBIGUOUS``) do not count. A ``head`` that is not closed ends before the first thing that cannot stand in it.
 
 Blocks are the texts between block-level tags; ``br`` is white space. Character references are decoded, white space becomes one
 space, blocks are joined by one line feed, and nothing is cut.
@@ -70,15 +71,27 @@ P_ENDERS = BLOCKS - {"body", "caption", "html", "legend", "option", "tbody", "td
 MUTE_TAGS = {"button", "canvas", "datalist", "embed", "head", "iframe", "input", "math", "noscript", "object", "script", "select", "style", "svg", "template", "textarea", "title"}
 #: furniture by their meaning in HTML
 FURNITURE_TAGS = {"aside", "dialog", "fieldset", "footer", "form", "menu", "nav", "search"}
-DROPPED_TAGS = MUTE_TAGS | FURNITURE_TAGS
+DROPPED_TAGS = MUTE_TAGS | FURNITURE_TAGS - {"form"}
+#: what may stand in a head; anything else, or text, begins the body
+HEAD_TAGS = {"base", "basefont", "bgsound", "head", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
+#: a form around one of these is a wrapper of the page, not a form to fill in
+PAGE_PARTS = {"article", "footer", "h1", "header", "main", "nav"}
 DROPPED_ROLES = {"alert", "alertdialog", "banner", "complementary", "contentinfo", "dialog", "menu", "navigation", "search"}
 #: the whole of one class or id, with an optional word for the place before it or for the kind of box after it
-FURNITURE = re.compile(
-    r"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|js|post|article)[-_]?)?"
-    r"(?:ads?|adbox|adsense|advert|adverts|advertisement|banner|breadcrumbs?|comments?|commentlist|consent|cookies?|disqus|footer|gdpr|masthead|menu|modal|nav|navbar|navigation|"
-    r"newsletter|pager|pagination|popup|promo|promotion|recommended|related|replies|share|sharing|sidebar|social|sponsors?|sponsored|subscribe|topbar|widget)"
-    r"(?:[-_](?:area|banner|bar|block|box|buttons|container|inner|left|links|list|menu|notice|overlay|popup|right|section|slot|thread|unit|widget|wrapper|[0-9]+))?"
-)
+COMMENTS = r"comments?|commentlist|disqus"
+PLAIN = r"ads?|adbox|adsense|advert|adverts|advertisement|breadcrumbs?|consent|cookies?|footer|gdpr|modal|nav|navbar|navigation|newsletter|pager|pagination|popup|promo|promotion|share|sharing|sidebar|social|subscribe|topbar"
+#: words that an article may also use for what it is about: a restaurant's menu, the sponsors of a bill
+AMBIGUOUS = r"banner|masthead|menu|recommended|related|replies|sponsors?|sponsored|widget"
+
+
+def _names(words: str) -> re.Pattern:
+    return re.compile(
+        rf"(?:(?:site|page|main|top|bottom|left|right|global|primary|secondary|js|post|article|user|reader)[-_]?)?(?:{words})"
+        r"(?:[-_](?:area|banner|bar|block|body|box|buttons|container|inner|item|left|links|list|menu|notice|overlay|popup|right|section|slot|thread|unit|widget|wrapper|[0-9]+))?"
+    )
+
+
+FURNITURE, IN_CONTENT, COMMENT = _names(f"{COMMENTS}|{PLAIN}|{AMBIGUOUS}"), _names(f"{COMMENTS}|{PLAIN}"), _names(COMMENTS)
 CONTAINERS = {"div", "section", "ul", "ol", "dl", "table", "header", "figure", "details", "center"}
 NEVER = {"html", "body", "main", "article"}
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']++)))?+""")
@@ -89,7 +102,7 @@ DROPPED = -1  # rank of a block that is deleted whatever the counts say
 
 
 class Element:
-    __slots__ = ("tag", "name", "parent", "mute", "dropped", "content", "holds", "chars", "link_chars", "exact", "shape", "digest", "figure", "owner", "number")
+    __slots__ = ("tag", "name", "parent", "mute", "dropped", "content", "holds", "chars", "link_chars", "exact", "shape", "digest", "figure", "owner", "number", "form", "wraps", "in_main")
 
     def __init__(self, tag: str, name: str, parent: Element | None, dropped: bool, content: int):
         self.tag, self.name, self.parent, self.dropped, self.content = tag, name, parent, dropped, content
@@ -99,6 +112,13 @@ class Element:
         self.exact, self.shape = [f"{tag} {name}".encode("utf-8", "surrogatepass")], []
         self.owner: Element | None = None  # the innermost counted element around it, itself included
         self.number = -1
+        self.form: Element | None = self if tag == "form" else parent.form if parent is not None else None
+        self.in_main = False
+        self.wraps = False  # of a form: whether parts of the page stand in it
+
+    def rank(self) -> int:
+        """Of a block in this element, once the page is read."""
+        return DROPPED if self.dropped or (self.form is not None and not self.form.wraps) else self.content
 
     def close(self) -> None:
         head = self.exact[0]
@@ -132,15 +152,20 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 def _is_dropped(tag: str, attributes: dict[str, str], content: int) -> bool:
+    if tag == "menu" and content:  # a list of what the text is about, as any other
+        return False
     if tag in DROPPED_TAGS or (tag == "header" and not content):  # within an article a header is content
         return True
-    if tag in NEVER or not attributes:
+    if tag in ("html", "body") or not attributes:
         return False
     if "hidden" in attributes or attributes.get("aria-hidden") == "true" or attributes.get("role", "").lower() in DROPPED_ROLES:
         return True
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
         return True
-    return tag in CONTAINERS and any(map(FURNITURE.fullmatch, f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()))
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split()
+    if tag == "article":  # of a reader
+        return attributes.get("itemprop", "").lower() == "comment" or attributes.get("itemtype", "").endswith("/Comment") or any(map(COMMENT.fullmatch, names))
+    return tag in CONTAINERS and any(map((IN_CONTENT if content else FURNITURE).fullmatch, names))
 
 
 class Page:
@@ -148,17 +173,23 @@ class Page:
 
     def __init__(self, html: str):
         self.root = Element("html", "", None, False, 0)
-        self.stack, self.elements, self.blocks, self.text = [self.root], [self.root], [], []
+        self.stack, self.elements, self.found, self.text = [self.root], [self.root], [], []
         self.open = Counter()
         self._read(html)
+        self.blocks = [(text, top.rank(), top) for text, top in self.found]
+        # of a main part with articles in it, the articles are the content if most of its text is theirs; else they are a part of it
+        size = Counter()
+        for text, rank, top in self.blocks:
+            size[rank, top.in_main] += len(text)
+        if size[1, True] >= size[2, True] > 0 and not size[2, False]:
+            self.blocks = [(text, min(rank, 1), top) for text, rank, top in self.blocks]
 
     def _flush(self) -> None:
         if self.text:
             words = " ".join("".join(self.text).split())
             self.text.clear()
             if words:
-                top = self.stack[-1]
-                self.blocks.append((words, DROPPED if top.dropped else top.content, top))
+                self.found.append((words, self.stack[-1]))
 
     def _pop(self, upto: int) -> None:
         while len(self.stack) > upto:
@@ -168,8 +199,10 @@ class Page:
 
     def _say(self, raw: str) -> None:
         value = unescape(raw) if "&" in raw else raw
-        top = self.stack[-1]
         words = " ".join(value.split())
+        if words and self.stack[-1].tag == "head":
+            self._pop(len(self.stack) - 1)
+        top = self.stack[-1]
         if words:
             top.exact.append(words.encode("utf-8", "surrogatepass"))
             top.chars += len(words)
@@ -235,6 +268,8 @@ class Page:
         if tag == "html":
             return at
         stack = self.stack
+        if stack[-1].tag == "head" and tag not in HEAD_TAGS:
+            self._pop(len(stack) - 1)
         if tag in BLOCKS:
             self._flush()
         elif tag == "br" and not stack[-1].mute:
@@ -253,6 +288,9 @@ class Page:
             content = max(content, CONTENT_RANK.get(tag, 0), CONTENT_RANK["main"] if attributes.get("role") == "main" else 0)
         name = " ".join(filter(None, (attributes.get(k, "") for k in ("class", "id", "role"))))
         element = Element(tag, name, top, dropped, content)
+        element.in_main = top.in_main or (not dropped and (tag == "main" or attributes.get("role") == "main"))
+        if tag in PAGE_PARTS and element.form is not None:
+            element.form.wraps = True
         if tag in RAW:
             end = RAW_ENDS[tag].search(html, at)
             element.exact.append(html[at : end.start() if end else len(html)].encode("utf-8", "surrogatepass"))

@@ -31,6 +31,28 @@ def test_names_that_only_hold_a_word_of_furniture_stay():
     assert text_of("<article><div class='ad-slot'>no</div><p>x</p><div id='comments'>no</div></article><div class='site-footer'>no</div>") == "x"
 
 
+def test_legal_pages_lose_no_text():
+    assert text_of("<head><title>T</title><p>Hello body text</p>") == "Hello body text" and text_of("<head><meta x>Bare text") == "Bare text"
+    assert text_of("<html><head><title>T</title><link rel=x><script>var a</script><body><p>b") == "b"
+    assert text_of("<form><article><p>In a form</p></article></form>") == "In a form"
+    assert text_of("<body><form id=aspnetForm><nav>m</nav><h1>T</h1><p>Wrapped page</p><div><input><button>b</button></div><footer>f</footer></form>") == "T\nWrapped page"
+    assert text_of("<p>x</p><form><p>Your mail</p><label>Name</label></form>") == "x"
+    assert text_of("<main><p>Main text</p><article>teaser</article></main>") == "Main text\nteaser"
+    assert text_of("<main><p>By me</p><article>A long article of many words</article></main>") == "A long article of many words"
+
+
+def test_comments_and_hidden_articles_go():
+    assert text_of("<article><p>Story</p><article class='comment'>nice</article></article>") == "Story"
+    assert text_of("<article><p>Story</p></article><article class='user-comment' id=c1>nice</article><article itemprop=comment>x</article>") == "Story"
+    assert text_of("<article hidden>old</article><article aria-hidden=true>o</article><main style='display:none'>z</main><article>new</article>") == "new"
+
+
+def test_an_article_may_be_about_furniture():
+    for inside in ("<div class='banner'>x</div>", "<section id='related'>x</section>", "<section id='sponsors'>x</section>", "<table class='menu'><tr><td>x</table>", "<menu><li>x</menu>"):
+        assert text_of(f"<article><p>a</p>{inside}</article>") == "a\nx"
+        assert text_of(f"<p>a</p>{inside}") == "a"
+
+
 @pytest.mark.parametrize("html", [
     "<" + "a" * 8_000_000, "<a " * 1_000_000, '<a href="' * 500_000, "<a b='<" * 500_000, "<!--" + "-" * 4_000_000, "&" * 2_000_000, "<script>" + "<" * 4_000_000, "<b>" * 100_000 + "</i>" * 100_000,
     "<p><b>" + "<div></div>" * 100_000, "<div>" * 100_000 + "x", "<li>x" * 100_000,
