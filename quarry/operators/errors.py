@@ -5,7 +5,7 @@ Unlike the evaluator, texts are compared with their case here. Input is what ``c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -181,17 +181,19 @@ def with_category(pairs: DataFrame, category: str | None = None, difficulty: str
 def representatives(pairs: DataFrame, scores: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """selection_reason and id: the worst and best change of F1, one schema failure won and one lost, and a random sample.
 
-    scores: id, base_f1, finetuned_f1; a missing score counts as 0. Every part is a top-k, and ties go by id.
+    scores: id, base_f1, finetuned_f1; a missing score counts as 0. Ties go by id. All parts come from one pass: a row stands under each reason that it may be chosen for, and as ranks are
+    bounded, each task keeps the first few of a reason before anything is shuffled.
     """
-    rows = pairs.join(scores, "id", "left").withColumn("delta", F.coalesce("finetuned_f1", F.lit(0.0)) - F.coalesce("base_f1", F.lit(0.0)))
+    delta = F.coalesce("finetuned_f1", F.lit(0.0)) - F.coalesce("base_f1", F.lit(0.0))
     ok = lambda side: F.coalesce(F.col(side)["schema_valid"], F.lit(False))
-    parts = [
-        ("worst_delta", rows.orderBy("delta", "id").limit(1)), ("best_delta", rows.orderBy(F.desc("delta"), "id").limit(1)),
-        ("schema_fixed", rows.where(~ok("base") & ok("finetuned")).orderBy("id").limit(1)), ("schema_broken", rows.where(ok("base") & ~ok("finetuned")).orderBy("id").limit(1)),
-        ("random", rows.orderBy(keyed_hash(str(seed), F.col("id")), "id").limit(k)),
+    none, draw = F.lit(0).cast("long"), keyed_hash(str(seed), F.col("id"))
+    reasons = [
+        ("worst_delta", F.lit(True), F.col("delta"), none, 1), ("best_delta", F.lit(True), -F.col("delta"), none, 1), ("schema_fixed", ~ok("base") & ok("finetuned"), F.lit(0.0), none, 1),
+        ("schema_broken", ok("base") & ~ok("finetuned"), F.lit(0.0), none, 1), ("random", F.lit(True), F.lit(0.0), draw, k),
     ]
-    out = None
-    for reason, part in parts:
-        part = part.select(F.lit(reason).alias("selection_reason"), "id", "delta")
-        out = part if out is None else out.unionByName(part)
-    return out
+    places = F.array(*(F.when(may, F.struct(F.lit(name).alias("selection_reason"), score.alias("score"), tie.alias("tie"), F.lit(n).alias("most"))) for name, may, score, tie, n in reasons))
+    rows = pairs.join(scores, "id", "left").select("id", delta.alias("delta"), F.struct(ok("base").alias("schema_valid")).alias("base"), F.struct(ok("finetuned").alias("schema_valid")).alias("finetuned"))
+    rows = rows.select("id", "delta", F.inline(F.array_compact(places)))
+    order = Window.partitionBy("selection_reason").orderBy("score", "tie", "id")
+    ranked = rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(k, 1))
+    return ranked.where(F.col("rank") <= F.col("most")).select("selection_reason", "id", "delta")

@@ -74,10 +74,10 @@ def commits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, path: str) -> DataFrame:
-    """id, raw_output, latency_ms, at (later is greater): rows of committed chunks. What a lost run left of a chunk belongs to no commit."""
+    """id, raw_output, latency_ms, at (later is greater), attempt: rows of committed chunks. What a lost run left of a chunk belongs to no commit."""
     done = commits(spark, path).groupBy("attempt").agg(F.max("number").alias("number"))
     rows = _table(spark, f"{path}/rows", STORED_DDL).join(done, "attempt")
-    return rows.select("id", "raw_output", "latency_ms", F.struct("number", "seq").alias("at"))
+    return rows.select("id", "raw_output", "latency_ms", F.struct("number", "seq").alias("at"), "attempt")
 
 
 def latest(predictions: DataFrame) -> DataFrame:
@@ -132,7 +132,7 @@ def run_inference(
         scored.write.parquet(f"{path}/rows/attempt={attempt}")
         n = spark.read.schema(STORED_DDL).parquet(f"{path}/rows/attempt={attempt}").count()
         spark.createDataFrame([(attempt, number, chunk, n, mark)], COMMIT_DDL).coalesce(1).write.mode("append").parquet(f"{path}/commits")
-    return latest(stored(spark, path)).drop("at").join(examples.select("id").distinct(), "id", "left_semi").orderBy("id")
+    return latest(stored(spark, path)).drop("at", "attempt").join(examples.select("id").distinct(), "id", "left_semi").orderBy("id")
 
 
 def positions(rows: DataFrame, order: str = "id") -> DataFrame:

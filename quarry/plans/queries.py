@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import keyed as K
 from ..functions import text as T
-from ..operators import bootstrap, compare, errors, evaluate, inference, parse, sft, validate
+from ..operators import bootstrap, compare, errors, evaluate, inference, parse, running_metrics, sft, validate
 from ..sources import files
 from ..spec import EXAMPLE_DDL, RECORD_DDL, RESUME
 from . import corpus, fixtures
@@ -418,7 +418,7 @@ def v7_expected_counts(spark: SparkSession, d: str) -> DataFrame:
   UNION ALL SELECT 'warning', 'repeated_text', count(DISTINCT split) FROM (SELECT split, k FROM k GROUP BY ALL HAVING count(*) > 1))
 SELECT severity, rule, n, NOT bool_or(severity = 'error') OVER () AS ok FROM r WHERE n > 0""")
 def v8_report(spark: SparkSession, d: str) -> DataFrame:
-    return validate.report(validate.violations(_dataset(spark, d)))
+    return validate.report(validate.findings(_dataset(spark, d)))
 
 
 @query("a9_distribution", f"WITH {_DATASET} SELECT split, template_id AS value, count(*) AS n FROM x GROUP BY ALL")
@@ -596,6 +596,23 @@ def i2_inference(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", value("email"), value("phone"), "schema_valid", F.col("position").cast("long").alias("position"))
 
 
+@query("a16_appended", f"""WITH {PRED_SQL} SELECT difficulty, template_id, count(*) AS n, {_MEASURES} FROM t WHERE model = 'base' GROUP BY GROUPING SETS ((difficulty), (template_id), ())""")
+def a16_appended(spark: SparkSession, d: str) -> DataFrame:
+    """Rates by slice from sums that grew with the predictions: a part, then the rest, of which only what was new was parsed."""
+    gold, path = _gold(spark, d), files.scratch(spark)
+    outputs = _predictions(spark, d).where("model = 'base'").select("id", F.col("raw_output").alias("text"))
+    for part in (outputs.where(F.col("id").endswith("1")), outputs):
+        inference.run_inference(part, f"{path}/predictions", {"model": "base"}, lambda: lambda text: text, warm_up=0)
+        running_metrics.update(f"{path}/predictions", f"{path}/metrics", gold, "base", ["difficulty", "template_id"])
+    whole = None
+    for by in (["difficulty"], ["template_id"], []):
+        rows = running_metrics.rates(spark, f"{path}/metrics", by)
+        columns = [F.col(c) if c in by else F.lit(None).cast("string").alias(c) for c in ("difficulty", "template_id")]
+        rows = rows.select(*columns, "n", *evaluate.RATES)
+        whole = rows if whole is None else whole.unionByName(rows)
+    return whole
+
+
 @query("i1_refusals", """SELECT unnest(['first', 'resume', 'fresh', 'force']) AS mode, unnest(['one', 'other', 'other', 'other']) AS settings, unnest([false, true, true, false]) AS refused, count(*) AS stored FROM documents""")
 def i1_refusals(spark: SparkSession, d: str) -> DataFrame:
     """What each mode does to predictions that were stored under other settings."""

@@ -3,6 +3,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
+from quarry.functions import text
 from quarry.operators import inference, sft, validate
 from quarry.plans import corpus
 from quarry.sources import files
@@ -68,6 +69,29 @@ def test_poisoned_dataset_is_found(examples):
     assert not validate.report(validate.violations(rows.unionByName(leak))).first().ok
 
 
+def test_findings_of_one_pass_equal_the_rules_one_by_one(spark, examples):
+    rows = table(examples)
+    leak = rows.where("split = 'train'").limit(3).withColumns({"split": F.lit("test"), "file_split": F.lit("test")})
+    odd = rows.limit(4).withColumns({"split": F.lit("holdout"), "file_split": F.lit("holdout"), "text": F.lit("same"), "template_id": F.lit("template_99")})
+    bad = rows.unionByName(leak).unionByName(odd).unionByName(odd.limit(1).withColumn("split", F.lit("spare"))).unionByName(rows.limit(1).withColumn("id", F.lit(None).cast("string"))).cache()
+    got = sorted(map(str, validate.violations(bad).collect()))
+    across = lambda found, rule: [("error", rule, None, r.key_hash) for r in validate.across_splits(found).collect()]
+    want = [tuple(r) for r in validate.row_violations(bad).collect()]
+    want += [("error", "id_in_several_splits" if len(r.splits) > 1 else "duplicate_id", None, r.id) for r in validate.duplicate_ids(bad).collect()]
+    want += across(validate.text_duplicates(bad), "text_in_several_splits") + across(validate.record_duplicates(bad), "record_in_several_splits")
+    want += [("error", f"template_{r.problem}", None, r.template_id) for r in validate.template_leakage(bad).collect()]
+    want += [("warning", "repeated_text", r.split, str(r.repeated_keys)) for r in validate.within_splits(bad, text.dedup_key(F.col("text"))).collect() if r.repeated_keys]
+    row = spark.createDataFrame(want, "severity string, rule string, split string, id string")
+    assert got == sorted(map(str, row.collect())) and len({w[1] for w in want}) >= 9
+    assert sorted(map(tuple, validate.report(validate.findings(bad)).collect())) == sorted(map(tuple, validate.report(validate.violations(bad)).collect()))
+
+
+def test_the_report_reads_its_input_once(spark, examples, tmp_path):
+    table(examples).write.parquet(str(tmp_path / "x"))
+    plan = validate.report(validate.findings(spark.read.parquet(str(tmp_path / "x"))))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_row_rules(examples):
     bad = table(examples).limit(1)
     cases = {"blank_text": ("text", " "), "unknown_difficulty": ("difficulty", "odd"), "schema_version": ("schema_version", "0"), "missing_id": ("id", None), "split_differs_from_file": ("split", "test")}

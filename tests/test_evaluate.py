@@ -134,3 +134,36 @@ def test_field_relations(spark):
     rows = spark.createDataFrame([("base", "g", edited(email=None)), ("finetuned", "g", edited(name="Bob"))], "model string, id string, raw_output string")
     got = {r.field: r.relation for r in compare.field_relations(rows).collect()}
     assert got["email"] == "only_finetuned" and got["name"] == "differs" and got["skills"] == "match" and got["projects"] == "both_empty"
+
+
+def test_appended_metrics_equal_a_full_run(spark, tmp_path):
+    from quarry.operators import inference, running_metrics
+
+    outputs = [edited(), edited(name="Bob"), "junk", edited(skills=["SQL"]), edited(phone=None, email="x@y.z"), edited(experience=jobs(company="Other")), edited(extra=1), edited(skills="SQL")]
+    gold = spark.createDataFrame([(f"g{i}", json.dumps(GOLD), "odd" if i % 2 else "even") for i in range(40)], "id string, j string, part string").withColumn("gold", F.parse_json("j")).drop("j")
+    rows = [(f"g{i}", outputs[i % len(outputs)]) for i in range(40)]
+    table = lambda some: spark.createDataFrame(some, "id string, text string")
+    predictions, path = str(tmp_path / "p"), str(tmp_path / "m")
+    run = lambda some, mode="resume": inference.run_inference(table(some), predictions, {"m": "1"}, lambda: lambda t: t, mode, warm_up=0, rows_per_chunk=20)
+    bring = lambda: running_metrics.update(predictions, path, gold, "m", ["part"])
+
+    def same_as_full():
+        latest = inference.latest(inference.stored(spark, predictions)).select(F.lit("m").alias("model"), "id", "raw_output", "latency_ms")
+        examples = evaluate.evaluate_examples(latest, gold, keep=["part"])
+        examples = examples.cache()
+        columns = ["model", "part", "n", *evaluate.RATES, "output_chars_mean"]
+        full = sorted(map(str, evaluate.headline(examples, ["model", "part"]).select(columns).collect()))
+        assert sorted(map(str, running_metrics.rates(spark, path, ["part"]).select(columns).collect())) == full
+        full = {r.field: (r.tp, r.fp, r.fn, r.f1) for r in evaluate.field_totals(examples, ["model"]).collect()}
+        assert {r.field: (r.tp, r.fp, r.fn, r.f1) for r in running_metrics.field_totals(spark, path).collect()} == full
+
+    run(rows[:15])
+    assert bring() == 15
+    run(rows)
+    assert bring() == 25 and bring() == 0  # only what is new is parsed
+    run([(f"g{i}", edited(name="New")) for i in range(5)], "fresh")  # new answers take the place of old ones
+    assert bring() == 10
+    same_as_full()
+    inference.run_inference(table(rows), predictions, {"m": "2"}, lambda: lambda t: t, "force", warm_up=0)
+    with pytest.raises(inference.StaleCache):
+        bring()
