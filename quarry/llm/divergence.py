@@ -33,7 +33,9 @@ MIN_DOCS = 30
 TOP_TERMS = 50
 GROUPS_PER_BLOCK = 64
 TERMS_PER_BLOCK = 4096
-HELD_TERMS = 200_000  # of a task, before it sends what it has counted
+HELD_TERMS = 600_000  # of a task, before it sends what it has counted
+DOC_SHIFT = 40
+ONE_DOC = 1 << DOC_SHIFT  # occurrences within a task stay below
 SLICE_BYTES = 1 << 22
 SMOOTH = 5
 UNITS = 1_000_000_000
@@ -57,14 +59,16 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
     names = ["lang", "source", "term", "n", "docs"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        groups: dict[tuple[str, str], dict[bytes, int]] = {}  # a term's occurrences, and above them its documents
         held = 0
 
         def sent() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, in_docs) in groups.items():
-                size = len(n) + 1
-                terms = [*(t.decode() for t in n), None]
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array([source] * size), pa.array(terms, pa.string()), pa.array([*n.values(), 0], pa.int64()), pa.array([*map(in_docs.__getitem__, n), 0], pa.int64())], names=names)
+            for (lang, source), counts in groups.items():
+                both = np.fromiter(counts.values(), np.int64, len(counts))
+                terms = pa.array([t.decode() for t in counts] + [None], pa.string())
+                n, in_docs = (pa.array(np.append(x, 0), pa.int64()) for x in (both & (ONE_DOC - 1), both >> DOC_SHIFT))
+                size = len(terms)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * size), pa.array([source] * size), terms, n, in_docs], names=names)
             groups.clear()
 
         for batch in batches:
@@ -72,11 +76,11 @@ def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                 own: Counter = Counter()
                 for part in words(text.encode()):
                     own.update(part)
-                n, in_docs = groups.setdefault((lang, source), (Counter(), Counter()))
-                held -= len(n)
-                n.update(own)
-                in_docs.update(own.keys())
-                held += len(n)
+                counts = groups.setdefault((lang, source), {})
+                known, held = counts.get, held - len(counts)
+                for term, n in own.items():
+                    counts[term] = known(term, 0) + n + ONE_DOC
+                held += len(counts)
                 if held > HELD_TERMS:
                     yield from sent()
                     held = 0
@@ -104,7 +108,9 @@ class Audit:
         langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"), F.sum("lang_n").alias("lang_total"))
         blocks = F.pmod(F.xxhash64("term"), F.expr(f"(terms + {TERMS_PER_BLOCK - 1}) div {TERMS_PER_BLOCK}")).cast("int")
         at = F.row_number().over(Window.partitionBy("lang", "term_block").orderBy("term")) - 1
-        self.kept = materialise(terms.join(langs, "lang").withColumn("term_block", blocks).withColumn("at", at))
+        # dealt by block: the join leaves all terms of a language in one task
+        terms = terms.join(langs, "lang").withColumn("term_block", blocks).repartition("lang", "term_block")
+        self.kept = materialise(terms.withColumn("at", at))
         occurring = materialise(counts.join(self.kept, ["lang", "term"]))
         groups = counts.where("term IS NULL").select("lang", "source")
         groups = groups.join(occurring.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs.select("lang", "terms"), "lang", "left")
