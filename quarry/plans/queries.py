@@ -686,9 +686,12 @@ def g4_education(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("g5_experience", f"""WITH {_NAMED}, {_STUDY}, j AS (SELECT *, (2026 - career) * 12 AS m, 1 + {_D("jobs")} % greatest(1, least(3, m // 12)) AS n FROM e),
+_JOBS = f"""j AS (SELECT *, (2026 - career) * 12 AS m, 1 + {_D("jobs")} % greatest(1, least(3, m // 12)) AS n FROM e),
  w AS (SELECT *, list_transform(range(1, n + 1), lambda i: 1 + {fixtures._H("key || '|weight|' || i")} % 100) AS w FROM j), l AS (SELECT *, list_transform(w, lambda x: 5 + CAST(floor((m - 5 * n) * x / list_sum(w)) AS BIGINT)) AS len FROM w),
- q AS (SELECT *, unnest(range(1, n + 1)) AS i FROM l), v AS (SELECT *, coalesce(list_sum(len[1:i - 1]), 0) AS since, CASE WHEN i = n THEN m ELSE list_sum(len[1:i]) END - 1 AS upto, i = n AND {_U("current")} < 0.70 AS current FROM q)
+ q AS (SELECT *, unnest(range(1, n + 1)) AS i FROM l), v AS (SELECT *, coalesce(list_sum(len[1:i - 1]), 0) AS since, CASE WHEN i = n THEN m ELSE list_sum(len[1:i]) END - 1 AS upto, i = n AND {_U("current")} < 0.70 AS current FROM q)"""
+
+
+@query("g5_experience", f"""WITH {_NAMED}, {_STUDY}, {_JOBS}
 SELECT id, CAST(career AS INT) AS career_start, n - i AS place, (career + since // 12) || '-' || lpad(CAST(since % 12 + 1 AS VARCHAR), 2, '0') AS start_date,
   CASE WHEN NOT current THEN (career + upto // 12) || '-' || lpad(CAST(upto % 12 + 1 AS VARCHAR), 2, '0') END AS end_date, current, 1 + {fixtures._H("key || '|duties|' || i")} % 4 AS duties,
   CASE WHEN {fixtures._H("key || '|job place|' || i")} / 4294967296.0 < 0.30 THEN {corpus.CITIES}[1 + {fixtures._H("key || '|job city|' || i")} % {len(corpus.CITIES)}] END AS location FROM v""")
@@ -728,6 +731,23 @@ def g8_examples(spark: SparkSession, d: str) -> DataFrame:
     return corpus.examples(_named(spark, d)).select("id", "text", "metadata.template_id", "metadata.difficulty", F.size("target.skills").alias("n_skills"))
 
 
+_PHONE = f"""CASE WHEN number NOT IN (5, 11) AND {_D("phone")} / 4294967296.0 < 0.65 THEN CASE WHEN {_D("country")} / 4294967296.0 < 0.75 THEN '+91-' || (6 + {_D("p1")} % 4) || lpad(CAST({_D("p2")} % 1000000000 AS VARCHAR), 9, '0')
+  ELSE '+1-' || (200 + {_D("p3")} % 790) || '-' || (200 + {_D("p4")} % 790) || '-' || (1000 + {_D("p5")} % 9000) END END"""
+
+
+@query("g8_read_back", f"""WITH {_NAMED}, {_STUDY}, {_JOBS}, o AS (
+  SELECT id, (career + since // 12) || '-' || lpad(CAST(since % 12 + 1 AS VARCHAR), 2, '0') || '..' || CASE WHEN current THEN 'now' ELSE (career + upto // 12) || '-' || lpad(CAST(upto % 12 + 1 AS VARCHAR), 2, '0') END AS span,
+    1 + {fixtures._H("key || '|duties|' || i")} % 4 AS duties, n - i AS place FROM v), a AS (SELECT id, string_agg(span, ',' ORDER BY place) AS jobs, CAST(sum(duties) AS BIGINT) AS duties FROM o GROUP BY id)
+SELECT id, number NOT IN (5, 11) AND {_U("email")} < 0.70 AS has_email, {_PHONE} AS phone, CASE WHEN number IN (8, 9, 10, 11) THEN 8 + {_D("n skills")} % 7 ELSE 4 + {_D("n skills")} % 9 END AS n_skills, jobs,
+  CASE WHEN number % 4 <> 2 THEN duties END AS n_duties, true AS proven FROM z JOIN a USING (id)""")
+def g8_read_back(spark: SparkSession, d: str) -> DataFrame:
+    """What the texts state, read from them by template, beside what the draws say; proven: all that was read is the record's."""
+    rows = corpus.proofs(corpus.examples(_named(spark, d)))
+    span = F.transform("jobs", lambda x: F.concat(x["from"], F.lit(".."), x["to"]))
+    size = lambda c: F.when(F.col(c).isNotNull(), F.size(c)).cast("long")
+    return rows.select("id", F.col("email").isNotNull().alias("has_email"), "phone", size("skills").alias("n_skills"), F.array_join(span, ",").alias("jobs"), size("duties").alias("n_duties"), "proven")
+
+
 @query("g9_dates", """SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%B %Y') WHEN 1 THEN strftime(o_orderdate, '%b %Y') WHEN 2 THEN strftime(o_orderdate, '%m/%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m') ELSE strftime(o_orderdate, '%Y') END AS spelled FROM orders""")
 def g9_dates(spark: SparkSession, d: str) -> DataFrame:
     policy = F.element_at(F.array(*map(F.lit, ("full", "abbr", "slash", "iso", "year"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
@@ -735,9 +755,40 @@ def g9_dates(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("o_orderkey", corpus.spell_date(F.date_format("o_orderdate", "yyyy-MM"), policy, F.col("o_orderkey")).alias("spelled"))
 
 
-@query("g11_manifest", f"""WITH {_NAMED} SELECT split, 'template_' || lpad(CAST(number AS VARCHAR), 2, '0') AS template_id, count(*) AS n FROM z GROUP BY ALL UNION ALL SELECT split, NULL, count(*) FROM z GROUP BY split""")
+_DIFFICULTY = f"""{_NAMED}, {_STUDY}, {_JOBS}, o AS (SELECT id, count(*) AS jobs, sum(1 + {fixtures._H("key || '|duties|' || i")} % 4) AS duties FROM v GROUP BY id),
+ c AS (SELECT id, split, number, jobs, duties, CAST(number % 4 IN (2, 3) AS INT) + CAST(number BETWEEN 8 AND 11 AS INT) + CAST(number % 5 = 2 AS INT) AS hard,
+   CASE WHEN number BETWEEN 8 AND 11 THEN 8 + {_D("n skills")} % 7 ELSE 4 + {_D("n skills")} % 9 END AS skills,
+   CAST(number IN (5, 11) OR {_U("email")} >= 0.70 AS INT) + CAST(number IN (5, 11) OR {_U("phone")} >= 0.65 AS INT) + CAST({_U("summary")} >= 0.75 AS INT)
+     + CAST(number IN (3, 10) OR {_U("projects")} < 0.45 AS INT) + CAST({_U("certs")} < 0.40 AS INT) AS absent FROM z JOIN o USING (id)),
+ h AS (SELECT *, least(2, hard) AS base, CAST(hard > 0 AS INT) + CAST(number % 5 = 4 AS INT) + CAST(absent >= 3 AS INT) + CAST(skills >= 10 AS INT) + CAST(duties >= 6 AS INT) + CAST(jobs >= 3 AS INT) AS n FROM c),
+ y2 AS (SELECT *, 'template_' || lpad(CAST(number AS VARCHAR), 2, '0') AS template_id,
+   CASE base WHEN 0 THEN CASE WHEN n >= 3 THEN 'hard' WHEN n = 2 THEN 'medium' ELSE 'easy' END WHEN 1 THEN CASE WHEN n >= 2 THEN 'hard' ELSE 'medium' END ELSE 'hard' END AS difficulty FROM h)"""
+
+
+@query("g7_corpus", f"WITH {_DIFFICULTY} SELECT id, CAST(n AS INT) AS hardships, difficulty FROM y2")
+def g7_corpus(spark: SparkSession, d: str) -> DataFrame:
+    return corpus.records(_named(spark, d)).select("id", "hardships", "difficulty")
+
+
+@query("g11_manifest", f"WITH {_DIFFICULTY} SELECT split, template_id, difficulty, count(*) AS n FROM y2 GROUP BY GROUPING SETS ((split, template_id), (split, difficulty), (split))")
 def g11_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return corpus.manifest(corpus.examples(_named(spark, d))).where("difficulty is null").drop("difficulty")
+    return corpus.manifest(corpus.examples(_named(spark, d)))
+
+
+@query("g11_whole_manifest", f"""WITH {_DIFFICULTY}, t AS (SELECT 'template_' || lpad(CAST(n AS VARCHAR), 2, '0') AS name, CASE WHEN n <= 8 THEN 'train' WHEN n <= 10 THEN 'validation' ELSE 'test' END AS split FROM range(1, 13) r(n))
+SELECT 'count' AS kind, split AS name, CAST(count(*) AS VARCHAR) AS value FROM y2 GROUP BY split UNION ALL SELECT 'template', split || '/' || template_id, CAST(count(*) AS VARCHAR) FROM y2 GROUP BY ALL
+UNION ALL SELECT 'difficulty', split || '/' || difficulty, CAST(count(*) AS VARCHAR) FROM y2 GROUP BY ALL UNION ALL SELECT 'template_split', name, split FROM t UNION ALL SELECT DISTINCT 'sha256', split, 'true' FROM y2""")
+def g11_whole_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Counts, the split of each template, and for each split whether its files have the digests that the manifest names, by a second way of reading them."""
+    path, rows = files.scratch(spark), files.written(corpus.examples(_named(spark, d)))
+    files.write_splits(rows.withColumn("split", F.col("metadata.split")), path)
+    stated = corpus.whole_manifest(rows, files.manifest(spark, path, "*.json"))
+    split = F.regexp_extract("name", "^split=([^/]+)/", 1)
+    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    whole = whole.select(F.regexp_extract("_metadata.file_path", "split=[^/]+/[^/]+$", 0).alias("name"), F.sha2(F.col("value").cast("binary"), 256).alias("sha256"))
+    digests = stated.where("kind = 'sha256'").join(whole, "name", "left")
+    digests = digests.groupBy(split.alias("name")).agg(F.bool_and(F.coalesce(F.col("value") == F.col("sha256"), F.lit(False))).cast("string").alias("value"))
+    return stated.where("kind <> 'sha256'").unionByName(digests.select(F.lit("sha256").alias("kind"), "name", "value"))
 
 
 # --- files ------------------------------------------------------------------------------------------------------------------------

@@ -19,6 +19,13 @@ def scratch(spark: SparkSession) -> str:
     return f"{(root or tempfile.mkdtemp(prefix='quarry-')).rstrip('/')}/quarry-{uuid.uuid4().hex}"
 
 
+def written(rows: DataFrame) -> DataFrame:
+    """``rows`` as a table in the shared folder, read back: its plan is done with, and what reads it starts from files."""
+    path = scratch(rows.sparkSession)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 CORRUPT = "_corrupt_record"
 
 

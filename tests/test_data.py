@@ -285,6 +285,18 @@ def test_templates_and_their_texts(spark, examples):
         assert any(lines in r.text for r in many if style in r.metadata.template_name)
 
 
+def test_texts_prove_their_records(spark):
+    many = corpus.examples(corpus.keys(spark, {"train": 240, "validation": 40, "test": 40})).cache()
+    proven = {r.id: r for r in corpus.proofs(many).collect()}
+    assert len(proven) == 320 and all(r.proven for r in proven.values()) and sum(r.duties is None for r in proven.values()) > 20
+    # a text that says something else is found out
+    changes = {"phone": F.regexp_replace("text", r"\+91-(\d)", "+91-0$1"), "dates": F.regexp_replace("text", "(- |to |until )(Present|Now|Current)", "$1Jan 2021"), "duties": F.regexp_replace("text", "tests for", "poems about")}
+    for changed in changes.values():
+        rows = many.withColumn("was", F.col("text")).withColumn("text", changed).where("text <> was").drop("was")
+        assert rows.count() > 5
+        assert corpus.proofs(rows).where("proven and duties is not null").count() == 0
+
+
 def test_whole_manifest(spark, examples, tmp_path):
     files.write_splits(examples.withColumn("split", F.col("metadata.split")), str(tmp_path / "s"))
     rows = {(r.kind, r.name): r.value for r in corpus.whole_manifest(examples, files.manifest(spark, str(tmp_path / "s"), "*.json")).collect()}
