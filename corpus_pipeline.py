@@ -2,6 +2,9 @@
 
 Each stage takes all rows that the one before kept, as Parquet in the folder that the cluster shares, and returns the rows that
 stay, with the columns of ``documents``; the last one returns token ids instead of texts.
+
+Cases: a null text counts as an empty one, which the classifier judges like any other; texts without words are near copies of none. Very long texts go through whole. Of rows that repeat, one stays, the
+one of the smallest doc_id, null last. Further columns are kept up to the last stage, whatever their names. An empty ``documents`` gives an empty table; without labels nothing is rejected, without test items nothing leaks.
 """
 
 from __future__ import annotations
