@@ -38,3 +38,20 @@ def test_stages_keep_columns_and_bear_odd_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, d).columns == docs.columns, name
     assert corpus_pipeline.run(spark, d).count() == 2
+
+
+def test_pipeline_on_empty_and_long_documents_and_clashing_names(spark, tmp_path):
+    long = prose(77, 60_000).capitalize() + "."
+    rows = [(i, prose(i, 80).capitalize() + ".", "en", "s", 1, "own") for i in range(40)] + [(50, long, "en", "s", 1, "own"), (51, long, None, "s", 1, None)]
+    schema = "doc_id long, text string, lang string, source string, quarry_row_no int, class string"
+    for name, some in (("none", []), ("some", rows)):
+        d = str(tmp_path / name)
+        spark.createDataFrame(some, schema).write.parquet(f"{d}/documents.parquet")
+        spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+        spark.createDataFrame([(1, prose(5000, 30))], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+        docs = spark.read.parquet(f"{d}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            docs = run(spark, docs, d)
+            assert docs.columns == schema.replace(" long", "").replace(" string", "").replace(" int", "").split(", "), stage
+        out = corpus_pipeline.run(spark, d).collect()
+        assert sorted(r.doc_id for r in out) == sorted({r[0] for r in some} - {51}) and all(r.round_trip for r in out)
