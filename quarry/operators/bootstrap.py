@@ -4,7 +4,8 @@ Rows with equal measures are one tuple with a count, and a resample of n rows dr
 ``BUCKETS`` buckets by a hash of their measures, the n draws are split over the buckets one after another, those of a bucket over its tuples, each time by the share of
 what is left. A binomial draw is the quantile of a uniform number, which depends on (seed, resample, bucket or tuple) only, so a result does not depend on how rows are partitioned.
 
-The work is resamples times distinct tuples, whatever the number of rows: a rate over a billion flags takes two tuples. One task splits a group over its buckets, at most ``BUCKETS`` rows;
+The work is resamples times distinct tuples, whatever the number of rows: a rate over a billion flags takes two tuples. One task splits a group over its
+buckets, at most ``BUCKETS`` rows;
 the buckets of all groups are then tasks of their own, which send a row of sums a resample.
 
 Quantiles add up probabilities on both sides of the mean, as far as eight standard deviations. Beyond a variance of ``WIDE`` they are read off their expansion

@@ -181,7 +181,8 @@ def with_category(pairs: DataFrame, category: str | None = None, difficulty: str
 def representatives(pairs: DataFrame, scores: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:
     """selection_reason and id: the worst and best change of F1, one schema failure won and one lost, and a random sample.
 
-    scores: id, base_f1, finetuned_f1; a missing score counts as 0. Ties go by id. All parts come from one pass: a row stands under each reason that it may be chosen for, and as ranks are
+    scores: id, base_f1, finetuned_f1; a missing score counts as 0. Ties go by id. All parts come from one pass: a row stands under each reason that it may be
+    chosen for, and as ranks are
     bounded, each task keeps the first few of a reason before anything is shuffled.
     """
     delta = F.coalesce("finetuned_f1", F.lit(0.0)) - F.coalesce("base_f1", F.lit(0.0))

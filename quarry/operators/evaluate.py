@@ -152,9 +152,11 @@ def _ordered_bits(values: DataFrame, col: str) -> Column:
 def nearest_rank(values: DataFrame, by: list[str], value_col: str, shares: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles: rank round-half-even(p * n + 0.5), within 1 and n.
 
-    Exact selection by digits. A value's bits, in an order that agrees with the values', are looked at ``DIGIT`` at a time from the front: counts by group and digit, at most 2 ** ``DIGIT``
+    Exact selection by digits. A value's bits, in an order that agrees with the values', are looked at ``DIGIT`` at a time from the front: counts by group and
+    digit, at most 2 ** ``DIGIT``
     of a group and combined before any shuffle, tell in which digit a rank lies, and the next round counts only values that begin like it. A rank is settled
-    when the values left to it are all the same, after four rounds at most. No group is sorted, so one of all rows and a million small ones are the same work. What is looked for is a row for each group
+    when the values left to it are all the same, after four rounds at most. No group is sorted, so one of all rows and a million small ones are the same work. What
+    is looked for is a row for each group
     and share; it goes to the values up to ``BROADCAST_TARGETS`` rows, and beyond that both are shuffled by group. A null in ``by`` is a group.
     """
     spark, original = values.sparkSession, dict(values.dtypes)[value_col]

@@ -113,7 +113,8 @@ def run_inference(
     mode: resume (only missing ids), force (all anew, stored rows go), fresh (all again, appended). Other stored settings are refused unless forced.
 
     Examples are scored in chunks of some ``rows_per_chunk``. The rows of a chunk are written first, in a folder of their own; then one row is appended to the commits, with the
-    fingerprint, which makes them count. A run that is lost has lost its last chunk at most: the next one finds the ids of all chunks before, and the unfinished folder is never read.
+    fingerprint, which makes them count. A run that is lost has lost its last chunk at most: the next one finds the ids of all chunks before, and the unfinished
+    folder is never read.
     """
     spark, mark = examples.sparkSession, fingerprint(settings)
     examples = examples.select(F.col("id").cast("string").alias("id"), "text")

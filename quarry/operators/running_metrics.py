@@ -1,7 +1,9 @@
 """Metrics of predictions that keep coming: sums are stored, and only what is new is parsed.
 
-Every rate of the headline is a ratio of sums over examples, so sums of parts add up. An update takes the chunks that ``inference`` has committed since the last one, parses and matches their rows, and
-stores sums by model, slices and field under the fingerprint of the predictions. Where a new prediction takes the place of an earlier one of the same id, the sums of the earlier one are stored with a minus.
+Every rate of the headline is a ratio of sums over examples, so sums of parts add up. An update takes the chunks that ``inference`` has committed since the last
+one, parses and matches their rows, and
+stores sums by model, slices and field under the fingerprint of the predictions. Where a new prediction takes the place of an earlier one of the same id, the
+sums of the earlier one are stored with a minus.
 As with predictions, sums are written first and count when a row among the updates names them, so an update that is lost has changed nothing.
 """
 
@@ -35,7 +37,9 @@ def updates(spark: SparkSession, path: str) -> DataFrame:
 
 
 def update(predictions: str, path: str, gold: DataFrame, model: str, slices: list[str], spec: RecordSpec = RESUME) -> int:
-    """Bring the sums under ``path`` up to the predictions stored under ``predictions``; returns how many outputs were parsed. ``gold``: as for ``evaluate_examples``, with the slices."""
+    """Bring the sums under ``path`` up to the predictions stored under ``predictions``; returns how many outputs were parsed. ``gold``: as for
+    ``evaluate_examples``, with the slices.
+    """
     spark = gold.sparkSession
     done = updates(spark, path)
     commits = inference.commits(spark, predictions)

@@ -96,8 +96,10 @@ def running_totals(rows: DataFrame, group: list[str], order: list[str], value: s
 def conversation_features(turns: DataFrame, tokens: Callable[[Column], Column], eos: int = 0, max_length: int = 2048) -> DataFrame:
     """``features`` of every assistant turn (conv_id, turn): the turns before it are its prompt, itself is the target. ``tokens`` gives the ids of a text.
 
-    A row is cut to ``max_length`` from its start, so of a conversation only the turns that begin below that place can stand in a prompt. How many tokens come before a turn is a running total; those first turns are put
-    together once a conversation, as one bounded list, and each answer takes its part of it. The work is linear in turns and in what is returned, and no conversation is held in a row.
+    A row is cut to ``max_length`` from its start, so of a conversation only the turns that begin below that place can stand in a prompt. How many tokens come
+    before a turn is a running total; those first turns are put
+    together once a conversation, as one bounded list, and each answer takes its part of it. The work is linear in turns and in what is returned, and no
+    conversation is held in a row.
     """
     spoken = F.concat(F.col("role"), F.lit(": "), F.coalesce("text", F.lit("")))
     rows = turns.select("conv_id", "turn", "role", "text", F.coalesce(tokens(spoken), F.array().cast("array<int>")).alias("ids"))

@@ -103,7 +103,8 @@ def expected_counts(examples: DataFrame, expected: dict[str, int]) -> DataFrame:
 def facts(examples: DataFrame, schema_version: str = "1.0") -> DataFrame:
     """kind, key, rule, at, and over all rows of the key: copies, the number in each of ``SPLITS``, least and greatest other split.
 
-    What every rule needs leaves a row of the examples together, as a few short keys in place of texts and records, and is added up by key in one shuffle, within each task before it. Kinds: row (a broken row
+    What every rule needs leaves a row of the examples together, as a few short keys in place of texts and records, and is added up by key in one shuffle, within
+    each task before it. Kinds: row (a broken row
     rule of the id), id, text and record (digests), template, and elsewhere (a text of a split that is none of ``SPLITS``).
     """
     rows = assign_split(examples)
@@ -121,7 +122,9 @@ def facts(examples: DataFrame, schema_version: str = "1.0") -> DataFrame:
 
 
 def findings(examples: DataFrame, schema_version: str = "1.0") -> DataFrame:
-    """severity, rule, split, id or key, n: all findings from one pass over the examples; n: how often a row rule is broken so, else 1. A text that repeats in a split is a row of that split."""
+    """severity, rule, split, id or key, n: all findings from one pass over the examples; n: how often a row rule is broken so, else 1. A text that repeats
+    in a split is a row of that split.
+    """
     found = facts(examples, schema_version).join(F.broadcast(template_splits(examples.sparkSession)).withColumnRenamed("template_id", "key"), "key", "left")
     used = sum(((F.col(s) > 0).cast("int") for s in SPLITS[1:]), (F.col(SPLITS[0]) > 0).cast("int")) + F.when(F.col("least").isNull(), 0).when(F.col("least") == F.col("most"), 1).otherwise(2)
     outside = F.col("least").isNotNull()
@@ -152,7 +155,9 @@ def violations(examples: DataFrame, schema_version: str = "1.0") -> DataFrame:
 
 
 def report(found: DataFrame) -> DataFrame:
-    """severity, rule, n, and ok: whether there is no error at all; one row of nulls and 0 where nothing was found. Takes ``findings``, or ``violations``; of repeated texts the splits that have some count."""
+    """severity, rule, n, and ok: whether there is no error at all; one row of nulls and 0 where nothing was found. Takes ``findings``, or ``violations``; of
+    repeated texts the splits that have some count.
+    """
     n = F.sum("n") if "n" in found.columns else F.count(F.lit(1))
     rows = found.groupBy("severity", "rule", "split").agg(n.alias("n")).groupBy("severity", "rule")  # as many rows as there are rules and splits
     rows = rows.agg(F.when(F.col("rule") == "repeated_text", F.count(F.lit(1))).otherwise(F.sum("n")).alias("n"))

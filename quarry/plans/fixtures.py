@@ -151,7 +151,8 @@ PRED_SQL = f"""{GOLD_SQL}, m(model) AS (VALUES ('base'), ('finetuned')
     b IN (3, 4) OR (u = 0 AND b || field NOT IN ('12location', '19certifications')) OR b || field IN ('5email', '11education', '13skills') AS void
   FROM fu
 ), t AS (
-  SELECT model, id, template_id, difficulty, split, b, ex, lo, em, latency_ms, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) FILTER (u > 0 AND void) AS missing, count(*) FILTER (u > 0) AS filled,
+  SELECT model, id, template_id, difficulty, split, b, ex, lo, em, latency_ms, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn, count(*) FILTER (u > 0 AND void) AS missing,
+    count(*) FILTER (u > 0) AS filled,
     b NOT IN (3, 4) AS json_valid, b NOT IN (3, 4, 8, 14, 18, 19, 20) AND NOT (b = 21 AND ex > 0) AS schema_valid, b NOT IN (3, 4) AND sum(fp) + sum(fn) = 0 AS exact_match
   FROM f GROUP BY model, id, template_id, difficulty, split, b, ex, lo, em, latency_ms
 )"""

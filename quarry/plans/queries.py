@@ -141,7 +141,8 @@ def a10_deltas(spark: SparkSession, d: str) -> DataFrame:
 
 # outputs are texts here, as another engine can measure them; the other ten rows are those of a10_deltas
 @query("a11_output_length_row", """WITH h AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'base' ELSE 'finetuned' END AS model, avg(length(coalesce(text, ''))) AS v FROM documents GROUP BY ALL)
-SELECT 'mean_chars' AS metric, max(v) FILTER (model = 'base') AS base, max(v) FILTER (model = 'finetuned') AS finetuned, max(v) FILTER (model = 'finetuned') - max(v) FILTER (model = 'base') AS delta, false AS partial FROM h""")
+SELECT 'mean_chars' AS metric, max(v) FILTER (model = 'base') AS base, max(v) FILTER (model = 'finetuned') AS finetuned,
+  max(v) FILTER (model = 'finetuned') - max(v) FILTER (model = 'base') AS delta, false AS partial FROM h""")
 def a11_output_length_row(spark: SparkSession, d: str) -> DataFrame:
     rows = read(spark, d, "documents").select(F.when(F.col("doc_id") % 2 == 0, "base").otherwise("finetuned").alias("model"), "text")
     return evaluate.compare_metrics(evaluate.output_length(rows, ["model"], "text"), ["mean_chars"])
@@ -193,8 +194,10 @@ def j7_multiset_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("m3_long_lists", """WITH s AS (SELECT o_custkey, o_orderpriority, count(*) AS g, count(*) FILTER (o_orderkey % 7 <> 0) + count(*) FILTER (o_orderkey % 11 = 0) AS p FROM orders GROUP BY ALL)
-SELECT 'c' || o_custkey AS id, 'skills' AS field, CAST(sum(least(p, g)) AS BIGINT) AS tp, CAST(sum(p - least(p, g)) AS BIGINT) AS fp, CAST(sum(g - least(p, g)) AS BIGINT) AS fn FROM s GROUP BY o_custkey
-UNION ALL SELECT 'c' || o_custkey, 'experience', count(*) FILTER (o_orderkey % 5 <> 0), count(*) FILTER (o_orderkey % 5 = 0), count(*) FILTER (o_orderkey % 5 = 0) FROM orders GROUP BY o_custkey""")
+SELECT 'c' || o_custkey AS id, 'skills' AS field, CAST(sum(least(p, g)) AS BIGINT) AS tp, CAST(sum(p - least(p, g)) AS BIGINT) AS fp, CAST(sum(g - least(p,
+  g)) AS BIGINT) AS fn FROM s GROUP BY o_custkey
+UNION ALL SELECT 'c' || o_custkey, 'experience', count(*) FILTER (o_orderkey % 5 <> 0), count(*) FILTER (o_orderkey % 5 = 0), count(*) FILTER (o_orderkey % 5 = 0) FROM orders
+  GROUP BY o_custkey""")
 def m3_long_lists(spark: SparkSession, d: str) -> DataFrame:
     """All orders of a customer as one record's lists, one of texts that repeat and one of records, with items dropped, doubled and changed."""
     key, priority = F.col("o_orderkey"), F.col("o_orderpriority")
@@ -216,10 +219,14 @@ def m3_long_lists(spark: SparkSession, d: str) -> DataFrame:
 # --- error analysis and comparison ------------------------------------------------------------------------------------------
 
 _CATEGORY = f"""{PRED_SQL}, c AS (
-  SELECT m.model, g.id, g.difficulty, CASE WHEN t.b IS NULL OR t.b IN (3, 4) THEN ['malformed_json'] WHEN NOT t.schema_valid THEN ['schema_violation'] WHEN t.b = 5 AND g.em = 1 THEN ['missing_field']
-    WHEN t.b = 6 THEN ['wrong_value'] WHEN t.b = 7 THEN ['unsupported_value'] WHEN t.b = 9 AND g.ex > 0 THEN ['date_normalization_error'] WHEN t.b = 10 AND g.ex > 0 THEN ['section_association_error']
-    WHEN t.b = 11 THEN ['list_item_error', 'missing_field', 'under_extraction'] WHEN t.b = 12 AND g.lo = 1 THEN ['wrong_value'] WHEN t.b = 12 THEN ['unsupported_value', 'over_extraction']
-    WHEN t.b = 13 THEN ['missing_field', 'under_extraction'] WHEN t.b = 17 AND g.ex > 0 THEN ['list_item_error', 'unsupported_value'] ELSE [] END AS categories, coalesce(categories[1], 'none') AS category
+  SELECT m.model, g.id, g.difficulty, CASE WHEN t.b IS NULL OR t.b IN (3, 4) THEN ['malformed_json'] WHEN NOT t.schema_valid THEN ['schema_violation'] WHEN t.b = 5
+    AND g.em = 1 THEN ['missing_field']
+    WHEN t.b = 6 THEN ['wrong_value'] WHEN t.b = 7 THEN ['unsupported_value'] WHEN t.b = 9 AND g.ex > 0 THEN ['date_normalization_error'] WHEN t.b = 10
+      AND g.ex > 0 THEN ['section_association_error']
+    WHEN t.b = 11 THEN ['list_item_error', 'missing_field', 'under_extraction'] WHEN t.b = 12 AND g.lo = 1 THEN ['wrong_value'] WHEN t.b = 12 THEN ['unsupported_value',
+      'over_extraction']
+    WHEN t.b = 13 THEN ['missing_field', 'under_extraction'] WHEN t.b = 17 AND g.ex > 0 THEN ['list_item_error', 'unsupported_value'] ELSE [] END AS categories,
+      coalesce(categories[1], 'none') AS category
   FROM m CROSS JOIN g LEFT JOIN t ON t.model = m.model AND t.id = g.id)"""
 
 
@@ -229,7 +236,8 @@ def e8_categories(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("a13_error_summary", f"""WITH {_CATEGORY}, n AS (SELECT unnest({[*errors.CATEGORIES, "none"]}) AS category, unnest(range(0, {len(errors.CATEGORIES) + 1})) AS position),
- y AS (SELECT model, unnest(categories) AS category FROM c), x AS (SELECT model, category, count(*) AS k FROM y GROUP BY ALL), s AS (SELECT model, count(*) AS total FROM c GROUP BY model)
+ y AS (SELECT model, unnest(categories) AS category FROM c), x AS (SELECT model, category, count(*) AS k FROM y GROUP BY ALL), s AS (SELECT model, count(*) AS total FROM c
+   GROUP BY model)
 SELECT position, n.category, s.model, coalesce(k, 0) AS n, coalesce(k, 0) / total AS share FROM n CROSS JOIN s LEFT JOIN x ON x.model = s.model AND x.category = n.category""")
 def a13_error_summary(spark: SparkSession, d: str) -> DataFrame:
     return errors.summary(_categorized(spark, d))
@@ -260,8 +268,10 @@ def c1_comparison(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("e10_representatives", f"""WITH {_SIDES}, k AS (SELECT *, {fixtures._H("'42|' || id")} AS r FROM c1), o AS (SELECT *, coalesce(base_schema_valid, false) AS bs, coalesce(finetuned_schema_valid, false) AS fs FROM k)
-SELECT 'worst_delta' AS selection_reason, id, f1_delta AS delta FROM (FROM o ORDER BY f1_delta, id LIMIT 1) UNION ALL SELECT 'best_delta', id, f1_delta FROM (FROM o ORDER BY f1_delta DESC, id LIMIT 1)
-UNION ALL SELECT 'schema_fixed', id, f1_delta FROM (FROM o WHERE NOT bs AND fs ORDER BY id LIMIT 1) UNION ALL SELECT 'schema_broken', id, f1_delta FROM (FROM o WHERE bs AND NOT fs ORDER BY id LIMIT 1)
+SELECT 'worst_delta' AS selection_reason, id, f1_delta AS delta FROM (FROM o ORDER BY f1_delta, id LIMIT 1) UNION ALL SELECT 'best_delta', id, f1_delta FROM (FROM o
+  ORDER BY f1_delta DESC, id LIMIT 1)
+UNION ALL SELECT 'schema_fixed', id, f1_delta FROM (FROM o WHERE NOT bs AND fs ORDER BY id LIMIT 1) UNION ALL SELECT 'schema_broken', id, f1_delta FROM (FROM o WHERE bs
+  AND NOT fs ORDER BY id LIMIT 1)
 UNION ALL SELECT 'random', id, f1_delta FROM (FROM o ORDER BY r, id LIMIT 5)""")
 def e10_representatives(spark: SparkSession, d: str) -> DataFrame:
     rows = c1_comparison(spark, d)
@@ -270,10 +280,12 @@ def e10_representatives(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("c2_agreement", f"""WITH {PRED_SQL}, w AS (
-  SELECT f.model, f.id, f.field, CASE WHEN NOT schema_valid OR void THEN '' WHEN f.b || field IN ('6name', '7skills', '12location') THEN 'own' WHEN f.b || field IN ('10experience', '17experience') THEN 'own' || f.b ELSE 'gold' END AS v
+  SELECT f.model, f.id, f.field, CASE WHEN NOT schema_valid OR void THEN '' WHEN f.b || field IN ('6name', '7skills', '12location') THEN 'own'
+    WHEN f.b || field IN ('10experience', '17experience') THEN 'own' || f.b ELSE 'gold' END AS v
   FROM f JOIN t USING (model, id)
 ), x AS (SELECT id, field, coalesce(max(v) FILTER (model = 'base'), '') AS bv, coalesce(max(v) FILTER (model = 'finetuned'), '') AS tv FROM w GROUP BY ALL)
-SELECT field, CASE WHEN bv = '' AND tv = '' THEN 'both_empty' WHEN tv = '' THEN 'only_base' WHEN bv = '' THEN 'only_finetuned' WHEN bv = tv THEN 'match' ELSE 'differs' END AS relation, count(*) AS n FROM x GROUP BY ALL""")
+SELECT field, CASE WHEN bv = '' AND tv = '' THEN 'both_empty' WHEN tv = '' THEN 'only_base' WHEN bv = '' THEN 'only_finetuned' WHEN bv = tv THEN 'match'
+  ELSE 'differs' END AS relation, count(*) AS n FROM x GROUP BY ALL""")
 def c2_agreement(spark: SparkSession, d: str) -> DataFrame:
     return compare.agreement(compare.field_relations(_predictions(spark, d)))
 
@@ -291,7 +303,8 @@ def _draws(rows: str, by: str) -> str:
     go = f"{{'w': x.w * ({ahead}), 'c': x.c + x.w * ({ahead}), 'k': x.k + 1}}"
     return f"""SELECT * EXCLUDE (u, d, p, odds, dev, lo, hi, total), CASE WHEN c = upto THEN lft ELSE {fold(f"CASE WHEN x.c < u * total THEN {go} ELSE x END")}.k END AS own FROM (
       SELECT *, CASE WHEN c = upto THEN 1 ELSE {fold(go)}.c END AS total FROM (
-        SELECT *, lft AS d, c / upto AS p, sqrt(d * p * (1 - p)) AS dev, p / nullif(1 - p, 0) AS odds, greatest(floor(d * p - 8 * dev - 10), 0) AS lo, least(ceil(d * p + 8 * dev + 10), d) AS hi FROM (
+        SELECT *, lft AS d, c / upto AS p, sqrt(d * p * (1 - p)) AS dev, p / nullif(1 - p, 0) AS odds, greatest(floor(d * p - 8 * dev - 10), 0) AS lo,
+          least(ceil(d * p + 8 * dev + 10), d) AS hi FROM (
           SELECT {by}, draw, i, number, c, upto, lft, ((a & 2147483647) * 2147483648 + (b & 2147483647) + 0.5::DOUBLE) / 4611686018427387904 AS u FROM (
             SELECT *, (a + k2 + (number >> 32)) & 4294967295 AS y, {_MIXED("y")} AS b FROM (SELECT *, xor(number & 4294967295, k1) AS x, {_MIXED("x")} AS a FROM ({rows}))))))"""
 
@@ -301,16 +314,22 @@ def _resamples(metric: str, source: str, measures: list[str], value: str, seed:
     text = ", ".join(f"coalesce(CAST({m} AS VARCHAR), '')" for m in measures)
     names, n_boot = ", ".join(measures), N_BOOT
     return f"""SELECT {by}, '{metric}' AS metric, any_value(point) AS point, max(value) FILTER (r = {int(0.025 * n_boot)}) AS low, max(value) FILTER (r = {min(n_boot - 1, int(0.975 * n_boot))}) AS high FROM (
-  WITH RECURSIVE o AS MATERIALIZED (SELECT {by}, {names}, count(*) AS c, CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 13) AS BIGINT) AS h, h >> 42 AS bucket FROM {source} GROUP BY ALL),
+  WITH RECURSIVE o AS MATERIALIZED (SELECT {by}, {names}, count(*) AS c, CAST('0x' || substr(md5(concat_ws('|', {text})), 1, 13) AS BIGINT) AS h, h >> 42 AS bucket
+    FROM {source} GROUP BY ALL),
    n AS (SELECT {by}, sum(c) AS n, {value.replace("sum(", "sum(c * ")} AS point FROM o GROUP BY {by}),
    k AS MATERIALIZED (SELECT draw, {fixtures._H(f"'{seed}|' || draw")} AS k1, {fixtures._H(f"'{seed}|' || draw || '|second'")} AS k2 FROM range({n_boot}) r(draw)),
-   b AS MATERIALIZED (SELECT {by}, bucket, CAST(sum(c) AS BIGINT) AS c, row_number() OVER (PARTITION BY {by} ORDER BY bucket) AS i, CAST(sum(sum(c)) OVER (PARTITION BY {by} ORDER BY bucket DESC) AS BIGINT) AS upto FROM o GROUP BY {by}, bucket),
-   s1 AS (SELECT {by}, draw, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS number, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS upto, CAST(n AS BIGINT) AS lft, CAST(0 AS BIGINT) AS own FROM n, k UNION ALL
+   b AS MATERIALIZED (SELECT {by}, bucket, CAST(sum(c) AS BIGINT) AS c, row_number() OVER (PARTITION BY {by} ORDER BY bucket) AS i, CAST(sum(sum(c)) OVER (PARTITION BY {by}
+     ORDER BY bucket DESC) AS BIGINT) AS upto FROM o GROUP BY {by}, bucket),
+   s1 AS (SELECT {by}, draw, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS number, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS upto, CAST(n AS BIGINT) AS lft,
+     CAST(0 AS BIGINT) AS own FROM n, k UNION ALL
      {_draws(f"SELECT b.{by}, s1.draw, b.i, b.bucket AS number, b.c, b.upto, s1.lft - s1.own AS lft, k1, k2 FROM s1 JOIN b ON b.{by} = s1.{by} AND b.i = s1.i + 1 JOIN k ON k.draw = s1.draw", by)}),
-   m AS MATERIALIZED (SELECT *, row_number() OVER w AS i, CAST(sum(c) OVER (PARTITION BY {by}, bucket ORDER BY h DESC, {", ".join(f"{m} DESC" for m in measures)}) AS BIGINT) AS upto FROM o WINDOW w AS (PARTITION BY {by}, bucket ORDER BY h, {names})),
-   s2 AS (SELECT {by}, draw, CAST(0 AS BIGINT) AS i, CAST(number << 42 AS BIGINT) AS number, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS upto, own AS lft, CAST(0 AS BIGINT) AS own FROM s1 WHERE i > 0 UNION ALL
+   m AS MATERIALIZED (SELECT *, row_number() OVER w AS i, CAST(sum(c) OVER (PARTITION BY {by}, bucket ORDER BY h DESC,
+     {", ".join(f"{m} DESC" for m in measures)}) AS BIGINT) AS upto FROM o WINDOW w AS (PARTITION BY {by}, bucket ORDER BY h, {names})),
+   s2 AS (SELECT {by}, draw, CAST(0 AS BIGINT) AS i, CAST(number << 42 AS BIGINT) AS number, CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS upto, own AS lft,
+     CAST(0 AS BIGINT) AS own FROM s1 WHERE i > 0 UNION ALL
      {_draws(f"SELECT m.{by}, s2.draw, m.i, m.h + 1024 AS number, m.c, m.upto, s2.lft - s2.own AS lft, k1, k2 FROM s2 JOIN m ON m.{by} = s2.{by} AND m.i = s2.i + 1 AND m.bucket = (CASE WHEN s2.i = 0 THEN s2.number ELSE s2.number - 1024 END) >> 42 JOIN k ON k.draw = s2.draw", by)}),
-   v AS (SELECT s2.{by}, draw, {value.replace("sum(", "sum(own * ").replace("count(*)", "sum(own)")} AS value FROM s2 JOIN m ON m.{by} = s2.{by} AND m.h + 1024 = s2.number AND s2.i > 0 GROUP BY s2.{by}, draw)
+   v AS (SELECT s2.{by}, draw, {value.replace("sum(", "sum(own * ").replace("count(*)", "sum(own)")} AS value FROM s2 JOIN m ON m.{by} = s2.{by} AND m.h + 1024 = s2.number
+     AND s2.i > 0 GROUP BY s2.{by}, draw)
   SELECT {by}, point, value, row_number() OVER (PARTITION BY {by} ORDER BY value) - 1 AS r FROM v JOIN n USING ({by})) GROUP BY {by}"""
 
 
@@ -355,7 +374,8 @@ def _dataset(spark: SparkSession, d: str) -> DataFrame:
 _BLANKS = r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _KEY = f"lower(trim(regexp_replace(text, '{_BLANKS}', ' ', 'g')))"
 _DATASET = f"""x AS (
-  SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 12 <= 7 THEN 'train' WHEN doc_id % 12 <= 9 THEN 'validation' ELSE 'test' END AS split, text, 'template_' || lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0') AS template_id FROM documents
+  SELECT 'd' || doc_id AS id, CASE WHEN doc_id % 12 <= 7 THEN 'train' WHEN doc_id % 12 <= 9 THEN 'validation' ELSE 'test' END AS split, text,
+    'template_' || lpad(CAST(1 + doc_id % 12 AS VARCHAR), 2, '0') AS template_id FROM documents
   UNION ALL SELECT 'b' || item_id, 'test', text, 'template_01' FROM benchmark)"""
 
 
@@ -373,7 +393,8 @@ def v2_duplicate_ids(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("v3_text_across_splits", f"""WITH {_DATASET}, k AS (SELECT {_KEY} AS k, split FROM x WHERE text IS NOT NULL)
-SELECT sha256(k) AS key_hash, k[1:120] AS key, count(*) AS copies, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM k GROUP BY k HAVING count(DISTINCT split) > 1""")
+SELECT sha256(k) AS key_hash, k[1:120] AS key, count(*) AS copies, array_to_string(list_sort(list(DISTINCT split)), ',') AS splits FROM k
+  GROUP BY k HAVING count(DISTINCT split) > 1""")
 def v3_text_across_splits(spark: SparkSession, d: str) -> DataFrame:
     return validate.across_splits(validate.text_duplicates(_dataset(spark, d).where("text is not null"))).withColumn("splits", F.array_join("splits", ","))
 
@@ -404,17 +425,22 @@ def v6_repeats_within_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("v7_expected_counts", f"""WITH {_DATASET}, e(split, expected) AS (VALUES ('train', 100), ('validation', 50), ('other', 7)), n AS (SELECT split, count(*) AS n FROM x GROUP BY split)
-SELECT 'warning' AS severity, 'expected_count' AS rule, split, coalesce(n, 0) AS n, CAST(coalesce(expected, 0) AS BIGINT) AS expected FROM e FULL JOIN n USING (split) WHERE coalesce(n, 0) <> coalesce(expected, 0)""")
+SELECT 'warning' AS severity, 'expected_count' AS rule, split, coalesce(n, 0) AS n, CAST(coalesce(expected, 0) AS BIGINT) AS expected FROM e FULL JOIN n USING (split)
+  WHERE coalesce(n, 0) <> coalesce(expected, 0)""")
 def v7_expected_counts(spark: SparkSession, d: str) -> DataFrame:
     return validate.expected_counts(_dataset(spark, d), {"train": 100, "validation": 50, "other": 7})
 
 
 @query("v8_report", f"""WITH {_DATASET}, k AS (SELECT split, CASE WHEN id[1] = 'b' THEN 'item' ELSE lang END AS record, CASE WHEN text IS NOT NULL THEN {_KEY} END AS k, x.* EXCLUDE (split) FROM x LEFT JOIN (SELECT 'd' || doc_id AS id, lang FROM documents) USING (id)), r(severity, rule, n) AS (
-  SELECT 'error', 'unknown_difficulty', count(*) FROM k WHERE length(id) % 4 = 0 UNION ALL SELECT 'error', 'missing_text', count(*) FROM k WHERE text IS NULL UNION ALL SELECT 'error', 'blank_text', count(*) FROM k WHERE coalesce(k, '') = ''
+  SELECT 'error', 'unknown_difficulty', count(*) FROM k WHERE length(id) % 4 = 0 UNION ALL SELECT 'error', 'missing_text', count(*) FROM k WHERE text IS NULL UNION ALL
+    SELECT 'error', 'blank_text', count(*) FROM k WHERE coalesce(k, '') = ''
   UNION ALL SELECT 'error', 'missing_record_key', count(*) FROM k WHERE record IS NULL
-  UNION ALL SELECT 'error', 'template_of_other_split', count(*) FROM k WHERE template_id = 'template_01' AND split <> 'train' UNION ALL SELECT 'error', 'template_outside_split', count(DISTINCT template_id) FROM k WHERE template_id = 'template_01' AND split <> 'train'
-  UNION ALL SELECT 'error', CASE WHEN n > 1 THEN 'id_in_several_splits' ELSE 'duplicate_id' END, count(*) FROM (SELECT id, count(DISTINCT split) AS n FROM k GROUP BY id HAVING count(*) > 1) GROUP BY ALL
-  UNION ALL SELECT 'error', 'text_in_several_splits', count(*) FROM (SELECT k FROM k GROUP BY k HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'error', 'record_in_several_splits', count(*) FROM (SELECT record FROM k GROUP BY record HAVING count(DISTINCT split) > 1)
+  UNION ALL SELECT 'error', 'template_of_other_split', count(*) FROM k WHERE template_id = 'template_01' AND split <> 'train' UNION ALL SELECT 'error',
+    'template_outside_split', count(DISTINCT template_id) FROM k WHERE template_id = 'template_01' AND split <> 'train'
+  UNION ALL SELECT 'error', CASE WHEN n > 1 THEN 'id_in_several_splits' ELSE 'duplicate_id' END, count(*) FROM (SELECT id, count(DISTINCT split) AS n FROM k
+    GROUP BY id HAVING count(*) > 1) GROUP BY ALL
+  UNION ALL SELECT 'error', 'text_in_several_splits', count(*) FROM (SELECT k FROM k GROUP BY k HAVING count(DISTINCT split) > 1) UNION ALL SELECT 'error',
+    'record_in_several_splits', count(*) FROM (SELECT record FROM k GROUP BY record HAVING count(DISTINCT split) > 1)
   UNION ALL SELECT 'warning', 'repeated_text', count(DISTINCT split) FROM (SELECT split, k FROM k GROUP BY ALL HAVING count(*) > 1))
 SELECT severity, rule, n, NOT bool_or(severity = 'error') OVER () AS ok FROM r WHERE n > 0""")
 def v8_report(spark: SparkSession, d: str) -> DataFrame:
@@ -529,9 +555,12 @@ def t2_canonical_target(spark: SparkSession, d: str) -> DataFrame:
 
 
 _PAIRS = rf"""a AS (SELECT conv_id, turn, coalesce(text, '') AS target FROM conversations WHERE role = 'assistant'),
- b AS (SELECT a.conv_id, a.turn, a.target, coalesce(string_agg(c.role || ': ' || coalesce(c.text, ''), chr(10) ORDER BY c.turn), '') AS prompt FROM a LEFT JOIN conversations c ON c.conv_id = a.conv_id AND c.turn < a.turn GROUP BY ALL),
- c AS (SELECT conv_id, turn, list_filter(string_split_regex(prompt, '{_BLANKS}'), lambda x: x <> '') AS a, list_filter(string_split_regex(target, '{_BLANKS}'), lambda x: x <> '') AS b FROM b),
- w AS (SELECT conv_id, turn, list_transform(a, lambda x: {fixtures._H("x")} % 1048576 + 1) AS pi, list_transform(b, lambda x: {fixtures._H("x")} % 1048576 + 1) || [0] AS ti, len(pi) AS p, len(ti) AS t FROM c)"""
+ b AS (SELECT a.conv_id, a.turn, a.target, coalesce(string_agg(c.role || ': ' || coalesce(c.text, ''), chr(10) ORDER BY c.turn), '') AS prompt FROM a LEFT
+   JOIN conversations c ON c.conv_id = a.conv_id AND c.turn < a.turn GROUP BY ALL),
+ c AS (SELECT conv_id, turn, list_filter(string_split_regex(prompt, '{_BLANKS}'), lambda x: x <> '') AS a, list_filter(string_split_regex(target, '{_BLANKS}'),
+   lambda x: x <> '') AS b FROM b),
+ w AS (SELECT conv_id, turn, list_transform(a, lambda x: {fixtures._H("x")} % 1048576 + 1) AS pi, list_transform(b, lambda x: {fixtures._H("x")} % 1048576 + 1) || [0] AS ti,
+   len(pi) AS p, len(ti) AS t FROM c)"""
 _IDS = lambda c: f"md5(array_to_string({c}, ','))"
 
 
@@ -651,7 +680,8 @@ def _named(spark: SparkSession, d: str) -> DataFrame:
 
 _NAMED = """x AS (SELECT doc_id AS n, CASE WHEN doc_id % 8 < 6 THEN 'train' WHEN doc_id % 8 = 6 THEN 'validation' ELSE 'test' END AS split,
    CASE WHEN doc_id % 8 < 6 THEN (doc_id // 8) * 6 + doc_id % 8 ELSE doc_id // 8 END AS i FROM documents),
- y AS (SELECT 'resume_' || lpad(CAST(n + 1 AS VARCHAR), 6, '0') AS id, split, CASE split WHEN 'train' THEN 1 + i % 8 WHEN 'validation' THEN 9 + i % 2 ELSE 11 + i % 2 END AS number, i AS index FROM x),
+ y AS (SELECT 'resume_' || lpad(CAST(n + 1 AS VARCHAR), 6, '0') AS id, split, CASE split WHEN 'train' THEN 1 + i % 8 WHEN 'validation' THEN 9 + i % 2
+   ELSE 11 + i % 2 END AS number, i AS index FROM x),
  z AS (SELECT *, '42|' || split || '|' || number || '|' || index AS key FROM y)"""
 
 
@@ -676,7 +706,8 @@ _GRADE = lambda kind: f"""CASE WHEN {_U(kind + " grade")} < 0.25 THEN CASE WHEN
 
 
 @query("g4_education", f"""WITH {_NAMED}, {_STUDY} SELECT id, CAST(CASE WHEN post THEN 2 ELSE 1 END AS INT) AS n, CAST(career AS INT) AS career_start, CAST(CASE WHEN post THEN a + y ELSE a END AS INT) AS start_year,
-  CAST(career AS INT) AS end_year, CASE WHEN post THEN {_GRADE("second degree")} ELSE {_GRADE("first degree")} END AS grade, {corpus.SUBJECTS}[1 + {_D("first degree subject")} % {len(corpus.SUBJECTS)}] AS first_field FROM e""")
+  CAST(career AS INT) AS end_year, CASE WHEN post THEN {_GRADE("second degree")} ELSE {_GRADE("first degree")} END AS grade,
+    {corpus.SUBJECTS}[1 + {_D("first degree subject")} % {len(corpus.SUBJECTS)}] AS first_field FROM e""")
 def g4_education(spark: SparkSession, d: str) -> DataFrame:
     """The newest entry, with points only marked as such, and the field of the oldest."""
     newest, points = F.col("education")[0], F.col("education")[0]["grade"]
@@ -687,13 +718,16 @@ def g4_education(spark: SparkSession, d: str) -> DataFrame:
 
 
 _JOBS = f"""j AS (SELECT *, (2026 - career) * 12 AS m, 1 + {_D("jobs")} % greatest(1, least(3, m // 12)) AS n FROM e),
- w AS (SELECT *, list_transform(range(1, n + 1), lambda i: 1 + {fixtures._H("key || '|weight|' || i")} % 100) AS w FROM j), l AS (SELECT *, list_transform(w, lambda x: 5 + CAST(floor((m - 5 * n) * x / list_sum(w)) AS BIGINT)) AS len FROM w),
- q AS (SELECT *, unnest(range(1, n + 1)) AS i FROM l), v AS (SELECT *, coalesce(list_sum(len[1:i - 1]), 0) AS since, CASE WHEN i = n THEN m ELSE list_sum(len[1:i]) END - 1 AS upto, i = n AND {_U("current")} < 0.70 AS current FROM q)"""
+ w AS (SELECT *, list_transform(range(1, n + 1), lambda i: 1 + {fixtures._H("key || '|weight|' || i")} % 100) AS w FROM j), l AS (SELECT *, list_transform(w,
+   lambda x: 5 + CAST(floor((m - 5 * n) * x / list_sum(w)) AS BIGINT)) AS len FROM w),
+ q AS (SELECT *, unnest(range(1, n + 1)) AS i FROM l), v AS (SELECT *, coalesce(list_sum(len[1:i - 1]), 0) AS since, CASE WHEN i = n THEN m
+   ELSE list_sum(len[1:i]) END - 1 AS upto, i = n AND {_U("current")} < 0.70 AS current FROM q)"""
 
 
 @query("g5_experience", f"""WITH {_NAMED}, {_STUDY}, {_JOBS}
 SELECT id, CAST(career AS INT) AS career_start, n - i AS place, (career + since // 12) || '-' || lpad(CAST(since % 12 + 1 AS VARCHAR), 2, '0') AS start_date,
-  CASE WHEN NOT current THEN (career + upto // 12) || '-' || lpad(CAST(upto % 12 + 1 AS VARCHAR), 2, '0') END AS end_date, current, 1 + {fixtures._H("key || '|duties|' || i")} % 4 AS duties,
+  CASE WHEN NOT current THEN (career + upto // 12) || '-' || lpad(CAST(upto % 12 + 1 AS VARCHAR), 2, '0') END AS end_date, current,
+    1 + {fixtures._H("key || '|duties|' || i")} % 4 AS duties,
   CASE WHEN {fixtures._H("key || '|job place|' || i")} / 4294967296.0 < 0.30 THEN {corpus.CITIES}[1 + {fixtures._H("key || '|job city|' || i")} % {len(corpus.CITIES)}] END AS location FROM v""")
 def g5_experience(spark: SparkSession, d: str) -> DataFrame:
     rows = corpus.records(_named(spark, d)).select("id", "career_start", F.posexplode("experience").alias("place", "job"))
@@ -703,16 +737,19 @@ def g5_experience(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("g6_extras", f"""WITH {_NAMED} SELECT id, {_U("summary")} < 0.75 AS has_summary, CASE WHEN number NOT IN (3, 10) AND {_U("projects")} >= 0.45 THEN 1 + {_D("n projects")} % 2 ELSE 0 END AS n_projects,
-  CASE WHEN {_U("certs")} >= 0.40 THEN 1 + {_D("n certs")} % 3 ELSE 0 END AS n_certifications, CASE WHEN number IN (8, 9, 10, 11) THEN 8 + {_D("n skills")} % 7 ELSE 4 + {_D("n skills")} % 9 END AS n_skills FROM z""")
+  CASE WHEN {_U("certs")} >= 0.40 THEN 1 + {_D("n certs")} % 3 ELSE 0 END AS n_certifications, CASE WHEN number IN (8, 9, 10, 11) THEN 8 + {_D("n skills")} % 7
+    ELSE 4 + {_D("n skills")} % 9 END AS n_skills FROM z""")
 def g6_extras(spark: SparkSession, d: str) -> DataFrame:
     size = lambda c: F.size(c).cast("long")
     return corpus.records(_named(spark, d)).select("id", F.col("summary").isNotNull().alias("has_summary"), size("projects").alias("n_projects"), size("certifications").alias("n_certifications"), size("skills").alias("n_skills"))
 
 
 @query("g7_difficulty", """WITH r AS (SELECT c_custkey AS k, coalesce(n, 0) AS jobs FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY ALL) ON o_custkey = c_custkey),
- h AS (SELECT k, k % 3 AS base, CAST(k % 8 IN (2, 5, 6, 7) AS INT) + CAST(k % 5 = 4 AS INT) + CAST((CAST(k % 2 = 0 AS INT) + CAST(k % 3 = 0 AS INT) + CAST(k % 5 = 0 AS INT) + CAST(k % 7 = 0 AS INT) + CAST(k % 4 = 1 AS INT) + CAST(k % 6 = 1 AS INT)) >= 3 AS INT)
+ h AS (SELECT k, k % 3 AS base, CAST(k % 8 IN (2, 5, 6,
+   7) AS INT) + CAST(k % 5 = 4 AS INT) + CAST((CAST(k % 2 = 0 AS INT) + CAST(k % 3 = 0 AS INT) + CAST(k % 5 = 0 AS INT) + CAST(k % 7 = 0 AS INT) + CAST(k % 4 = 1 AS INT) + CAST(k % 6 = 1 AS INT)) >= 3 AS INT)
    + CAST(k % 13 >= 10 AS INT) + CAST(jobs * (k % 4) >= 6 AS INT) + CAST(jobs >= 3 AS INT) AS n FROM r)
-SELECT k AS c_custkey, CAST(n AS INT) AS hardships, CASE base WHEN 0 THEN CASE WHEN n >= 3 THEN 'hard' WHEN n = 2 THEN 'medium' ELSE 'easy' END WHEN 1 THEN CASE WHEN n >= 2 THEN 'hard' ELSE 'medium' END ELSE 'hard' END AS difficulty FROM h""")
+SELECT k AS c_custkey, CAST(n AS INT) AS hardships, CASE base WHEN 0 THEN CASE WHEN n >= 3 THEN 'hard' WHEN n = 2 THEN 'medium' ELSE 'easy' END WHEN 1 THEN CASE
+  WHEN n >= 2 THEN 'hard' ELSE 'medium' END ELSE 'hard' END AS difficulty FROM h""")
 def g7_difficulty(spark: SparkSession, d: str) -> DataFrame:
     """The rule over records made of customers and their orders."""
     k = F.col("c_custkey")
@@ -736,9 +773,12 @@ _PHONE = f"""CASE WHEN number NOT IN (5, 11) AND {_D("phone")} / 4294967296.0 <
 
 
 @query("g8_read_back", f"""WITH {_NAMED}, {_STUDY}, {_JOBS}, o AS (
-  SELECT id, (career + since // 12) || '-' || lpad(CAST(since % 12 + 1 AS VARCHAR), 2, '0') || '..' || CASE WHEN current THEN 'now' ELSE (career + upto // 12) || '-' || lpad(CAST(upto % 12 + 1 AS VARCHAR), 2, '0') END AS span,
-    1 + {fixtures._H("key || '|duties|' || i")} % 4 AS duties, n - i AS place FROM v), a AS (SELECT id, string_agg(span, ',' ORDER BY place) AS jobs, CAST(sum(duties) AS BIGINT) AS duties FROM o GROUP BY id)
-SELECT id, number NOT IN (5, 11) AND {_U("email")} < 0.70 AS has_email, {_PHONE} AS phone, CASE WHEN number IN (8, 9, 10, 11) THEN 8 + {_D("n skills")} % 7 ELSE 4 + {_D("n skills")} % 9 END AS n_skills, jobs,
+  SELECT id, (career + since // 12) || '-' || lpad(CAST(since % 12 + 1 AS VARCHAR), 2, '0') || '..' || CASE WHEN current THEN 'now'
+    ELSE (career + upto // 12) || '-' || lpad(CAST(upto % 12 + 1 AS VARCHAR), 2, '0') END AS span,
+    1 + {fixtures._H("key || '|duties|' || i")} % 4 AS duties, n - i AS place FROM v), a AS (SELECT id, string_agg(span, ',' ORDER BY place) AS jobs,
+      CAST(sum(duties) AS BIGINT) AS duties FROM o GROUP BY id)
+SELECT id, number NOT IN (5, 11) AND {_U("email")} < 0.70 AS has_email, {_PHONE} AS phone, CASE WHEN number IN (8, 9, 10, 11) THEN 8 + {_D("n skills")} % 7
+  ELSE 4 + {_D("n skills")} % 9 END AS n_skills, jobs,
   CASE WHEN number % 4 <> 2 THEN duties END AS n_duties, true AS proven FROM z JOIN a USING (id)""")
 def g8_read_back(spark: SparkSession, d: str) -> DataFrame:
     """What the texts state, read from them by template, beside what the draws say; proven: all that was read is the record's."""
@@ -762,7 +802,8 @@ _DIFFICULTY = f"""{_NAMED}, {_STUDY}, {_JOBS}, o AS (SELECT id, count(*) AS jobs
      + CAST(number IN (3, 10) OR {_U("projects")} < 0.45 AS INT) + CAST({_U("certs")} < 0.40 AS INT) AS absent FROM z JOIN o USING (id)),
  h AS (SELECT *, least(2, hard) AS base, CAST(hard > 0 AS INT) + CAST(number % 5 = 4 AS INT) + CAST(absent >= 3 AS INT) + CAST(skills >= 10 AS INT) + CAST(duties >= 6 AS INT) + CAST(jobs >= 3 AS INT) AS n FROM c),
  y2 AS (SELECT *, 'template_' || lpad(CAST(number AS VARCHAR), 2, '0') AS template_id,
-   CASE base WHEN 0 THEN CASE WHEN n >= 3 THEN 'hard' WHEN n = 2 THEN 'medium' ELSE 'easy' END WHEN 1 THEN CASE WHEN n >= 2 THEN 'hard' ELSE 'medium' END ELSE 'hard' END AS difficulty FROM h)"""
+   CASE base WHEN 0 THEN CASE WHEN n >= 3 THEN 'hard' WHEN n = 2 THEN 'medium' ELSE 'easy' END WHEN 1 THEN CASE WHEN n >= 2 THEN 'hard' ELSE 'medium' END
+     ELSE 'hard' END AS difficulty FROM h)"""
 
 
 @query("g7_corpus", f"WITH {_DIFFICULTY} SELECT id, CAST(n AS INT) AS hardships, difficulty FROM y2")
@@ -776,8 +817,10 @@ def g11_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("g11_whole_manifest", f"""WITH {_DIFFICULTY}, t AS (SELECT 'template_' || lpad(CAST(n AS VARCHAR), 2, '0') AS name, CASE WHEN n <= 8 THEN 'train' WHEN n <= 10 THEN 'validation' ELSE 'test' END AS split FROM range(1, 13) r(n))
-SELECT 'count' AS kind, split AS name, CAST(count(*) AS VARCHAR) AS value FROM y2 GROUP BY split UNION ALL SELECT 'template', split || '/' || template_id, CAST(count(*) AS VARCHAR) FROM y2 GROUP BY ALL
-UNION ALL SELECT 'difficulty', split || '/' || difficulty, CAST(count(*) AS VARCHAR) FROM y2 GROUP BY ALL UNION ALL SELECT 'template_split', name, split FROM t UNION ALL SELECT DISTINCT 'sha256', split, 'true' FROM y2""")
+SELECT 'count' AS kind, split AS name, CAST(count(*) AS VARCHAR) AS value FROM y2 GROUP BY split UNION ALL SELECT 'template', split || '/' || template_id,
+  CAST(count(*) AS VARCHAR) FROM y2 GROUP BY ALL
+UNION ALL SELECT 'difficulty', split || '/' || difficulty, CAST(count(*) AS VARCHAR) FROM y2 GROUP BY ALL UNION ALL SELECT 'template_split', name, split FROM t UNION ALL
+  SELECT DISTINCT 'sha256', split, 'true' FROM y2""")
 def g11_whole_manifest(spark: SparkSession, d: str) -> DataFrame:
     """Counts, the split of each template, and for each split whether its files have the digests that the manifest names, by a second way of reading them."""
     path, rows = files.scratch(spark), files.written(corpus.examples(_named(spark, d)))
@@ -812,7 +855,8 @@ def s4_s5_csv_round_trip(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s6_s7_manifest", """WITH f AS (SELECT c_nationkey AS k, string_agg(c_custkey || '|' || c_name || chr(10), '' ORDER BY c_custkey) AS content FROM customer GROUP BY ALL)
-SELECT 'c_nationkey=' || k AS folder, octet_length(encode(content)) AS bytes, sha256(content) AS sha256, CASE k % 4 WHEN 1 THEN 'size' WHEN 2 THEN 'content' ELSE 'ok' END AS problem FROM f
+SELECT 'c_nationkey=' || k AS folder, octet_length(encode(content)) AS bytes, sha256(content) AS sha256, CASE k % 4 WHEN 1 THEN 'size' WHEN 2 THEN 'content'
+  ELSE 'ok' END AS problem FROM f
 UNION ALL SELECT 'gone', 7, '0', 'missing'""")
 def s6_s7_manifest(spark: SparkSession, d: str) -> DataFrame:
     """A folder of text files, one a nation, and its check against a manifest in which some entries are wrong and one is too many."""
