@@ -26,17 +26,20 @@ def strict_json(c: Column) -> Column:
     return T.let(F.struct(mark.alias("mark"), F.try_parse_json(F.concat(F.lit("["), c, F.lit(',"'), mark, F.lit('"]'))).alias("array")), judge)
 
 
-def candidates(raw: Column) -> Column:
-    """array<struct<via, text>>: the whole text, each code fence, the slice from the first to the last brace."""
-    whole = T.strip(raw)
-    entry = lambda via, t: F.struct(F.lit(via).alias("via"), t.alias("text"))
+def fences(raw: Column) -> Column:
+    """array<string>: what stands in each code fence."""
     # what stands between fences: every second piece, unless no fence closes it; a language mark is no part of it
     def bodies(pieces: Column) -> Column:
         inner = F.filter(pieces, lambda _, i: (i % 2 == 1) & (i < F.size(pieces) - 1))
-        return F.transform(inner, lambda t: entry("code_fence", T.strip(F.when(F.substring(t, 1, 4).isin("json", "JSON"), F.substring(t, F.lit(5), F.char_length(t))).otherwise(t))))
+        body = lambda t: F.when(F.substring(t, 1, 4).isin("json", "JSON"), F.substring(t, F.lit(5), F.char_length(t))).otherwise(t)
+        return F.transform(inner, lambda t: T.let(body(t), T.strip))
 
-    fences = T.let(F.split(raw, FENCE, -1), bodies)
-    return F.concat(F.array(entry("direct", whole)), fences, F.array(entry("brace_slice", F.regexp_extract(whole, r"(?s)\{.*\}", 0))))
+    return T.let(F.split(raw, FENCE, -1), bodies)
+
+
+def brace_slice(text: Column) -> Column:
+    """From the first to the last brace, empty without both."""
+    return F.regexp_extract(text, r"(?s)\{.*\}", 0)
 
 
 def at(v: Column, key: str) -> Column:
@@ -66,7 +69,7 @@ def as_map(v: Column) -> Column:
 
 
 def is_object(v: Column) -> Column:
-    return as_map(v).isNotNull()
+    return F.try_variant_get(v, "$", "struct<`_`:boolean>").isNotNull()  # no member is taken
 
 
 def as_string(v: Column) -> Column:
@@ -86,6 +89,28 @@ def is_number_kind(k: Column) -> Column:
     return F.coalesce(k.rlike(NUMBERS), F.lit(False))
 
 
+#: type of a value of each kind that needs no conversion (any other kind: a text), as ``schema_of_variant`` writes it, and as a column
+PLAIN = {"year": ("BIGINT", "int"), "flag": ("BOOLEAN", "boolean"), "texts": ("ARRAY<(STRING|VOID)>", "array<string>")}
+TEXT = ("STRING", "string")
+
+
+def plain_items(v: Column, keys: dict[str, str]) -> tuple[Column, Column]:
+    """Whether v is a list of objects (or nulls) with no other keys than ``keys``, each absent, null or of the plain type of its kind; and v as such a typed list."""
+    shape, typed = plain_list(keys)
+    return F.coalesce(kind(v).rlike(f"^{shape}\\z"), F.lit(False)), F.try_variant_get(v, "$", typed)
+
+
+def plain_list(keys: dict[str, str]) -> tuple[str, str]:
+    """Pattern and column type of ``plain_items``."""
+    typed = ",".join(f"`{k}`:{PLAIN.get(how, TEXT)[1]}" for k, how in keys.items())
+    return f"ARRAY<(VOID|{plain_object({k: f'({PLAIN.get(how, TEXT)[0]}|VOID)' for k, how in keys.items()})})>", f"array<struct<{typed}>>"
+
+
+def plain_object(shapes: dict[str, str]) -> str:
+    """Pattern of an object's type that has no other keys."""
+    return f"OBJECT<(({'|'.join(f'{k}: {shape}' for k, shape in shapes.items())})(, |(?=>)))*+>"
+
+
 def normal(v: Column, how: str) -> Column:
     """Normal form of a scalar value: numbers and booleans as texts where a text is wanted, other wrong types null."""
     return T.let(F.struct(kind(v).alias("k"), as_string(v).alias("s")), lambda x: _normal(v, x["k"], x["s"], how))
@@ -107,6 +132,11 @@ def _normal(v: Column, k: Column, s: Column, how: str) -> Column:
     return loose
 
 
+def folded(strings: Column) -> Column:
+    """Sorted array of folded texts, without those that stand for nothing."""
+    return F.sort_array(F.filter(F.transform(strings, lambda s: T.text(s, fold=True)), lambda s: s.isNotNull()))
+
+
 def texts(v: Column) -> Column:
     """Sorted array of folded texts; null marks a wrong type; an absent list is empty."""
     none = F.array().cast("array<string>")
@@ -122,4 +152,8 @@ def texts(v: Column) -> Column:
     def judged(found: Column) -> Column:
         return F.when(~F.exists(found, lambda i: i["bad"]), F.sort_array(F.filter(F.transform(found, lambda i: i["s"]), lambda x: x.isNotNull())))
 
-    return F.when(absent(v), none).otherwise(T.let(F.transform(as_array(v), item), judged))
+    strings = F.try_variant_get(v, "$", "array<string>")
+    return (
+        F.when(absent(v), none).when(kind(v) == "ARRAY<STRING>", folded(strings))
+        .otherwise(T.let(F.transform(as_array(v), item), judged))
+    )

@@ -37,7 +37,7 @@ def _multiset_matches(pred: Column, gold: Column) -> Column:
         return F.struct(item["x"].alias("x"), p.alias("p"), g.alias("g"), done.alias("n"))
 
     merged = F.array_sort(F.concat(side(pred, 1, 0), side(gold, 0, 1)))
-    return F.aggregate(merged, start, take, lambda run: run["n"] + F.least(run["p"], run["g"]))
+    return F.when(pred == gold, F.size(gold)).otherwise(F.aggregate(merged, start, take, lambda run: run["n"] + F.least(run["p"], run["g"])))
 
 
 def field_stats(name: str, pred: Column, gold: Column, pred_type_failed: Column, is_list: bool) -> Column:

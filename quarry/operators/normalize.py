@@ -22,21 +22,35 @@ def item_key(v: Column, spec: RecordSpec, name: str) -> Column:
 
         return T.by_kind({k: x[k] for k in keys}, keys, one)
 
-    def key(x: Column) -> Column:
-        own = {k: x[k] for k in keys}
-        if name in spec.open_ended:
-            flag, end = spec.open_ended[name]
-            own[end] = F.when(~(x[flag] & F.coalesce(x[end] == T.PRESENT, F.lit(False))), x[end])
-        whole = F.to_json(F.struct(*(own[k].alias(k) for k in sorted(own))), {"ignoreNullFields": "false"})
-        wrong = [x[k].isNull() for k, how in keys.items() if how == "texts"]
-        return F.when(~reduce(Column.__or__, wrong, F.lit(False)), whole)
+    return T.let(V.members(v, list(keys)), lambda x: F.when(x.isNotNull(), T.let(values(x), lambda own: _key(own, spec, name))))
 
-    return T.let(V.members(v, list(keys)), lambda x: F.when(x.isNotNull(), T.let(values(x), key)))
+
+def plain_item_key(x: Column, spec: RecordSpec, name: str) -> Column:
+    """``item_key`` of an item of plain types (``variant.plain_items``)."""
+    keys = spec.records[name]
+    forms = {
+        "text": T.text, "folded": T.email, "phone": T.phone, "grade": T.grade, "date": T.date, "year": lambda c: c, "flag": lambda c: F.coalesce(c, F.lit(False)),
+        "texts": lambda c: F.coalesce(V.folded(c), F.array().cast("array<string>")),
+    }
+    own = F.struct(*(forms[how](x[k]).alias(k) for k, how in keys.items()))
+    return F.when(x.isNotNull(), T.let(own, lambda o: _key(o, spec, name)))
+
+
+def _key(x: Column, spec: RecordSpec, name: str) -> Column:
+    keys = spec.records[name]
+    own = {k: x[k] for k in keys}
+    if name in spec.open_ended:
+        flag, end = spec.open_ended[name]
+        own[end] = F.when(~(x[flag] & F.coalesce(x[end] == T.PRESENT, F.lit(False))), x[end])
+    whole = F.to_json(F.struct(*(own[k].alias(k) for k in sorted(own))), {"ignoreNullFields": "false"})
+    wrong = [x[k].isNull() for k, how in keys.items() if how == "texts"]
+    return F.when(~reduce(Column.__or__, wrong, F.lit(False)), whole)
 
 
 def record_list(v: Column, spec: RecordSpec, name: str) -> Column:
     """Sorted array of item keys; null marks a wrong type anywhere; an absent list is empty."""
-    keys = F.transform(V.as_array(v), lambda x: item_key(x, spec, name))
+    fits, typed = V.plain_items(v, spec.records[name])
+    keys = F.when(fits, F.transform(typed, lambda x: plain_item_key(x, spec, name))).otherwise(F.transform(V.as_array(v), lambda x: item_key(x, spec, name)))
     return F.when(V.absent(v), F.array().cast("array<string>")).otherwise(T.let(keys, lambda a: F.when(~F.exists(a, lambda k: k.isNull()), F.sort_array(a))))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,10 +20,15 @@ def parse_outputs(outputs: DataFrame, raw_col: str = "raw_output") -> DataFrame:
     Each candidate text is parsed whole or not at all; the first that parses counts. Nothing is repaired.
     """
     raw = F.coalesce(F.col(raw_col), F.lit(""))
-    tried = F.transform(V.candidates(raw), lambda c: F.struct(c["via"].alias("via"), V.strict_json(c["text"]).alias("value")))
-    first = F.get(F.filter(tried, lambda c: c["value"].isNotNull()), F.lit(0))
-    # the lambda binds the winner, so that the texts are parsed once
-    won = F.get(F.transform(F.array(first), lambda c: F.struct(c["via"].alias("matched_via"), c["value"].alias("parsed"), V.is_object(c["value"]).alias("is_object"))), F.lit(0))
+
+    def found(via: str, value: Column) -> Column:
+        """What is kept of a value, null without one; the lambda binds it, so that the text is parsed once."""
+        return T.let(value, lambda v: F.when(v.isNotNull(), F.struct(F.lit(via).alias("matched_via"), v.alias("parsed"), V.is_object(v).alias("is_object"))))
+
+    whole = lambda read: T.let(T.strip(raw), lambda t: V.strict_json(read(t)))
+    fenced = F.get(F.filter(F.transform(V.fences(raw), V.strict_json), lambda v: v.isNotNull()), F.lit(0))
+    # later candidates are looked for only where those before them are none
+    won = F.coalesce(found("direct", whole(lambda t: t)), F.when(F.contains(raw, F.lit(V.FENCE)), found("code_fence", fenced)), F.when(F.contains(raw, F.lit("{")), found("brace_slice", whole(V.brace_slice))))
     out = outputs.withColumn("_won", won).withColumns({"parsed": F.col("_won.parsed"), "matched_via": F.col("_won.matched_via"), "is_object": F.coalesce("_won.is_object", F.lit(False))}).drop("_won")
     valid = F.col("matched_via").isNotNull()
     return out.withColumns({
@@ -79,6 +86,29 @@ def _unknown(v: Column, path: Column, known: list[str]) -> Column:
     return F.transform(F.coalesce(extra, F.array().cast("array<string>")), lambda key: F.concat(path, key, F.lit(": unknown key")))
 
 
+def _null_inside(x: Column, keys: dict[str, str]) -> Column:
+    """Whether a typed item is null, or a member or text of it that must not be; an absent member counts as null here."""
+    null = lambda k, how: x[k].isNull() | F.exists(x[k], lambda s: s.isNull()) if how == "texts" else x[k].isNull()
+    return reduce(Column.__or__, [null(k, how) for k, how in keys.items() if how in ("texts", "flag")], x.isNull())
+
+
+def surely_valid(v: Column, spec: RecordSpec = RESUME) -> Column:
+    """Whether the type of an object and the nulls in it show that nothing is wrong with it. False says nothing."""
+    texts, string_list = V.PLAIN["texts"]
+    shapes = dict.fromkeys(spec.scalars, f"({V.TEXT[0]}|VOID)") | dict.fromkeys(spec.lists, texts)
+    types = dict.fromkeys(spec.lists, string_list)
+    for f, keys in spec.records.items():
+        shapes[f], types[f] = V.plain_list(keys)
+    typed = F.try_variant_get(v, "$", f"struct<{','.join(f'`{f}`:{t}' for f, t in types.items())}>")
+
+    def whole(x: Column) -> Column:
+        within = lambda keys: lambda i: _null_inside(i, keys)
+        nulls = [F.exists(x[f], lambda s: s.isNull()) for f in spec.lists] + [F.exists(x[f], within(keys)) for f, keys in spec.records.items()]
+        return ~reduce(Column.__or__, [F.coalesce(n, F.lit(False)) for n in nulls], F.lit(False))
+
+    return F.coalesce(V.kind(v).rlike(f"^{V.plain_object(shapes)}\\z") & T.let(typed, whole), F.lit(False))
+
+
 def schema_messages(v: Column, spec: RecordSpec = RESUME) -> Column:
     """What is wrong with an object by the record schema; unknown keys are forbidden at every level."""
     none = F.array().cast("array<string>")
@@ -89,7 +119,12 @@ def schema_messages(v: Column, spec: RecordSpec = RESUME) -> Column:
 
     def items(f: str, keys: dict[str, str], v: Column) -> Column:
         each = lambda a: F.flatten(F.transform(a, lambda x, i: item(keys, x, F.concat(F.lit(f"{f}."), i.cast("string"), F.lit(".")))))
-        return F.when(v.isNull(), none).otherwise(T.let(V.as_array(v), lambda a: F.coalesce(each(a), F.array(F.lit(f"{f}: not a list")))))
+        return F.when(v.isNull() | plain(keys, v), none).otherwise(T.let(V.as_array(v), lambda a: F.coalesce(each(a), F.array(F.lit(f"{f}: not a list")))))
+
+    def plain(keys: dict[str, str], v: Column) -> Column:
+        """A list that nothing is wrong with, told by its type and by what must not be null; where that does not tell, its items are looked at one by one."""
+        fits, typed = V.plain_items(v, keys)
+        return fits & ~F.exists(typed, lambda x: _null_inside(x, keys))
 
     def fields(x: Column) -> Column:
         own = dict.fromkeys(spec.scalars, "text") | dict.fromkeys(spec.lists, "texts")
@@ -100,7 +135,8 @@ def schema_messages(v: Column, spec: RecordSpec = RESUME) -> Column:
 
 def check_schema(parsed: DataFrame, spec: RecordSpec = RESUME) -> DataFrame:
     """Adds schema_valid and schema_error (the first five messages) to parsed outputs."""
-    found = F.when(F.col("is_object"), schema_messages(F.col("parsed"), spec)).otherwise(F.array(F.lit("not an object")))
+    v = F.col("parsed")
+    found = F.when(~F.col("is_object"), F.array(F.lit("not an object"))).when(surely_valid(v, spec), F.array().cast("array<string>")).otherwise(schema_messages(v, spec))
     out = parsed.withColumn("_messages", found)
     more = F.size("_messages") - MAX_MESSAGES
     return out.withColumns({
