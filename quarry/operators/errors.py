@@ -32,23 +32,36 @@ def _note(when: Column, category: str, detail: Column | str) -> Column:
     return F.when(when, F.array(found)).otherwise(_none())
 
 
+def _maybe(when: Column, category: str, detail: Column | str) -> Column:
+    """One note, or null."""
+    return F.when(when, F.struct(F.lit(category).alias("category"), (F.lit(detail) if isinstance(detail, str) else detail).alias("detail")))
+
+
+def _bare_items(v: Column) -> Column:
+    """The items of a list without their members: objects, and null for anything else; null for no list."""
+    return F.try_variant_get(v, "$", "array<struct<`_`:boolean>>")
+
+
 def _raw_empty(v: Column) -> Column:
-    return V.absent(v) | F.coalesce(F.size(V.as_array(v)) == 0, F.lit(False)) | F.coalesce((V.kind(v) == "STRING") & (V.as_string(v) == ""), F.lit(False))
+    judge = lambda x: F.when(V.absent(x["v"]), True).when(x["n"].isNotNull(), x["n"] == 0).otherwise(F.coalesce(V.as_string(x["v"]) == "", F.lit(False)))
+    return T.let(F.struct(v.alias("v"), F.array_size(_bare_items(v)).alias("n")), judge)
 
 
 def _items(v: Column) -> Column:
     return F.coalesce(F.filter(V.as_array(v), V.is_object), F.array().cast("array<variant>"))
 
 
-def _same(a: Column, b: Column, key: str) -> Column:
-    return V.normal(V.at(a, key), "text").eqNullSafe(V.normal(V.at(b, key), "text"))
+def _texts(v: Column) -> Column:
+    """Normal texts of a list's items."""
+    general = F.transform(F.coalesce(V.as_array(v), F.array().cast("array<variant>")), lambda x: V.normal(x, "text"))
+    return F.when(V.kind(v) == "ARRAY<STRING>", F.transform(F.try_variant_get(v, "$", "array<string>"), lambda s: T.text(s))).otherwise(general)
 
 
 def association_notes(pred: Column, gold: Column, spec: RecordSpec) -> Column:
-    """Wrong or unnormalised dates of items that match the first gold item with the same two keys; else a wrong association."""
+    """pred, gold: the lists of the spec's association. Wrong or unnormalised dates of items that match the first gold item with the same two keys; else a wrong association."""
     name, first, second, dates = spec.association
     flag = spec.open_ended[name][0] if name in spec.open_ended else None
-    gold_items = _items(V.at(gold, name))
+    named = lambda items: F.transform(items, lambda v: F.struct(v.alias("v"), *(V.normal(V.at(v, k), "text").alias(c) for c, k in (("a", first), ("b", second)))))
 
     def dated(p: Column, g: Column, key: str) -> Column:
         a, b = V.at(p, key), V.at(g, key)
@@ -64,54 +77,61 @@ def association_notes(pred: Column, gold: Column, spec: RecordSpec) -> Column:
         return T.let(F.struct(V.only_string(a).alias("a"), V.only_string(b).alias("b"), V.normal(a, "date").alias("na"), V.normal(b, "date").alias("nb")), judge)
 
     def item(p: Column, all_gold: Column) -> Column:
-        match = F.get(F.filter(all_gold, lambda g: _same(p, g, first) & _same(p, g, second)), F.lit(0))
-        strayed = _note(F.exists(all_gold, lambda g: _same(p, g, first)), "section_association_error", f"{name} content stands with the wrong {second}")
-        return T.let(match, lambda g: F.when(g.isNotNull(), F.concat(*(dated(p, g, key) for key in dates))).otherwise(strayed))
+        match = F.get(F.filter(all_gold, lambda g: p["a"].eqNullSafe(g["a"]) & p["b"].eqNullSafe(g["b"])), F.lit(0))
+        strayed = _note(F.exists(all_gold, lambda g: p["a"].eqNullSafe(g["a"])), "section_association_error", f"{name} content stands with the wrong {second}")
+        return T.let(match, lambda g: F.when(g.isNotNull(), F.concat(*(dated(p["v"], g["v"], key) for key in dates))).otherwise(strayed))
 
-    return T.let(gold_items, lambda all_gold: F.flatten(F.transform(_items(V.at(pred, name)), lambda p: item(p, all_gold))))
+    return T.let(named(_items(gold)), lambda all_gold: F.flatten(F.transform(named(_items(pred)), lambda p: item(p, all_gold))))
 
 
 def notes(pred: Column, gold: Column, spec: RecordSpec = RESUME) -> Column:
     """array<struct<category, detail>> of what differs between two objects that satisfy the schema."""
-    out = []
-    for f in spec.fields:
-        p, g = _raw_empty(V.at(pred, f)), _raw_empty(V.at(gold, f))
-        out += [_note(~g & p, "missing_field", f"missing field: {f}"), _note(g & ~p, "over_extraction", f"field is empty in gold: {f}")]
-    for f, how in spec.scalars.items():
-        how = "text" if how == "folded" else how
-        values = F.struct(V.normal(V.at(pred, f), how).alias("p"), V.normal(V.at(gold, f), how).alias("g"))
-        out.append(T.let(values, _scalar_judge(f)))
-    for f in spec.lists:
-        lists = F.struct(*(F.transform(F.coalesce(V.as_array(V.at(side, f)), F.array().cast("array<variant>")), lambda x: V.normal(x, "text")).alias(k) for k, side in (("p", pred), ("g", gold))))
-        out.append(T.let(lists, _list_judge(f)))
-    for f in spec.records:
-        sizes = F.struct(F.size(_items(V.at(pred, f))).alias("p"), F.size(_items(V.at(gold, f))).alias("g"))
-        out.append(T.let(sizes, _size_judge(f)))
-    if spec.association:
-        out.append(association_notes(pred, gold, spec))
-    return F.concat(*out)
+    def fields(x: Column) -> Column:
+        one, several = [], []
+        for f in spec.fields:
+            p, g = x["pe"][f], x["ge"][f]
+            one += [_maybe(~g & p, "missing_field", f"missing field: {f}"), _maybe(g & ~p, "over_extraction", f"field is empty in gold: {f}")]
+        several.append(F.array_compact(F.array(*one)))
+        for f, how in spec.scalars.items():
+            how = "text" if how == "folded" else how
+            several.append(T.let(F.struct(V.normal(x["p"][f], how).alias("p"), V.normal(x["g"][f], how).alias("g")), _scalar_judge(f)))
+        for f in spec.lists:
+            several.append(T.let(F.struct(_texts(x["p"][f]).alias("p"), _texts(x["g"][f]).alias("g")), _list_judge(f)))
+        objects = lambda v: F.coalesce(F.size(F.array_compact(_bare_items(v))), F.lit(0))
+        for f in spec.records:
+            several.append(T.let(F.struct(objects(x["p"][f]).alias("p"), objects(x["g"][f]).alias("g")), _size_judge(f)))
+        if spec.association:
+            several.append(association_notes(x["p"][spec.association[0]], x["g"][spec.association[0]], spec))
+        return F.flatten(F.array(*several))
+
+    # members are taken once, and what is empty is found by one expression for all fields
+    sides = F.struct(V.members(pred, spec.fields).alias("p"), V.members(gold, spec.fields).alias("g"))
+    empty = lambda v: T.each({f: v[f] for f in spec.fields}, _raw_empty)
+    return T.let(sides, lambda s: T.let(F.struct(s["p"].alias("p"), s["g"].alias("g"), empty(s["p"]).alias("pe"), empty(s["g"]).alias("ge")), fields))
 
 
 def _scalar_judge(f: str):
-    return lambda x: F.concat(
-        _note(F.coalesce(x["p"] != x["g"], F.lit(False)), "wrong_value", F.concat(F.lit(f"{f}: "), x["p"], F.lit(" is not "), x["g"])),
-        _note(x["g"].isNull() & x["p"].isNotNull(), "unsupported_value", F.concat(F.lit(f"{f}: unsupported "), x["p"])),
-    )
+    return lambda x: F.array_compact(F.array(
+        _maybe(F.coalesce(x["p"] != x["g"], F.lit(False)), "wrong_value", F.concat(F.lit(f"{f}: "), x["p"], F.lit(" is not "), x["g"])),
+        _maybe(x["g"].isNull() & x["p"].isNotNull(), "unsupported_value", F.concat(F.lit(f"{f}: unsupported "), x["p"])),
+    ))
 
 
 def _list_judge(f: str):
     first = lambda a: F.array_join(F.slice(a, 1, 3), ", ")
-    return lambda x: F.concat(
-        _note(F.size(F.array_except(x["p"], x["g"])) > 0, "unsupported_value", F.concat(F.lit(f"unsupported {f}: "), first(F.array_except(x["p"], x["g"])))),
-        _note(F.size(F.array_except(x["g"], x["p"])) > 0, "under_extraction", F.concat(F.lit(f"missing {f}: "), first(F.array_except(x["g"], x["p"])))),
-    )
+    judge = lambda more, less: F.array_compact(F.array(
+        _maybe(F.size(more) > 0, "unsupported_value", F.concat(F.lit(f"unsupported {f}: "), first(more))),
+        _maybe(F.size(less) > 0, "under_extraction", F.concat(F.lit(f"missing {f}: "), first(less))),
+    ))
+    apart = lambda x: T.let(F.struct(F.array_except(x["p"], x["g"]).alias("more"), F.array_except(x["g"], x["p"]).alias("less")), lambda d: judge(d["more"], d["less"]))
+    return lambda x: F.when(x["p"] == x["g"], _none()).otherwise(apart(x))
 
 
 def _size_judge(f: str):
-    return lambda x: F.concat(
-        _note(x["p"] > x["g"], "unsupported_value", F.concat(F.lit(f"{f}: extra items: "), (x["p"] - x["g"]).cast("string"))), _note(x["p"] > x["g"], "list_item_error", f"{f}: too many items"),
-        _note(x["p"] < x["g"], "under_extraction", F.concat(F.lit(f"{f}: items missing: "), (x["g"] - x["p"]).cast("string"))), _note(x["p"] < x["g"], "list_item_error", f"{f}: too few items"),
-    )
+    return lambda x: F.array_compact(F.array(
+        _maybe(x["p"] > x["g"], "unsupported_value", F.concat(F.lit(f"{f}: extra items: "), (x["p"] - x["g"]).cast("string"))), _maybe(x["p"] > x["g"], "list_item_error", f"{f}: too many items"),
+        _maybe(x["p"] < x["g"], "under_extraction", F.concat(F.lit(f"{f}: items missing: "), (x["g"] - x["p"]).cast("string"))), _maybe(x["p"] < x["g"], "list_item_error", f"{f}: too few items"),
+    ))
 
 
 MAX_MODELS = 1000

@@ -31,3 +31,15 @@ def test_plain_items_have_the_general_keys(spark):
     general = F.when(~F.exists(general, lambda k: k.isNull()), F.sort_array(general))
     got = rows.select(fits.alias("fits"), normalize.record_list(F.col("v"), RESUME, "experience").alias("plain"), general.alias("general")).collect()
     assert all(r.fits for r in got) and [r.plain for r in got] == [r.general for r in got]
+
+
+def test_notes_of_odd_values_name_each_difference_once(spark):
+    from quarry.operators import errors
+
+    cases = [
+        ('{"skills": [null], "name": ""}', '{"skills": ["a", "b"]}', ["unsupported_value", "under_extraction"]), ('{"experience": [1, {"title": "T"}]}', '{"experience": [{"title": "T"}]}', []),
+        ('{"skills": ["b", "a"]}', '{"skills": ["a", "b"]}', []), ('{"name": 5}', '{"name": "5"}', []), ('{"projects": [1]}', '{"projects": []}', ["over_extraction"]),
+    ]
+    rows = spark.createDataFrame([(i, p, g) for i, (p, g, _) in enumerate(cases)], "i int, p string, g string")
+    got = rows.select("i", errors.notes(F.parse_json("p"), F.parse_json("g")).alias("n"), errors._raw_empty(F.parse_json("p")).alias("e")).orderBy("i").collect()
+    assert [[n.category for n in r.n] for r in got] == [c for _, _, c in cases] and not any(r.e for r in got)
