@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -130,9 +130,11 @@ def run_inference(
         # rows of a chunk are numbered, so of an id that occurs twice in it one is the last; later chunks and runs have greater numbers
         scored = score(rows, load, warm_up).withColumn("seq", F.monotonically_increasing_id())
         attempt, number = uuid.uuid4().hex, number + 1
-        scored.write.parquet(f"{path}/rows/attempt={attempt}")
-        n = spark.read.schema(STORED_DDL).parquet(f"{path}/rows/attempt={attempt}").count()
-        spark.createDataFrame([(attempt, number, chunk, n, mark)], COMMIT_DDL).coalesce(1).write.mode("append").parquet(f"{path}/commits")
+        written = Observation()  # rows are counted as they are written, so a chunk is one job and the commit's
+        scored.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/rows/attempt={attempt}")
+        commit = {"attempt": attempt, "number": number, "chunk": chunk, "rows": written.get["rows"], "fingerprint": mark}
+        types = dict(part.split() for part in COMMIT_DDL.split(", "))
+        spark.range(0, 1, 1, 1).select(*(F.lit(v).cast(types[k]).alias(k) for k, v in commit.items())).write.mode("append").parquet(f"{path}/commits")
     return latest(stored(spark, path)).drop("at", "attempt").join(examples.select("id").distinct(), "id", "left_semi").orderBy("id")
 
 
