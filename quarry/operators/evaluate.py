@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..sources.files import scratch
 from ..spec import RESUME, RecordSpec
-from .normalize import empty_fields, normal_record, records_equal
+from .normalize import forms, records_equal
 from .parse import check_schema, parse_outputs
 
 RATES = ["precision", "recall", "f1", "exact_match", "json_validity", "schema_validity", "unsupported_rate", "missing_rate"]
@@ -66,11 +66,13 @@ def normalize_predictions(predictions: DataFrame, spec: RecordSpec = RESUME) ->
     """Parsed and checked outputs, with their normal record (of an empty object where there is none) and empty fields."""
     parsed = check_schema(parse_outputs(dealt(predictions)), spec)
     content = F.coalesce(F.when(F.col("is_object"), F.col("parsed")), F.parse_json(F.lit("{}")))
-    return parsed.withColumn("content", content).withColumns({"pred_norm": normal_record(F.col("content"), spec), "pred_empty": empty_fields(F.col("content"), spec)})
+    rows = parsed.withColumn("_forms", forms(content, spec))
+    return rows.withColumns({"pred_norm": F.col("_forms.norm"), "pred_empty": F.col("_forms.empty")}).drop("_forms")
 
 
 def normalize_gold(gold: DataFrame, spec: RecordSpec = RESUME) -> DataFrame:
-    return dealt(gold).withColumns({"gold_norm": normal_record(F.col("gold"), spec), "gold_empty": empty_fields(F.col("gold"), spec)})
+    rows = dealt(gold).withColumn("_forms", forms(F.col("gold"), spec))
+    return rows.withColumns({"gold_norm": F.col("_forms.norm"), "gold_empty": F.col("_forms.empty")}).drop("_forms")
 
 
 def evaluate_examples(predictions: DataFrame, gold: DataFrame, spec: RecordSpec = RESUME, keep: list[str] | None = None) -> DataFrame:

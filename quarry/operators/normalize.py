@@ -54,31 +54,43 @@ def record_list(v: Column, spec: RecordSpec, name: str) -> Column:
     return F.when(V.absent(v), F.array().cast("array<string>")).otherwise(T.let(keys, lambda a: F.when(~F.exists(a, lambda k: k.isNull()), F.sort_array(a))))
 
 
+def _own(v: Column, spec: RecordSpec) -> Column:
+    """The fields of an object; what is no object has none."""
+    return F.coalesce(V.members(v, spec.fields), V.members(F.parse_json(F.lit("{}")), spec.fields))
+
+
+def _normal_fields(x: Column, spec: RecordSpec) -> Column:
+    scalars = T.by_kind({f: x[f] for f in spec.scalars}, spec.scalars, V.normal)
+    lists = [V.texts(x[f]).alias(f) for f in spec.lists] + [record_list(x[f], spec, f).alias(f) for f in spec.records]
+    return T.let(scalars, lambda own: F.struct(*(own[f].alias(f) for f in spec.scalars), *lists))
+
+
 def normal_record(v: Column, spec: RecordSpec = RESUME) -> Column:
     """struct: every field in normal form. Unknown keys are dropped; a list of null marks a type failure."""
-    def fields(x: Column) -> Column:
-        scalars = T.by_kind({f: x[f] for f in spec.scalars}, spec.scalars, V.normal)
-        lists = [V.texts(x[f]).alias(f) for f in spec.lists] + [record_list(x[f], spec, f).alias(f) for f in spec.records]
-        return T.let(scalars, lambda own: F.struct(*(own[f].alias(f) for f in spec.scalars), *lists))
-
-    # what is no object has no field
-    return T.let(F.coalesce(V.members(v, spec.fields), V.members(F.parse_json(F.lit("{}")), spec.fields)), fields)
+    return T.let(_own(v, spec), lambda x: _normal_fields(x, spec))
 
 
 def is_empty(v: Column) -> Column:
     """Null, an empty list or object, or a string that stands for nothing; numbers and booleans never."""
-    sizes = lambda x: F.coalesce(F.array_size(V.as_array(x)), F.size(F.map_keys(V.as_map(x))))
-    scalar = lambda x: F.coalesce((V.kind(x) == "STRING") & T.text(V.as_string(x)).isNull(), F.lit(False))
-    return T.let(v, lambda x: F.when(V.absent(x), True).otherwise(T.let(sizes(x), lambda n: F.when(n.isNotNull(), n == 0).otherwise(scalar(x)))))
+    # a list that has a first item is not empty, whatever follows; an empty one has the type of a list of nulls
+    told = lambda x, k: k.isin("OBJECT<>", "ARRAY<VOID>") | (k == "STRING") & T.text(V.as_string(x)).isNull()
+    bare = lambda x: T.let(V.kind(x), lambda k: F.coalesce(told(x, k), F.lit(False)))
+    return T.let(v, lambda x: F.when(V.absent(x), True).when(F.try_variant_get(x, "$[0]", "variant").isNotNull(), False).otherwise(bare(x)))
+
+
+def _empty_names(x: Column, spec: RecordSpec) -> Column:
+    flags = T.each({f: x[f] for f in spec.fields}, is_empty)
+    return T.let(flags, lambda e: F.array_compact(F.array(*(F.when(e[f], F.lit(f)) for f in spec.fields))))
 
 
 def empty_fields(v: Column, spec: RecordSpec = RESUME) -> Column:
     """array<string>: names of the fields that are empty."""
-    def empty(x: Column) -> Column:
-        flags = T.each({f: x[f] for f in spec.fields}, is_empty)
-        return T.let(flags, lambda e: F.array_compact(F.array(*(F.when(e[f], F.lit(f)) for f in spec.fields))))
+    return T.let(_own(v, spec), lambda x: _empty_names(x, spec))
+
 
-    return T.let(F.coalesce(V.members(v, spec.fields), V.members(F.parse_json(F.lit("{}")), spec.fields)), empty)
+def forms(v: Column, spec: RecordSpec = RESUME) -> Column:
+    """struct<norm, empty>: ``normal_record`` and ``empty_fields``; the fields are taken once for both."""
+    return T.let(_own(v, spec), lambda x: F.struct(_normal_fields(x, spec).alias("norm"), _empty_names(x, spec).alias("empty")))
 
 
 def records_equal(a: Column, b: Column) -> Column:

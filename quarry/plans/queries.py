@@ -38,7 +38,7 @@ def _shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkS
     """Tables that several parts of a query read: parsed once and persisted; later plans see a leaf in place of the expressions."""
     def get(spark: SparkSession, d: str) -> DataFrame:
         key = (spark.sparkContext.applicationId, d, build.__name__)
-        if key not in _SHARED:
+        if key not in _SHARED or not _SHARED[key].storageLevel.useMemory:  # where the cache was cleared, what the table is made of is persisted anew as well
             for old in [k for k in _SHARED if k[:2] != key[:2]]:  # tables of other folders are done with
                 _SHARED.pop(old).unpersist()
             _SHARED[key] = build(spark, d)
