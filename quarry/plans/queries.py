@@ -730,7 +730,8 @@ SELECT id, CAST(career AS INT) AS career_start, n - i AS place, (career + since
     1 + {fixtures._H("key || '|duties|' || i")} % 4 AS duties,
   CASE WHEN {fixtures._H("key || '|job place|' || i")} / 4294967296.0 < 0.30 THEN {corpus.CITIES}[1 + {fixtures._H("key || '|job city|' || i")} % {len(corpus.CITIES)}] END AS location FROM v""")
 def g5_experience(spark: SparkSession, d: str) -> DataFrame:
-    rows = corpus.records(_named(spark, d)).select("id", "career_start", F.posexplode("experience").alias("place", "job"))
+    # every record has a job; the plain form would ask for that first, before records are dealt, and make each twice
+    rows = corpus.records(_named(spark, d)).select("id", "career_start", F.posexplode_outer("experience").alias("place", "job"))
     job = F.col("job")
     return rows.select("id", "career_start", F.col("place").cast("long").alias("place"), job["start_date"].alias("start_date"), job["end_date"].alias("end_date"), job["current"].alias("current"),
                        F.size(job["responsibilities"]).cast("long").alias("duties"), job["location"].alias("location"))
