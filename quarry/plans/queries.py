@@ -840,8 +840,7 @@ def g11_whole_manifest(spark: SparkSession, d: str) -> DataFrame:
 @query("s1_s2_json_round_trip", f"WITH {_NAMED} SELECT id, split, true AS same FROM z")
 def s1_s2_json_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """same: whether text, record and metadata come back as they were."""
-    path = files.scratch(spark)
-    rows = corpus.examples(_named(spark, d))
+    path, rows = files.scratch(spark), files.written(corpus.examples(_named(spark, d)))  # made once, not for the ranges, the files and the comparison
     files.write_splits(rows.withColumn("split", F.col("metadata.split")), path)
     whole = lambda df: df.select("id", F.col("metadata.split").alias("split"), F.to_json(F.struct("text", "target", "metadata"), {"ignoreNullFields": "false"}).alias("all"))
     back = whole(files.read_jsonl(spark, path, EXAMPLE_DDL))

@@ -24,3 +24,7 @@ def test_no_filter_makes_records_before_they_are_dealt(spark):
 def test_texts_are_not_made_twice_to_meet_their_records(spark):
     rows = corpus.proofs(corpus.examples(corpus.keys(spark, {"train": 3, "test": 3})))
     assert _plan(rows).count("Range (0, 3,") == 2 and rows.columns[:2] == ["id", "name"] and all(r.proven for r in rows.collect())
+
+
+def test_the_round_trip_compares_what_was_made_for_the_files(spark):
+    assert "md5" not in _plan(queries.s1_s2_json_round_trip(spark, SMALL))
