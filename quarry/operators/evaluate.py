@@ -234,10 +234,11 @@ def per_field_table(examples: DataFrame, spec: RecordSpec = RESUME, base: str =
 def multiset_join(pred: DataFrame, gold: DataFrame, by: list[str], key: str) -> DataFrame:
     """tp, fp, fn for each group from long tables of units: the sum of the lesser counts matches.
 
-    For lists too long to match within a row: both sides are counted before they meet, so repeated units do not multiply.
+    For lists too long to match within a row: units of both sides are counted in one aggregate, so repeated ones do not multiply and no side is sorted to meet the other.
+    As in a join, a null matches nothing.
     """
-    p = pred.groupBy(*by, key).agg(F.count(F.lit(1)).alias("p"))
-    g = gold.groupBy(*by, key).agg(F.count(F.lit(1)).alias("g"))
-    both = p.join(g, [*by, key], "full").fillna(0, ["p", "g"])
-    least = F.least("p", "g")
+    side = lambda rows, p, g: rows.select(*by, key, F.lit(p).alias("p"), F.lit(g).alias("g"))
+    both = side(pred, 1, 0).unionByName(side(gold, 0, 1)).groupBy(*by, key).agg(F.sum("p").alias("p"), F.sum("g").alias("g"))
+    known = reduce(Column.__and__, [F.col(c).isNotNull() for c in (*by, key)])
+    least = F.when(known, F.least("p", "g")).otherwise(0)
     return both.groupBy(*by).agg(F.sum(least).alias("tp"), F.sum(F.col("p") - least).alias("fp"), F.sum(F.col("g") - least).alias("fn"))
