@@ -6,7 +6,7 @@ import time
 import uuid
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
@@ -32,27 +32,32 @@ def pending(examples: DataFrame, done: DataFrame) -> DataFrame:
 
 
 def score(examples: DataFrame, load: Callable[[], Callable[[str], str]], warm_up: int = 3) -> DataFrame:
-    """id, raw_output, latency_ms: ``load`` runs once a task and returns the extractor; ``warm_up`` calls are not timed."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        extract, warm = None, False
+    """id, raw_output, latency_ms: ``load`` runs once a task and returns the extractor; ``warm_up`` calls are not timed.
+
+    A worker holds one Arrow batch and one text of it at a time as a Python string, and hands outputs on every ``OUTPUTS_PER_BATCH`` rows.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        extract = None
         for batch in batches:
-            if len(batch) == 0:
+            if batch.num_rows == 0:
                 continue
-            extract = extract or load()
-            if not warm:
-                for text in batch["text"].head(warm_up):
-                    extract(text)
-                warm = True
-            raw, took = [], []
-            for text in batch["text"]:
-                began = time.perf_counter()
-                raw.append(extract(text))
-                took.append((time.perf_counter() - began) * 1000)
-            yield pd.DataFrame({"id": batch["id"], "raw_output": raw, "latency_ms": took})
-
-    return examples.select(F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, PREDICTION_DDL)
-
-
+            if extract is None:
+                extract = load()
+                for text in batch.column("text")[:warm_up]:
+                    extract(text.as_py())
+            for first in range(0, batch.num_rows, OUTPUTS_PER_BATCH):
+                part, raw, took = batch.slice(first, OUTPUTS_PER_BATCH), [], []
+                for text in part.column("text"):
+                    text = text.as_py()
+                    began = time.perf_counter()
+                    raw.append(extract(text))
+                    took.append((time.perf_counter() - began) * 1000)
+                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.string()), pa.array(raw, pa.string()), pa.array(took, pa.float64())], names=["id", "raw_output", "latency_ms"])
+
+    return examples.select(F.col("id").cast("string").alias("id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PREDICTION_DDL)
+
+
+OUTPUTS_PER_BATCH = 1_000
 ROWS_PER_CHUNK = 1_000_000
 COMMIT_DDL = "attempt string, number long, chunk int, rows long, fingerprint string"
 STORED_DDL = "id string, raw_output string, latency_ms double, seq long, attempt string"

@@ -1,8 +1,7 @@
-"""Work that plans did several times over, or in one task, and the memory of a worker."""
+"""Work that plans did several times over, or in one task."""
 
 from pyspark.sql import functions as F
 
-from quarry.operators import evaluate, inference
 from quarry.plans import corpus, queries
 
 SMALL = "/root/testdata/sf0.001"
