@@ -57,7 +57,7 @@ def update(predictions: str, path: str, gold: DataFrame, model: str, slices: lis
     rows = rows.join(touched, "id", "left_semi").withColumn("last", last).where("last = 1")
     # the last character of the model's name tells what is added from what goes, so both are parsed in one pass
     outputs = rows.select(F.concat(F.lit(model), F.when(F.col("fresh"), "+").otherwise("-")).alias("model"), "id", "raw_output", "latency_ms")
-    examples = evaluate_examples(outputs, gold, spec, keep=slices)
+    examples = evaluate_examples(outputs, gold.join(touched, "id", "left_semi"), spec, keep=slices)  # no other gold record is needed
     examples = examples.withColumns({"sign": F.when(F.col("model").endswith("+"), 1).otherwise(-1), "model": F.lit(model)})
     name = uuid.uuid4().hex
     sums(examples, slices, F.col("sign")).write.parquet(f"{path}/sums/update={name}")
