@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -59,6 +59,7 @@ def score(examples: DataFrame, load: Callable[[], Callable[[str], str]], warm_up
 
 OUTPUTS_PER_BATCH = 1_000
 ROWS_PER_CHUNK = 1_000_000
+SECONDS_PER_COMMIT = 10.0
 COMMIT_DDL = "attempt string, number long, chunk int, rows long, fingerprint string"
 STORED_DDL = "id string, raw_output string, latency_ms double, seq long, attempt string"
 
@@ -74,7 +75,7 @@ def _table(spark: SparkSession, path: str, ddl: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, path: str) -> DataFrame:
-    """attempt, number (order of attempts), chunk, rows, fingerprint: a row for each chunk that was stored whole."""
+    """attempt, number (order of attempts), chunk, rows, fingerprint: a row for each chunk that was stored whole. Chunks stored by one job have one attempt."""
     return _table(spark, f"{path}/commits", COMMIT_DDL)
 
 
@@ -110,6 +111,19 @@ def dealt_to_chunks(todo: DataFrame, path: str, rows_per_chunk: int) -> int:
     return chunks
 
 
+def chunks_together(width: int, seconds: float) -> int:
+    """How many chunks the next job takes after ``width`` took so long: at most twice as many, and one at least."""
+    return max(1, min(2 * width, int(width * SECONDS_PER_COMMIT / max(seconds, 1e-3))))
+
+
+def _commit(spark: SparkSession, path: str, attempt: str, number: int, chunks: range, counts: list[int], mark: str) -> None:
+    """A row for each of neighbouring chunks, in one file; ``number`` is that of the last commit before."""
+    place = F.col("id") - chunks.start
+    commit = {"attempt": F.lit(attempt), "number": place + number + 1, "chunk": F.col("id"), "rows": F.split(F.lit(" ".join(map(str, counts))), " ")[place.cast("int")], "fingerprint": F.lit(mark)}
+    types = dict(part.split() for part in COMMIT_DDL.split(", "))
+    spark.range(chunks.start, chunks.stop, 1, 1).select(*(v.cast(types[k]).alias(k) for k, v in commit.items())).write.mode("append").parquet(f"{path}/commits")
+
+
 def run_inference(
     examples: DataFrame, path: str, settings: dict[str, str], load: Callable[[], Callable[[str], str]], mode: str = "resume", warm_up: int = 3, rows_per_chunk: int = ROWS_PER_CHUNK
 ) -> DataFrame:
@@ -117,9 +131,10 @@ def run_inference(
 
     mode: resume (only missing ids), force (all anew, stored rows go), fresh (all again, appended). Other stored settings are refused unless forced.
 
-    Examples are scored in chunks of some ``rows_per_chunk``. The rows of a chunk are written first, in a folder of their own; then one row is appended to the commits, with the
-    fingerprint, which makes them count. A run that is lost has lost its last chunk at most: the next one finds the ids of all chunks before, and the unfinished
-    folder is never read.
+    Examples are scored in chunks of some ``rows_per_chunk``. The rows of a chunk are written first, in a folder that no commit names yet; then one row is appended to the
+    commits, with the fingerprint, which makes them count. Chunks that take less than ``SECONDS_PER_COMMIT`` go together, as many as that time is expected to hold, and are
+    committed together. So a run that is lost has lost its last chunk at most, or, where chunks are short, about that time: the next one finds the ids of all chunks
+    before, and the unfinished folder is never read. If a job of several chunks fails they are tried again in smaller ones, so those before the one at fault are kept.
     """
     spark, mark = examples.sparkSession, fingerprint(settings)
     examples = examples.select(F.col("id").cast("string").alias("id"), "text")
@@ -130,16 +145,25 @@ def run_inference(
     number = commits(spark, path).agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
     work = scratch(spark)
     todo = pending(examples, stored(spark, path)) if mode == "resume" else examples
-    for chunk in range(dealt_to_chunks(todo, work, rows_per_chunk)):
-        rows = _table(spark, f"{work}/chunk={chunk}", "id string, text string")
-        # rows of a chunk are numbered, so of an id that occurs twice in it one is the last; later chunks and runs have greater numbers
+    chunks = dealt_to_chunks(todo, work, rows_per_chunk)
+    dealt = _table(spark, work, "id string, text string, chunk int")  # its files are listed once
+    counts = dict(dealt.groupBy("chunk").agg(F.count(F.lit(1))).collect()) if chunks else {}
+    first, width = 0, 1
+    while first < chunks:
+        some, attempt, began = range(first, min(first + width, chunks)), uuid.uuid4().hex, time.monotonic()
+        rows = dealt.where(F.col("chunk").between(some.start, some.stop - 1))
+        # rows of a job are numbered, so of an id that occurs twice in a chunk one is the last; later jobs and runs have greater numbers
         scored = score(rows, load, warm_up).withColumn("seq", F.monotonically_increasing_id())
-        attempt, number = uuid.uuid4().hex, number + 1
-        written = Observation()  # rows are counted as they are written, so a chunk is one job and the commit's
-        scored.observe(written, F.count(F.lit(1)).alias("rows")).write.parquet(f"{path}/rows/attempt={attempt}")
-        commit = {"attempt": attempt, "number": number, "chunk": chunk, "rows": written.get["rows"], "fingerprint": mark}
-        types = dict(part.split() for part in COMMIT_DDL.split(", "))
-        spark.range(0, 1, 1, 1).select(*(F.lit(v).cast(types[k]).alias(k) for k, v in commit.items())).write.mode("append").parquet(f"{path}/commits")
+        try:
+            scored.write.parquet(f"{path}/rows/attempt={attempt}")
+        except Exception:
+            if len(some) == 1:
+                raise
+            width = 1
+            continue
+        _commit(spark, path, attempt, number, some, [counts.get(k, 0) for k in some], mark)
+        first, number = some.stop, number + len(some)
+        width = chunks_together(len(some), time.monotonic() - began)
     return latest(stored(spark, path)).drop("at", "attempt").join(examples.select("id").distinct(), "id", "left_semi").orderBy("id")
 
 

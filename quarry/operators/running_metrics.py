@@ -47,7 +47,7 @@ def update(predictions: str, path: str, gold: DataFrame, model: str, slices: lis
     if done.where(~F.col("fingerprint").isin([r.fingerprint for r in marks])).limit(1).count():
         raise inference.StaleCache("stored sums are of predictions with another fingerprint")
     known = done.select(F.explode("attempts").alias("attempt"))
-    new = [r.attempt for r in commits.join(known, "attempt", "left_anti").select("attempt").collect()]  # a row for each chunk
+    new = [r.attempt for r in commits.join(known, "attempt", "left_anti").select("attempt").distinct().collect()]  # one for each job that stored chunks
     if not new:
         return 0
     # of each id that new chunks have: its last row among them, and its last row of before, which goes
