@@ -164,6 +164,8 @@ def run_inference(
         _commit(spark, path, attempt, number, some, [counts.get(k, 0) for k in some], mark)
         first, number = some.stop, number + len(some)
         width = chunks_together(len(some), time.monotonic() - began)
+    if chunks:  # all are stored, so the texts that were dealt go
+        spark.createDataFrame([], "id string").write.mode("overwrite").parquet(work)
     return latest(stored(spark, path)).drop("at", "attempt").join(examples.select("id").distinct(), "id", "left_semi").orderBy("id")
 
 

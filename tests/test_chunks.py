@@ -53,3 +53,11 @@ def test_a_failure_among_chunks_scored_together_keeps_those_before_it(spark, tmp
         inference.run_inference(rows, path, {"m": "1"}, load, warm_up=0, rows_per_chunk=10)
     done = inference.commits(spark, path).collect()
     assert sorted(r.chunk for r in done) == list(range(12)) and inference.stored(spark, path).count() == sum(r.rows for r in done) == rows.where("pmod(xxhash64(id), 20) < 12").count()
+
+
+def test_texts_dealt_to_chunks_go_when_they_are_scored(spark, tmp_path, monkeypatch):
+    """Each run left a copy of its texts."""
+    monkeypatch.setattr(inference, "scratch", lambda s: str(tmp_path / "work"))
+    rows = spark.createDataFrame([("a", "one"), ("b", "x")], "id string, text string")
+    out = inference.run_inference(rows, str(tmp_path / "p"), {"m": "1"}, lambda: str.upper, rows_per_chunk=1)
+    assert not list((tmp_path / "work").glob("chunk=*")) and [(r.id, r.raw_output) for r in out.collect()] == [("a", "ONE"), ("b", "X")]
